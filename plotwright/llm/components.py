@@ -1,0 +1,46 @@
+"""Connected components of a link table by alternating star contractions."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import written
+
+#: Rounds that no graph of links should need: the count grows with the logarithm of the longest path.
+MOST_ROUNDS = 60
+
+
+def _state(edges: DataFrame) -> tuple[int, object]:
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+
+def _large_star(edges: DataFrame) -> DataFrame:
+    """Every larger neighbour of a node is linked to the least of the node and its neighbours."""
+    both = edges.union(edges.select("b", "a"))
+    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """A node and its smaller neighbours are linked to the least of these."""
+    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    moved = edges.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
+
+
+def stars(links: DataFrame, left: str, right: str) -> DataFrame:
+    """Per linked node its component: columns node and root, the component's least node."""
+    edges = links.select(F.greatest(left, right).alias("a"), F.least(left, right).alias("b")).where("a <> b").distinct()
+    edges = written(edges, "links")
+    state = _state(edges)
+    for _ in range(MOST_ROUNDS):
+        if not state[0]:
+            break
+        edges = written(_small_star(_large_star(edges)), "stars")
+        before, state = state, _state(edges)
+        if before == state:
+            break
+    else:
+        raise RuntimeError(f"components have not settled in {MOST_ROUNDS} rounds")
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())

@@ -12,7 +12,6 @@ and columns added here replace columns of the same names.
 
 from __future__ import annotations
 
-import hashlib
 
 import numpy as np
 import pyarrow as pa

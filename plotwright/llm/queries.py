@@ -1,10 +1,13 @@
 """The corpus queries by name, and their SQL where SQL can express them."""
 
-from . import decontaminate, packing, token_columns
+from . import decontaminate, media, packing, simhash, substring_dedup, token_columns
 
 QUERIES = {
+    "op2_substring_cms": substring_dedup.op2_substring_cms,
     "op3_token_columns": token_columns.op3_token_columns,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op8_decontaminate": decontaminate.op8_decontaminate,
+    "op9_media_ts": media.op9_media_ts,
+    "op10_simhash_pivots": simhash.op10_simhash_pivots,
 }
-SQL = {"op8_decontaminate": decontaminate.OP8_SQL}
+SQL = {"op2_substring_cms": substring_dedup.OP2_SQL, "op8_decontaminate": decontaminate.OP8_SQL}
