@@ -1,11 +1,13 @@
 """The corpus queries by name, and their SQL where SQL can express them."""
 
-from . import decontaminate, media, packing, quality, secrets, simhash, substring_dedup, token_columns
+from . import chat, decontaminate, media, packing, quality, secrets, simhash, substring_dedup, token_columns, toxicity
 
 QUERIES = {
     "op1_quality_crf": quality.op1_quality_crf,
     "op2_substring_cms": substring_dedup.op2_substring_cms,
     "op3_token_columns": token_columns.op3_token_columns,
+    "op4_toxicity_grammar": toxicity.op4_toxicity_grammar,
+    "op5_chat_repair": chat.op5_chat_repair,
     "op6_secret_randomness": secrets.op6_secret_randomness,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op8_decontaminate": decontaminate.op8_decontaminate,
