@@ -1,8 +1,8 @@
 """The site-feasibility queries by name, and the SQL that gives the same rows."""
 
-from . import terrain
+from . import terrain, zones
 
-_PLANS = (terrain,)
+_PLANS = (terrain, zones)
 QUERIES: dict = {name: f for plan in _PLANS for name, f in plan.QUERIES.items()}
 SQL: dict = {name: text for plan in _PLANS for name, text in plan.SQL.items()}
-FLAGSHIP = "f03_slope_statistics"
+FLAGSHIP = "g07_buildability"
