@@ -84,5 +84,5 @@ def checksums(table: DataFrame) -> DataFrame:
 
 
 def op3_token_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = starts(checksums(write_tokens(documents(spark, sf_dir))))
+    found = checksums(starts(write_tokens(documents(spark, sf_dir))))
     return found.select("doc_id", "start", F.col("n_tokens").cast("long").alias("n_tokens"), "ids_crc32")
