@@ -194,11 +194,16 @@ def issues(ring: Column) -> Column:
     ))
 
 
+def _let(value: Column, of) -> Column:
+    """of(value), with value worked out once."""
+    return F.transform(F.array(value), of)[0]
+
+
 def repaired(ring: Column) -> Column:
     """The ring without repeated corners, closed, counter-clockwise."""
-    distinct = F.aggregate(ring, F.expr(f"cast(array() as array<{POINT}>)"), lambda a, p: F.when((F.size(a) > 0) & (F.element_at(F.concat(a, F.array(p)), F.greatest(F.size(a), F.lit(1))) == p), a).otherwise(F.concat(a, F.array(p))))
-    shut = F.when(distinct[0] == F.element_at(distinct, -1), distinct).otherwise(F.concat(distinct, F.slice(distinct, 1, 1)))
-    return F.when(signed_area(shut) < 0, F.reverse(shut)).otherwise(shut)
+    kept = F.filter(ring, lambda p, i: (i == 0) | ~p.eqNullSafe(F.get(ring, i - 1)))
+    shut = _let(kept, lambda r: F.when(r[0] == F.element_at(r, -1), r).otherwise(F.concat(r, F.slice(r, 1, 1))))
+    return _let(shut, lambda r: F.when(signed_area(r) < 0, F.reverse(r)).otherwise(r))
 
 
 def wkt_ring(ring: Column) -> Column:

@@ -1 +1,52 @@
+"""Structured Streaming jobs over observations, moves and project events (key, id, ts, status, value)."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from plotwright.tables import shared_dir
+
+
+def source(spark: SparkSession, path: str) -> DataFrame:
+    """A stream of the Parquet files at a path (a folder or a single file), timestamps with a zone."""
+    schema = spark.read.parquet(path).schema
+    stream = spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")  # as a pattern, a single file will do too
+    return stream.withColumns({c: F.col(c).cast("timestamp") for c, kind in stream.dtypes if kind == "timestamp_ntz"})
+
+
+def fresh(observed: DataFrame, ttl: str) -> DataFrame:
+    """The first observation of each key within the time to live; its repeats are dropped."""
+    return observed.withWatermark("ts", ttl).dropDuplicatesWithinWatermark(["key"])
+
+
+def checked_moves(moves: DataFrame, zones: DataFrame) -> DataFrame:
+    """Moves (site_id, x, y) joined to the static zones (site_id, id, x0, y0, x1, y1) that they land on, if any."""
+    inside = (F.col("x") >= F.col("x0")) & (F.col("x") <= F.col("x1")) & (F.col("y") >= F.col("y0")) & (F.col("y") <= F.col("y1"))
+    z = zones.withColumnsRenamed({"site_id": "z_site", "id": "zone_id"})
+    return moves.join(z, (F.col("site_id") == F.col("z_site")) & inside, "left").withColumn("is_valid", F.col("zone_id").isNull()).drop("z_site", "x0", "y0", "x1", "y1")
+
+
+def status_counts(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+    """Events a status and tumbling window; what comes later than the watermark is dropped."""
+    return events.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "status").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "status", "n")
+
+
+def latest_state(events: DataFrame) -> DataFrame:
+    """Per key its latest status and its greatest value so far."""
+    return events.groupBy("key").agg(F.max_by("status", F.struct("ts", "id")).alias("status"), F.max("value").alias("most"))
+
+
+def run(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+    """All there is of a stream, worked off and written to the shared folder; complete results replace the ones before."""
+    import uuid
+
+    spark = stream.sparkSession
+    base = f"{shared_dir(spark)}/streams/{name}-{uuid.uuid4().hex}"
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
+    if mode == "append":
+        query = writer.format("parquet").start(f"{base}/rows")
+    else:
+        query = writer.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{base}/rows")).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{base}/rows")

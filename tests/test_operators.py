@@ -1,0 +1,231 @@
+"""Operators on small rasters, shapes and graphs with known answers."""
+
+import heapq
+import math
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from plotwright.functions import crs
+from plotwright.functions import features as P
+from plotwright.functions import geometry as G
+from plotwright.operators import earthwork, graph, raster, roads, spatial, stencil, zones
+
+CELLS = "dem_id long, row int, col int, z double"
+
+
+def grid(spark, z):
+    return spark.createDataFrame([(0, r, c, None if np.isnan(v) else float(v)) for (r, c), v in np.ndenumerate(z)], CELLS)
+
+
+def array(df, column, shape):
+    out = np.full(shape, np.nan)
+    for r in df.collect():
+        out[r.row, r.col] = np.nan if r[column] is None else r[column]
+    return out
+
+
+@pytest.mark.parametrize(("z", "slope", "aspect"), [
+    (np.tile(np.arange(5.0), (5, 1)), 45.0, 270.0), (np.tile(4 - np.arange(5.0)[:, None], (1, 5)), 45.0, 180.0), (np.zeros((5, 5)), 0.0, -1.0), (2 * np.tile(np.arange(3.0), (3, 1)), 63.43494882, 270.0), (0.1 * np.tile(np.arange(3.0), (3, 1)), 5.71059314, 270.0),
+])
+def test_ramps(spark, z, slope, aspect):
+    found = stencil.terrain(grid(spark, z), 1.0)
+    middle = found.where(f"row = {z.shape[0] // 2} and col = {z.shape[1] // 2}").first()
+    assert math.isclose(middle.slope_deg, slope, abs_tol=1e-6) and math.isclose(middle.aspect, aspect, abs_tol=1e-6)
+
+
+def test_horn_equals_padded_arrays(spark):
+    z = np.random.default_rng(1).normal(size=(7, 9))
+    p = np.pad(z, 1, mode="edge")
+    dx = ((p[:-2, 2:] + 2 * p[1:-1, 2:] + p[2:, 2:]) - (p[:-2, :-2] + 2 * p[1:-1, :-2] + p[2:, :-2])) / 8
+    assert np.allclose(array(stencil.horn(grid(spark, z), 1.0), "dzdx", z.shape), dx)
+    z[3, 4] = np.nan
+    holes = np.isnan(array(stencil.horn(grid(spark, z), 1.0), "dzdx", z.shape))
+    assert holes[2:5, 3].all() and holes[2:5, 5].all() and not holes[0].any()
+
+
+def test_gaps_of_a_plane_are_filled(spark):
+    z = 100 + 0.5 * np.arange(8.0)[:, None] + 0.25 * np.arange(8.0)[None, :]
+    holed = z.copy()
+    holed[2, 3] = holed[5, 5] = np.nan
+    assert np.allclose(array(raster.fill_linear(grid(spark, holed)), "filled", z.shape), z)
+    near = array(raster.fill_nearest(grid(spark, holed), 2), "filled", z.shape)
+    assert near[2, 3] == z[1, 3] and near[5, 5] == z[4, 5]
+    alone = np.full((6, 30), np.nan)
+    alone[5, 29] = 7.0
+    assert (array(raster.fill_nearest(grid(spark, alone), 2), "filled", alone.shape) == 7.0).all()
+    assert raster.fill_nearest(grid(spark, np.full((2, 2), np.nan))).where("filled is not null").count() == 0
+
+
+def test_resampling(spark):
+    z = np.random.default_rng(2).normal(size=(8, 8))
+    assert np.allclose(array(raster.resample(grid(spark, z), 2), "z", (4, 4)), z.reshape(4, 2, 4, 2).mean((1, 3)))
+    assert np.allclose(array(raster.resample(grid(spark, z), 2, "bilinear"), "z", (4, 4)), z.reshape(4, 2, 4, 2).mean((1, 3)))
+
+
+def flood(mask, diagonal):
+    label, n = np.zeros(mask.shape, int), 0
+    near = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a or b) and (diagonal or not (a and b))]
+    for at in zip(*np.nonzero(mask)):
+        if not label[at]:
+            n += 1
+            stack = [at]
+            label[at] = n
+            while stack:
+                r, c = stack.pop()
+                for a, b in near:
+                    o = (r + a, c + b)
+                    if 0 <= o[0] < mask.shape[0] and 0 <= o[1] < mask.shape[1] and mask[o] and not label[o]:
+                        label[o] = n
+                        stack.append(o)
+    return label
+
+
+@pytest.mark.parametrize("diagonal", [True, False])
+def test_zones_equal_a_flood_fill(spark, diagonal):
+    mask = np.random.default_rng(3).random((17, 23)) < 0.45
+    cells = grid(spark, mask.astype(float)).withColumn("buildable", F.col("z") > 0)
+    found = array(zones.components(cells, "buildable", diagonal), "zone_id", mask.shape)
+    assert np.array_equal(np.nan_to_num(found).astype(int), flood(mask, diagonal))
+
+
+def test_spiral_is_one_zone(spark):
+    mask = np.zeros((15, 15), bool)
+    r = c = 0
+    mask[0, 0] = True
+    for k, (a, b) in enumerate([(0, 1), (1, 0), (0, -1), (-1, 0)] * 3):
+        for _ in range(14 - 2 * ((k + 1) // 2) + (2 if k else 0) - (2 if k > 1 else 0)):
+            if 0 <= r + a < 15 and 0 <= c + b < 15:
+                r, c = r + a, c + b
+                mask[r, c] = True
+    cells = grid(spark, mask.astype(float)).withColumn("buildable", F.col("z") > 0)
+    found = np.nan_to_num(array(zones.components(cells, "buildable", False), "zone_id", mask.shape)).astype(int)
+    assert np.array_equal(found, flood(mask, False))
+
+
+def test_fragmented_patches(spark):
+    percent = np.full((100, 100), 30.0)
+    for r in range(2, 98, 12):
+        for c in range(2, 98, 12):
+            percent[r : r + 8, c : c + 8] = 3.0
+    cells = grid(spark, percent).withColumns({"slope_percent": F.col("z"), "buildable": F.col("z") <= 25})
+    found = zones.measures(zones.components(cells), 10.0, 100.0).collect()
+    assert len(found) == 64 and {r.area for r in found} == {6400.0} and math.isclose(found[0].compactness, math.pi / 4)
+
+
+def test_cut_volume(spark):
+    before = np.full((60, 60), 100.0)
+    after = before.copy()
+    after[45:55, 45:55] = 90.0
+    sites = spark.createDataFrame([(0, "mixed")], "dem_id long, soil string")
+    v = earthwork.volumes(earthwork.depths(grid(spark, before), grid(spark, after)), sites, 1.0).first()
+    assert math.isclose(v.cut_cy, 398.67, rel_tol=0.05) and v.fill_cy == 0 and v.import_cy == 0
+    back = earthwork.volumes(earthwork.depths(grid(spark, after), grid(spark, before)), sites, 1.0).first()
+    assert math.isclose(back.fill_cy, v.cut_cy)
+
+
+@pytest.mark.parametrize(("lon", "lat", "zone"), [(-0.1278, 51.5074, 30), (-74.006, 40.7128, 18), (151.2093, -33.8688, 56), (0.0, 0.0, 31), (6.0, 60.0, 32), (5.0, 78.0, 31), (15.0, 78.0, 33), (180.0, 10.0, 1), (200.0, 0.0, None), (0.0, 100.0, None)])
+def test_utm_zones(spark, lon, lat, zone):
+    assert spark.range(1).select(crs.utm_zone(F.lit(lon), F.lit(lat))).first()[0] == zone
+
+
+def test_utm_of_paris(spark):
+    e, n = crs.to_utm(F.lit(2.3522), F.lit(48.8566), F.lit(31), F.lit(True))
+    r = spark.range(1).select(e, n).first()
+    assert 440_000 < r[0] < 460_000 and 5_400_000 < r[1] < 5_420_000
+
+
+def test_clip_of_turned_squares(spark):
+    a = G.footprint(F.lit(0.0), F.lit(0.0), F.lit(2.0), F.lit(2.0), F.lit(0.0))
+    b = G.footprint(F.lit(0.0), F.lit(0.0), F.lit(2.0), F.lit(2.0), F.lit(45.0))
+    far = G.footprint(F.lit(9.0), F.lit(0.0), F.lit(2.0), F.lit(2.0), F.lit(30.0))
+    r = spark.range(1).select(G.clip_area(a, b), G.clip_area(a, far), G.ring_distance(a, far)).first()
+    assert math.isclose(r[0], 8 * (math.sqrt(2) - 1)) and r[1] == 0 and r[2] > 6
+
+
+def test_feature_parsing(spark):
+    one = lambda c: spark.range(1).select(c).first()[0]
+    assert one(P.flood_zone(F.lit(" floodway "))) == "AE" and one(P.flood_zone(F.lit("x levee"))) == "X_PROTECTED" and one(P.flood_zone(F.lit(None).cast("string"))) == "UNKNOWN"
+    assert one(P.number(F.lit("+ 15.5"))) == 15.5 and one(P.number(F.lit("N/A"))) is None
+    assert one(P.redacted(F.lit("password: abc, mail a.b@c.org ssn 123-45-6789"))) == f"{P.HIDDEN}, mail {P.HIDDEN} ssn {P.HIDDEN}"
+    assert one(P.elevation_in(F.lit("1200m line"))) == 1200.0 and one(P.elevation_in(F.lit("ridge"))) is None
+
+
+def random_graph(seed, n=40, m=90):
+    rng = random.Random(seed)
+    return [(s, *sorted(rng.sample(range(n), 2)), float(rng.randrange(1, 20))) for s in (0, 1) for _ in range(m)]
+
+
+EDGES = "site_id long, src long, dst long, weight double"
+
+
+def test_least_costs_equal_dijkstra(spark):
+    rows = random_graph(1)
+    got = {(r.site_id, r.node): r.dist for r in graph.least_costs(spark.createDataFrame(rows, EDGES), spark.createDataFrame([(0, 3), (1, 5)], "site_id long, source long")).collect()}
+    want = {}
+    for site, source in ((0, 3), (1, 5)):
+        heap, seen = [(0.0, source)], {}
+        while heap:
+            d, u = heapq.heappop(heap)
+            if u in seen:
+                continue
+            seen[u] = d
+            for s, a, b, w in rows:
+                if s == site and u in (a, b):
+                    heapq.heappush(heap, (d + w, b if u == a else a))
+        want |= {(site, k): v for k, v in seen.items()}
+    assert got == want
+
+
+def test_paths_add_up(spark):
+    rows = random_graph(2)
+    reach = graph.least_costs(spark.createDataFrame(rows, EDGES), spark.createDataFrame([(0, 3)], "site_id long, source long"))
+    far = reach.orderBy(F.desc("dist"), "node").first()
+    walked = graph.path_nodes(reach, spark.createDataFrame([(0, 3, far.node)], "site_id long, source long, goal long")).orderBy("back").collect()
+    nodes = [r.node for r in walked]
+    least = {}
+    for s, a, b, w in rows:
+        if s == 0:
+            least[a, b] = least[b, a] = min(w, least.get((a, b), w))
+    assert nodes[0] == far.node and nodes[-1] == 3 and math.isclose(sum(least[p] for p in zip(nodes, nodes[1:])), far.dist)
+
+
+def test_spanning_forest_has_least_weight(spark):
+    rows = random_graph(3)
+    got = graph.spanning_forest(spark.createDataFrame(rows, EDGES)).collect()
+    for site in (0, 1):
+        root = list(range(40))
+
+        def find(i):
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        total = count = 0
+        for w, a, b in sorted((w, a, b) for s, a, b, w in rows if s == site):
+            if find(a) != find(b):
+                root[find(a)] = find(b)
+                total, count = total + w, count + 1
+        own = [r for r in got if r.site_id == site]
+        assert len(own) == count and math.isclose(sum(r.weight for r in own), total)
+
+
+def test_chain_components(spark):
+    links = spark.createDataFrame([(k, k + 1) for k in range(200) if k % 50 != 49], "a long, b long")
+    got = {r.node: r.root for r in graph.stars(links, "a", "b").collect()}
+    assert got == {k: k // 50 * 50 for k in range(200)}
+    assert graph.stars(links.limit(0), "a", "b").count() == 0
+
+
+def test_path_simplification(spark):
+    line = [("p", i, float(i), 0.0 if i < 5 else float(i - 5), 0.0) for i in range(11)]
+    got = spatial.simplified(spark.createDataFrame(line, "path_id string, seq int, x double, y double, z double"), 0.1, 15.0)
+    assert sorted(r.seq for r in got.collect()) == [0, 5, 10]
+
+
+def test_switchbacks(spark):
+    zig = [(0, "p", i, float(i % 2) * 10, i * 0.5, 0.0) for i in range(6)]
+    got = roads.path_measures(spark.createDataFrame(zig, "site_id long, path_id string, seq int, x double, y double, z double")).first()
+    assert got.switchbacks == 4 and got.n_points == 6
