@@ -87,7 +87,7 @@ def keep_gentle(cells: DataFrame, sigma: float = 1.0) -> DataFrame:
 def _nearest_on(axis: str, side: int) -> Column:
     """The nearest cell with a value on one side along an axis: its place and value."""
     held = F.when(F.col("z").isNotNull(), F.struct(F.col(axis).alias("i"), F.col("z").alias("v")))
-    w = stencil.ALONG[axis]
+    w = stencil.along(axis)
     return F.last(held, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)) if side < 0 else F.first(held, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
 
 

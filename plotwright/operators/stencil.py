@@ -9,14 +9,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ALONG = {"col": Window.partitionBy("dem_id", "row").orderBy("col"), "row": Window.partitionBy("dem_id", "col").orderBy("row")}
+def along(axis: str):
+    """The window of a cell's row (axis col) or column (axis row), in order."""
+    return Window.partitionBy("dem_id", "row" if axis == "col" else "col").orderBy(axis)
 
 
 def neighbour(value: Column, axis: str, step: int) -> Column:
     """The value step cells on, the cell's own at the edge."""
     held = F.struct(value.alias("v"))
     moved = F.lag(held, abs(step)) if step < 0 else F.lead(held, step)
-    return F.coalesce(moved.over(ALONG[axis]), held)["v"]
+    return F.coalesce(moved.over(along(axis)), held)["v"]
 
 
 def horn(cells: DataFrame, cell: float, z_factor: float = 1.0) -> DataFrame:
@@ -39,12 +41,12 @@ def central(cells: DataFrame, cell: float, z_factor: float = 1.0) -> DataFrame:
 def one_sided(cells: DataFrame) -> DataFrame:
     """cells with gx and gy at spacing 1: central inside, one-sided at the edges."""
 
-    def along(axis: str) -> Column:
-        before, after = (F.lag(F.struct("z"), 1).over(ALONG[axis])), (F.lead(F.struct("z"), 1).over(ALONG[axis]))
+    def side(axis: str) -> Column:
+        before, after = (F.lag(F.struct("z"), 1).over(along(axis))), (F.lead(F.struct("z"), 1).over(along(axis)))
         z = F.col("z")
         return F.when(before.isNull(), after["z"] - z).when(after.isNull(), z - before["z"]).otherwise((after["z"] - before["z"]) / 2.0)
 
-    return cells.withColumns({"gx": along("col"), "gy": along("row")})
+    return cells.withColumns({"gx": side("col"), "gy": side("row")})
 
 
 def slope(gradients: DataFrame) -> DataFrame:
@@ -73,9 +75,9 @@ def gaussian(cells: DataFrame, sigma: float = 1.0) -> DataFrame:
     weights = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-reach, reach + 1)]
     weights = [w / sum(weights) for w in weights]
 
-    def along(df: DataFrame, value: str, out: str, axis: str, key: str) -> DataFrame:
+    def blurred(df: DataFrame, value: str, out: str, axis: str, key: str) -> DataFrame:
         whole = Window.partitionBy("dem_id", key)
-        ordered = ALONG[axis].rowsBetween(-reach, reach)
+        ordered = along(axis).rowsBetween(-reach, reach)
         span = df.withColumns({"__n": F.max(axis).over(whole) + 1, "__near": F.collect_list(F.struct(F.col(axis).alias("i"), F.col(value).alias("v"))).over(ordered)})
         held = F.map_from_entries(F.transform("__near", lambda x: F.struct(x["i"], x["v"])))
 
@@ -90,4 +92,4 @@ def gaussian(cells: DataFrame, sigma: float = 1.0) -> DataFrame:
             total = part if total is None else total + part
         return span.withColumn("__map", held).withColumn(out, total).drop("__n", "__near", "__map")
 
-    return along(along(cells, "z", "__across", "col", "row"), "__across", "smooth", "row", "col").drop("__across")
+    return blurred(blurred(cells, "z", "__across", "col", "row"), "__across", "smooth", "row", "col").drop("__across")

@@ -12,7 +12,7 @@ from plotwright.tables import written
 
 from .graph import labelled
 from .raster import ACRE
-from .stencil import ALONG
+from .stencil import along
 
 
 def components(cells: DataFrame, mask: str = "buildable", diagonal: bool = True) -> DataFrame:
@@ -36,7 +36,7 @@ def components(cells: DataFrame, mask: str = "buildable", diagonal: bool = True)
 
 def exposed_edges(zone: Column) -> Column:
     """How many of a cell's four sides its zone does not go on beyond."""
-    sides = [f.over(ALONG[a]) for a in ("col", "row") for f in (F.lag(zone), F.lead(zone))]
+    sides = [f.over(along(a)) for a in ("col", "row") for f in (F.lag(zone), F.lead(zone))]
     return sum((F.when(s.eqNullSafe(zone), 0).otherwise(1) for s in sides), F.lit(0))
 
 
