@@ -105,3 +105,38 @@ def tournament(scored: DataFrame, size: int, seed: int = 42) -> DataFrame:
     """Groups of about that size drawn by hash from each site's solutions, and the best of each."""
     group = F.floor(F.row_number().over(Window.partitionBy("site_id").orderBy(F.xxhash64(F.lit(seed), "solution_id"), "solution_id")) / size)
     return scored.withColumn("group", group).groupBy("site_id", "group").agg(F.max_by("solution_id", F.struct("fitness", -F.col("solution_id"))).alias("solution_id"))
+
+
+def zipped(assets: DataFrame, order: str, places: DataFrame, by: str) -> DataFrame:
+    """assets with the place of the same ordinal in their site."""
+    turn = lambda c: F.row_number().over(Window.partitionBy("site_id").orderBy(c))
+    return assets.withColumn("__k", turn(order)).join(places.withColumn("__k", turn(by)), ["site_id", "__k"], "left").drop("__k", by)
+
+
+def results(scored: DataFrame, asset_rate: float = 500.0, road_rate: float = 5000.0, reserve: float = 0.1) -> DataFrame:
+    """Per solution its costs: assets by area, roads by segment, a contingency, and the total."""
+    rows = scored.select("site_id", "solution_id", "fitness", (F.col("area") * asset_rate).alias("asset_cost"), (F.col("n_assets") * road_rate).alias("road_cost"))
+    return rows.withColumn("contingency", (F.col("asset_cost") + F.col("road_cost")) * reserve).withColumn("total", F.col("asset_cost") + F.col("road_cost") + F.col("contingency"))
+
+
+#: Names of the weights at the user's side, and the objectives that they stand for.
+RENAMED = {"cost": "cut_fill", "accessibility": "accessibility", "aesthetics": "road_length", "buildable_area": "compactness", "environmental": "slope_variance"}
+
+
+def checked_weights(weights: DataFrame) -> DataFrame:
+    """Percentages by the user's names as shares by objective, and whether they come to a hundred."""
+    total = sum((F.col(c) for c in RENAMED), F.lit(0))
+    return weights.select("*", (F.abs(total - 100) <= 0.01).alias("is_valid"), *[(F.col(c) / 100.0).alias(f"__{o}") for c, o in RENAMED.items()]).drop(*RENAMED).withColumnsRenamed({f"__{o}": o for o in RENAMED.values()})
+
+
+def moved(assets: DataFrame, dx: Column, dy: Column, turn: Column) -> DataFrame:
+    return placed(assets.withColumns({"x": F.col("x") + dx, "y": F.col("y") + dy, "rotation": F.pmod(F.col("rotation") + turn, F.lit(360.0))}))
+
+
+def merged_configs(old: DataFrame, new: DataFrame) -> DataFrame:
+    """old with new's map entries over its own, and new's other values where there are any."""
+    others = [c for c in old.columns if c not in ("id", "config")]
+    n = new.select("id", F.col("config").alias("__config"), *[F.col(c).alias(f"__{c}") for c in others])
+    kept = F.map_filter("config", lambda k, v: ~F.coalesce(F.map_contains_key("__config", k), F.lit(False)))
+    whole = F.map_concat(kept, F.coalesce("__config", F.expr("cast(map() as map<string,string>)")))
+    return old.join(n, "id", "left").select("id", whole.alias("config"), *[F.coalesce(f"__{c}", c).alias(c) for c in others])

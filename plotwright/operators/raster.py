@@ -208,3 +208,19 @@ def checks(cells: DataFrame, cell: float, width: int) -> DataFrame:
     ]
     listed = lambda rules: F.array_compact(F.array(*[F.when(c, F.lit(t)) for c, t in rules]))
     return found.select("dem_id", listed(issues).alias("issues"), listed(warnings).alias("warnings")).withColumn("is_valid", F.size("issues") == 0)
+
+
+def compatibility(meta: DataFrame) -> DataFrame:
+    """Pairs of a site's rasters (site_id, dem_id, w, h, cell, unit, min_x, min_y) and what keeps them from being joined."""
+    cols = ("dem_id", "w", "h", "cell", "unit", "min_x", "min_y")
+    side = lambda p: meta.select("site_id", *[F.col(c).alias(f"{p}_{c}") for c in cols])
+    met = side("a").join(side("b"), "site_id").where("a_dem_id < b_dem_id")
+    end = lambda p, c, n: F.col(f"{p}_{c}") + F.col(f"{p}_{n}") * F.col(f"{p}_cell")
+    apart = (end("a", "min_x", "w") <= F.col("b_min_x")) | (end("b", "min_x", "w") <= F.col("a_min_x")) | (end("a", "min_y", "h") <= F.col("b_min_y")) | (end("b", "min_y", "h") <= F.col("a_min_y"))
+    issues = F.array_compact(F.array(F.when(F.abs(F.col("a_cell") - F.col("b_cell")) > 0.01, "resolutions differ"), F.when(F.col("a_unit") != F.col("b_unit"), "units differ"), F.when(apart, "no common area")))
+    return met.select("site_id", F.col("a_dem_id").alias("a"), F.col("b_dem_id").alias("b"), issues.alias("issues"))
+
+
+def regrid(cells: DataFrame, x: Column, y: Column, size: float) -> DataFrame:
+    """Cells of a new grid: the mean of the old ones whose middles, mapped to x and y, lie in them."""
+    return cells.groupBy("dem_id", F.floor(y / size).cast("int").alias("row"), F.floor(x / size).cast("int").alias("col")).agg(F.avg("z").alias("z"))

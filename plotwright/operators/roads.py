@@ -20,12 +20,16 @@ def grid_nodes(sites: DataFrame, spacing: float) -> DataFrame:
     return at.select("site_id", (F.col("row") * 100_000 + F.col("col")).cast("long").alias("id"), "row", "col", (F.col("min_x") + F.col("col") * spacing).alias("x"), (F.col("min_y") + F.col("row") * spacing).alias("y"))
 
 
-def free_nodes(nodes: DataFrame, zones: DataFrame, tile: float = 50.0) -> DataFrame:
-    """nodes that lie in no zone (site_id, id, ring)."""
+def zone_hits(nodes: DataFrame, zones: DataFrame, tile: float = 50.0) -> DataFrame:
+    """site_id, id and zone_id of nodes that lie in zones (site_id, id, ring)."""
     z = spatial.tiled(zones, "ring", tile, "z_")
     at = nodes.select("site_id", "id", "x", "y", F.floor(F.col("x") / tile).alias("tx"), F.floor(F.col("y") / tile).alias("ty"))
-    hit = at.join(z, ["site_id", "tx", "ty"]).where(G.in_ring(F.col("x"), F.col("y"), F.col("z_ring"))).select("site_id", "id").distinct()
-    return nodes.join(hit, ["site_id", "id"], "left_anti")
+    return at.join(z, ["site_id", "tx", "ty"]).where(G.in_ring(F.col("x"), F.col("y"), F.col("z_ring"))).select("site_id", "id", F.col("z_id").alias("zone_id"))
+
+
+def free_nodes(nodes: DataFrame, zones: DataFrame, tile: float = 50.0) -> DataFrame:
+    """nodes that lie in no zone."""
+    return nodes.join(zone_hits(nodes, zones, tile), ["site_id", "id"], "left_anti")
 
 
 def edge_weight(length: Column, slope: Column, rise: Column) -> Column:

@@ -90,3 +90,22 @@ def asset_rules(a: DataFrame) -> Column:
         F.when(F.least("width", "length") < 3.0, "too narrow"), F.when((t == "parking") & (size < 25.0 * F.col("spaces")), "under 25 square metres a space"),
         F.when((t == "parking") & (F.col("accessible") < 0.04 * F.col("spaces")), "too few accessible spaces"),
     ))
+
+
+def buffer_union(cells: DataFrame, shapes: DataFrame, distance: float, cell: float) -> DataFrame:
+    """Per raster the area, in cells, of the union of its shapes (site_id, id, ring) grown by a distance."""
+    b = G.bounds(F.col("ring"))
+    low, high = (lambda c: F.floor((b[c] - distance) / cell)), (lambda c: F.floor((b[c] + distance) / cell))
+    at = shapes.select(F.col("site_id").alias("dem_id"), "ring", F.explode(F.sequence(low("min_y").cast("int"), high("max_y").cast("int"))).alias("row"), low("min_x").alias("c0"), high("max_x").alias("c1"))
+    x, y = (F.col("col") + 0.5) * cell, (F.col("row") + 0.5) * cell
+    met = cells.join(at, ["dem_id", "row"]).where(F.col("col").between(F.col("c0"), F.col("c1")) & near(F.col("ring"), x, y, distance))
+    return met.select("dem_id", "row", "col").distinct().groupBy("dem_id").agg((F.count("*") * cell * cell).alias("area"))
+
+
+def checked_moves(moves: DataFrame, assets: DataFrame, sites: DataFrame, zones: DataFrame) -> DataFrame:
+    """moves (assets in their new places) with the number of errors against the other assets, their site and its zones."""
+    met = spatial.pairs(moves.select("site_id", "id", "ring"), assets.select("site_id", "id", "ring")).where((F.col("a_id") != F.col("b_id")) & (G.clip_area(F.col("a_ring"), F.col("b_ring")) > 1e-9))
+    severe = zones.where("severity = 'high'")
+    rows = met.select("site_id", F.col("a_id").alias("id")).unionByName(spatial.outside(moves, sites)).unionByName(spatial.on_zones(moves, severe).select("site_id", F.col("asset_id").alias("id")))
+    n = rows.groupBy("site_id", "id").agg(F.count("*").alias("n_errors"))
+    return moves.join(n, ["site_id", "id"], "left").withColumn("n_errors", F.coalesce("n_errors", F.lit(0))).withColumn("is_valid", F.col("n_errors") == 0)

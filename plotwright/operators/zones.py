@@ -73,3 +73,13 @@ def steep_zones(cells: DataFrame, inside: Column, limit: float, cell: float, lea
     """Zones (4-connected) steeper than a limit, clipped to the site: cells and area."""
     steep = components(cells.withColumn("steep", F.coalesce(F.col("slope_percent") > limit, F.lit(False))), "steep", diagonal=False)
     return steep.where(F.col("zone_id").isNotNull() & inside).groupBy("dem_id", "zone_id").agg(F.count("*").alias("n_cells")).withColumn("area", F.col("n_cells") * cell * cell).where(F.col("area") > least_area)
+
+
+def fill_gaps(cells: DataFrame, most: int, method: str = "linear") -> DataFrame:
+    """cells with filled: gaps of no more than that many cells (joined by their sides) are interpolated, larger ones stay open."""
+    from . import raster
+
+    gaps = components(cells.withColumn("__gap", F.col("z").isNull()), "__gap", diagonal=False).withColumnRenamed("zone_id", "__zone").drop("__gap")
+    sizes = gaps.where("__zone is not null").groupBy("dem_id", "__zone").agg(F.count("*").alias("__n"))
+    filled = (raster.fill_linear if method == "linear" else raster.fill_nearest)(gaps.join(sizes, ["dem_id", "__zone"], "left"))
+    return filled.withColumn("filled", F.when(F.coalesce(F.col("__n"), F.lit(0)) <= most, F.col("filled"))).drop("__zone", "__n")
