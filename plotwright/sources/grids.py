@@ -14,7 +14,7 @@ def scan(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     Keys may be in any case; ncols, nrows and cellsize are needed; no-data (-9999 if not said) becomes null; a
     centre is moved to the corner; a grid whose numbers do not fit its header gets an issue.
     """
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     lines = F.filter(F.split("value", r"\r?\n"), lambda s: F.trim(s) != "")
     key = lambda s: F.lower(F.split(F.trim(s), r"\s+")[0])
     heads = F.filter(F.col("lines"), lambda s: key(s).isin(*HEADER))
