@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that the vectorised helpers take at once; a longer document is taken alone.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -79,7 +79,7 @@ def _power_tables(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base and of its inverse, modulo 2**64."""
     have = _powers.get(which)
     if have is None or len(have[0]) < n:
-        size = max(1 << 21, 1 << int(n).bit_length())
+        size = 1 << int(n).bit_length()
         base = _BASES[which]
         tables = []
         for x in (base, pow(base, -1, 1 << 64)):

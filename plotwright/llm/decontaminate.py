@@ -27,7 +27,7 @@ SEPARATOR[[*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
-_BITS = 22
+_BITS = 20
 
 
 def normal_words(text: str | None) -> list[bytes]:

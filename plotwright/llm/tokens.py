@@ -18,7 +18,7 @@ import pyarrow as pa
 
 WORD_BPE = "word_bpe_49k.json"
 #: Entries kept by a worker; a full cache is emptied. Longer words are encoded each time.
-CACHE_WORDS, CACHE_BYTES = 600_000, 48
+CACHE_WORDS, CACHE_BYTES = 250_000, 48
 
 #: Lower-case letters that stay as they are under NFC.
 _LETTERS = "a-zß-öø-ÿ"
