@@ -8,7 +8,7 @@ merged where they are dealt, and what is kept of the merged sketch is one bit a
 width follows the corpus up to ``most_bits``; it is at most 2 ** (most_bits - 2) bytes, whatever the corpus.
 A corpus too large for that width only lets more windows pass to the second pass.
 
-Pass 2 groups exactly, by 128 bits, the windows whose anchors the sketch has seen twice. A task first groups
+Pass 2 groups exactly, by 96 bits, the windows whose anchors the sketch has seen twice. A task first groups
 its own windows, a few million at a time: a window repeated there is settled, and one row a task stands for
 all its occurrences, so a passage that a third of all rows share is no hot key. The rest meet by hash, sorted,
 and are compared with their neighbours as they stream by. The covered words of each row then join its text.
@@ -150,11 +150,11 @@ def _often(cells: list[np.ndarray], bitmaps: list[np.ndarray]) -> np.ndarray:
     return hit
 
 
-_FOUND = "h1 long, h2 long, doc_id long, text_key long, at int, settled boolean, places binary"
+_FOUND = "h1 long, h2 int, doc_id long, text_key int, at int, settled boolean, places binary"
 
 
 def _found(columns) -> pa.RecordBatch:
-    types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
+    types = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, types)], names=["h1", "h2", "doc_id", "text_key", "at", "settled", "places"])
 
 
@@ -179,7 +179,7 @@ def repeated_places(docs: DataFrame, window: int, bits: int) -> DataFrame:
             null = pa.nulls(len(first), pa.binary())
             for f in range(0, len(first), 1 << 16):
                 one = first[f : f + (1 << 16)]
-                yield _found([h1[one].view(np.int64), h2[one].view(np.int64), pa.array(ids[one], mask=~known[one]), keys[one], at[one], many[f : f + (1 << 16)], null[f : f + (1 << 16)]])
+                yield _found([h1[one].view(np.int64), h2[one].view(np.int32), pa.array(ids[one], mask=~known[one]), keys[one], at[one], many[f : f + (1 << 16)], null[f : f + (1 << 16)]])
             settled = np.sort(order[many[group]])  # rows of a document stand together
             if len(settled):
                 change = np.ones(len(settled), bool)
@@ -190,14 +190,14 @@ def repeated_places(docs: DataFrame, window: int, bits: int) -> DataFrame:
                 cuts = np.append(np.flatnonzero(change), len(settled))
                 one = settled[cuts[:-1]]
                 places = [at[settled[s:e]].astype("<i4").tobytes() for s, e in zip(cuts[:-1], cuts[1:])]
-                spread = mix(keys[one].view(np.uint64) + np.arange(len(one), dtype=np.uint64)).view(np.int64)
-                yield _found([spread, spread, pa.array(ids[one], mask=~known[one]), keys[one], np.zeros(len(one), np.int32), np.ones(len(one), bool), places])
+                spread = mix(ids[one].view(np.uint64) + np.arange(len(one), dtype=np.uint64)).view(np.int64)
+                yield _found([spread, np.zeros(len(one), np.int32), pa.array(ids[one], mask=~known[one]), keys[one], np.zeros(len(one), np.int32), np.ones(len(one), bool), places])
 
         size = 0
         for batch in batches:
             data, offsets = byte_view(batch.column("text"))
             known = ~np.asarray(batch.column("doc_id").is_null())
-            ids = np.asarray(batch.column("doc_id").fill_null(0))
+            ids = np.asarray(batch.column("doc_id").fill_null(0)).astype(np.int64)
             keys = np.asarray(batch.column("text_key"))
             for a, b in chunks(offsets):
                 w = Words(data, offsets[a : b + 1])
@@ -210,7 +210,7 @@ def repeated_places(docs: DataFrame, window: int, bits: int) -> DataFrame:
                     continue
                 row = w.row[starts]
                 h1 = gram_hashes(hashes, window)[starts]
-                h2 = gram_hashes(w.hashes(1), window, 1)[starts]
+                h2 = (gram_hashes(w.hashes(1), window, 1)[starts] >> np.uint64(32)).astype(np.uint32)
                 held.append((h1, h2, ids[a + row], known[a + row], keys[a + row], (starts - w.first[row]).astype(np.int32)))
                 size += len(starts)
                 if size >= HELD:
@@ -230,7 +230,7 @@ def repeated_places(docs: DataFrame, window: int, bits: int) -> DataFrame:
             single = out["places"].combine_chunks().is_null() if out.num_rows else pa.array([], pa.bool_())
             import pyarrow.compute as pc
 
-            return pa.RecordBatch.from_arrays([*[(out[c].combine_chunks() if out.num_rows else pa.array([], pa.int64())) for c in ("doc_id", "text_key")], pc.if_else(single, at, pa.scalar(None, pa.int32())), out["places"].combine_chunks() if out.num_rows else pa.array([], pa.binary())], names=["doc_id", "text_key", "at", "places"])
+            return pa.RecordBatch.from_arrays([*[(out[c].combine_chunks() if out.num_rows else pa.array([], kind)) for c, kind in (("doc_id", pa.int64()), ("text_key", pa.int32()))], pc.if_else(single, at, pa.scalar(None, pa.int32())), out["places"].combine_chunks() if out.num_rows else pa.array([], pa.binary())], names=["doc_id", "text_key", "at", "places"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -253,7 +253,7 @@ def repeated_places(docs: DataFrame, window: int, bits: int) -> DataFrame:
 
     found = docs.select("doc_id", "text_key", "text").mapInArrow(candidates, _FOUND)
     dealt = found.repartition("h1").sortWithinPartitions("h1", "h2")
-    return dealt.mapInArrow(meet, "doc_id long, text_key long, at int, places binary")
+    return dealt.mapInArrow(meet, "doc_id long, text_key int, at int, places binary")
 
 
 def covered(n_words: int, at: np.ndarray, window: int) -> np.ndarray:
@@ -266,7 +266,7 @@ def covered(n_words: int, at: np.ndarray, window: int) -> np.ndarray:
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """Per row of docs: doc_id, n_words, n_removed and kept, its other words joined by one space."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("text_key"), "text")
     places = repeated_places(docs, window, sketch_bits(docs, window))
     places = places.groupBy("doc_id", "text_key").agg(F.collect_list("at").alias("at"), F.collect_list("places").alias("places"))
     p = places.select(F.col("doc_id").alias("p_id"), F.col("text_key").alias("p_key"), "at", "places")
