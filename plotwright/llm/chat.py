@@ -3,7 +3,7 @@
 A legal conversation is an optional system turn, then user and assistant turns in turn, ended by the assistant.
 Each turn of the input is kept, relabelled, merged into the turn before, or preceded by empty turns; every
 choice has a cost, and dynamic programming over the automaton's states finds the cheapest legal outcome
-(of equal ones the first in the order of ACTIONS). The repaired sequence is then rendered.
+(of equal ones always the same, for a given block). The repaired sequence is then rendered.
 
 A conversation may hold any share of all rows, so it is cut into blocks of ``block`` turn numbers. A block comes
 down to a 4 x 4 table of least costs between states (min-plus matrices compose), one small table a block decides

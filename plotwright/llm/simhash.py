@@ -24,8 +24,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from plotwright.operators.graph import stars
+
 from .common import documents, mix, written
-from .components import stars
 
 BITS, MOST_BITS, BLOCKS = 64, 2, 4
 REFERENCES = [int(x) for x in mix(np.arange(1, 13, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))]
