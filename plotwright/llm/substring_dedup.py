@@ -150,11 +150,11 @@ def _often(cells: list[np.ndarray], bitmaps: list[np.ndarray]) -> np.ndarray:
     return hit
 
 
-_FOUND = "h1 long, h2 int, doc_id long, text_key int, at int, settled boolean, places binary"
+_FOUND = "h1 long, h2 int, doc_id long, text_key long, at int, settled boolean, places binary"
 
 
 def _found(columns) -> pa.RecordBatch:
-    types = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
+    types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, types)], names=["h1", "h2", "doc_id", "text_key", "at", "settled", "places"])
 
 
@@ -180,13 +180,17 @@ def repeated_places(docs: DataFrame, window: int, bits: int) -> DataFrame:
             for f in range(0, len(first), 1 << 16):
                 one = first[f : f + (1 << 16)]
                 yield _found([h1[one].view(np.int64), h2[one].view(np.int32), pa.array(ids[one], mask=~known[one]), keys[one], at[one], many[f : f + (1 << 16)], null[f : f + (1 << 16)]])
-            settled = np.sort(order[many[group]])  # rows of a document stand together
+            settled = order[many[group]]
+            settled = settled[np.lexsort((at[settled], keys[settled], ids[settled], known[settled]))]  # rows of a document stand together
             if len(settled):
                 change = np.ones(len(settled), bool)
                 for x in (ids, keys, known):
                     own = x[settled]
                     change[1:] &= own[1:] == own[:-1]
                 change[1:] = ~change[1:]
+                fresh = change.copy()
+                fresh[1:] |= at[settled[1:]] != at[settled[:-1]]
+                settled, change = settled[fresh], change[fresh]  # repeated rows of a document have one set of places
                 cuts = np.append(np.flatnonzero(change), len(settled))
                 one = settled[cuts[:-1]]
                 places = [at[settled[s:e]].astype("<i4").tobytes() for s, e in zip(cuts[:-1], cuts[1:])]
@@ -230,7 +234,7 @@ def repeated_places(docs: DataFrame, window: int, bits: int) -> DataFrame:
             single = out["places"].combine_chunks().is_null() if out.num_rows else pa.array([], pa.bool_())
             import pyarrow.compute as pc
 
-            return pa.RecordBatch.from_arrays([*[(out[c].combine_chunks() if out.num_rows else pa.array([], kind)) for c, kind in (("doc_id", pa.int64()), ("text_key", pa.int32()))], pc.if_else(single, at, pa.scalar(None, pa.int32())), out["places"].combine_chunks() if out.num_rows else pa.array([], pa.binary())], names=["doc_id", "text_key", "at", "places"])
+            return pa.RecordBatch.from_arrays([*[(out[c].combine_chunks() if out.num_rows else pa.array([], kind)) for c, kind in (("doc_id", pa.int64()), ("text_key", pa.int64()))], pc.if_else(single, at, pa.scalar(None, pa.int32())), out["places"].combine_chunks() if out.num_rows else pa.array([], pa.binary())], names=["doc_id", "text_key", "at", "places"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -253,7 +257,7 @@ def repeated_places(docs: DataFrame, window: int, bits: int) -> DataFrame:
 
     found = docs.select("doc_id", "text_key", "text").mapInArrow(candidates, _FOUND)
     dealt = found.repartition("h1").sortWithinPartitions("h1", "h2")
-    return dealt.mapInArrow(meet, "doc_id long, text_key int, at int, places binary")
+    return dealt.mapInArrow(meet, "doc_id long, text_key long, at int, places binary")
 
 
 def covered(n_words: int, at: np.ndarray, window: int) -> np.ndarray:
@@ -266,9 +270,9 @@ def covered(n_words: int, at: np.ndarray, window: int) -> np.ndarray:
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """Per row of docs: doc_id, n_words, n_removed and kept, its other words joined by one space."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("text_key"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
     places = repeated_places(docs, window, sketch_bits(docs, window))
-    places = places.groupBy("doc_id", "text_key").agg(F.collect_list("at").alias("at"), F.collect_list("places").alias("places"))
+    places = places.groupBy("doc_id", "text_key").agg(F.collect_set("at").alias("at"), F.collect_set("places").alias("places"))
     p = places.select(F.col("doc_id").alias("p_id"), F.col("text_key").alias("p_key"), "at", "places")
     met = docs.join(p, docs["doc_id"].eqNullSafe(p["p_id"]) & (docs["text_key"] == p["p_key"]), "left").select("doc_id", "text", "at", "places")
 

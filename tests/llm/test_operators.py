@@ -79,6 +79,26 @@ def test_repeats_with_a_full_sketch(spark, monkeypatch):
     assert [got[i] for i in range(len(texts))] == brute_repeats(texts, 6)
 
 
+def test_repeats_of_null_ids_whose_texts_share_32_bits(spark):
+    """The two texts of each pair have equal 32-bit hashes (Murmur3); only the longer one repeats a passage, beyond the end of the other."""
+    passage = " q " * 15 + " ".join(f"p{i}" for i in range(20))
+    pairs = [(320201, 360929), (180194, 282417)]
+    texts = [t for i, k in pairs for t in (f"x{i}{passage}", f"y{k} b c d e f")]
+    frame = docs(spark, texts, [None] * len(texts))
+    assert frame.select(F.hash("text")).distinct().count() == len(pairs)
+    got = sorted((r.n_words, r.n_removed, r.kept) for r in substring_dedup.remove_repeats(frame, 5).collect())
+    assert got == sorted(brute_repeats(texts, 5))
+
+
+def test_places_of_repeated_rows_are_distinct(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    frame = docs(spark, [text] * 40, [7] * 40).coalesce(1).select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    found = substring_dedup.repeated_places(frame, 5, 20).where("places is not null").collect()
+    assert sorted(x for r in found for x in np.frombuffer(r.places, "<i4").tolist()) == list(range(26))
+    got = substring_dedup.remove_repeats(docs(spark, [text] * 40, [7] * 40), 5).collect()
+    assert [(r.n_words, r.n_removed, r.kept) for r in got] == [(30, 30, "")] * 40
+
+
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_query_equals_sql(spark, duck, data, same, name):
     assert same(queries.QUERIES[name](spark, data).toPandas()) == same(duck.sql(queries.SQL[name]).df())
