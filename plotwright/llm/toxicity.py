@@ -43,11 +43,18 @@ REPORTS = frozenset("said says say called calls wrote writes quoted claimed sagt
 THREATS = {w: 2.0 for w in "kill hurt destroy murder beat töten umbringen verletzen tuer frapper détruire matar golpear destruir".split()}
 
 _TOKEN = re.compile(r"[^\W\d_]+|[.!?\n]")
-_SEPARATOR = np.ones(256, bool)
-_SEPARATOR[[*range(0x61, 0x7B), *range(0x80, 0x100)]] = False
+#: Per code point whether it is outside words, by the rule of the tokens.
+_SEPARATOR = np.ones(0x110000, bool)
+for _m in re.finditer(r"[^\W\d_]+", "".join(map(chr, range(0x110000)))):
+    _SEPARATOR[_m.start() : _m.end()] = False
 KINDS = tuple(f"{what}{target}{mark}" for what in ("insult", "threat") for target in ("", "+target") for mark in ("", "+not", "+told"))
 
 
+def _points(data: np.ndarray) -> np.ndarray:
+    """The code points of UTF-8 bytes."""
+    return np.frombuffer(data.tobytes().decode().encode("utf-32-le"), "<u4")
+
+
 class Transducer:
     """Arcs from (state, symbol) to (state, symbol, factor); "*" stands for any other symbol, which passes as it is."""
 
@@ -146,7 +153,9 @@ class Grammar:
         out[:, -1] = 1
         known = self._known()
         for a, b in chunks(offsets):
-            w = Words(data, offsets[a : b + 1], _SEPARATOR)
+            raw = data[offsets[a] : offsets[b]]
+            before = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])  # code points before each byte
+            w = Words(_points(raw), before[offsets[a : b + 1] - offsets[a]], _SEPARATOR)
             if not len(w.starts) or not len(known):
                 continue
             hashes = w.hashes()
@@ -157,8 +166,7 @@ class Grammar:
         return out
 
     def _known(self) -> np.ndarray:
-        words = [w.encode() for w in (*self.insults, *THREATS)]
-        raw = np.frombuffer(b" ".join(words), np.uint8)
+        raw = _points(np.frombuffer(" ".join((*self.insults, *THREATS)).encode(), np.uint8))
         return np.unique(Words(raw, np.array([0, len(raw)]), _SEPARATOR).hashes())
 
 

@@ -365,6 +365,17 @@ def test_grammar_marks_clauses():
     assert g.matches("kill time") == {"threat": 2.0} and not g.matches("")
 
 
+def test_features_equal_matches_beside_other_punctuation():
+    import pyarrow as pa
+
+    g = toxicity.Grammar({"idiota": 2.0, "trottel": 2.0, "crétin": 1.5})
+    texts = ["¡Idiota!", "“trottel”", "«crétin» vous", "du—trottel—", "tu\xa0idiota", "„Trottel“ sagte er", "é ünder 你好 \U0001f600idiota\U0001f600", "idiota²", "١idiota", None, "", "idiotaé", "kill…them", "plain words"]
+    found = g.features(pa.array(texts, pa.string()))
+    own = [g.matches((t or "").lower()) for t in texts]
+    assert sum(bool(m) for m in own) == 9
+    assert np.allclose(found[:, :-1], [[np.log1p(m[k]) for k in toxicity.KINDS] for m in own])
+
+
 # --- secrets
 
 ASSIGN = re.compile(r"""((?:[pP][aA][sS][sS][wW](?:[oO][rR])?[dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
