@@ -1,16 +1,16 @@
 """Secret scans: known patterns, and a battery of randomness tests for long tokens. DataFrame functions only.
 
 Known patterns give the base spans. Beside them, every run of 20 or more letters, digits and ``+/_-`` is
-measured. Its encoding is inferred (hex, base 32, base 36, base 64); against that encoding's alphabet a
+measured. Its encoding is inferred (hex, base 32, base 36 of either case, that with signs, base 64); against that encoding's alphabet a
 chi-squared test of uniformity, a runs test about the middle of the alphabet and a test of serial correlation
 give three tail probabilities, joined by Fisher's method into the token's misfit (minus its logarithm): small
 for random strings, and growing with the length of words. Tokens of letters alone are no encoding: over the
 whole corpus they show the mean and the spread of the misfit by the letter, and so how improbable a token's
-small misfit is for ordinary text of its length. Over these probabilities the Benjamini-Hochberg rule at
+small misfit is for ordinary text of its length; ``ORDINARY`` tokens of a fixed prior are counted with them, so that
+a corpus with few is judged too. Over these probabilities the Benjamini-Hochberg rule at
 ``rate`` picks the tokens that count as secrets; it reads a table of bins of set size, however large the corpus.
 
-Defined results: null and empty texts have no spans; a corpus with fewer than ``ORDINARY`` ordinary tokens adds
-none; places are code points, ends exclusive; spans that overlap are all reported, and redacted as one; rows
+Defined results: null and empty texts have no spans; a corpus without ordinary tokens is judged by the prior; places are code points, ends exclusive; spans that overlap are all reported, and redacted as one; rows
 that share a doc_id are scanned one by one; an empty table gives none.
 """
 
@@ -32,8 +32,10 @@ KINDS = ("assign", "access", "hex", "random")
 
 RATE = 0.05
 BINS, BINS_EACH = 400, 4
-#: Least length of a token, and ordinary tokens to judge by.
+#: Least length of a token, and ordinary tokens that the prior counts for.
 LEAST, ORDINARY = 20, 10
+#: Of those: letters of each, mean and spread of the misfit by the letter (as of 24 long words and paths in four languages).
+PRIOR = (24, 0.56, 1.7)
 _BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 #: Pattern, alphabet and whether it may be a secret, first match first.
 ENCODINGS = (
@@ -43,7 +45,10 @@ ENCODINGS = (
     ("[A-Za-z+/]+", _BASE64, False),
     ("[A-Z2-7]+", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", True),
     ("[0-9a-z]+", "0123456789abcdefghijklmnopqrstuvwxyz", True),
-    ("(?=.*[a-z])(?=.*[A-Z])(?=.*[0-9]).*", _BASE64, True),
+    ("[0-9A-Z]+", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", True),
+    ("[0-9a-z+/]+", "0123456789abcdefghijklmnopqrstuvwxyz+/", True),
+    ("[0-9A-Z+/]+", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ+/", True),
+    ("[0-9A-Za-z+/]+", _BASE64, True),
 )
 
 
@@ -131,15 +136,15 @@ def measured(text: Column) -> Column:
     return F.transform(placed, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["n"].cast("double").alias("n"), misfit(x["at"], x["k"]).alias("misfit"), x["open"].alias("open")))
 
 
-def ordinary(tokens: DataFrame) -> tuple[float, float] | None:
-    """Mean and spread of the misfit by the letter, of a column tokens as measured() gives it; None of too few."""
+def ordinary(tokens: DataFrame) -> tuple[float, float]:
+    """Mean and spread of the misfit by the letter, of a column tokens as measured() gives it and the prior's tokens."""
     m, n = F.col("t.misfit"), F.col("t.n")
     plain = tokens.select(F.explode("tokens").alias("t")).where(~F.col("t.open"))
-    found = plain.agg(F.count("*"), F.sum(n), F.sum(m), F.sum(m * m / n)).first()
-    if found[0] < ORDINARY:
-        return None
-    mean = found[2] / found[1]
-    return mean, max(0.05, (max(0.0, found[3] - 2 * mean * found[2] + mean * mean * found[1]) / found[0]) ** 0.5)
+    count, letters, total, squares = (x or 0 for x in plain.agg(F.count("*"), F.sum(n), F.sum(m), F.sum(m * m / n)).first())
+    each, usual, apart = PRIOR
+    count, letters, total, squares = count + ORDINARY, letters + ORDINARY * each, total + ORDINARY * each * usual, squares + ORDINARY * (apart**2 + usual**2 * each)
+    mean = total / letters
+    return mean, max(0.05, (max(0.0, squares - 2 * mean * total + mean * mean * letters) / count) ** 0.5)
 
 
 def evidence(x: Column, plain: tuple[float, float]) -> Column:
@@ -162,10 +167,10 @@ def scan(docs: DataFrame, rate: float = RATE, keep: list[str] | None = None) ->
     own = [c for c in docs.columns if c not in ("spans", "base", "tokens")] if keep is None else keep
     found = written(docs.select(*own, base_spans(F.col("text")).alias("base"), measured(F.col("text")).alias("tokens")), "secrets")
     plain = ordinary(found.select("tokens"))
-    most = limit(found.select("tokens"), plain, rate) if plain else None
+    most = limit(found.select("tokens"), plain, rate)
 
     def accepted(x: Column) -> Column:
-        return x["open"] & (evidence(x, plain) >= most) if plain else F.lit(False)
+        return x["open"] & (evidence(x, plain) >= most)
 
     fresh = F.filter("tokens", lambda x: accepted(x) & ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
     return found.select(*own, F.array_sort(F.concat("base", _spans(fresh, 3))).alias("spans"), "base")

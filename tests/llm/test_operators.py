@@ -415,6 +415,22 @@ def test_random_tokens_are_found_and_words_are_not(spark):
     assert not any(spans[i] for i in range(len(keys), len(rows)))
 
 
+@pytest.mark.parametrize("words", [12, 0])
+def test_random_tokens_of_every_alphabet_are_found(spark, words):
+    """Upper-case base 36, either case with signs, base 64; also in a corpus without ordinary tokens."""
+    rng = random.Random(2)
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    keys = ["".join(rng.choice(a) for _ in range(56)) + end for a, end in ((upper, "0189Z"), (upper.lower() + "_/", "_8z/0"), (upper + "+/", "+9A/1"), (upper + upper.lower() + "+/", "a1B")) for _ in range(3)]
+    plain = ["uncharacteristicallyantidisestablishmentarianism", "src/main/resources/settings2/default_values", "SECTION_TWO_OF_THE_CONTRACT_2024", "see/2024/2024/2024/2024/2024"]
+    some = ["antidisestablishmentarianism", "counterrevolutionaries", "internationalizations", "electroencephalographs"] * (words // 4)
+    spans = {r.doc_id: [(x.s, x.e) for x in r.spans] for r in secrets.scan(docs(spark, [*[f"see {k} here" for k in keys], *plain, *some])).collect()}
+    assert [spans[i] for i in range(len(keys))] == [[(4, 4 + len(k))] for k in keys]
+    assert not any(spans[i] for i in range(len(keys), len(spans)))
+    if not words:
+        alone = secrets.scan(docs(spark, [f"see {k} here" for k in keys])).collect()
+        assert all([(x.s, x.e) for x in r.spans] == [(4, 4 + len(keys[r.doc_id]))] for r in alone)
+
+
 def test_secrets_query(spark, data):
     texts = text_of(data)
     for r in queries.QUERIES["op6_secret_randomness"](spark, data).collect():
