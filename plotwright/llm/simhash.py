@@ -127,25 +127,25 @@ def links(fps: DataFrame, bucket_most: int = BUCKET_MOST) -> DataFrame:
 
 
 def components(prints: DataFrame, bucket_most: int = BUCKET_MOST) -> DataFrame:
-    """prints (doc_id, text_key, fp) with component_id."""
+    """prints (doc_id, text_key, fp) with component_id and root, the least fingerprint of the component."""
     fps = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = stars(links(fps.select("fp"), bucket_most), "a", "b")
     members = roots.join(fps, roots["node"] == fps["fp"]).select("node", "root", "least")
     least = members.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = members.join(least, "root").select(F.col("node").alias("fp"), "component_id")
-    ids = fps.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    linked = members.join(least, "root").select(F.col("node").alias("fp"), "root", "component_id")
+    ids = fps.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("root", "fp").alias("root"))
     return prints.join(written(ids, "components"), "fp", "left")  # a plain shuffle of both: a hot fingerprint is split at run time
 
 
 def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
-    """doc_id, text_key, fp and component_id of every row of docs."""
+    """doc_id, text_key, fp, component_id and root of every row of docs."""
     return components(written(fingerprints(docs, words), "fingerprints"))
 
 
 def keep_one(docs: DataFrame, words: int = 3) -> DataFrame:
     """docs without near-duplicates: of each component the row with the least doc_id (then text hash) stays."""
     found = near_duplicates(docs, words)
-    kept = found.groupBy(F.coalesce(F.col("component_id").cast("string"), F.hex("fp")).alias("group")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("of")).select(F.col("of.doc_id").alias("__id"), F.col("of.text_key").alias("__text"))
+    kept = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("of")).select(F.col("of.doc_id").alias("__id"), F.col("of.text_key").alias("__text"))
     keyed = docs.withColumns({"__doc": F.col("doc_id").cast("long"), "__key": F.xxhash64("text")})
     met = keyed.join(kept, F.col("__doc").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__text")))
     first = F.row_number().over(Window.partitionBy("__doc", "__key").orderBy("__key"))

@@ -276,6 +276,23 @@ def test_near_dedup_of_hard_rows(spark):
     assert simhash.near_duplicates(hard(spark)).count() == len(HARD) + 2
 
 
+def test_near_dedup_of_null_ids(spark):
+    """Near copies without any id are one component, of which one row stays."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(5000)}" for _ in range(400)]
+    made, prints = [" ".join(base)], {simhash.fingerprint(" ".join(base))}
+    for k in range(400):
+        text = " ".join([*base[:k], f"x{k}", *base[k + 1 :]])
+        apart = min((f ^ simhash.fingerprint(text)).bit_count() for f in prints)
+        if 1 <= apart <= 2 and len(made) < 6:
+            made.append(text)
+            prints.add(simhash.fingerprint(text))
+    assert len(made) == 6 and len(prints) == 6
+    frame = docs(spark, [*made, "another text that is not near"], [None] * 7)
+    assert simhash.keep_one(frame).count() == 2
+    assert sorted(r.doc_id for r in simhash.keep_one(docs(spark, made)).collect()) == [0]
+
+
 # --- quality
 
 
