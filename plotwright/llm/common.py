@@ -51,24 +51,13 @@ def chunks(offsets: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int,
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
-_MASK = (1 << 64) - 1
-_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _power_tables(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse, modulo 2**64."""
-    have = _powers.get(which)
-    if have is None or len(have[0]) < n:
-        size = 1 << int(n).bit_length()
-        base = _BASES[which]
-        tables = []
-        for x in (base, pow(base, -1, 1 << 64)):
-            t = np.full(size, x, np.uint64)
-            t[0] = 1
-            tables.append(np.multiply.accumulate(t))
-        have = _powers[which] = (tables[0], tables[1])
-    return have
+_ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+#: The low bytes of a 64-bit number, by their count.
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Bytes of a word that are hashed eight at a time; a longer word is hashed by the library.
+_LONG_WORD = 64
+_PRIME, _BASE = (1 << 31) - 1, 1_566_083_941
+_powers: list[np.ndarray] = []
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -79,19 +68,62 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
-    """Polynomial hashes of values[start:end], all spans at once, by prefix sums modulo 2**64."""
-    power, inverse = _power_tables(which, len(values) + 1)
-    sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values.astype(np.uint64) * power[: len(values)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
-
-
-def gram_hashes(words: np.ndarray, size: int, which: int = 0) -> np.ndarray:
-    """Hashes of every run of that many consecutive word hashes."""
+    """64-bit hashes of values[start:end]: the spans' bytes, eight at a time, each mixed into what came before."""
+    import xxhash
+
+    wide = values.dtype.itemsize
+    raw = np.concatenate([np.ascontiguousarray(values).view(np.uint8), np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
+    at, size = starts * wide, (ends - starts) * wide
+    odd = np.uint64(_ODD[which])
+    out = mix((eight[at] & _LOW[np.minimum(size, 8)]) * odd + size.astype(np.uint64))
+    rest = np.flatnonzero(size > 8)
+    if len(rest):
+        longest = size[rest] > _LONG_WORD
+        for k in rest[longest].tolist():
+            out[k] = xxhash.xxh64_intdigest(raw[at[k] : at[k] + size[k]], which)
+        rest, done = rest[~longest], 8
+        while len(rest):
+            left = size[rest] - done
+            out[rest] = mix((out[rest] ^ eight[at[rest] + done] & _LOW[np.minimum(left, 8)]) * odd)
+            done += 8
+            rest = rest[left > 8]
+    return out
+
+
+def gram_hashes(words: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of every run of that many consecutive word hashes: runs of twice the length from two runs mixed."""
     if len(words) < size:
         return np.empty(0, np.uint64)
-    first = np.arange(len(words) - size + 1)
-    return span_hashes(words, first, first + size, which)
+    out, have = words, 1
+    while have < size:
+        step = min(have, size - have)
+        out = mix(out[:-step] * np.uint64(_ODD[0]) + (out[step:] ^ np.uint64(size)))
+        have += step
+    return out
+
+
+def gram_sums(words: np.ndarray, size: int) -> np.ndarray:
+    """A second family for the same runs: polynomials modulo the prime 2**31 - 1."""
+    n = len(words)
+    if n < size:
+        return np.empty(0, np.uint32)
+    if not _powers or len(_powers[0]) < n + 1:
+        _powers[:] = [_power_table(x, 1 << int(n + 1).bit_length()) for x in (_BASE, pow(_BASE, -1, _PRIME))]
+    power, inverse = _powers
+    prime = np.uint64(_PRIME)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(words % prime * power[:n] % prime, out=sums[1:])
+    return ((sums[size:] - sums[:-size]) % prime * inverse[: n - size + 1] % prime).astype(np.uint32)
+
+
+def _power_table(base: int, n: int) -> np.ndarray:
+    out = np.ones(n, np.uint64)
+    have = 1
+    while have < n:  # doubled: the second half is the first times a power
+        out[have : 2 * have] = out[:have] * np.uint64(pow(base, have, _PRIME)) % np.uint64(_PRIME)
+        have *= 2
+    return out
 
 
 class Words:
@@ -117,7 +149,7 @@ class Words:
         self.first = np.concatenate([[0], np.cumsum(self.counts)])
 
     def hashes(self, which: int = 0) -> np.ndarray:
-        return span_hashes(self.data.astype(np.uint64) + np.uint64(1), self.starts, self.ends, which)
+        return span_hashes(self.data, self.starts, self.ends, which)
 
     def whole(self, size: int) -> np.ndarray:
         """Whether the run of that many words from each word on lies in one row."""

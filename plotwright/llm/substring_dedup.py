@@ -8,7 +8,7 @@ merged where they are dealt, and what is kept of the merged sketch is one bit a
 width follows the corpus up to ``most_bits``; it is at most 2 ** (most_bits - 2) bytes, whatever the corpus.
 A corpus too large for that width only lets more windows pass to the second pass.
 
-Pass 2 groups exactly, by 96 bits, the windows whose anchors the sketch has seen twice. A task first groups
+Pass 2 groups exactly, by 95 bits of two families of hashes (mixed blocks, and polynomials modulo a prime), the windows whose anchors the sketch has seen twice. A task first groups
 its own windows, a few million at a time: a window repeated there is settled, and one row a task stands for
 all its occurrences, so a passage that a third of all rows share is no hot key. The rest meet by hash, sorted,
 and are compared with their neighbours as they stream by. The covered words of each row then join its text.
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, byte_view, chunks, documents, gram_hashes, mix
+from .common import Words, byte_view, chunks, documents, gram_hashes, gram_sums, mix
 
 WINDOW = 35
 #: Bits of a cell's place in its segment; rows of the sketch; least and most bits of a cell's number.
@@ -214,7 +214,7 @@ def repeated_places(docs: DataFrame, window: int, bits: int) -> DataFrame:
                     continue
                 row = w.row[starts]
                 h1 = gram_hashes(hashes, window)[starts]
-                h2 = (gram_hashes(w.hashes(1), window, 1)[starts] >> np.uint64(32)).astype(np.uint32)
+                h2 = gram_sums(w.hashes(1), window)[starts]
                 held.append((h1, h2, ids[a + row], known[a + row], keys[a + row], (starts - w.first[row]).astype(np.int32)))
                 size += len(starts)
                 if size >= HELD:
