@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from plotwright.operators.graph import stars
 
 from .common import documents, mix, written
+from .wide_simhash import similar
 
 BITS, MOST_BITS, BLOCKS = 64, 2, 4
 REFERENCES = [int(x) for x in mix(np.arange(1, 13, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))]
@@ -142,9 +143,9 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     return components(written(fingerprints(docs, words), "fingerprints"))
 
 
-def keep_one(docs: DataFrame, words: int = 3) -> DataFrame:
-    """docs without near-duplicates: of each component the row with the least doc_id (then text hash) stays."""
-    found = near_duplicates(docs, words)
+def keep_one(docs: DataFrame, words: int = 5) -> DataFrame:
+    """docs without near-duplicates by similarity (see wide_simhash): of each group the row with the least doc_id (then text hash) stays."""
+    found = similar(docs, words)
     kept = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("of")).select(F.col("of.doc_id").alias("__id"), F.col("of.text_key").alias("__text"))
     keyed = docs.withColumns({"__doc": F.col("doc_id").cast("long"), "__key": F.xxhash64("text")})
     met = keyed.join(kept, F.col("__doc").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__text")))
