@@ -9,10 +9,11 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from plotwright.llm import chat, decontaminate, media, packing, quality, queries, secrets, simhash, substring_dedup, token_columns, tokens, toxicity
+from plotwright.llm import chat, common, decontaminate, media, packing, quality, queries, secrets, simhash, substring_dedup, token_columns, tokens, toxicity, wide_simhash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score string, fp string"
 LONG = " ".join(f"w{i % 997}" for i in range(60_000))
@@ -90,6 +91,41 @@ def test_repeats_of_null_ids_whose_texts_share_32_bits(spark):
     assert got == sorted(brute_repeats(texts, 5))
 
 
+def test_repeats_of_words_that_polynomials_confuse(spark):
+    """Thue-Morse words and their complements have equal polynomial hashes modulo 2**64 for every odd base."""
+    for n in (512, 1024, 2048):
+        word = "".join("ab"[k.bit_count() % 2] for k in range(n))
+        other = word.translate({97: 98, 98: 97})
+        head = " ".join(f"w{i}" for i in range(34))
+        got = substring_dedup.remove_repeats(docs(spark, [f"{head} {word}", f"{head} {other}", f"{word} {head}", f"{other} {head}"])).collect()
+        assert [r.n_removed for r in got] == [0] * 4
+    line = np.array([k.bit_count() % 2 for k in range(2048)], np.uint64)
+    hashes = common.mix(line + np.uint64(7)), common.mix(np.uint64(8) - line)
+    for size in (1024, 2048):
+        assert common.gram_hashes(hashes[0], size)[0] != common.gram_hashes(hashes[1], size)[0]
+        assert common.gram_sums(hashes[0], size)[0] != common.gram_sums(hashes[1], size)[0]
+
+
+def test_window_hashes_tell_windows_apart():
+    rng = random.Random(6)
+    for size in (1, 2, 3, 5, 9):
+        words = [rng.choice(["a", "b", "abcdefgh", "abcdefghi", "abcdefgh\0", "x" * 65, "x" * 66]) for _ in range(400)]
+        raw = np.frombuffer(" ".join(words).encode(), np.uint8)
+        w = common.Words(raw, np.array([0, len(raw)]))
+        told = {}
+        for of in (common.gram_hashes(w.hashes(), size), common.gram_sums(w.hashes(1), size)):
+            assert len(of) == len(words) - size + 1
+            for i, h in enumerate(of.tolist()):
+                assert told.setdefault((str(of.dtype), h), words[i : i + size]) == words[i : i + size]
+            assert len(set(of.tolist())) == len({tuple(words[i : i + size]) for i in range(len(of))})
+
+
+def test_many_equal_rows_take_linear_work(spark):
+    text = " ".join(f"w{i}" for i in range(300))
+    got = substring_dedup.remove_repeats(docs(spark, [text] * 2000, [7] * 1000 + [None] * 1000)).collect()
+    assert len(got) == 2000 and {(r.n_words, r.n_removed, r.kept) for r in got} == {(300, 300, "")}
+
+
 def test_places_of_repeated_rows_are_distinct(spark):
     text = " ".join(f"w{i}" for i in range(30))
     frame = docs(spark, [text] * 40, [7] * 40).coalesce(1).select("doc_id", F.xxhash64("text").alias("text_key"), "text")
@@ -115,7 +151,7 @@ def test_token_ids_equal_the_library(data):
     texts = [t for t in [*HARD[:7], *HARD[8:], *odd, *text_of(data).values()]]
     own = tokens.encoder()
     for t in texts:
-        assert own.ids(t).tolist() == library.encode(t or "", add_special_tokens=False).ids
+        assert next(tokens.encode(pa.array([t], pa.string()))).tolist() == library.encode(t or "", add_special_tokens=False).ids
 
 
 def brute_ids(text, end):
@@ -147,6 +183,36 @@ def test_token_columns_on_hard_rows(spark):
     assert token_columns.starts(token_columns.write_tokens(empty(spark))).collect() == []
 
 
+def test_one_document_is_read_from_its_pages_alone(spark, data, tmp_path):
+    """Row groups and page indexes let a reader of one document, or of one metadata column, leave the rest unread."""
+    import glob
+
+    import pyarrow.dataset as ds
+    import pyarrow.parquet as pq
+
+    source = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").coalesce(1)
+    layout = token_columns.LAYOUT | {"parquet.block.size": str(1 << 16), "parquet.page.row.count.limit": "20"}
+    token_columns.token_rows(source).coalesce(1).write.options(**layout).parquet(str(tmp_path / "t"))
+    (name,) = glob.glob(str(tmp_path / "t" / "*.parquet"))
+    meta = pq.ParquetFile(name).metadata
+    assert meta.num_row_groups > 1
+    for g in range(meta.num_row_groups):
+        for c in range(meta.num_columns):
+            column = meta.row_group(g).column(c)
+            assert column.has_offset_index and column.has_column_index
+            assert column.path_in_schema != "tokens.list.element" or {"RLE_DICTIONARY", "DELTA_BINARY_PACKED"} & set(column.encodings)
+    ids = sorted(text_of(data))
+    wanted = ids[len(ids) // 2]
+    fragments = [f for whole in ds.dataset(name).get_fragments() for f in whole.split_by_row_group(ds.field("doc_id") == wanted)]
+    assert len(fragments) == 1
+    (row,) = ds.dataset(name).to_table(filter=ds.field("doc_id") == wanted).to_pylist()
+    assert row["tokens"] == brute_ids(text_of(data)[wanted], 2)
+    plan = spark.read.parquet(str(tmp_path / "t")).where(F.col("doc_id") == wanted).select("n_tokens")._jdf.queryExecution().toString()
+    assert "ReadSchema: struct<doc_id:bigint,n_tokens:int>" in plan and "EqualTo(doc_id" in plan
+    sizes = {meta.row_group(0).column(c).path_in_schema: sum(meta.row_group(g).column(c).total_compressed_size for g in range(meta.num_row_groups)) for c in range(meta.num_columns)}
+    assert sizes["n_tokens"] * 20 < sizes["tokens.list.element"]
+
+
 def test_packing(spark, data):
     frame = queries.QUERIES["op7_best_fit_packing"](spark, data).toPandas()
     want = []
@@ -270,26 +336,82 @@ def test_simhash_query(spark, data):
 
 def test_near_dedup_of_hard_rows(spark):
     kept = simhash.keep_one(hard(spark)).collect()
-    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept) == [(False, 0), (False, 3), (False, 4), (False, 5), (False, 7), (False, 8), (False, 9), (True, 0)]
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept) == [(False, 0), (False, 3), (False, 4), (False, 5), (False, 7), (False, 8), (False, 9), (True, 0)]  # 5 and 6 are copies
     assert all(r.score == "own" and r.fp == "own" for r in kept)
     assert simhash.keep_one(empty(spark)).collect() == []
     assert simhash.near_duplicates(hard(spark)).count() == len(HARD) + 2
 
 
+def jaccard(a, b):
+    x, y = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower())) else set() for t in (a, b))
+    return 1.0 if x == y else len(x & y) / len(x | y)
+
+
+def near_families(rng):
+    """Base texts with copies of few changes, chains of copies, and texts that share passages."""
+    made = []
+    for _ in range(15):
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.randrange(150, 400))]
+        made.append(" ".join(base))
+        for _ in range(rng.choice([0, 2, 5])):
+            own = list(base)
+            for _ in range(rng.choice([1, 1, 2])):
+                own[rng.randrange(len(own))] = f"x{rng.randrange(9999)}"
+            made.append(" ".join(own).capitalize() + ".")
+    shared = " ".join(f"p{i}" for i in range(100))
+    made += [shared + " " + " ".join(f"w{rng.randrange(3000)}" for _ in range(150)) for _ in range(6)]
+    return made
+
+
+@pytest.mark.parametrize("large", [256, 3])
+def test_near_dedup_against_brute_similarity(spark, large):
+    """Whatever similarity 0.85 or more connects is one group; what stays under 0.6 is not."""
+    texts = near_families(random.Random(12))
+    found = wide_simhash.similar(docs(spark, texts), large=large).collect()
+    group = {r.doc_id: r.component_id for r in found}
+    assert len(found) == len(texts)
+    for i, k in itertools.combinations(range(len(texts)), 2):
+        s = jaccard(texts[i], texts[k])
+        assert s < 0.85 or group[i] == group[k]
+        assert s > 0.25 or group[i] != group[k]
+    assert all(group[i] <= i for i in group)
+    kept = sorted(r.doc_id for r in simhash.keep_one(docs(spark, texts)).collect())
+    assert kept == sorted(set(group.values()))
+
+
+@pytest.mark.parametrize("large", [10_000, 4])
+def test_links_of_a_bucket_lose_none(spark, large):
+    """A large bucket is connected as brute force connects it, with leaders and without."""
+    rng, radius = random.Random(3), 10
+    made = []
+    for _ in range(6):
+        centre = rng.getrandbits(256)
+        for _ in range(rng.choice([1, 4, 40])):
+            centre ^= sum(1 << rng.randrange(256) for _ in range(rng.choice([2, 6, 9])))
+            made.append(centre)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    rows = [(i, *[signed(f >> 64 * k & (1 << 64) - 1) for k in range(4)], [7] * 2) for i, f in enumerate(made)]
+    sets = spark.createDataFrame(rows, "node long, f0 long, f1 long, f2 long, f3 long, bands array<long>")
+    found = [(r.a, r.b) for r in wide_simhash.links(sets, radius, large).collect()]
+    near = [(i, k) for i, k in itertools.combinations(range(len(made)), 2) if (made[i] ^ made[k]).bit_count() <= radius]
+
+    def groups(pairs):
+        root = list(range(len(made)))
+        for _ in range(len(made)):
+            for a, b in pairs:
+                root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    assert groups(found) == groups(near)
+
+
 def test_near_dedup_of_null_ids(spark):
-    """Near copies without any id are one component, of which one row stays."""
+    """Near copies without any id are one group, of which one row stays."""
     rng = random.Random(8)
     base = [f"w{rng.randrange(5000)}" for _ in range(400)]
-    made, prints = [" ".join(base)], {simhash.fingerprint(" ".join(base))}
-    for k in range(400):
-        text = " ".join([*base[:k], f"x{k}", *base[k + 1 :]])
-        apart = min((f ^ simhash.fingerprint(text)).bit_count() for f in prints)
-        if 1 <= apart <= 2 and len(made) < 6:
-            made.append(text)
-            prints.add(simhash.fingerprint(text))
-    assert len(made) == 6 and len(prints) == 6
-    frame = docs(spark, [*made, "another text that is not near"], [None] * 7)
-    assert simhash.keep_one(frame).count() == 2
+    made = [" ".join(base), *(" ".join([*base[:k], f"x{k}", *base[k + 1 :]]) for k in range(0, 400, 80))]
+    frame = docs(spark, [*made, "another text that is not near", None, "", "short one", "Short, one!"], [None] * (len(made) + 5))
+    assert simhash.keep_one(frame).count() == 4
     assert sorted(r.doc_id for r in simhash.keep_one(docs(spark, made)).collect()) == [0]
 
 
@@ -383,7 +505,6 @@ def test_grammar_marks_clauses():
 
 
 def test_features_equal_matches_beside_other_punctuation():
-    import pyarrow as pa
 
     g = toxicity.Grammar({"idiota": 2.0, "trottel": 2.0, "crétin": 1.5})
     texts = ["¡Idiota!", "“trottel”", "«crétin» vous", "du—trottel—", "tu\xa0idiota", "„Trottel“ sagte er", "é ünder 你好 \U0001f600idiota\U0001f600", "idiota²", "١idiota", None, "", "idiotaé", "kill…them", "plain words"]
