@@ -1,15 +1,20 @@
 """Toxicity by a weighted pattern grammar of finite-state transducers.
 
-Words become symbols: insults and threats with weights, targets, negations, verbs of reported speech, all else.
-Four transducers are composed, each rewriting the symbols of the one before: reported speech marks what it
-quotes up to the end of the sentence, negation marks what stands in its scope of three words, targets mark
-insults and threats up to four words away on either side, and the last keeps the clauses' matches. The grammar
-thus scores matched clauses, by kind and mark, never a word apart from its clause; a logistic curve over the
-kinds' weights, fitted with the lexicon, gives the probability of label 1.
+Words become symbols: insults and threats with weights, persons (pronouns), subjects (articles, demonstratives
+and copulas, which open a noun phrase or a predicate), negations, verbs of reported speech, pauses, ends, all
+else. Transducers are composed, each rewriting the symbols of the one before: reported speech marks what it
+quotes up to the end of the sentence, negation marks what stands in its scope of three words, and targets mark
+the insults and threats of a clause that has one. A clause is an address (the word opens the sentence), heaped
+(another insult or threat up to twelve words before), of a subject up to ten words before, or of a person up to
+four words away on either side; what comes later in this list wins. The last transducer reads those marks and no
+other: its arcs bear learned weights, one for each kind of clause, and add up to the score. A word that no clause
+ties to a target counts for nothing, whatever its weight; a logistic curve over the arcs' sums, fitted with the
+lexicon, gives the probability of label 1.
 
 Insults and their weights are learned from labelled rows: ``sample`` of them at most, those with the least hash
-of their id. A word is one if it meets toxic rows so often that chance is ruled out among all words counted.
-That sample is the only bound; every document is scored whole, where it is read, and no score looks at labels,
+of their id. A word, or a stem of four to seven letters of longer words, is one if it meets toxic rows so often
+that chance is ruled out among all that were counted.
+Rows that share a doc_id give one of the sample. That sample is the only bound; every document is scored whole, where it is read, and no score looks at labels,
 lang, source or doc_id.
 
 Defined results: null and empty texts match nothing and get the score of such texts; without labels, or with
@@ -30,24 +35,30 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, byte_view, chunks, documents, gram_hashes, held_out, written
+from .common import Words, byte_view, chunks, documents, gram_hashes, held_out, span_hashes, written
 
 SAMPLE = 8000
 THRESHOLD = 0.3
+#: Letters of a stem.
+STEMS = (4, 5, 6, 7)
 #: Nats by which a word's association must beat chance among all words counted.
 MARGIN = 2.0
 
-TARGETS = frozenset("you your yours he him she her they them their du dich dein sie ihr euch tu toi ton vous votre tú tu ti usted ustedes vosotros él ella".split())
+PERSONS = frozenset("you your yours he him she her they them their du dich dein sie ihr euch tu toi ton vous votre tú tu ti usted ustedes vosotros él ella".split())
+SUBJECTS = frozenset("the this that these those a an is are was were be der die das den dem ein eine ist sind war le la les un une des est sont était el los las una es son era".split())
 NEGATIONS = frozenset("not no never nobody isn aren wasn don doesn nicht kein keine nie ne pas jamais nunca jamás ni".split())
 REPORTS = frozenset("said says say called calls wrote writes quoted claimed sagte sagt nannte schrieb dit disait appela écrivit dijo dice llamó escribió".split())
 THREATS = {w: 2.0 for w in "kill hurt destroy murder beat töten umbringen verletzen tuer frapper détruire matar golpear destruir".split()}
 
-_TOKEN = re.compile(r"[^\W\d_]+|[.!?\n]")
+_TOKEN = re.compile(r"[^\W\d_]+|[.!?\n,;:]")
 #: Per code point whether it is outside words, by the rule of the tokens.
 _SEPARATOR = np.ones(0x110000, bool)
 for _m in re.finditer(r"[^\W\d_]+", "".join(map(chr, range(0x110000)))):
     _SEPARATOR[_m.start() : _m.end()] = False
-KINDS = tuple(f"{what}{target}{mark}" for what in ("insult", "threat") for target in ("", "+target") for mark in ("", "+not", "+told"))
+_SYMBOL = {w: symbol for symbol, words in (("subject", SUBJECTS), ("person", PERSONS), ("not", NEGATIONS), ("report", REPORTS), ("end", ".!?\n"), ("pause", ",;:")) for w in words}
+WHAT, TIES, MARKS = ("insult", "threat"), ("+address", "+heap", "+subject", "+person"), ("", "+not", "+told")
+#: The clauses that score: an insult or a threat, its tie to a target, and whether it is negated or reported.
+KINDS = tuple(what + tie + mark for what in WHAT for tie in TIES for mark in MARKS)
 
 
 def _points(data: np.ndarray) -> np.ndarray:
@@ -86,7 +97,7 @@ class Composition:
 
 def _reported() -> Transducer:
     arcs = {("plain", "report"): ("quoting", "report", 1.0), ("quoting", "end"): ("plain", "end", 1.0)}
-    for what in ("insult", "threat"):
+    for what in WHAT:
         arcs["quoting", what] = ("quoting", f"{what}+told", 1.0)
     return Transducer("plain", arcs)
 
@@ -95,29 +106,47 @@ def _negated(scope: int = 3) -> Transducer:
     arcs: dict = {}
     for left in range(scope + 1):
         arcs[left, "not"] = (scope, "not", 1.0)
-        arcs[left, "end"] = (0, "end", 1.0)
+        arcs[left, "end"], arcs[left, "pause"] = (0, "end", 1.0), (0, "pause", 1.0)
         if left:
             arcs[left, "*"] = (left - 1, None, 1.0)
-            for what in ("insult", "threat"):
+            for what in WHAT:
                 arcs[left, what] = (left - 1, f"{what}+not", 1.0)
     return Transducer(0, arcs)
 
 
-def _targeted(reach: int = 4) -> Transducer:
+def _address() -> Transducer:
+    arcs: dict = {("inside", "end"): ("start", "end", 1.0), ("start", "end"): ("start", "end", 1.0), ("start", "pause"): ("start", "pause", 1.0), ("start", "*"): ("inside", None, 1.0)}
+    for what in WHAT:
+        for mark in MARKS:
+            arcs["start", what + mark] = ("inside", f"{what}+address{mark}", 1.0)
+    return Transducer("start", arcs)
+
+
+def _tied(tie: str, openers: tuple[str, ...], reach: int, over: tuple[str, ...], pauses: bool = False) -> Transducer:
+    """Marks insults and threats that bear no tie or one of over, up to reach words after an opener in its sentence (or between its pauses)."""
     arcs: dict = {}
     for left in range(reach + 1):
-        arcs[left, "target"] = (reach, "target", 1.0)
         arcs[left, "end"] = (0, "end", 1.0)
+        if pauses:
+            arcs[left, "pause"] = (0, "pause", 1.0)
         if left:
             arcs[left, "*"] = (left - 1, None, 1.0)
-            for what in ("insult", "threat"):
-                for mark in ("", "+not", "+told"):
-                    arcs[left, what + mark] = (left - 1, f"{what}+target{mark}", 1.5)
+        for what in WHAT:
+            for mark in MARKS:
+                for old in ("", *TIES):
+                    symbol = what + old + mark
+                    after = f"{what}{tie}{mark}" if left and old in over else symbol
+                    if symbol in openers or left:
+                        arcs[left, symbol] = (reach if symbol in openers else left - 1, after, 1.0)
+        for symbol in openers:
+            arcs.setdefault((left, symbol), (reach, symbol, 1.0))
     return Transducer(0, arcs)
 
 
-FORWARD = Composition(_reported(), _negated(), _targeted())
-BACKWARD = Composition(_targeted())  # over the reversed symbols: targets that follow
+_WORDS_TIED = tuple(what + tie + mark for what in WHAT for tie in ("", "+address") for mark in MARKS)
+_PERSON = _tied("+person", ("person",), 4, ("", *TIES[:3]), True)
+FORWARD = Composition(_reported(), _negated(), _address(), _tied("+heap", _WORDS_TIED, 12, ("", "+address")), _tied("+subject", ("subject",), 10, ("", *TIES[:2])), _PERSON)
+BACKWARD = Composition(_PERSON)  # over the reversed symbols: persons that follow
 
 
 @dataclass
@@ -128,16 +157,23 @@ class Grammar:
     def symbols(self, text: str) -> list[tuple[str, float]]:
         out = []
         for w in _TOKEN.findall(text):
-            if w in self.insults:
-                out.append(("insult", self.insults[w]))
+            if weight := self._insult(w):
+                out.append(("insult", weight))
             elif w in THREATS:
                 out.append(("threat", THREATS[w]))
             else:
-                out.append(("target" if w in TARGETS else "not" if w in NEGATIONS else "report" if w in REPORTS else "end" if w in ".!?\n" else "word", 1.0))
+                out.append((_SYMBOL.get(w, "word"), 1.0))
         return out
 
+    def _insult(self, word: str) -> float:
+        """The weight of a word, or else of the longest of its stems; 0 of neither."""
+        own = self.insults.get(word)
+        if own is None:
+            own = next((self.insults[stem] for stem in reversed(stems(word)) if stem in self.insults), 0.0)
+        return own
+
     def matches(self, text: str) -> Counter:
-        """Weights of the clauses matched in a lower-case text, by kind."""
+        """Weights of the clauses matched in a lower-case text, by kind; what no clause ties to a target is left out."""
         forward = list(FORWARD.run(self.symbols(text)))
         found: Counter = Counter()
         for symbol, weight in BACKWARD.run(reversed(forward)):
@@ -156,18 +192,31 @@ class Grammar:
             raw = data[offsets[a] : offsets[b]]
             before = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])  # code points before each byte
             w = Words(_points(raw), before[offsets[a : b + 1] - offsets[a]], _SEPARATOR)
-            if not len(w.starts) or not len(known):
-                continue
-            hashes = w.hashes()
-            at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-            for r in np.unique(w.row[known[at] == hashes]).tolist():
+            hit = np.zeros(len(w.starts), bool)
+            for size, own in known.items():
+                there = np.flatnonzero(w.ends - w.starts > size) if size else np.arange(len(w.starts))
+                hashes = span_hashes(w.data, w.starts[there], w.starts[there] + size if size else w.ends)
+                hit[there] |= own[np.minimum(np.searchsorted(own, hashes), len(own) - 1)] == hashes
+            for r in np.unique(w.row[hit]).tolist():
                 found = self.matches(lower[a + r].as_py())
                 out[a + r, :-1] = [np.log1p(found[k]) for k in KINDS]
         return out
 
-    def _known(self) -> np.ndarray:
-        raw = _points(np.frombuffer(" ".join((*self.insults, *THREATS)).encode(), np.uint8))
-        return np.unique(Words(raw, np.array([0, len(raw)]), _SEPARATOR).hashes())
+    def _known(self) -> dict[int, np.ndarray]:
+        """Hashes of the grammar's whole words (0) and of its stems, by their letters."""
+        by: dict[int, list[str]] = {0: list(THREATS)}
+        for w in self.insults:
+            by.setdefault(len(w) - 1 if w.endswith("*") else 0, []).append(w.rstrip("*"))
+        out = {}
+        for size, own in by.items():
+            raw = _points(np.frombuffer(" ".join(own).encode(), np.uint8))
+            out[size] = np.unique(Words(raw, np.array([0, len(raw)]), _SEPARATOR).hashes())
+        return out
+
+
+def stems(word: str) -> list[str]:
+    """The stems of a word, shortest first."""
+    return [word[:k] + "*" for k in STEMS if len(word) > k]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
@@ -213,7 +262,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Grammar:
     """The grammar of the labelled documents of docs that are not held out; labels: doc_id, toxic."""
     known = labels.where(F.col("toxic").isNotNull() & ~held_out("doc_id", 4, 2)).groupBy(F.col("doc_id").alias("id")).agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(sample)  # bounds what is broadcast and what comes to the driver
-    rows = one_a_family(docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("toxic", "text"))
+    met = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id"))
+    rows = one_a_family(met.groupBy("id").agg(F.max("toxic").alias("toxic"), F.min_by("text", F.xxhash64("text")).alias("text")).select("toxic", "text"))
     sums = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     toxic, clean = sums.get(1, 0), sums.get(0, 0)
     if not toxic or not clean:
@@ -226,7 +276,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Grammar:
         for batch in batches:
             counts = (Counter(), Counter())
             for label, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist()):
-                counts[label].update({w for w in re.findall(r"[^\W\d_]+", (text or "").lower())})
+                own = set(re.findall(r"[^\W\d_]+", (text or "").lower()))
+                counts[label].update(own | {stem for w in own for stem in stems(w)})
             found = list(counts[0] | counts[1])
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), *[pa.array([counts[k][w] for w in found], pa.int64()) for k in (1, 0)]], names=["word", "toxic", "clean"])
 
