@@ -6,12 +6,12 @@ marginal, their mean weighted by the lines' lengths is the document's share of g
 turns that into the probability of label 1.
 
 The field is fitted to labelled documents, all lines of one bearing its label: to ``sample`` of them at most,
-those with the least hash of their id, and of no more than ``most_lines`` lines. That is the only bound; every
-document is scored whole, where it is read, and no feature looks at labels, lang, source or doc_id.
+those with the least hash of their id, one row of each, and to no more than the first ``most_lines`` lines of each.
+That is the only bound; every document is scored whole, where it is read, and no feature looks at labels, lang, source or doc_id.
 
 Defined results: null and empty texts, and texts of blank lines, get the labels' base rate; without labels, or
 with one label only, every document gets the base rate (0.5 of none); labels of null are left out; rows that
-share a doc_id are scored one by one and trained with its label; an empty table gives none.
+share a doc_id are scored one by one, and one of them is fitted to its label; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -221,11 +221,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_lines:
             for a, b in chunks(offsets):
                 row, size, x = line_features(data, offsets[a : b + 1])
                 for r, good in enumerate(batch.column("good")[a:b].to_pylist()):
-                    lines = row == r
-                    if 0 < lines.sum() <= most_lines:
+                    lines = np.flatnonzero(row == r)[:most_lines]
+                    if len(lines):
                         yield pa.RecordBatch.from_arrays([pa.array([good], pa.int32()), pa.array([size[lines].tobytes()]), pa.array([x[lines].tobytes()])], names=["good", "size", "x"])
 
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select(F.col("good").cast("int").alias("good"), "text")
+    met = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id"))
+    found = met.groupBy("id").agg(F.max("good").cast("int").alias("good"), F.min_by("text", F.xxhash64("text")).alias("text")).select("good", "text")
     rows = found.mapInArrow(step, "good int, size binary, x binary").collect()
     rows = sorted(rows, key=lambda r: (bytes(r["x"]), r["good"]))  # the same field whatever the order of arrival
     sizes = [np.frombuffer(bytes(r["size"])) for r in rows]
