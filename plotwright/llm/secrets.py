@@ -1,17 +1,21 @@
 """Secret scans: known patterns, and a battery of randomness tests for long tokens. DataFrame functions only.
 
 Known patterns give the base spans. Beside them, every run of 20 or more letters, digits and ``+/_-`` is
-measured. Its encoding is inferred (hex, base 32, base 36 of either case, that with signs, base 64); against that encoding's alphabet a
-chi-squared test of uniformity, a runs test about the middle of the alphabet and a test of serial correlation
-give three tail probabilities, joined by Fisher's method into the token's misfit (minus its logarithm): small
-for random strings, and growing with the length of words. Tokens of letters alone are no encoding: over the
-whole corpus they show the mean and the spread of the misfit by the letter, and so how improbable a token's
-small misfit is for ordinary text of its length; ``ORDINARY`` tokens of a fixed prior are counted with them, so that
-a corpus with few is judged too. Over these probabilities the Benjamini-Hochberg rule at
-``rate`` picks the tokens that count as secrets; it reads a table of bins of set size, however large the corpus.
-
-Defined results: null and empty texts have no spans; a corpus without ordinary tokens is judged by the prior; places are code points, ends exclusive; spans that overlap are all reported, and redacted as one; rows
-that share a doc_id are scanned one by one; an empty table gives none.
+measured. Its encoding is inferred (hex, base 32, base 36 of either case, that with signs, base 64); against that
+encoding's alphabet a chi-squared test of uniformity, a runs test about the middle of the alphabet and a test of
+serial correlation give three tail probabilities, joined by Fisher's method into the token's misfit (minus its
+logarithm): small for random strings, and growing with the length of words. Tokens of letters alone are no
+encoding: over the whole corpus they show the mean and the spread of the misfit by the letter, and so how
+improbable a token's small misfit is for ordinary text of its length; ``ORDINARY`` tokens of a fixed prior are
+counted with them, so that a corpus with few is judged too. Over these probabilities the Benjamini-Hochberg rule
+at ``rate`` picks the tokens that count as secrets; it reads a table of bins of set size, however large the corpus.
+
+Work is linear in a text's length, but for places, which take the power 1.5 of the number of matches in a text.
+
+Defined results: null and empty texts have no spans; a corpus without ordinary tokens is judged by the prior;
+places are code points, ends exclusive; spans that overlap are all reported, and redacted as one; rows that share
+a doc_id are scanned one by one; an empty table gives none. The input's own columns stay under any names; in
+scan() only, its columns spans and base give way to the new ones.
 """
 
 from __future__ import annotations
@@ -52,18 +56,39 @@ ENCODINGS = (
 )
 
 
+def _let(value: Column, of) -> Column:
+    """of(value), with value worked out once."""
+    return F.transform(F.array(value), of)[0]
+
+
+def _sums_before(values: Column) -> Column:
+    """The sum of the values before each, for a short array."""
+    none = F.expr("cast(array() as array<int>)")
+    return F.aggregate(values, F.struct(F.lit(0).alias("at"), none.alias("out")), lambda a, v: F.struct((a["at"] + v).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+
+
+def _places(values: Column) -> Column:
+    """The sum of the values before each, in blocks of the root of their number."""
+
+    def blocked(side: Column) -> Column:
+        cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / side).cast("int")), lambda b: F.slice(values, b * side + 1, side))
+        totals = lambda blocks: F.transform(blocks, lambda x: F.aggregate(x, F.lit(0), lambda a, v: a + v))
+        return _let(cut, lambda blocks: F.flatten(F.zip_with(blocks, _sums_before(totals(blocks)), lambda x, base: F.transform(_sums_before(x), lambda v: v + base))))
+
+    return _let(F.ceil(F.sqrt(F.size(values))).cast("int"), blocked)
+
+
 def located(text: Column, pattern: str) -> Column:
     """Start, end and string of each match: what the pattern splits apart tells the places of what it finds."""
-    found = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, m: F.struct(F.length(gap).alias("gap"), m.alias("m")))
-    none = F.expr("cast(array() as array<struct<s:int,e:int,m:string>>)")
+    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
-    def add(a: Column, x: Column) -> Column:
-        s = a["at"] + x["gap"]
-        e = s + F.length(x["m"])
-        return F.struct(F.coalesce(e, s).alias("at"), F.concat(a["found"], F.when(x["m"].isNull(), none).otherwise(F.array(F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m"))))).alias("found"))
+    def placed(found: Column) -> Column:
+        steps = F.zip_with(F.slice(F.split(text, pattern, -1), 1, F.size(found)), found, lambda gap, m: F.length(gap) + F.length(m))
+        ends = F.zip_with(_places(steps), steps, lambda before, own: before + own)
+        return F.zip_with(ends, found, lambda e, m: F.struct((e - F.length(m)).alias("s"), e.alias("e"), m.alias("m")))
 
-    walked = F.aggregate(found, F.struct(F.lit(0).alias("at"), none.alias("found")), add, lambda a: a["found"])
-    return F.when(F.coalesce(text, F.lit("")).rlike(pattern), walked).otherwise(none)
+    none = F.expr("cast(array() as array<struct<s:int,e:int,m:string>>)")
+    return F.when(F.coalesce(text, F.lit("")).rlike(pattern), _let(matches, placed)).otherwise(none)
 
 
 def _spans(matches: Column, kind: int) -> Column:
@@ -82,11 +107,6 @@ def _upper_tail(z: Column) -> Column:
     return F.greatest(1 / (1 + F.exp(F.least(0.07056 * z * z * z + 1.5976 * z, F.lit(200.0)))), F.lit(1e-80))
 
 
-def _let(value: Column, of) -> Column:
-    """of(value), with value worked out once."""
-    return F.transform(F.array(value), of)[0]
-
-
 def _half_sum(uniform: Column, runs: Column, serial: Column) -> Column:
     """Fisher's statistic for three tests, halved."""
     return -(F.log(uniform) + F.log(F.least(2 * runs, F.lit(1.0))) + F.log(F.least(2 * serial, F.lit(1.0))))
@@ -95,7 +115,7 @@ def _half_sum(uniform: Column, runs: Column, serial: Column) -> Column:
 def misfit(places: Column, size: Column) -> Column:
     """Minus the logarithm of the joint tail probability of the three tests, for letters' places in an alphabet of that size."""
     n = F.size(places).cast("double")
-    squares = F.aggregate(F.array_distinct(places), F.lit(0.0), lambda a, v: a + F.pow(F.size(F.filter(places, lambda y: y == v)), 2))
+    squares = F.aggregate(F.array_distinct(places), F.lit(0.0), lambda a, v: a + F.pow(n - F.size(F.array_remove(places, v)), 2))
     df = size - 1
     spread = 2 / (9 * df)
     uniform = _let((F.pow(F.greatest(size / n * squares - n, F.lit(0.0)) / df, 1 / 3) - (1 - spread)) / F.sqrt(spread), _upper_tail)
@@ -132,7 +152,7 @@ def measured(text: Column) -> Column:
     typed = F.transform(plain, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["t"].alias("t"), _first(x["t"]).alias("kind")))
     letters, opens = F.array(*[F.lit(e[1]) for e in ENCODINGS]), F.array(*[F.lit(e[2]).cast("boolean") for e in ENCODINGS])
     usable = F.filter(typed, lambda x: F.coalesce(opens[x["kind"]].isNotNull(), F.lit(False)) & (F.length(x["t"]) >= LEAST))
-    placed = F.transform(usable, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), opens[x["kind"]].alias("open"), F.length(x["t"]).alias("n"), F.length(letters[x["kind"]]).cast("double").alias("k"), F.transform(F.sequence(F.lit(1), F.length(x["t"])), lambda i: (F.position(F.substring(x["t"], i, F.lit(1)), letters[x["kind"]]) - 1).cast("double")).alias("at")))
+    placed = F.transform(usable, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), opens[x["kind"]].alias("open"), F.length(x["t"]).alias("n"), F.length(letters[x["kind"]]).cast("double").alias("k"), _let(letters[x["kind"]], lambda own: F.transform(F.filter(F.split(x["t"], ""), lambda c: c != ""), lambda c: (F.position(c, own) - 1).cast("double"))).alias("at")))
     return F.transform(placed, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["n"].cast("double").alias("n"), misfit(x["at"], x["k"]).alias("misfit"), x["open"].alias("open")))
 
 
@@ -162,18 +182,25 @@ def limit(tokens: DataFrame, plain: tuple[float, float], rate: float = RATE) ->
     return BINS + 1 if held is None else held
 
 
-def scan(docs: DataFrame, rate: float = RATE, keep: list[str] | None = None) -> DataFrame:
-    """docs (or the columns to keep) with base and spans (s, kind, e: by start, then kind): random tokens that meet no base span join those."""
-    own = [c for c in docs.columns if c not in ("spans", "base", "tokens")] if keep is None else keep
-    found = written(docs.select(*own, base_spans(F.col("text")).alias("base"), measured(F.col("text")).alias("tokens")), "secrets")
-    plain = ordinary(found.select("tokens"))
-    most = limit(found.select("tokens"), plain, rate)
+def _found(docs: DataFrame, rate: float, own: list[str]) -> DataFrame:
+    """The columns own of docs, and with names that no table bears their spans."""
+    found = written(docs.select(*own, base_spans(F.col("text")).alias("__secret_base"), measured(F.col("text")).alias("__secret_tokens")), "secrets")
+    tokens = found.select(F.col("__secret_tokens").alias("tokens"))
+    plain = ordinary(tokens)
+    most = limit(tokens, plain, rate)
 
     def accepted(x: Column) -> Column:
         return x["open"] & (evidence(x, plain) >= most)
 
-    fresh = F.filter("tokens", lambda x: accepted(x) & ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
-    return found.select(*own, F.array_sort(F.concat("base", _spans(fresh, 3))).alias("spans"), "base")
+    fresh = F.filter("__secret_tokens", lambda x: accepted(x) & ~F.exists("__secret_base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
+    return found.select(*own, F.array_sort(F.concat("__secret_base", _spans(fresh, 3))).alias("__secret_spans"), "__secret_base")
+
+
+def scan(docs: DataFrame, rate: float = RATE, keep: list[str] | None = None) -> DataFrame:
+    """docs (or the columns to keep) with base and spans (s, kind, e: by start, then kind): random tokens that meet no base span join those."""
+    own = docs.columns if keep is None else keep
+    found = _found(docs, rate, own)
+    return found.select(*[c for c in own if c not in ("spans", "base")], F.col("__secret_spans").alias("spans"), F.col("__secret_base").alias("base"))
 
 
 def told(spans: Column) -> Column:
@@ -183,14 +210,25 @@ def told(spans: Column) -> Column:
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", rate: float = RATE) -> DataFrame:
     """docs with a mark in place of each secret; n_chars is counted anew, all other columns stay."""
-
-    def add(a: Column, x: Column) -> Column:
-        fresh = F.concat(a["text"], F.substring(F.col("text"), a["at"] + 1, x["s"] - a["at"]), F.lit(mark))
-        return F.struct(F.greatest(a["at"], x["e"]).alias("at"), F.when(x["s"] >= a["at"], fresh).otherwise(a["text"]).alias("text"))
-
-    walked = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("text")), add, lambda a: F.concat(a["text"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
-    out = scan(docs, rate).withColumn("text", F.when(F.size("spans") > 0, walked).otherwise(F.col("text")))
-    return (out.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))) if "n_chars" in docs.columns else out).select(docs.columns)
+    spans, text = F.col("__secret_spans"), F.col("text")
+    none = F.expr("cast(array() as array<struct<s:int,e:int>>)")
+
+    def joined(a: Column, x: Column) -> Column:
+        """Spans that overlap become one: the open one grows, or is put away for the next."""
+        apart = x["s"] >= a["e"]
+        put = F.when(apart, F.concat(a["out"], F.array(F.struct(a["s"].alias("s"), a["e"].alias("e"))))).otherwise(a["out"])
+        return F.struct(F.when(apart, x["s"]).otherwise(a["s"]).alias("s"), F.greatest(a["e"], x["e"]).alias("e"), put.alias("out"))
+
+    def marked(whole: Column) -> Column:
+        edges = F.concat(whole, F.array(F.struct(F.length(text).alias("s"), F.length(text).alias("e"))))
+        return F.array_join(F.zip_with(whole["e"], F.slice(edges["s"], 2, F.size(whole)), lambda e, s: F.substring(text, e + 1, s - e)), mark)
+
+    # the first of the spans put away is the empty one at the start
+    walked = _let(F.aggregate(spans, F.struct(F.lit(0).alias("s"), F.lit(0).alias("e"), none.alias("out")), joined, lambda a: F.concat(a["out"], F.array(F.struct(a["s"].alias("s"), a["e"].alias("e"))))), marked)
+    out = _found(docs, rate, docs.columns).withColumn("text", F.when(F.size(spans) > 0, walked).otherwise(text))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.size(spans) > 0, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(docs.columns)
 
 
 def op6_secret_randomness(spark: SparkSession, sf_dir: str) -> DataFrame:
