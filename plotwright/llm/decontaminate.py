@@ -1,17 +1,20 @@
 """Benchmark decontamination: normalised test n-grams are broadcast as a hash set, training windows scanned, hits verified.
 
-A benchmark is a stated query set of bounded size. It is broadcast in blocks of at most ``block_bytes`` of
-text; a larger one makes more blocks, and each block is one more map step over the same rows, so neither the
-driver nor a worker ever holds more than a block. Nothing is shuffled.
+A benchmark is a stated query set of bounded size. It is broadcast in blocks of at most ``block_bytes`` of text (one
+item at least): the normalised words once, and 20 bytes a window beside them (its hash, its place there, its item),
+sorted by hash. A word takes two bytes or more, so a block of 4 MB has at most 2 million windows and 44 MB; a larger
+benchmark makes more blocks, and each block is one more map step over the same rows. Nothing is shuffled, and tasks
+build nothing but a bitmap of the hashes. A window of a document whose hash is found is compared word by word.
 
 Defined results: null and empty texts have no words and no hits; an item shorter than the window is a window
 itself, an item without words is none; rows that share a doc_id are judged one by one; items that share an
-item_id count once; a null item_id marks its hits but is not counted or listed. The input's own columns stay,
-and columns added here replace columns of the same names.
+item_id count once; a null item_id marks its hits but is not counted or listed. decontaminate() keeps the input's
+columns, whatever their names; in scan() columns of the names added here give way to the new ones.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,57 +30,67 @@ SEPARATOR[[*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
-_BITS = 20
-
-
-def normal_words(text: str | None) -> list[bytes]:
-    kept = bytes(LOWER[np.frombuffer((text or "").encode(), np.uint8)])
-    return kept.translate(bytes(np.where(SEPARATOR, 0x20, np.arange(256)).astype(np.uint8))).split()
-
-
-def windows_of(items: list[tuple[object, str | None]], size: int) -> dict[bytes, set[str]]:
-    """Every window of the items, words joined by a space, with the ids of the items that hold it."""
-    found: dict[bytes, set[str]] = {}
-    for item_id, text in items:
-        words = normal_words(text)
-        for i in range(max(1, len(words) - size + 1) if words else 0):
-            found.setdefault(b" ".join(words[i : i + size]), set()).update([] if item_id is None else [str(item_id)])
-    return found
-
-
-def _by_length(windows: dict[bytes, set[str]]) -> dict[int, tuple[np.ndarray, dict[int, list[bytes]]]]:
-    """Per number of words: a bitmap of the windows' hashes, and the windows of each hash."""
-    out: dict[int, tuple[np.ndarray, dict[int, list[bytes]]]] = {}
-    for text in windows:
-        raw = np.frombuffer(text, np.uint8)
-        w = Words(raw, np.array([0, len(raw)]), SEPARATOR)
-        n = len(w.starts)
-        h = int(gram_hashes(w.hashes(), n)[0])
-        bits, exact = out.setdefault(n, (np.zeros(1 << _BITS, bool), {}))
-        bits[h >> (64 - _BITS)] = True
-        exact.setdefault(h, []).append(text)
-    return out
-
-
-def scan_rows(text: pa.Array, windows: dict[bytes, set[str]], tables) -> list[tuple[int, list[tuple[int, int]], set[str]]]:
+BLOCK_BYTES = 4 << 20
+_MADE = {"__n_words": "long", "__hit_spans": "array<array<int>>", "__item_ids": "array<string>"}
+
+
+@dataclass
+class Windows:
+    """The windows of some items, by number of words: sorted hashes, and for each its first and end byte in text and its item."""
+
+    text: bytes
+    items: list[str | None]
+    by_size: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+
+    def bitmaps(self) -> dict[int, np.ndarray]:
+        """By number of words a bitmap of eight bits a window or more, by the hashes' first bits."""
+        out = {}
+        for size, (hashes, *_) in self.by_size.items():
+            bits = max(16, int(len(hashes)).bit_length() + 3)
+            out[size] = np.zeros(1 << bits, bool)
+            out[size][(hashes >> np.uint64(64 - bits)).astype(np.int64)] = True
+        return out
+
+
+def windows_of(items: list[tuple[object, str | None]], size: int) -> Windows:
+    """The windows of the items' normalised words; an item of fewer words is one."""
+    data, offsets = byte_view(pa.array([t for _, t in items], pa.large_string()))
+    w = Words(LOWER[data[offsets[0] : offsets[-1]]], offsets - offsets[0], SEPARATOR)
+    lengths = w.ends - w.starts
+    text = b" ".join(w.data[s:e].tobytes() for s, e in zip(w.starts.tolist(), w.ends.tolist()))
+    first = (np.cumsum(lengths + 1) - lengths - 1).astype(np.int32)
+    last = (first + lengths).astype(np.int32)
+    hashes, by_size = w.hashes(), {}
+    for n in range(1, size + 1):
+        at = np.flatnonzero(w.whole(n) & (w.counts[w.row[: max(0, len(w.row) - n + 1)]] == n)) if n < size else np.flatnonzero(w.whole(n))
+        if len(at):
+            h = gram_hashes(hashes, n)[at]
+            order = np.argsort(h, kind="stable")
+            by_size[n] = h[order], first[at[order]], last[at[order] + n - 1], w.row[at[order]].astype(np.int32)
+    return Windows(text, [None if i is None else str(i) for i, _ in items], by_size)
+
+
+def scan_rows(text: pa.Array, windows: Windows, bitmaps: dict[int, np.ndarray]) -> list[tuple[int, list[tuple[int, int]], set[str]]]:
     """Per row: words, merged spans of hit words (first, end), and ids of the items found."""
     data, offsets = byte_view(text)
     out = []
     for a, b in chunks(offsets):
         w = Words(LOWER[data[offsets[a] : offsets[b]]], offsets[a : b + 1] - offsets[a], SEPARATOR)
-        hashes = w.hashes()
+        words = w.hashes()
         spans: dict[int, list[tuple[int, int]]] = {}
         items: dict[int, set[str]] = {}
-        for size, (bits, exact) in tables.items():
-            grams = gram_hashes(hashes, size)
-            near = np.flatnonzero(bits[(grams >> np.uint64(64 - _BITS)).astype(np.int64)] & w.whole(size))
-            for i in near.tolist():
-                for text_of in exact.get(int(grams[i]), ()):
-                    if b" ".join(w.data[s:e].tobytes() for s, e in zip(w.starts[i : i + size], w.ends[i : i + size])) == text_of:
-                        row = int(w.row[i])
-                        at = i - int(w.first[row])
-                        spans.setdefault(row, []).append((at, at + size))
-                        items.setdefault(row, set()).update(windows[text_of])
+        for size, (hashes, first, last, item) in windows.by_size.items():
+            grams, bits = gram_hashes(words, size), bitmaps[size]
+            near = np.flatnonzero(bits[(grams >> np.uint64(65 - len(bits).bit_length())).astype(np.int64)] & w.whole(size))
+            low, high = (np.searchsorted(hashes, grams[near], side=side) for side in ("left", "right"))
+            for i, lo, hi in zip(near[high > low].tolist(), low[high > low].tolist(), high[high > low].tolist()):
+                own = b" ".join(w.data[s:e].tobytes() for s, e in zip(w.starts[i : i + size].tolist(), w.ends[i : i + size].tolist()))
+                same = [k for k in range(lo, hi) if windows.text[first[k] : last[k]] == own]
+                if same:
+                    row = int(w.row[i])
+                    at = i - int(w.first[row])
+                    spans.setdefault(row, []).append((at, at + size))
+                    items.setdefault(row, set()).update(name for k in same if (name := windows.items[item[k]]) is not None)
         out += [(int(w.counts[r]), merged(spans.get(r, ())), items.get(r, set())) for r in range(b - a)]
     return out
 
@@ -98,12 +111,11 @@ def blocks_of(benchmark: DataFrame, block_bytes: int) -> int:
     return max(1, -(-int(total) // block_bytes))
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_bytes: int = 16 << 20) -> DataFrame:
-    """docs with n_words, hit_spans (array of first and end word) and item_ids (sorted as strings)."""
+def _found(docs: DataFrame, benchmark: DataFrame, size: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """docs with the columns of _MADE, whose names no table bears."""
     spark = docs.sparkSession
     blocks = blocks_of(benchmark, block_bytes)
-    own = [c for c in docs.columns if c not in ("n_words", "hit_spans", "item_ids")]
-    out = docs.select(own).withColumns({"n_words": F.lit(0).cast("long"), "hit_spans": F.expr("cast(array() as array<array<int>>)"), "item_ids": F.expr("cast(array() as array<string>)")})
+    out = docs.withColumns({name: F.lit(0).cast(kind) if kind == "long" else F.expr(f"cast(array() as {kind})") for name, kind in _MADE.items()})
     schema = out.schema
     for block in range(blocks):
         part = benchmark.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block) if blocks > 1 else benchmark
@@ -111,18 +123,25 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_bytes: int
 
         def step(batches, shared=shared):
             windows = shared.value
-            tables = _by_length(windows)
+            bitmaps = windows.bitmaps()
             for batch in batches:
-                rows = scan_rows(batch.column("text"), windows, tables)
-                spans = [merged([*map(tuple, old), *new]) for old, (_, new, _) in zip(batch.column("hit_spans").to_pylist(), rows)]
-                items = [sorted({*old, *new}) for old, (_, _, new) in zip(batch.column("item_ids").to_pylist(), rows)]
-                made = {"n_words": pa.array([r[0] for r in rows], pa.int64()), "hit_spans": pa.array([[list(s) for s in x] for x in spans], pa.list_(pa.list_(pa.int32()))), "item_ids": pa.array(items, pa.list_(pa.string()))}
+                rows = scan_rows(batch.column("text"), windows, bitmaps)
+                spans = [merged([*map(tuple, old), *new]) for old, (_, new, _) in zip(batch.column("__hit_spans").to_pylist(), rows)]
+                items = [sorted({*old, *new}) for old, (_, _, new) in zip(batch.column("__item_ids").to_pylist(), rows)]
+                made = {"__n_words": pa.array([r[0] for r in rows], pa.int64()), "__hit_spans": pa.array([[list(s) for s in x] for x in spans], pa.list_(pa.list_(pa.int32()))), "__item_ids": pa.array(items, pa.list_(pa.string()))}
                 yield pa.RecordBatch.from_arrays([made.get(n, batch.column(i)) for i, n in enumerate(batch.schema.names)], names=batch.schema.names)
 
         out = out.mapInArrow(step, schema)
     return out
 
 
+def scan(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """docs with n_words, hit_spans (array of first and end word) and item_ids (sorted as strings)."""
+    names = {name: name[2:] for name in _MADE}
+    own = [c for c in docs.columns if c not in names.values()]
+    return _found(docs.select(own), benchmark, size, block_bytes).withColumnsRenamed(names)
+
+
 def n_hit(spans: Column) -> Column:
     return F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0])
 
@@ -132,12 +151,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, whole:
 
     Without whole, each run of hit words goes with the text between its words, and n_chars is counted anew.
     """
-    found = scan(docs, benchmark, size)
+    found = _found(docs, benchmark, size)
     if whole:
-        return found.where(F.size("hit_spans") == 0).select(docs.columns)
-    text = cut("text", "hit_spans")
-    out = found.withColumn("text", F.when(F.size("hit_spans") > 0, text).otherwise(F.col("text")))
-    return (out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out).select(docs.columns)
+        return found.where(F.size("__hit_spans") == 0).select(docs.columns)
+    hit = F.size("__hit_spans") > 0
+    out = found.withColumn("text", F.when(hit, cut("text", "__hit_spans")).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(hit, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(docs.columns)
 
 
 @F.pandas_udf(T.StringType())
