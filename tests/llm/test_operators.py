@@ -276,6 +276,33 @@ def test_decontamination_of_hard_rows(spark):
     assert decontaminate.scan(hard(spark), items).count() == len(HARD) + 2
 
 
+def test_decontamination_keeps_columns_of_any_name(spark):
+    items = spark.createDataFrame([(1, "one two three four five six seven eight nine ten")], "item_id long, text string")
+    frame = docs(spark, ["a one two three four five six seven eight nine ten b", "clean", None]).withColumns({"n_words": F.lit("own"), "hit_spans": F.lit(1.5), "item_ids": F.lit("mine"), "n_chars": F.col("n_chars").cast("int")})
+    for whole, n in ((True, 2), (False, 3)):
+        out = decontaminate.decontaminate(frame, items, whole=whole)
+        assert out.schema.simpleString() == frame.schema.simpleString()
+        got = out.collect()
+        assert len(got) == n and all((r.n_words, r.hit_spans, r.item_ids) == ("own", 1.5, "mine") for r in got)
+
+
+def test_windows_of_a_benchmark_are_compact():
+    """A megabyte of benchmark text makes its arrays in a moment, at most 22 bytes a window and the text."""
+    import pickle
+    import time
+
+    rng = random.Random(1)
+    items = [(i, " ".join(f"w{rng.randrange(50_000)}" for _ in range(400))) for i in range(400)]
+    begun = time.monotonic()
+    windows = decontaminate.windows_of(items, 10)
+    assert time.monotonic() - begun < 5
+    n = sum(len(x[0]) for x in windows.by_size.values())
+    assert n == 400 * 391 and len(pickle.dumps(windows)) <= 22 * n + len(windows.text)
+    text = pa.array([items[7][1][:600], "w1 w2"])
+    (words, spans, found), (_, none, _) = decontaminate.scan_rows(text, windows, windows.bitmaps())
+    assert spans and spans[0][0] == 0 and found == {"7"} and none == [] and spans[0][1] in (words, words - 1)
+
+
 # --- SimHash
 
 
