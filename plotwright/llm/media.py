@@ -7,6 +7,10 @@ association and map tables with checksums come first. The parser takes any singl
 it finds the elementary stream through the tables, checks continuity counters (a repeated packet is dropped, a
 gap counts as an error), and reassembles the PES packets.
 
+Beside each stream its index is stored: of every PES packet the number of its first transport packet, its timestamp
+and whether it is a random-access point. A reader of one moment cuts the stream at the last such point before it,
+and parses no byte in front of it but the tables. The parser finds the same index again, which is checked.
+
 Streams are made and parsed row by row where the rows are, and nothing is shuffled. Defined results: null and
 empty texts have the least payload, 576 bytes of 255; equal texts give equal streams; bytes that are no
 transport stream give an empty payload and one error; an empty table gives none.
@@ -21,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, written
+from .common import byte_view, chunks, documents, written
 
 UNIT, UNITS_EACH, TICKS, FIRST_TICK = 576, 32, 1080, 90_000
 PACKET, SYNC, PMT_PID, STREAM_PID, STREAM_TYPE, STREAM_ID = 188, 0x47, 0x1000, 0x0100, 0x06, 0xBD
@@ -64,9 +68,9 @@ def padded(raw: bytes) -> bytes:
     return raw.ljust(max(1, -(-len(raw) // UNIT)) * UNIT, b"\xff")
 
 
-def mux(payload: bytes) -> bytes:
-    """The payload, whole units, as a transport stream."""
-    made, count = [_TABLES], 0
+def mux(payload: bytes) -> tuple[bytes, list[tuple[int, int, bool]]]:
+    """The payload, whole units, as a transport stream, and its index: packet, timestamp, random access."""
+    made, count, points = [_TABLES], 0, []
     for k, first in enumerate(range(0, len(payload), UNIT * UNITS_EACH)):
         data = payload[first : first + UNIT * UNITS_EACH]
         ticks = (FIRST_TICK + k * UNITS_EACH * TICKS) & (1 << 33) - 1
@@ -87,9 +91,10 @@ def mux(payload: bytes) -> bytes:
             if rest < 183:
                 out[-1, 5] = 0
             out[-1, PACKET - rest :] = body[len(body) - rest :]
+        points.append((len(_TABLES) + count, ticks, True))
         count += n
         made.append(out)
-    return np.concatenate(made).tobytes()
+    return np.concatenate(made).tobytes(), points
 
 
 def _section(packets: np.ndarray, pid: np.ndarray, wanted: int, table_id: int) -> bytes | None:
@@ -148,34 +153,51 @@ def demux(stream: bytes) -> tuple[bytes, list[tuple[int, int, bool]], int]:
     return b"".join(parts), points, int(errors)
 
 
+_POINT = "array<struct<packet:int,pts:bigint,random_access:boolean>>"
+
+
+def _points(rows: list[list[tuple[int, int, bool]]]) -> pa.Array:
+    names = ("packet", "pts", "random_access")
+    return pa.array([[dict(zip(names, x)) for x in row] for row in rows], pa.list_(pa.struct(list(zip(names, (pa.int32(), pa.int64(), pa.bool_()))))))
+
+
 def streams(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes and media, the stream that carries each row's text."""
+    """doc_id, n_bytes, media, the stream that carries each row's text, and points, its index."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first in range(0, batch.num_rows, 512):
-                rows = batch.slice(first, 512)
+            for a, b in chunks(byte_view(batch.column("text"))[1]):
+                rows = batch.slice(a, b - a)
                 raw = [(t or "").encode() for t in rows.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array([len(x) for x in raw], pa.int64()), pa.array([mux(padded(x)) for x in raw], pa.binary())], names=["doc_id", "n_bytes", "media"])
+                made = [mux(padded(x)) for x in raw]
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array([len(x) for x in raw], pa.int64()), pa.array([m for m, _ in made], pa.binary()), _points([p for _, p in made])], names=["doc_id", "n_bytes", "media", "points"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(step, "doc_id long, n_bytes long, media binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(step, f"doc_id long, n_bytes long, media binary, points {_POINT}")
 
 
 def parsed(media: DataFrame) -> DataFrame:
-    """media with payload, points (packet, pts, random_access) and errors."""
-    names = [c for c in media.columns if c not in ("payload", "points", "errors")]
-    point = pa.struct([("packet", pa.int32()), ("pts", pa.int64()), ("random_access", pa.bool_())])
+    """media with payload, found (the index as the parser finds it: packet, pts, random_access) and errors."""
+    names = [c for c in media.columns if c not in ("payload", "found", "errors")]
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first in range(0, batch.num_rows, 512):
-                rows = batch.slice(first, 512)
+            for a, b in chunks(byte_view(batch.column("media"))[1]):
+                rows = batch.slice(a, b - a)
                 made = [demux(x or b"") for x in rows.column("media").to_pylist()]
-                points = pa.array([[dict(zip(("packet", "pts", "random_access"), x)) for x in m[1]] for m in made], pa.list_(point))
-                yield pa.RecordBatch.from_arrays([*[rows.column(c) for c in names], pa.array([m[0] for m in made], pa.binary()), points, pa.array([m[2] for m in made], pa.int32())], names=[*names, "payload", "points", "errors"])
+                yield pa.RecordBatch.from_arrays([*[rows.column(c) for c in names], pa.array([m[0] for m in made], pa.binary()), _points([m[1] for m in made]), pa.array([m[2] for m in made], pa.int32())], names=[*names, "payload", "found", "errors"])
+
+    kept = media.select(names)
+    schema = kept.withColumns({"payload": F.lit(b""), "found": F.expr(f"cast(array() as {_POINT})"), "errors": F.lit(0)}).schema
+    return kept.mapInArrow(step, schema)
+
 
-    kinds = media.select(names).schema.simpleString()[len("struct<") : -1]
-    return media.select(names).mapInArrow(step, f"{kinds}{',' if names else ''}payload:binary,points:array<struct<packet:int,pts:bigint,random_access:boolean>>,errors:int")
+def from_moment(media: DataFrame, ticks: int) -> DataFrame:
+    """media cut at its last random-access point at that timestamp or before (the first one, if none is), by the stored points alone."""
+    entries = F.filter("points", lambda p: p["random_access"])
+    at = F.coalesce(F.array_max(F.transform(F.filter(entries, lambda p: p["pts"] <= ticks), lambda p: p["packet"])), F.array_min(entries["packet"]), F.lit(len(_TABLES)))
+    head, rest = F.substring("media", 1, len(_TABLES) * PACKET), F.substring("media", at * PACKET + 1, F.length("media"))
+    moved = F.transform(F.filter("points", lambda p: p["packet"] >= at), lambda p: F.struct((p["packet"] - at + len(_TABLES)).alias("packet"), p["pts"].alias("pts"), p["random_access"].alias("random_access")))
+    return media.withColumns({"media": F.concat(head, rest), "points": moved})
 
 
 def op9_media_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,7 +206,8 @@ def op9_media_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
     feature = text(
         F.concat(F.lit("packets="), F.floor(F.length("media") / PACKET)), F.concat(F.lit("pes="), F.size("points")),
         F.concat(F.lit("entries="), F.size(F.filter("points", lambda p: p["random_access"]))),
-        F.concat(F.lit("pts="), F.array_min(F.col("points.pts")), F.lit("-"), F.array_max(F.col("points.pts"))), F.concat(F.lit("errors="), F.col("errors")),
+        F.concat(F.lit("pts="), F.array_min(F.col("points.pts")), F.lit("-"), F.array_max(F.col("points.pts"))),
+        F.concat(F.lit("errors="), F.col("errors") + (F.col("points") != F.col("found")).cast("int")),
     )
     return found.select(
         "doc_id", "n_bytes", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
