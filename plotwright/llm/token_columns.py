@@ -6,8 +6,8 @@ pages have set sizes, and the page indexes that Parquet writes let a reader of a
 metadata columns alone, skip all else. A document's place in the stream of all ids is the total of the files
 before its own plus its place in its file; only one number per file is summed up in one place.
 
-Defined results: null and empty texts hold the end id alone; rows that share a doc_id are ordered by their
-ids' checksum; null doc_ids come first; an empty table gives an empty result.
+Defined results: null and empty texts hold the end id alone; rows that share a doc_id are ordered
+(and dealt, if they are many) by a hash of their text; null doc_ids come first; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, written
-from .tokens import WORD_BPE, encode
+from .tokens import WORD_BPE, encode_chunks
 
 SCHEMA = "doc_id long, part int, place long, n_tokens int, tokens array<int>"
 LAYOUT = {
@@ -42,18 +42,19 @@ def token_rows(docs: DataFrame, end_id: int = 2, vocabulary: str = WORD_BPE) ->
 
         part, place = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for first in range(0, batch.num_rows, 512):
-                rows = batch.slice(first, 512)
-                ids = [np.append(x, end_id).astype(np.int32) for x in encode(rows.column("text"), vocabulary)]
-                sizes = np.array([len(x) for x in ids], np.int64)
-                offsets = np.concatenate([[0], np.cumsum(sizes)])
+            for a, b, found, counts in encode_chunks(batch.column("text"), vocabulary):
+                offsets = np.concatenate([[0], np.cumsum(counts + 1)])
+                ids = np.empty(len(found) + b - a, np.int32)
+                own = np.ones(len(ids), bool)
+                own[offsets[1:] - 1] = False
+                ids[own], ids[~own] = found, end_id
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column("doc_id"), pa.array(np.full(len(ids), part, np.int32)), pa.array(place + offsets[:-1]), pa.array(sizes.astype(np.int32)), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.concatenate(ids)))],
+                    [batch.column("doc_id").slice(a, b - a), pa.array(np.full(b - a, part, np.int32)), pa.array(place + offsets[:-1]), pa.array((counts + 1).astype(np.int32)), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))],
                     names=["doc_id", "part", "place", "n_tokens", "tokens"],
                 )
-                place += int(offsets[-1])
+                place += len(ids)
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     return ordered.mapInArrow(step, SCHEMA)
 
 
