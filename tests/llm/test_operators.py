@@ -773,14 +773,14 @@ def test_secrets_query(spark, data):
 @pytest.mark.parametrize("size", [0, 1, 576, 577, 18_432, 18_433, 300_001])
 def test_stream_round_trip(size):
     payload = media.padded(os.urandom(size))
-    stream = media.mux(payload)
+    stream, index = media.mux(payload)
     back, points, errors = media.demux(stream)
-    assert back == payload and not errors and len(stream) % 188 == 0 and all(p[2] for p in points)
+    assert back == payload and not errors and len(stream) % 188 == 0 and all(p[2] for p in points) and points == index
     assert [p[1] for p in points] == [90_000 + 32 * 1080 * k for k in range(len(points))]
 
 
 def test_stream_faults():
-    stream = media.mux(media.padded(os.urandom(9000)))
+    stream, _ = media.mux(media.padded(os.urandom(9000)))
     assert media.demux(stream[: 188 * 5] + stream[188 * 6 :])[2] == 2  # a gap, and a short packet
     assert media.demux(stream[: 188 * 5] + stream[188 * 4 :]) [2] == 0  # a repeated packet
     assert media.demux(b"") == (b"", [], 1) and media.demux(b"x" * 400)[0] == b""
@@ -795,6 +795,62 @@ def test_media_query(spark, data):
         assert r.tail_crc32 == zlib.crc32(payload[-32:]) and r.media_bytes % 188 == 0 and r.feature.endswith("errors=0")
 
 
+def brute_stream(payload):
+    """The stream packet by packet, from the format alone: tables, then the packets of each PES packet."""
+
+    def crc(data):
+        crc = 0xFFFFFFFF
+        for bit in "".join(f"{b:08b}" for b in data):
+            crc = crc << 1 ^ (0x04C11DB7 if (crc >> 31) ^ int(bit) else 0)
+            crc &= 0xFFFFFFFF
+        return crc.to_bytes(4, "big")
+
+    def section(pid, table, body):
+        whole = bytes([table, 0xB0, 5 + len(body) + 4, 0, 1, 0xC1, 0, 0]) + body
+        return bytes([0x47, 0x40 | pid >> 8, pid & 255, 0x10, 0]) + whole + crc(whole)
+
+    out = [section(0, 0, bytes([0, 1, 0xF0, 0])).ljust(188, b"\xff"), section(0x1000, 2, bytes([0xE1, 0, 0xF0, 0, 6, 0xE1, 0, 0xF0, 0])).ljust(188, b"\xff")]
+    count = 0
+    for k in range(0, len(payload), 576 * 32):
+        data, ticks = payload[k : k + 576 * 32], 90_000 + k // 576 * 1080
+        bits = f"{ticks:033b}"
+        stamp = int("0010" + bits[:3] + "1" + bits[3:18] + "1" + bits[18:] + "1", 2).to_bytes(5, "big")
+        rest = b"\0\0\1\xbd" + (len(data) + 8).to_bytes(2, "big") + b"\x80\x80\x05" + stamp + data
+        first = True
+        while rest:
+            clock = b"\x50" + int(bits + "1" * 6 + "0" * 9, 2).to_bytes(6, "big") if first else b""
+            room = 184 - (len(clock) + 1 if first else 0)
+            field = bytes([len(clock)]) + clock if first else b""
+            if len(rest) < room:
+                stuffing = 184 - len(rest)
+                field = bytes([stuffing - 1]) + (b"\0" + b"\xff" * (stuffing - 2) if stuffing > 1 else b"")
+                room = len(rest)
+            out.append(bytes([0x47, 0x41 if first else 0x01, 0, (0x30 if field else 0x10) | count & 15]) + field + rest[:room])
+            rest, first, count = rest[room:], False, count + 1
+    return b"".join(out)
+
+
+def test_media_equals_brute_force(spark, data):
+    """media_sha256 and feature of the query, by a writer of its own."""
+    texts = text_of(data)
+    for r in queries.QUERIES["op9_media_ts"](spark, data).collect():
+        payload = media.padded((texts[r.doc_id] or "").encode())
+        stream, pes = brute_stream(payload), -(-len(payload) // (576 * 32))
+        assert r.media_sha256 == hashlib.sha256(stream).hexdigest() and r.media_bytes == len(stream)
+        assert r.feature == f"packets={len(stream) // 188};pes={pes};entries={pes};pts=90000-{90_000 + (pes - 1) * 32 * 1080};errors=0"
+
+
+def test_stored_points_lead_to_a_moment(spark):
+    text = " ".join(f"w{i}" for i in range(20_000))
+    table = common.written(media.streams(docs(spark, [text, None])), "media")
+    payload = media.padded(text.encode())
+    for moment in (0, 90_000, 90_000 + 32 * 1080 * 2 + 5, 1 << 40):
+        got = {r.doc_id: r for r in media.parsed(media.from_moment(table, moment)).collect()}
+        skipped = min(max(0, (moment - 90_000) // (32 * 1080)), (len(payload) - 1) // (576 * 32))
+        assert bytes(got[0].payload) == payload[skipped * 576 * 32 :] and not got[0].errors and got[0].points == got[0].found
+        assert bytes(got[1].payload) == b"\xff" * 576
+
+
 def test_media_of_hard_rows(spark):
     got = media.parsed(media.streams(hard(spark))).collect()
     assert len(got) == len(HARD) + 2 and all(not r.errors for r in got)
