@@ -1,13 +1,14 @@
 """SimHash near-duplicates, found through tables of distances to reference fingerprints.
 
 Equal fingerprints are merged first. Of each distinct one a table of Hamming distances to the reference
-fingerprints is kept: some random ones, and each of these with one of four blocks of bits complemented. The
-difference of two such coordinates depends on one block alone, and two fingerprints at most two bits apart
-agree in at least two blocks, so in all coordinates of one of the six pairs of blocks: those coordinates are
-the keys by which candidates meet. Within a bucket a pair with a coordinate that differs by more than the limit
-is discarded, and the survivors are verified. Buckets over ``bucket_most`` fingerprints are not enumerated:
-there two fingerprints are linked through a common neighbour at one bit at most from both, which is exact for
-two bits, linear in the bucket, and gathers 65 fingerprints at most in one place.
+fingerprints is kept: some random ones, and each of these with one block of bits complemented. The difference of two
+such coordinates depends on that block alone, and two fingerprints at most two bits apart agree in at least two of
+four blocks, so in all coordinates of one of the six pairs of blocks: those coordinates are the keys by which
+candidates meet. A bucket over ``bucket_most`` fingerprints is dealt again in the same way, by the coordinates of
+the four halves of its two other blocks, and once more by the halves of those: what then meets has equal coordinates in
+four blocks, two halves and two quarters (but for unequal blocks with equal coordinates, which are few, 56 of 64
+bits), so that no bucket grows with the corpus. Within a bucket a pair with a coordinate that differs by more than
+the limit is discarded, and the survivors are verified.
 
 Defined results: null and empty texts have fingerprint zero, linked like any other; rows that share a doc_id
 are linked by their own texts; a component's id is the least doc_id in it, null if it has none; an empty table
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from plotwright.operators.graph import stars
 
-from .common import documents, mix, written
+from .common import byte_view, chunks, documents, mix, written
 from .wide_simhash import similar
 
 BITS, MOST_BITS, BLOCKS = 64, 2, 4
@@ -63,26 +64,43 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = []
-            for first in range(0, batch.num_rows, 256):
-                made += [_signed(fingerprint(t, words)) for t in batch.column("text")[first : first + 256].to_pylist()]
+            for a, b in chunks(byte_view(batch.column("text"))[1]):
+                made += [_signed(fingerprint(t, words)) for t in batch.column("text")[a:b].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(made, pa.int64())], names=["doc_id", "text_key", "fp"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text").mapInArrow(step, "doc_id long, text_key long, fp long")
 
 
-def _distance(fp: Column, reference: int) -> Column:
-    return F.bit_count(fp.bitwiseXOR(F.lit(_signed(reference))))
+def _distance(fp: Column, reference: Column) -> Column:
+    return F.bit_count(fp.bitwiseXOR(reference))
 
 
-def block_key(fp: Column, block: int) -> Column:
-    """The distances within one block to the random references, from those to them and to their complements there."""
-    key = F.lit(0).cast("long")
+def block_key(fp: Column, mask: Column) -> Column:
+    """The distances within a block (its bits set in mask) to the random references, from those to them and to their complements there."""
+    key, size = F.lit(0).cast("long"), F.bit_count(mask)
     for r in REFERENCES:
-        inside = F.shiftright(_distance(fp, r) - _distance(fp, r ^ MASKS[block]) + 16, 1)
+        reference = F.lit(_signed(r))
+        inside = F.shiftright(_distance(fp, reference) - _distance(fp, reference.bitwiseXOR(mask)) + size, 1)
         key = F.shiftleft(key, 5).bitwiseOR(inside.cast("long"))
     return key
 
 
+def _halves(mask: Column, width: int) -> list[Column]:
+    """The lower and the upper half of a block of that many bits."""
+    return [mask.bitwiseAND(F.shiftrightunsigned(mask, width // 2)), mask.bitwiseAND(F.shiftleft(mask, width // 2))]
+
+
+def dealt(rows: DataFrame, width: int) -> DataFrame:
+    """rows (fp, bucket, blocks: four masks of that width) once for each pair of blocks: their new bucket, and the halves of the other two."""
+    keyed = rows.withColumn("k", F.array(*[block_key(F.col("fp"), F.col("blocks")[b]) for b in range(BLOCKS)]))
+    ways = []
+    for a, b in PAIRS:
+        c, d = (x for x in range(BLOCKS) if x not in (a, b))
+        halves = F.array(*_halves(F.col("blocks")[c], width), *_halves(F.col("blocks")[d], width))
+        ways.append(F.struct(F.xxhash64("bucket", F.lit(a), F.lit(b), F.col("k")[a], F.col("k")[b]).alias("bucket"), halves.alias("blocks")))
+    return keyed.select("fp", F.explode(F.array(*ways)).alias("way")).select("fp", "way.*")
+
+
 def _bucket_links(members: np.ndarray, most: int) -> list[tuple[int, int]]:
     """Links that connect whatever pairs within most bits connect: a spanning forest."""
     x = np.unique(members).view(np.uint64)
@@ -109,22 +127,25 @@ def _bucket_links(members: np.ndarray, most: int) -> list[tuple[int, int]]:
 
 def links(fps: DataFrame, bucket_most: int = BUCKET_MOST) -> DataFrame:
     """Links a, b that connect all distinct fingerprints (column fp) within MOST_BITS of each other."""
-    keys = [block_key(F.col("fp"), b) for b in range(BLOCKS)]
-    keyed = fps.select("fp", F.array(*keys).alias("k")).select("fp", F.explode(F.array(*[F.struct(F.lit(p).alias("pair"), F.col("k")[a].alias("ka"), F.col("k")[b].alias("kb")) for p, (a, b) in enumerate(PAIRS)])).alias("key")).select("fp", "key.*")
-    counts = keyed.groupBy("pair", "ka", "kb").agg(F.count("*").alias("n")).where("n > 1")
-    met = written(keyed.join(counts, ["pair", "ka", "kb"]), "buckets")
+    rows = fps.select("fp", F.lit(0).cast("long").alias("bucket"), F.array(*[F.lit(_signed(m)) for m in MASKS]).alias("blocks"))
+    found = None
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [x for m in batch.column("members").to_pylist() for x in _bucket_links(np.array(m, np.int64), MOST_BITS)]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    few = met.where(F.col("n") <= bucket_most).groupBy("pair", "ka", "kb").agg(F.collect_list("fp").alias("members")).select("members").mapInArrow(step, "a long, b long")
-    hot = met.where(F.col("n") > bucket_most).select("fp").distinct()
-    around = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(_signed(1 << i))) for i in range(BITS)])
-    balls = hot.select("fp", F.explode(around).alias("middle")).groupBy("middle").agg(F.collect_list("fp").alias("members")).where(F.size("members") > 1)
-    through = balls.select(F.array_min("members").alias("a"), F.explode("members").alias("b")).where("a <> b")
-    return few.union(through).distinct()
+    for width in (16, 8, 4):
+        keyed = dealt(rows, width)
+        counts = keyed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+        met = written(keyed.join(counts, "bucket"), "buckets")
+        small = met if width == 4 else met.where(F.col("n") <= bucket_most)
+        own = small.groupBy("bucket").agg(F.collect_list("fp").alias("members")).select("members").mapInArrow(step, "a long, b long")
+        found = own if found is None else found.union(own)
+        rows = met.where(F.col("n") > bucket_most).select("fp", "bucket", "blocks")
+        if width == 4 or not rows.limit(1).count():
+            break
+    return found.distinct()
 
 
 def components(prints: DataFrame, bucket_most: int = BUCKET_MOST) -> DataFrame:
