@@ -343,6 +343,36 @@ def test_components_of_planted_fingerprints(spark, bucket_most):
     assert [got[i] for i in range(len(made))] == brute_components(prints)
 
 
+def test_hot_buckets_are_dealt_until_they_are_small(spark):
+    """2,000 fingerprints that share 32 bits, chains among them: links as of brute force, by pivot coordinates alone."""
+    rng = random.Random(17)
+    head = rng.getrandbits(32) << 32
+    made = {head | rng.getrandbits(32) for _ in range(1500)}
+    for f in list(made)[:300]:
+        made.add(f ^ 1 << rng.randrange(64))
+        made.add(f ^ (1 << rng.randrange(64) | 1 << rng.randrange(64)))
+    made = sorted(made)
+    signed = [f - (1 << 64) if f >> 63 else f for f in made]
+    df = spark.createDataFrame([(i, i, f) for i, f in enumerate(signed)], "doc_id long, text_key long, fp long")
+    got = {r.doc_id: r.component_id for r in simhash.components(df, 64).collect()}
+    assert [got[i] for i in range(len(made))] == brute_components(list(enumerate(made)))
+    seen = df.select("fp", F.lit(0).cast("long").alias("bucket"), F.array(*[F.lit(simhash._signed(m)) for m in simhash.MASKS]).alias("blocks"))
+    most = []
+    for width in (16, 8, 4):
+        seen = simhash.dealt(seen, width)
+        most.append(seen.groupBy("bucket").count().agg(F.max("count")).first()[0])
+    assert most[0] >= 1500 and most[1] < 200 and most[2] < 30
+
+
+def test_coordinates_of_small_blocks_tell_all_values_apart():
+    import numpy.linalg as la
+
+    for width in (8, 4):
+        for low in range(0, 64, width):
+            signs = np.array([[1 - 2 * (r >> k & 1) for k in range(low, low + width)] for r in simhash.REFERENCES])
+            assert la.matrix_rank(signs) == width
+
+
 def brute_fingerprint(text):
     import xxhash
 
