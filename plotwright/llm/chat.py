@@ -2,12 +2,15 @@
 
 A legal conversation is an optional system turn, then user and assistant turns in turn, ended by the assistant.
 Each turn of the input is kept, relabelled, merged into the turn before, or preceded by empty turns; every
-choice has a cost, and dynamic programming over the automaton's states finds the cheapest legal outcome
-(of equal ones always the same, for a given block). The repaired sequence is then rendered.
+choice has a cost, and dynamic programming over the automaton's states finds the cheapest legal outcome. Of
+equal ones it takes the one whose states, read from the last turn back, come first in the order of ``STATES``; the
+outcome thus depends on the conversation alone. The repaired sequence is then rendered.
 
-A conversation may hold any share of all rows, so it is cut into blocks of ``block`` turn numbers. A block comes
-down to a 4 x 4 table of least costs between states (min-plus matrices compose), one small table a block decides
-the states at the block edges, and each block then repairs and renders its own turns.
+A conversation may hold any share of all rows. Those over ``block`` turns are sorted by ranges, numbered by what
+each range holds, and cut into blocks of as many turns. A block comes down to a 4 x 4 table of least costs between
+states (min-plus matrices compose) and the order among equal ones; one small table a block decides the states at
+the block edges, and each block then repairs and renders its own turns. What is rendered stays one row a block,
+so no row grows with a conversation; conversations of up to ``block`` turns are one row.
 
 Defined results: turns are ordered by turn, then role, then text, null turn numbers last; a role is read
 without case or outer white space and by its common aliases, null or unknown roles take any legal one at a low cost;
@@ -21,9 +24,11 @@ from collections.abc import Callable, Iterator
 from itertools import groupby
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 STATES = ("start", "system", "user", "assistant")
 NEXT = {0: (1, 2), 1: (2,), 2: (3,), 3: (2,)}
 LAST = 3
@@ -57,20 +62,30 @@ def moves(state: int, role: int) -> list[Move]:
 MOVES = [[moves(s, r) for r in range(4)] for s in range(4)]
 
 
+#: For each state and role the cheapest move to each new state, or None.
+BEST = [[[next((m for m in MOVES[s][r] if m[1] == e), None) for e in range(4)] for r in range(4)] for s in range(4)]
+
+
 def table(roles: list[int]) -> list[int]:
-    """Least costs from each state (row) to each state through turns of these roles, FAR if there is no way."""
-    out = []
+    """Least costs from each state (row) to each state through turns of these roles, FAR if there is no way; then, for each of these 16, its place among equal states at the end by the states on the way, read backwards."""
+    costs, keys = [], []
     for start in range(4):
-        costs = [0 if s == start else FAR for s in range(4)]
-        for role in roles:
-            after = [FAR] * 4
-            for s in range(4):
-                if costs[s] < FAR:
-                    for cost, to, _, _ in MOVES[s][role]:
-                        after[to] = min(after[to], costs[s] + cost)
-            costs = after
-        out += costs
-    return out
+        now = [(0, 0) if s == start else (FAR, 0) for s in range(4)]
+        for k, role in enumerate(roles):
+            after = [(FAR, 0)] * 4
+            for e in range(4):
+                ways = [(now[s][0] + m[0], s << 2 * k | now[s][1]) for s in range(4) if now[s][0] < FAR and (m := BEST[s][role][e])]
+                if ways:
+                    after[e] = min(ways)
+            now = after
+        costs += [c for c, _ in now]
+        keys += [k >> 2 for _, k in now]  # without the state at the start
+    ranks = [0] * 16
+    for e in range(4):
+        order = sorted({keys[4 * s + e] for s in range(4)})
+        for s in range(4):
+            ranks[4 * s + e] = order.index(keys[4 * s + e])
+    return costs + ranks
 
 
 def closing(state: int) -> tuple[int, tuple[int, ...]]:
@@ -86,9 +101,9 @@ def edges(tables: list[list[int]]) -> tuple[int, list[int]]:
     """The least cost of all, and the states before, between and after the blocks on the way."""
     costs, back = [0, FAR, FAR, FAR], []
     for t in tables:
-        best = [min((costs[s] + t[4 * s + e], s) for s in range(4)) for e in range(4)]
-        back.append([s for _, s in best])
-        costs = [min(c, FAR) for c, _ in best]
+        best = [min((costs[s] + t[4 * s + e], t[16 + 4 * s + e], s) for s in range(4)) for e in range(4)]
+        back.append([s for _, _, s in best])
+        costs = [min(c, FAR) for c, _, _ in best]
     total, state = min((costs[s] + closing(s)[0], s) for s in range(4) if costs[s] < FAR)
     path = [state]
     for b in reversed(back):
@@ -98,16 +113,15 @@ def edges(tables: list[list[int]]) -> tuple[int, list[int]]:
 
 def repair(roles: list[int], first: int, last: int) -> list[Move]:
     """The cheapest moves that lead from one state to the other through turns of these roles."""
-    ahead = [[FAR] * 4 for _ in roles] + [[0 if s == last else FAR for s in range(4)]]
+    behind = [[0 if s == first else FAR for s in range(4)]]
+    for role in roles:
+        behind.append([min((behind[-1][s] + m[0] for s in range(4) if (m := BEST[s][role][e])), default=FAR) for e in range(4)])
+    out, state = [], last
     for k in range(len(roles) - 1, -1, -1):
-        for s in range(4):
-            ahead[k][s] = min((m[0] + ahead[k + 1][m[1]] for m in MOVES[s][roles[k]]), default=FAR)
-    out, state = [], first
-    for k, role in enumerate(roles):
-        move = next(m for m in MOVES[state][role] if m[0] + ahead[k + 1][m[1]] == ahead[k][state])
-        out.append(move)
-        state = move[1]
-    return out
+        before = next(s for s in range(4) if (m := BEST[s][roles[k]][state]) and behind[k][s] + m[0] == behind[k + 1][state] < FAR)
+        out.append(BEST[before][roles[k]][state])
+        state = before
+    return out[::-1]
 
 
 def _opened(state: int, fresh: bool) -> str:
@@ -163,14 +177,51 @@ def _runs(df: DataFrame, key: tuple[str, ...], order: tuple[str, ...], names: tu
     return df.repartition(*key).sortWithinPartitions(*key, *order).select(*key, *names).mapInArrow(step, schema)
 
 
+def numbered(turns: DataFrame) -> DataFrame:
+    """turns (conv_id, turn, said, text and more) with place, the number of turns of the conversation before.
+
+    Equal turns are dealt by a number of their own, so that no range grows with their count.
+    """
+    keys = ["conv_id", "turn", "said", "text"]
+    kept = turns.columns
+    names = [*kept, "range", "within"]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, last, n = TaskContext.get().partitionId(), "", 0
+        for batch in batches:
+            within = []
+            for conv in batch.column("conv_id").to_pylist():
+                n, last = n + 1 if conv == last else 0, conv
+                within.append(n)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array([part] * len(within), pa.int32()), pa.array(within, pa.int64())], names=names)
+
+    own = turns.withColumn("__equal", F.monotonically_increasing_id())
+    ordered = own.repartitionByRange(*keys, "__equal").sortWithinPartitions(*keys, "__equal").drop("__equal")
+    found = written(ordered.mapInArrow(count, turns.withColumns({"range": F.lit(0), "within": F.lit(0).cast("long")}).schema), "turns")
+    sizes = found.groupBy("conv_id", "range").agg(F.count("*").alias("n"))
+    before = sizes.select(F.col("conv_id").alias("p_id"), F.col("range").alias("p_range"), F.coalesce(F.sum("n").over(Window.partitionBy("conv_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    met = found.join(before, found["conv_id"].eqNullSafe(before["p_id"]) & (found["range"] == before["p_range"]))
+    return met.select(*kept, (F.col("before") + F.col("within")).alias("place"))
+
+
 def repaired(turns: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Per conversation: n_turns, cost, merges, relabels, insertions, roles (initials) and rendered."""
+    """Per conversation and block of turns: n_turns, cost (of the conversation), merges, relabels, insertions, roles (initials) and rendered."""
     aliases = F.create_map(*[F.lit(x) for pair in ALIASES.items() for x in pair])
     own = turns.select(
-        F.col("conv_id").cast("long").alias("conv_id"), F.coalesce(F.floor(F.col("turn") / block).cast("long"), F.lit(FAR)).alias("block"), F.coalesce(F.col("turn").cast("long"), F.lit(FAR)).alias("turn"),
+        F.col("conv_id").cast("long").alias("conv_id"), F.coalesce(F.col("turn").cast("long"), F.lit(FAR)).alias("turn"),
         F.coalesce(aliases[F.lower(F.trim("role"))], F.lit(0)).alias("role"), F.coalesce("role", F.lit("")).alias("said"), F.coalesce("text", F.lit("")).alias("text"),
     )
-    tables = _runs(own, ("conv_id", "block"), ("turn", "said", "text"), ("role",), lambda k, rows: [(*k, table([r for (r,) in rows]))], "conv_id long, block long, costs array<long>")
+    sizes = own.groupBy(F.col("conv_id").alias("c_id")).agg(F.count("*").alias("n"))
+    long = written(sizes.where(F.col("n") > block).select("c_id"), "long")
+    same = own["conv_id"].eqNullSafe(long["c_id"])
+    short = own.join(long, same, "left_anti").select(*own.columns, F.lit(0).cast("long").alias("place"))
+    if long.limit(1).count():
+        short = short.union(numbered(own.join(long, same, "left_semi")))
+    own = written(short.withColumn("block", F.floor(F.col("place") / block).cast("long")), "blocks")
+    order = ("place", "turn", "said", "text")
+    tables = _runs(own, ("conv_id", "block"), order, ("role",), lambda k, rows: [(*k, table([r for (r,) in rows]))], "conv_id long, block long, costs array<long>")
 
     def decide(key: tuple, rows: list[tuple]) -> list[tuple]:
         total, path = edges([t for _, t in rows])
@@ -185,10 +236,7 @@ def repaired(turns: DataFrame, block: int = BLOCK) -> DataFrame:
         text, initials, counts = render([r[0] for r in rows], [r[1] for r in rows], first, last, ends)
         return [(*key, len(rows), cost, *counts, initials, text)]
 
-    parts = _runs(met, ("conv_id", "block"), ("turn", "said", "text"), ("role", "text", "first", "last", "ends", "cost"), write, "conv_id long, block long, n_turns long, cost long, merges long, relabels long, insertions long, roles string, rendered string")
-    joined = lambda c: F.array_join(F.transform(F.array_sort("parts"), lambda x: x[c]), "")
-    whole = parts.groupBy("conv_id").agg(*[F.sum(c).alias(c) for c in ("n_turns", "merges", "relabels", "insertions")], F.max("cost").alias("cost"), F.collect_list(F.struct("block", "roles", "rendered")).alias("parts"))
-    return whole.select("conv_id", "n_turns", "cost", "merges", "relabels", "insertions", joined("roles").alias("roles"), joined("rendered").alias("rendered"))
+    return _runs(met, ("conv_id", "block"), order, ("role", "text", "first", "last", "ends", "cost"), write, "conv_id long, block long, n_turns long, cost long, merges long, relabels long, insertions long, roles string, rendered string")
 
 
 def op5_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
