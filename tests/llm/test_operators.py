@@ -892,15 +892,33 @@ def test_media_of_hard_rows(spark):
 
 
 def brute_cost(roles):
-    """The least cost over all sequences of moves."""
-    best = {0: 0}
+    """The least cost by the rules alone: whatever is opened follows "s?(ua)*", empty turns cost 2, any number of them."""
+    may = {"": "su", "s": "u", "u": "a", "a": "u"}
+
+    def opened(last):
+        """Costs of having opened empty turns after last, by the last one then."""
+        best, todo = {last: 0}, [last]
+        while todo:
+            x = todo.pop(0)
+            for y in may[x]:
+                if y not in best:
+                    best[y] = best[x] + 2
+                    todo.append(y)
+        return best
+
+    best = {"": 0}
     for role in roles:
-        after = {}
-        for state, cost in best.items():
-            for c, to, _, _ in chat.moves(state, role):
-                after[to] = min(after.get(to, 1 << 40), cost + c)
+        own, after = {0: None, 1: "s", 2: "u", 3: "a"}[role], {}
+        for last, cost in best.items():
+            if last:
+                c = cost + (1 if own in (None, last) else 4)
+                after[last] = min(after.get(last, c), c)
+            for before, extra in opened(last).items():
+                for y in may[before]:
+                    c = cost + extra + (0 if y == own else 3 if own else 1)
+                    after[y] = min(after.get(y, c), c)
         best = after
-    return min(c + chat.closing(s)[0] for s, c in best.items())
+    return min(c + opened(last).get("a", 1 << 40) for last, c in best.items())
 
 
 def legal(initials):
@@ -915,14 +933,40 @@ def test_chat_repair(spark):
         roles_of[conv] = roles
         rows += [(conv, t, names[r], f"t{t} <|user|>") for t, r in enumerate(roles)]
     df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
-    for block in (256, 4):
-        for r in chat.repaired(df, block).collect():
-            roles = roles_of[r.conv_id]
-            assert r.cost == brute_cost(roles) and r.n_turns == len(roles) and legal(r.roles)
-            assert re.findall(r"t\d+", r.rendered) == [f"t{t}" for t in range(len(roles))]
-            assert re.findall(r"<\|(\w+)\|>", r.rendered) == [x for i in r.roles for x in ({"s": "system", "u": "user", "a": "assistant"}[i], "end")]
-    one, many = (sorted(map(tuple, chat.repaired(df, b).collect())) for b in (256, 4))
-    assert [x[:3] for x in one] == [x[:3] for x in many]
+    one, few, single = (whole_chats(chat.repaired(df, b)) for b in (256, 4, 1))
+    for conv, r in one.items():
+        roles = roles_of[conv]
+        assert r["cost"] == brute_cost(roles) and r["n_turns"] == len(roles) and legal(r["roles"])
+        assert re.findall(r"t\d+", r["rendered"]) == [f"t{t}" for t in range(len(roles))]
+        assert re.findall(r"<\|(\w+)\|>", r["rendered"]) == [x for i in r["roles"] for x in ({"s": "system", "u": "user", "a": "assistant"}[i], "end")]
+    assert len(one) == 40 and one == few == single
+
+
+def whole_chats(frame):
+    """The rows of a conversation put together: sums, and roles and text in the order of the blocks."""
+    out = {}
+    for r in sorted(frame.collect(), key=lambda r: (r.conv_id is None, r.conv_id, r.block)):
+        own = out.setdefault(r.conv_id, {"n_turns": 0, "merges": 0, "relabels": 0, "insertions": 0, "roles": "", "rendered": "", "cost": r.cost})
+        for c in ("n_turns", "merges", "relabels", "insertions", "roles", "rendered"):
+            own[c] += r[c]
+        assert own["cost"] == r.cost
+    return out
+
+
+def test_long_and_hot_conversations(spark):
+    """Two thousand turns of one number, or of none, are cut into blocks; a text of a million letters passes whole."""
+    rng = random.Random(5)
+    rows = [(1, None if t % 2 else 7, rng.choice(["user", "assistant", None]), f"t{t:05}") for t in range(2000)]
+    rows += [(2, 1, "user", "same")] * 700 + [(None, t, "user" if t % 2 == 0 else "bot", "x") for t in range(600)] + [(3, 0, "user", "y" * 1_000_000)]
+    found = chat.repaired(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"), 100)
+    assert found.groupBy("conv_id").agg(F.max("n_turns")).where("max(n_turns) > 100").count() == 0
+    got = whole_chats(found)
+    code = {"user": 2, "assistant": 3, None: 0}
+    own = sorted((r for r in rows if r[0] == 1), key=lambda r: (r[1] is None, r[1], r[2] or "", r[3]))
+    assert got[1]["n_turns"] == 2000 and got[1]["cost"] == brute_cost([code[r[2]] for r in own]) and legal(got[1]["roles"])
+    assert re.findall(r"t\d{5}", got[1]["rendered"]) == [r[3] for r in own]
+    assert got[2]["rendered"].count("same") == 700 and got[2]["cost"] == brute_cost([2] * 700)
+    assert got[None]["cost"] == 0 and got[None]["n_turns"] == 600 and len(got[3]["rendered"]) > 1_000_000
 
 
 def test_chat_on_hard_rows(spark):
