@@ -8,9 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plotwright.tables import written
-
-MOST_ROUNDS = 60
+from plotwright.tables import new_path, written
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -36,15 +34,10 @@ def stars(links: DataFrame, left: str, right: str) -> DataFrame:
     edges = links.select(F.greatest(left, right).alias("a"), F.least(left, right).alias("b")).where("a <> b").distinct()
     edges = written(edges, "links")
     state = _state(edges)
-    for _ in range(MOST_ROUNDS):
-        if not state[0]:
-            break
+    before = None
+    while state[0] and state != before:  # the number of rounds grows with the square of its logarithm at most
         edges = written(_small_star(_large_star(edges)), "stars")
         before, state = state, _state(edges)
-        if before == state:
-            break
-    else:
-        raise RuntimeError(f"components have not settled in {MOST_ROUNDS} rounds")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())
 
 
@@ -53,47 +46,50 @@ def labelled(nodes: DataFrame, links: DataFrame, left: str, right: str) -> DataF
     return nodes.join(stars(links, left, right), "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
-def least_costs(edges: DataFrame, sources: DataFrame, most_rounds: int = 200, every: int = 4) -> DataFrame:
+def least_costs(edges: DataFrame, sources: DataFrame, every: int = 4) -> DataFrame:
     """site_id, source, node, dist and prev of every node that a source reaches.
 
     edges: site_id, src, dst, weight, walked in both directions; sources: site_id, source. Bellman-Ford in
     rounds over all sites and sources at once: only nodes that have just improved look further, and the state is
-    written every few rounds. Weights are not negative. Ties go to the least predecessor.
+    written every few rounds, until none has improved. Weights are not negative. Ties go to the least predecessor.
     """
     both = written(edges.select("site_id", "src", "dst", "weight").union(edges.select("site_id", "dst", "src", "weight")), "arcs")
     state = written(sources.select("site_id", "source", F.col("source").alias("node"), F.lit(0.0).alias("dist"), F.lit(None).cast("long").alias("prev"), F.lit(True).alias("fresh")), "reach")
-    for _ in range(0, most_rounds, every):
+    while state.where("fresh").limit(1).count():
         for _ in range(every):
             step = state.where("fresh").join(both.withColumnRenamed("src", "node"), ["site_id", "node"]).select("site_id", "source", F.col("dst").alias("node"), (F.col("dist") + F.col("weight")).alias("dist"), F.col("node").alias("prev"), F.lit(True).alias("fresh"))
             known = state.withColumn("fresh", F.lit(False))
             best = F.min(F.struct("dist", "fresh", "prev"))  # an old way wins over a new one of equal cost
             state = known.unionByName(step).groupBy("site_id", "source", "node").agg(best.alias("of")).select("site_id", "source", "node", "of.dist", "of.prev", "of.fresh")
         state = written(state, "reach")
-        if not state.where("fresh").limit(1).count():
-            return state.drop("fresh")
-    raise RuntimeError(f"paths have not settled in {most_rounds} rounds")
+    return state.drop("fresh")
 
 
-def path_nodes(reach: DataFrame, goals: DataFrame, most_rounds: int = 400) -> DataFrame:
-    """site_id, source, goal, node, back (steps from the goal): paths of goals (site_id, source, goal), walked back all at once."""
+def path_nodes(reach: DataFrame, goals: DataFrame) -> DataFrame:
+    """site_id, source, goal, node, back (steps from the goal): paths of goals (site_id, source, goal), walked back all at once.
+
+    Each step is appended to one table, until every path has come to its source.
+    """
     prev = written(reach.select("site_id", "source", "node", "prev"), "prev")
-    at = written(goals.select("site_id", "source", "goal", F.col("goal").alias("node"), F.lit(0).alias("back")).join(prev, ["site_id", "source", "node"]), "walk")
-    done = at
-    for _ in range(most_rounds):
-        step = at.where("prev is not null").select("site_id", "source", "goal", F.col("prev").alias("node"), (F.col("back") + 1).alias("back"))
-        at = written(step.join(prev, ["site_id", "source", "node"]), "walk")
-        if not at.limit(1).count():
-            return done.drop("prev")
-        done = done.unionByName(at)
-    raise RuntimeError(f"a path has more than {most_rounds} steps")
-
-
-def spanning_forest(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
+    at = goals.select("site_id", "source", "goal", F.col("goal").alias("node"), F.lit(0).alias("back")).join(prev, ["site_id", "source", "node"])
+    path, step = new_path(reach.sparkSession, "walk"), 0
+    while True:
+        stepped = at.withColumn("step", F.lit(step))
+        stepped.write.mode("append").parquet(path)
+        whole = reach.sparkSession.read.schema(stepped.schema).parquet(path)
+        last = whole.where((F.col("step") == step) & F.col("prev").isNotNull())
+        if not last.limit(1).count():
+            return whole.drop("prev", "step")
+        at = last.select("site_id", "source", "goal", F.col("prev").alias("node"), (F.col("back") + 1).alias("back")).join(prev, ["site_id", "source", "node"])
+        step += 1
+
+
+def spanning_forest(edges: DataFrame) -> DataFrame:
     """The edges (site_id, src, dst, weight) of least total weight that connect each site, by rounds of Boruvka; ties by src, dst."""
     node = lambda c: F.struct("site_id", F.col(c).alias("n"))
     e = written(edges.select("site_id", "src", "dst", "weight", node("src").alias("a"), node("dst").alias("b")), "forest-edges")
     chosen, live = None, e.withColumns({"ra": F.col("a"), "rb": F.col("b")})
-    for _ in range(most_rounds):
+    while True:  # each round halves the trees at least
         key = F.struct("weight", "src", "dst")
         ends = live.select(F.col("ra").alias("r"), key.alias("k"), "site_id").union(live.select("rb", key, "site_id"))
         picked = ends.groupBy("r").agg(F.min("k").alias("k"), F.first("site_id").alias("site_id")).select("site_id", "k.*").distinct()

@@ -22,10 +22,15 @@ def expanded(configs: DataFrame) -> DataFrame:
     return rows.select("site_id", F.concat_ws("_", "type", "i").alias("asset_id"), "type", w.alias("width"), ln.alias("length"), spaces.alias("spaces"))
 
 
+def drawn(*of) -> Column:
+    """A number from 0 to 1 drawn by a hash of what is given."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *of)), 1, 8), 16, 10).cast("double") / 2.0**32
+
+
 def candidates(assets: DataFrame, population: int, span: float, seed: int = 42) -> DataFrame:
     """Every asset placed once in each member of a population: place and quarter turns by hashes of seed, site, member and asset."""
     rows = assets.withColumn("solution_id", F.explode(F.sequence(F.lit(0), F.lit(population - 1))))
-    share = lambda k: F.pmod(F.xxhash64(F.lit(seed), "site_id", "solution_id", "id", F.lit(k)), F.lit(1_000_003)) / 1_000_003.0
+    share = lambda k: drawn(F.lit(seed), "site_id", "solution_id", "id", F.lit(k))
     return rows.withColumns({"x": share(1) * span, "y": share(2) * span, "rotation": F.floor(share(3) * 4.0) * 90.0})
 
 
@@ -48,26 +53,27 @@ def objectives(layouts: DataFrame, entry: tuple[float, float], reach: float = 10
     )
 
 
-def terrain_objectives(layouts: DataFrame, cells: DataFrame, cell: float) -> DataFrame:
-    """Per solution: cut-and-fill score from the variance of heights under footprints, slope score from slopes' means."""
-    shapes = layouts.select("site_id", F.struct("solution_id", "id").alias("id"), "ring")
-    under = spatial.zonal(cells, shapes, cell).groupBy("dem_id", "shape_id").agg(F.var_pop("z").alias("v"), F.avg("slope_percent").alias("s"))
-    found = under.groupBy(F.col("dem_id").alias("site_id"), F.col("shape_id.solution_id").alias("solution_id")).agg(F.avg("v").alias("v"), F.avg("s").alias("s"), F.var_pop("s").alias("sv"))
+def terrain_objectives(layouts: DataFrame, cells: DataFrame, cell: float, raster: str = "site_id") -> DataFrame:
+    """Per solution: cut-and-fill score from the variance of heights under footprints, slope score from slopes' means; raster names the layouts' column that gives a site's raster."""
+    shapes = layouts.select(F.col(raster).alias("raster"), F.struct("site_id", "solution_id", "id").alias("id"), "ring").withColumnRenamed("raster", "site_id")
+    under = spatial.zonal(cells, shapes, cell).groupBy("shape_id").agg(F.var_pop("z").alias("v"), F.avg("slope_percent").alias("s"))
+    found = under.groupBy("shape_id.site_id", "shape_id.solution_id").agg(F.avg("v").alias("v"), F.avg("s").alias("s"), F.var_pop("s").alias("sv"))
     flat = F.greatest(F.lit(0.0), 1.0 - F.col("s") / 25.0) * 60.0 + F.greatest(F.lit(0.0), 1.0 - F.col("sv") / 50.0) * 40.0
     return found.select("site_id", "solution_id", (100.0 * F.greatest(F.lit(0.0), 1.0 - F.col("v") / 4.0)).alias("cut_fill"), flat.alias("slope_variance"))
 
 
-def violations(layouts: DataFrame, sites: DataFrame, zones: DataFrame, site_area: float) -> DataFrame:
-    """Per solution the breaches: overlapping pairs, assets outside the site, assets on zones, coverage over the limit."""
+def violations(layouts: DataFrame, buildable: DataFrame, zones: DataFrame, site_area: float) -> DataFrame:
+    """Per solution the breaches: overlapping pairs, pairs closer than the first one's spacing, assets not wholly in the
+    buildable area (site_id, parts), assets on zones, coverage over the limit. An overlap counts as a lack of spacing, too."""
     key = F.struct("site_id", "solution_id")
-    own = layouts.select(key.alias("site_id"), "id", "ring")
+    own = layouts.select(key.alias("site_id"), "id", "ring", "spacing")
     split = lambda df: df.select(F.col("site_id.site_id").alias("site_id"), F.col("site_id.solution_id").alias("solution_id"))
-    met = split(spatial.overlaps(own))
-    out = layouts.join(sites, "site_id").where(~F.forall("ring", lambda p: G.contains(F.col("parts"), p["x"], p["y"]))).select("site_id", "solution_id")
+    met, close = split(spatial.overlaps(own.drop("spacing"))), split(spatial.crowded(own))
+    out = layouts.join(buildable, "site_id").where(~F.forall("ring", lambda p: G.contains(F.col("parts"), p["x"], p["y"]))).select("site_id", "solution_id")
     each = layouts.select("site_id", "solution_id").distinct().join(zones.select("site_id", F.col("id").alias("zone"), F.col("ring").alias("zr")), "site_id")
-    on = spatial.on_zones(own, each.select(key.alias("site_id"), F.col("zone").alias("id"), F.col("zr").alias("ring")))
+    on = spatial.on_zones(own.drop("spacing"), each.select(key.alias("site_id"), F.col("zone").alias("id"), F.col("zr").alias("ring")))
     area = layouts.groupBy("site_id", "solution_id").agg((F.sum(F.col("width") * F.col("length")) * 100.0 / site_area).alias("c")).where(F.col("c") > COVERAGE_LIMIT).select("site_id", "solution_id")
-    rows = met.unionByName(out).unionByName(split(on)).unionByName(area)
+    rows = met.unionByName(close).unionByName(out).unionByName(split(on)).unionByName(area)
     return rows.groupBy("site_id", "solution_id").agg(F.count("*").alias("n_violations"))
 
 
@@ -103,7 +109,7 @@ def elite(scored: DataFrame, share: float) -> DataFrame:
 
 def tournament(scored: DataFrame, size: int, seed: int = 42) -> DataFrame:
     """Groups of about that size drawn by hash from each site's solutions, and the best of each."""
-    group = F.floor(F.row_number().over(Window.partitionBy("site_id").orderBy(F.xxhash64(F.lit(seed), "solution_id"), "solution_id")) / size)
+    group = F.floor(F.row_number().over(Window.partitionBy("site_id").orderBy(F.md5(F.concat_ws("|", F.lit(seed), "solution_id")), "solution_id")) / size)
     return scored.withColumn("group", group).groupBy("site_id", "group").agg(F.max_by("solution_id", F.struct("fitness", -F.col("solution_id"))).alias("solution_id"))
 
 

@@ -111,30 +111,25 @@ def fill_linear(cells: DataFrame) -> DataFrame:
     return sides.withColumn("filled", F.when(F.col("z").isNotNull(), F.col("z")).otherwise(F.coalesce(blend, nearest))).drop(*[f"__{a}{s}" for a in ("row", "col") for s in "ba"])
 
 
-def fill_nearest(cells: DataFrame, reach: int = 8) -> DataFrame:
+def fill_nearest(cells: DataFrame) -> DataFrame:
     """cells with filled: gaps take the value of the nearest cell, ties the one of least row, then column.
 
-    Gaps meet the cells of their own tile and the tiles around it (tiles are reach wide); one whose nearest cell
-    may be further away looks again with tiles twice as wide, until no gap is left or no value is.
+    Every cell knows the nearest value of its own row. A gap therefore asks one cell in each row no further away than
+    the nearest value on its own row and column (than the raster is high, if these have none): exact, in one join,
+    with as many rows as a gap is away from values, not their square.
     """
-    valid = cells.where("z is not null").select("dem_id", F.col("row").alias("vr"), F.col("col").alias("vc"), F.col("z").alias("vz"))
-    gaps = cells.where("z is null").join(valid.select("dem_id").distinct(), "dem_id", "left_semi").select("dem_id", "row", "col")
-    extent = cells.groupBy().agg(F.greatest(F.max("row"), F.max("col"))).first()[0] or 0
-    found = None
-    while True:
-        near = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
-        g = gaps.select("dem_id", "row", "col", near.alias("o")).select("dem_id", "row", "col", (F.floor(F.col("row") / reach) + F.col("o.a")).alias("tr"), (F.floor(F.col("col") / reach) + F.col("o.b")).alias("tc"))
-        v = valid.withColumns({"tr": F.floor(F.col("vr") / reach), "tc": F.floor(F.col("vc") / reach)})
-        d = (F.col("row") - F.col("vr")) * (F.col("row") - F.col("vr")) + (F.col("col") - F.col("vc")) * (F.col("col") - F.col("vc"))
-        best = g.join(v, ["dem_id", "tr", "tc"]).groupBy("dem_id", "row", "col").agg(F.min(F.struct(d.alias("d"), "vr", "vc", "vz")).alias("of"))
-        sure = best.where(F.col("of.d") <= reach * reach) if reach <= extent else best
-        sure = sure.select("dem_id", "row", "col", F.col("of.vz").alias("fill"))
-        found = sure if found is None else found.unionByName(sure)
-        if reach > extent:
-            break
-        gaps = gaps.join(sure, ["dem_id", "row", "col"], "left_anti")
-        reach *= 4
-    return cells.join(found, ["dem_id", "row", "col"], "left").withColumn("filled", F.coalesce("z", "fill")).drop("fill")
+    near = {a: [F.when(x.isNotNull(), F.struct(F.abs(x["i"] - F.col(a)).alias("d"), x["i"].alias("i"), x["v"].alias("v"))) for x in (_nearest_on(a, -1), _nearest_on(a, 1))] for a in ("row", "col")}
+    least = lambda a: F.array_min(F.array_compact(F.array(*near[a])))
+    sided = cells.select("dem_id", "row", "col", "z", least("col").alias("__own"), least("row")["d"].alias("__up"))
+    extent = cells.groupBy("dem_id").agg(F.min("row").alias("__r0"), F.max("row").alias("__r1"))
+    reach = F.least(F.col("__own.d"), F.col("__up"))
+    gaps = sided.where("z is null").join(extent, "dem_id").withColumn("__n", F.coalesce(reach, F.col("__r1") - F.col("__r0")))
+    rows = F.explode(F.sequence(F.greatest(F.col("row") - F.col("__n"), F.col("__r0")), F.least(F.col("row") + F.col("__n"), F.col("__r1"))))
+    asked = gaps.select("dem_id", "row", "col", rows.alias("vr"))
+    known = sided.where("__own is not null").select("dem_id", F.col("row").alias("vr"), "col", F.col("__own.d").alias("dc"), F.col("__own.i").alias("vc"), F.col("__own.v").alias("vz"))
+    apart = F.col("row") - F.col("vr")
+    best = asked.join(known, ["dem_id", "vr", "col"]).groupBy("dem_id", "row", "col").agg(F.min(F.struct((apart * apart + F.col("dc") * F.col("dc")).alias("d"), "vr", "vc", "vz"))["vz"].alias("fill"))
+    return cells.join(best, ["dem_id", "row", "col"], "left").withColumn("filled", F.coalesce("z", "fill")).drop("fill")
 
 
 def resample(cells: DataFrame, factor: int, method: str = "average") -> DataFrame:

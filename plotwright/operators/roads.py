@@ -98,8 +98,8 @@ def network_statistics(segments: DataFrame) -> DataFrame:
     return segments.groupingSets([["site_id", "class"], ["site_id"]], "site_id", "class").agg(F.count("*").alias("n"), F.sum("length").alias("length"), F.sum(F.col("length") * F.col("width")).alias("area"), F.max("grade").alias("max_grade"), F.avg("grade").alias("mean_grade"))
 
 
-def terminal_network(links: DataFrame, terminals: DataFrame, rounds: int = 200) -> tuple[DataFrame, DataFrame]:
+def terminal_network(links: DataFrame, terminals: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The tree of least path costs between each site's terminals (site_id, node), and the reach table that its paths follow."""
-    reach = graph.least_costs(links, terminals.select("site_id", F.col("node").alias("source")), rounds)
+    reach = graph.least_costs(links, terminals.select("site_id", F.col("node").alias("source")))
     between = reach.join(terminals.select("site_id", "node"), ["site_id", "node"]).where("source < node").select("site_id", F.col("source").alias("src"), F.col("node").alias("dst"), F.col("dist").alias("weight"))
     return graph.spanning_forest(between), reach

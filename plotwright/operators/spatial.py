@@ -17,7 +17,7 @@ def tiled(df: DataFrame, ring: str, tile: float, prefix: str, grow: float = 0.0)
     b = G.bounds(F.col(ring))
     low = lambda c: F.floor((b[c] - grow) / tile)
     high = lambda c: F.floor((b[c] + grow) / tile)
-    named = df.select("site_id", *[F.col(c).alias(prefix + c) for c in df.columns if c != "site_id"], low("min_x").alias(prefix + "tx0"), low("min_y").alias(prefix + "ty0"), high("max_x").alias("__x1"), high("max_y").alias("__y1"))
+    named = df.select("site_id", *[F.col(c).alias(prefix + c) for c in df.columns if c != "site_id"], b.alias(prefix + "box"), low("min_x").alias(prefix + "tx0"), low("min_y").alias(prefix + "ty0"), high("max_x").alias("__x1"), high("max_y").alias("__y1"))
     return named.withColumn("tx", F.explode(F.sequence(prefix + "tx0", "__x1"))).withColumn("ty", F.explode(F.sequence(prefix + "ty0", "__y1"))).drop("__x1", "__y1")
 
 
@@ -25,7 +25,8 @@ def pairs(left: DataFrame, right: DataFrame, within: float = 0.0, tile: float =
     """Candidate pairs of a site whose boxes come within a distance: columns a_* and b_*."""
     met = tiled(left, ring, tile, "a_", within).join(tiled(right, ring, tile, "b_"), ["site_id", "tx", "ty"])
     first = (F.col("tx") == F.greatest("a_tx0", "b_tx0")) & (F.col("ty") == F.greatest("a_ty0", "b_ty0"))
-    return met.where(first).drop("tx", "ty", "a_tx0", "a_ty0", "b_tx0", "b_ty0")
+    near = [F.col(f"{p}_box.min_{c}") - within <= F.col(f"{q}_box.max_{c}") for c in "xy" for p, q in ("ab", "ba")]
+    return met.where(first & near[0] & near[1] & near[2] & near[3]).drop("tx", "ty", "a_tx0", "a_ty0", "b_tx0", "b_ty0", "a_box", "b_box")
 
 
 def overlaps(assets: DataFrame) -> DataFrame:
@@ -110,16 +111,23 @@ def grid_adjacency(nodes: DataFrame) -> DataFrame:
     return sent.join(nodes.select("site_id", F.col("id").alias("dst"), "row", "col"), ["site_id", "row", "col"]).select("site_id", "src", "dst")
 
 
-def rule_spacing(assets: DataFrame, rules: DataFrame) -> DataFrame:
-    """Pairs of assets (id, type) of a site with the spacing that a rule (from_type, to_type, metres) asks for, in either order, else zero.
+def type_spacing(rules: DataFrame) -> DataFrame:
+    """rules (from_type, to_type, metres) in both directions; a pair's own rule goes before the mirrored one. A pair without a rule needs no room."""
+    both = rules.select("from_type", "to_type", "metres", F.lit(0).alias("order")).union(rules.select("to_type", "from_type", "metres", F.lit(1)))
+    return both.groupBy("from_type", "to_type").agg(F.min_by("metres", "order").alias("metres"))
 
-    Rules are few by their nature, one a pair of types; they are joined, not looked up on the driver.
+
+def rule_spacing(assets: DataFrame, rules: DataFrame, tile: float = 50.0) -> DataFrame:
+    """Pairs a < b of assets (id, type, ring) of a site that are closer than the rule for their types asks for.
+
+    Candidates are pairs whose boxes come within the greatest spacing of any rule, and rules are few by their
+    nature, one a pair of types; they are joined, not looked up on the driver.
     """
-    mirrored = rules.select(F.col("to_type").alias("from_type"), F.col("from_type").alias("to_type"), F.col("metres").alias("back"))
-    a = assets.select("site_id", F.col("id").alias("a_id"), F.col("type").alias("from_type"))
-    b = assets.select("site_id", F.col("id").alias("b_id"), F.col("type").alias("to_type"))
-    met = a.join(b, "site_id").where("a_id < b_id").join(rules, ["from_type", "to_type"], "left").join(mirrored, ["from_type", "to_type"], "left")
-    return met.select("site_id", "a_id", "b_id", F.coalesce("metres", "back", F.lit(0.0)).alias("metres"))
+    most = rules.agg(F.max("metres")).first()[0] or 0.0
+    own = assets.select("site_id", "id", "type", "ring")
+    met = pairs(own, own, most, tile).where("a_id < b_id")
+    ruled = met.join(type_spacing(rules), (F.col("a_type") == F.col("from_type")) & (F.col("b_type") == F.col("to_type")))
+    return ruled.withColumn("distance", G.ring_distance(F.col("a_ring"), F.col("b_ring"))).where("distance < metres").select("site_id", "a_id", "b_id", "metres", "distance")
 
 
 def shared_points(lines: DataFrame, digits: int = 8) -> DataFrame:
@@ -130,26 +138,36 @@ def shared_points(lines: DataFrame, digits: int = 8) -> DataFrame:
 
 def simplified(path: DataFrame, tolerance: float, max_grade: float) -> DataFrame:
     """Points of paths (path_id, seq, x, y, z) that remain: from each kept one the furthest ahead that a straight way
-    reaches within the tolerance of all between and no steeper than the grade, else the next. A path is walked in order."""
+    reaches within the tolerance of all between and no steeper than the grade, else the next. A path is walked in order.
+
+    Which points a straight way to each later one keeps within the tolerance is one running interval of directions,
+    so that a step costs no more than the points ahead of it.
+    """
     import numpy as np
     import pandas as pd
 
+    def furthest(xy: np.ndarray, z: np.ndarray, at: int) -> int:
+        d = xy[at + 1 :] - xy[at]
+        size = np.hypot(d[:, 0], d[:, 1])
+        far = size > 2 * tolerance
+        # a point bounds the direction of a way's line to an interval about its own; those near by are compared one by one
+        angle = np.unwrap(np.arctan2(d[:, 1], d[:, 0]), period=np.pi)
+        half = np.arcsin(np.where(far, tolerance / np.maximum(size, 1e-300), 0.0))
+        low = np.maximum.accumulate(np.where(far, angle - half, -np.inf))
+        high = np.minimum.accumulate(np.where(far, angle + half, np.inf))
+        ok = size >= 1e-9
+        ok[1:] &= (angle[1:] >= low[:-1] - 1e-12) & (angle[1:] <= high[:-1] + 1e-12)
+        for k in np.flatnonzero((size > tolerance) & ~far).tolist():
+            ok[k + 1 :] &= np.abs(d[k, 0] * d[k + 1 :, 1] - d[k, 1] * d[k + 1 :, 0]) <= tolerance * size[k + 1 :]
+        ok &= np.abs(z[at + 1 :] - z[at]) <= max_grade / 100 * size
+        found = np.flatnonzero(ok)
+        return at + 1 + int(found[-1]) if len(found) else at + 1
+
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         own = pdf.sort_values("seq").reset_index(drop=True)
-        xy, z, kept, at = own[["x", "y"]].to_numpy(), own["z"].to_numpy(), [0], 0
-        while at < len(own) - 1:
-            to = at + 1
-            for j in range(len(own) - 1, at + 1, -1):
-                d = xy[j] - xy[at]
-                size = float(np.hypot(*d))
-                if size < 1e-9 or abs(z[j] - z[at]) / size * 100 > max_grade:
-                    continue
-                between = xy[at + 1 : j] - xy[at]
-                if np.abs(between[:, 0] * d[1] - between[:, 1] * d[0]).max() / size <= tolerance:
-                    to = j
-                    break
-            kept.append(to)
-            at = to
+        xy, z, kept = own[["x", "y"]].to_numpy(), own["z"].to_numpy(), [0]
+        while kept[-1] < len(own) - 1:
+            kept.append(furthest(xy, z, kept[-1]))
         return own.iloc[kept]
 
     return path.groupBy("path_id").applyInPandas(walk, path.schema)

@@ -76,20 +76,25 @@ def gaussian(cells: DataFrame, sigma: float = 1.0) -> DataFrame:
     weights = [w / sum(weights) for w in weights]
 
     def blurred(df: DataFrame, value: str, out: str, axis: str, key: str) -> DataFrame:
-        whole = Window.partitionBy("dem_id", key)
-        ordered = along(axis).rowsBetween(-reach, reach)
-        span = df.withColumns({"__n": F.max(axis).over(whole) + 1, "__near": F.collect_list(F.struct(F.col(axis).alias("i"), F.col(value).alias("v"))).over(ordered)})
-        held = F.map_from_entries(F.transform("__near", lambda x: F.struct(x["i"], x["v"])))
+        """The weighted sum of lags and leads; beyond an edge the values next to it, of which a row or column keeps a small map."""
+        sizes = df.groupBy("dem_id", key).agg((F.max(axis) + 1).alias("__n"))
+        sized = df.join(sizes, ["dem_id", key])
+        edge = sized.where((F.col(axis) < reach) | (F.col(axis) >= F.col("__n") - reach)).groupBy("dem_id", key).agg(F.map_from_entries(F.collect_list(F.struct(F.col(axis), F.col(value)))).alias("__edge"))
+        met = sized.join(edge, ["dem_id", key])
+        period, held = 2 * F.col("__n"), F.struct(F.col(value).alias("v"))
 
         def at(k: int) -> Column:
-            period = 2 * F.col("__n")
             i = F.pmod(F.col(axis) + k, period)
-            return F.when(i >= F.col("__n"), period - 1 - i).otherwise(i)
+            mirrored = F.element_at("__edge", F.when(i >= F.col("__n"), period - 1 - i).otherwise(i).cast("int"))
+            if not k:
+                return F.col(value)
+            moved = (F.lag(held, -k) if k < 0 else F.lead(held, k)).over(along(axis))
+            return F.when((F.col(axis) + k < 0) | (F.col(axis) + k >= F.col("__n")), mirrored).otherwise(moved["v"])
 
         total = None
         for k, w in zip(range(-reach, reach + 1), weights):
-            part = F.element_at(F.col("__map"), at(k).cast("int")) * F.lit(w)
+            part = at(k) * F.lit(w)
             total = part if total is None else total + part
-        return span.withColumn("__map", held).withColumn(out, total).drop("__n", "__near", "__map")
+        return met.withColumn(out, total).drop("__n", "__edge")
 
     return blurred(blurred(cells, "z", "__across", "col", "row"), "__across", "smooth", "row", "col").drop("__across")

@@ -15,6 +15,10 @@ from .raster import ACRE
 from .stencil import along
 
 
+#: Columns in a stretch by which runs of adjoining rows meet.
+STRETCH = 64
+
+
 def components(cells: DataFrame, mask: str = "buildable", diagonal: bool = True) -> DataFrame:
     """cells with zone_id, 1, 2, ... in raster order of the zones' first cells, null outside the mask.
 
@@ -24,9 +28,13 @@ def components(cells: DataFrame, mask: str = "buildable", diagonal: bool = True)
     row = Window.partitionBy("dem_id", "row").orderBy("col")
     inside = cells.where(mask).select("dem_id", "row", "col", (F.col("col") - F.row_number().over(row)).alias("run"))
     runs = written(inside.groupBy("dem_id", "row", "run").agg(F.min("col").alias("c0"), F.max("col").alias("c1")).withColumn("node", F.struct("dem_id", "row", "c0")), "runs")
-    low = runs.select("dem_id", (F.col("row") - 1).alias("row"), F.col("c0").alias("d0"), F.col("c1").alias("d1"), F.col("node").alias("below"))
     slack = 1 if diagonal else 0
-    links = runs.join(low, ["dem_id", "row"]).where((F.col("c0") <= F.col("d1") + slack) & (F.col("c1") >= F.col("d0") - slack))
+    # runs meet by stretches of columns; a pair that shares several is kept in the first one
+    stretch = lambda lo, hi: F.explode(F.sequence(F.floor(F.greatest(lo, F.lit(0)) / STRETCH), F.floor(hi / STRETCH)))
+    high = runs.select("dem_id", "row", "node", F.col("c0").alias("h0"), F.col("c1").alias("h1"), stretch(F.col("c0") - slack, F.col("c1") + slack).alias("at"))
+    low = runs.select("dem_id", (F.col("row") - 1).alias("row"), F.col("c0").alias("d0"), F.col("c1").alias("d1"), F.col("node").alias("below"), stretch(F.col("c0"), F.col("c1")).alias("at"))
+    first = F.col("at") == F.floor(F.greatest(F.col("h0") - slack, F.col("d0"), F.lit(0)) / STRETCH)
+    links = high.join(low, ["dem_id", "row", "at"]).where((F.col("h0") <= F.col("d1") + slack) & (F.col("h1") >= F.col("d0") - slack) & first)
     roots = labelled(runs.select("node"), links.select("node", "below"), "node", "below")
     ranked = roots.select("root").distinct().withColumn("zone_id", F.dense_rank().over(Window.partitionBy("root.dem_id").orderBy("root")))
     zones = runs.join(roots, "node").join(ranked, "root").select("dem_id", "row", "run", "zone_id")

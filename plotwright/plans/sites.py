@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from plotwright.functions import geometry as G
 from plotwright.operators import graph, layout, roads, rules, spatial
 from plotwright.operators.stencil import terrain as derive
+from plotwright.tables import written
 
 from .fixtures import CELL, dem, dem_sql, r, rounded, table, terrain_sql
 
@@ -29,11 +30,11 @@ SPAN = 200.0
 
 def assets(spark, sf_dir):
     k = F.col("s_suppkey")
-    rows = table(spark, sf_dir, "supplier").select((k % 5).alias("site_id"), k.alias("id"), (k % 4).alias("type"), (k * 37 % 200 * 1.0).alias("x"), (k * 53 % 200 * 1.0).alias("y"), (15 + k % 7 * 1.0).alias("width"), (18 + k % 5 * 1.0).alias("length"), (k % 4 * 90.0).alias("rotation"), (k % 9 * 1.0).alias("spacing"))
+    rows = table(spark, sf_dir, "supplier").select((k % 5).alias("site_id"), k.alias("id"), (k % 4).alias("type"), (k * 37 % 200 * 1.0).alias("x"), (k * 53 % 200 * 1.0).alias("y"), (20 + k % 7 * 2.0).alias("width"), (18 + k % 5 * 1.0).alias("length"), (k % 4 * 90.0).alias("rotation"), (k % 9 * 1.0).alias("spacing"))
     return layout.placed(rows)
 
 
-ASSETS = """ab AS (SELECT s_suppkey % 5 AS site_id, s_suppkey AS id, s_suppkey % 4 AS type, s_suppkey * 37 % 200 * 1e0 AS x, s_suppkey * 53 % 200 * 1e0 AS y, 15 + s_suppkey % 7 * 1e0 AS width, 18 + s_suppkey % 5 * 1e0 AS length, s_suppkey % 4 * 90e0 AS rotation, s_suppkey % 9 * 1e0 AS spacing FROM supplier),
+ASSETS = """ab AS (SELECT s_suppkey % 5 AS site_id, s_suppkey AS id, s_suppkey % 4 AS type, s_suppkey * 37 % 200 * 1e0 AS x, s_suppkey * 53 % 200 * 1e0 AS y, 20 + s_suppkey % 7 * 2e0 AS width, 18 + s_suppkey % 5 * 1e0 AS length, s_suppkey % 4 * 90e0 AS rotation, s_suppkey % 9 * 1e0 AS spacing FROM supplier),
 a AS (SELECT *, x - ex AS x0, x + ex AS x1, y - ey AS y0, y + ey AS y1 FROM (SELECT *, CASE WHEN type % 2 = 1 THEN length ELSE width END / 2 AS ex, CASE WHEN type % 2 = 1 THEN width ELSE length END / 2 AS ey FROM ab))"""
 
 
@@ -158,7 +159,8 @@ def _(spark, sf_dir):
     return spatial.crowded(assets(spark, sf_dir))
 
 
-@query("j06_spacing_rules", f"""WITH {ASSETS}, ru(f, t, m) AS (VALUES (0, 1, 5e0), (2, 1, 7e0), (3, 3, 9e0)) SELECT p.site_id, p.id AS a_id, q.id AS b_id, coalesce(x.m, y.m, 0e0) AS metres FROM a p JOIN a q ON p.site_id = q.site_id AND p.id < q.id LEFT JOIN ru x ON x.f = p.type AND x.t = q.type LEFT JOIN ru y ON y.f = q.type AND y.t = p.type""")
+@query("j06_spacing_rules", f"""WITH {ASSETS}, ru(f, t, m) AS (VALUES (0, 1, 5e0), (2, 1, 7e0), (3, 3, 9e0)), p AS (SELECT p.site_id, p.id AS a_id, q.id AS b_id, coalesce(x.m, y.m, 0e0) AS metres, sqrt(pow(greatest(p.x0 - q.x1, q.x0 - p.x1, 0e0), 2) + pow(greatest(p.y0 - q.y1, q.y0 - p.y1, 0e0), 2)) AS distance
+ FROM a p JOIN a q ON p.site_id = q.site_id AND p.id < q.id LEFT JOIN ru x ON x.f = p.type AND x.t = q.type LEFT JOIN ru y ON y.f = q.type AND y.t = p.type) SELECT site_id, a_id, b_id, metres, {r('distance')} FROM p WHERE distance < metres""")
 def _(spark, sf_dir):
     ru = spark.createDataFrame([(0, 1, 5.0), (2, 1, 7.0), (3, 3, 9.0)], "from_type long, to_type long, metres double")
     return spatial.rule_spacing(assets(spark, sf_dir), ru)
@@ -374,13 +376,17 @@ def _(spark, sf_dir):
     return spatial.shared_points(lines)
 
 
-LAYOUTS = f"""{ASSETS}, so AS (SELECT site_id, id, type, CAST(s AS INT) AS solution_id, (x + s * 13) % 200 * 1e0 AS x, (y + s * 29) % 200 * 1e0 AS y, width, length, rotation, ex, ey FROM a, range(12) t(s)),
+#: Sites of twelve assets, twelve layouts each: every third one in rows with room between, the others anyhow.
+LAYOUTS = f"""{ASSETS}, so AS (SELECT id // 12 AS site_id, id, type, CAST(s AS INT) AS solution_id, CASE WHEN s % 3 = 0 THEN 24 + id % 4 * 48 + s * 0.5e0 ELSE (x + s * 13) % 200 * 1e0 END AS x, CASE WHEN s % 3 = 0 THEN 25 + id % 12 // 4 * 60 + s * 0.25e0 ELSE (y + s * 29) % 200 * 1e0 END AS y, width, length, rotation, spacing, ex, ey FROM a, range(12) rg(s)),
 sb AS (SELECT *, x - ex AS x0, x + ex AS x1, y - ey AS y0, y + ey AS y1 FROM so)"""
 
 
 def layouts(spark, sf_dir):
     rows = assets(spark, sf_dir).drop("ring").withColumn("solution_id", F.explode(F.sequence(F.lit(0), F.lit(11))))
-    return layout.placed(rows.withColumns({"x": (F.col("x") + F.col("solution_id") * 13) % 200 * 1.0, "y": (F.col("y") + F.col("solution_id") * 29) % 200 * 1.0}))
+    s, k, apart = F.col("solution_id"), F.col("id"), F.col("solution_id") % 3 == 0
+    x = F.when(apart, 24 + k % 4 * 48 + s * 0.5).otherwise((F.col("x") + s * 13) % 200)
+    y = F.when(apart, 25 + F.floor(k % 12 / 4) * 60 + s * 0.25).otherwise((F.col("y") + s * 29) % 200)
+    return layout.placed(rows.withColumns({"site_id": F.floor(k / 12), "x": x * 1.0, "y": y * 1.0}))
 
 
 OBJECTIVES = f"""{LAYOUTS}, aw AS (SELECT *, sqrt(pow(x - avg(x) OVER w, 2) + pow(y - avg(y) OVER w, 2)) AS away FROM sb WINDOW w AS (PARTITION BY site_id, solution_id)),
@@ -392,27 +398,39 @@ def _(spark, sf_dir):
     return layout.objectives(layouts(spark, sf_dir), (0.0, 0.0), 5000.0)
 
 
-VIOLATIONS = f"""{OBJECTIVES}, {ZONES}, vi AS (SELECT p.site_id, p.solution_id FROM sb p JOIN sb q ON p.site_id = q.site_id AND p.solution_id = q.solution_id AND p.id < q.id WHERE least(p.x1, q.x1) - greatest(p.x0, q.x0) > 1e-9 AND least(p.y1, q.y1) - greatest(p.y0, q.y0) > 1e-9
- UNION ALL SELECT site_id, solution_id FROM sb WHERE x0 < -0.001 OR y0 < -0.001 OR x1 > 200.001e0 OR y1 > 200.001e0 UNION ALL SELECT sb.site_id, solution_id FROM sb JOIN z ON sb.site_id = z.site_id WHERE (least(sb.x1, z.x1) - greatest(sb.x0, z.x0)) * (least(sb.y1, z.y1) - greatest(sb.y0, z.y0)) > 0.1 AND sb.x1 > z.x0 AND z.x1 > sb.x0 AND sb.y1 > z.y0 AND z.y1 > sb.y0
- UNION ALL SELECT site_id, solution_id FROM ob WHERE area * 100 / 40000 > 40), vc AS (SELECT site_id, solution_id, count(*) AS n_violations FROM vi GROUP BY ALL)"""
-
-
-def grown_sites(spark, sf_dir):
-    return sites(spark, sf_dir).select("site_id", F.array(G.box(F.lit(-1e-6), F.lit(-1e-6), F.lit(SPAN + 1e-6), F.lit(SPAN + 1e-6))).alias("parts"))
+VIOLATIONS = f"""{OBJECTIVES}, {ZONES}, vp AS (SELECT p.site_id, p.solution_id, least(p.x1, q.x1) - greatest(p.x0, q.x0) > 1e-9 AND least(p.y1, q.y1) - greatest(p.y0, q.y0) > 1e-9 AS met, sqrt(pow(greatest(p.x0 - q.x1, q.x0 - p.x1, 0e0), 2) + pow(greatest(p.y0 - q.y1, q.y0 - p.y1, 0e0), 2)) <= p.spacing AS close FROM sb p JOIN sb q ON p.site_id = q.site_id AND p.solution_id = q.solution_id AND p.id < q.id),
+ vi AS (SELECT site_id, solution_id FROM vp WHERE met UNION ALL SELECT site_id, solution_id FROM vp WHERE close
+ UNION ALL SELECT site_id, solution_id FROM sb WHERE x0 < 4.999e0 OR y0 < 4.999e0 OR x1 > 195.001e0 OR y1 > 195.001e0 UNION ALL SELECT sb.site_id, solution_id FROM sb JOIN z ON sb.site_id % 5 = z.site_id AND sb.site_id % 4 = 0 WHERE (least(sb.x1, z.x1) - greatest(sb.x0, z.x0)) * (least(sb.y1, z.y1) - greatest(sb.y0, z.y0)) > 0.1 AND sb.x1 > z.x0 AND z.x1 > sb.x0 AND sb.y1 > z.y0 AND z.y1 > sb.y0
+ UNION ALL SELECT site_id, solution_id FROM ob WHERE area * 100 / 12000 > 40), vc AS (SELECT site_id, solution_id, count(*) AS n_violations FROM vi GROUP BY ALL)"""
 
 
 @query("n03_violations", f"WITH {VIOLATIONS} SELECT site_id, solution_id, n_violations FROM vc")
 def n03(spark, sf_dir):
-    return layout.violations(layouts(spark, sf_dir), grown_sites(spark, sf_dir), zones(spark, sf_dir), SPAN * SPAN)
+    own = layouts(spark, sf_dir)
+    every = own.select("site_id").distinct()
+    buildable = every.withColumn("parts", F.array(G.box(*[F.lit(v) for v in (5.0 - 1e-6, 5.0 - 1e-6, SPAN - 5.0 + 1e-6, SPAN - 5.0 + 1e-6)])))
+    gone = zones(spark, sf_dir).withColumnRenamed("site_id", "k")
+    return layout.violations(own, buildable, every.where("site_id % 4 = 0").withColumn("k", F.col("site_id") % 5).join(gone, "k").drop("k"), 12_000.0)
+
 
+TERRAIN = """zt AS (SELECT sb.site_id, sb.solution_id, sb.id, var_pop(t.z) AS v, avg(t.slope_percent) AS s FROM t JOIN sb ON sb.site_id % 4 = t.dem_id AND (t.col + 0.5e0) * 10 > x0 + 0.3e0 AND (t.col + 0.5e0) * 10 < x1 + 0.3e0 AND (t."row" + 0.5e0) * 10 > y0 + 0.3e0 AND (t."row" + 0.5e0) * 10 < y1 + 0.3e0 GROUP BY ALL),
+te AS (SELECT site_id, solution_id, 100e0 * greatest(0e0, 1 - avg(v) / 4e0) AS cut_fill, greatest(0e0, 1 - avg(s) / 25e0) * 60e0 + greatest(0e0, 1 - var_pop(s) / 50e0) * 40e0 AS slope_variance FROM zt GROUP BY ALL)"""
+FITNESS = f"""{terrain_sql().removeprefix("WITH ")}, {VIOLATIONS}, {TERRAIN}, fi AS (SELECT ob.*, coalesce(n_violations, 0) AS n_violations, CASE WHEN n_violations > 0 THEN -10000e0 * pow(n_violations, 1.5) ELSE 0.3e0 * coalesce(cut_fill, 0) + 0.25e0 * accessibility + 0.2e0 * road_length + 0.15e0 * compactness + 0.1e0 * coalesce(slope_variance, 0) END AS fitness
+ FROM ob LEFT JOIN vc ON ob.site_id = vc.site_id AND ob.solution_id = vc.solution_id LEFT JOIN te ON ob.site_id = te.site_id AND ob.solution_id = te.solution_id)"""
 
-FITNESS = f"""{VIOLATIONS}, fi AS (SELECT ob.*, coalesce(n_violations, 0) AS n_violations, CASE WHEN n_violations > 8 THEN -10000e0 * pow(n_violations, 1.5) ELSE 0.25e0 * accessibility + 0.2e0 * road_length + 0.15e0 * compactness END AS fitness FROM ob LEFT JOIN vc ON ob.site_id = vc.site_id AND ob.solution_id = vc.solution_id)"""
+
+@query("n04_terrain_objectives", f"{terrain_sql()}, {LAYOUTS}, {TERRAIN} SELECT site_id, solution_id, {r('cut_fill', 'slope_variance')} FROM te")
+def n04(spark, sf_dir):
+    moved = layout.placed(layouts(spark, sf_dir).drop("ring").withColumns({"x": F.col("x") + 0.3, "y": F.col("y") + 0.3, "raster": F.col("site_id") % 4}))
+    return layout.terrain_objectives(moved, derive(dem(spark, sf_dir), CELL), CELL, "raster")
 
 
 def scored(spark, sf_dir):
-    found = layout.objectives(layouts(spark, sf_dir), (0.0, 0.0), 5000.0).join(n03(spark, sf_dir), ["site_id", "solution_id"], "left")
-    breaches = F.coalesce(F.when(F.col("n_violations") > 8, F.col("n_violations")), F.lit(0))
-    return found.withColumns({"fitness": layout.fitness({k: F.col(k) for k in ("accessibility", "road_length", "compactness")}, breaches), "n_violations": F.coalesce("n_violations", F.lit(0))})
+    """Every layout's objectives, breaches and fitness, written once for all that rank them."""
+    key = ["site_id", "solution_id"]
+    found = layout.objectives(layouts(spark, sf_dir), (0.0, 0.0), 5000.0).join(n03(spark, sf_dir), key, "left").join(n04(spark, sf_dir), key, "left")
+    found = found.withColumn("n_violations", F.coalesce("n_violations", F.lit(0)))
+    return written(found.withColumn("fitness", layout.fitness({k: F.col(k) for k in layout.WEIGHTS}, F.col("n_violations"))), "scored")
 
 
 @query("n09_fitness", f"WITH {FITNESS} SELECT site_id, solution_id, n_violations, {r('fitness')} FROM fi")
@@ -437,19 +455,18 @@ def _(spark, sf_dir):
     return layout.objectives(layouts(spark, sf_dir), (0.0, 0.0)).select("site_id", "solution_id", "area", (F.col("area") * 100.0 / (SPAN * SPAN)).alias("percent"))
 
 
-@query("n02_candidates")
-def _(spark, sf_dir):
-    return layout.candidates(assets(spark, sf_dir).select("site_id", "id", "width", "length"), 10, SPAN)
+DRAWN = "CAST('0x' || substr(md5('42|' || site_id || '|' || solution_id || '|' || id || '|{k}'), 1, 8) AS BIGINT) / 4294967296e0"
 
 
-@query("n12_tournament")
+@query("n02_candidates", f"""WITH {ASSETS}, c AS (SELECT site_id, id, width, length, CAST(s AS INT) AS solution_id FROM a, range(10) rg(s)), x AS (SELECT site_id, id, width, length, solution_id, {DRAWN.format(k=1)} * 200e0 AS x, {DRAWN.format(k=2)} * 200e0 AS y, floor({DRAWN.format(k=3)} * 4) * 90e0 AS rotation FROM c)
+SELECT site_id, id, width, length, solution_id, {r('x', 'y', 'rotation')} FROM x""")
 def _(spark, sf_dir):
-    return layout.tournament(scored(spark, sf_dir), 4)
+    return layout.candidates(assets(spark, sf_dir).select("site_id", "id", "width", "length"), 10, SPAN)
 
 
-@query("n04_terrain_objectives")
+@query("n12_tournament", f"""WITH {FITNESS}, p AS (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY md5('42|' || solution_id), solution_id) // 4 AS "group" FROM fi) SELECT site_id, "group", arg_max(solution_id, (fitness, -solution_id)) AS solution_id FROM p GROUP BY ALL""")
 def _(spark, sf_dir):
-    return layout.terrain_objectives(layouts(spark, sf_dir), derive(dem(spark, sf_dir), CELL), CELL)
+    return layout.tournament(scored(spark, sf_dir), 4)
 
 
 @query("n01_asset_rows", """WITH c AS (SELECT CAST(n_nationkey % 5 AS INT) AS site_id, n_name || CASE WHEN n_nationkey % 2 = 0 THEN '' ELSE 'x' END AS n, CASE WHEN n_nationkey % 2 = 0 THEN 'parking' ELSE 'building' END AS type, n_nationkey % 4 AS q, 50e0 + n_nationkey AS w, 40e0 AS l, n_nationkey AS k FROM nation)

@@ -11,18 +11,25 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; an application without that setting, as in tests on one machine, gets its own."""
+    """The folder in ``spark.checkpoint.dir``; an application on one machine without that setting gets its own, one on a cluster is refused."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     application = spark.sparkContext.applicationId
     if application not in _own:
         _own[application] = tempfile.mkdtemp(prefix="spark-shared-")
     return _own[application]
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A place for a table of its own in the shared folder."""
+    return f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read back: its lineage ends there."""
-    path = f"{shared_dir(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, name)
     df.write.options(**({"compression": "zstd"} | options)).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -51,11 +51,11 @@ def test_gaps_of_a_plane_are_filled(spark):
     holed = z.copy()
     holed[2, 3] = holed[5, 5] = np.nan
     assert np.allclose(array(raster.fill_linear(grid(spark, holed)), "filled", z.shape), z)
-    near = array(raster.fill_nearest(grid(spark, holed), 2), "filled", z.shape)
+    near = array(raster.fill_nearest(grid(spark, holed)), "filled", z.shape)
     assert near[2, 3] == z[1, 3] and near[5, 5] == z[4, 5]
     alone = np.full((6, 30), np.nan)
     alone[5, 29] = 7.0
-    assert (array(raster.fill_nearest(grid(spark, alone), 2), "filled", alone.shape) == 7.0).all()
+    assert (array(raster.fill_nearest(grid(spark, alone)), "filled", alone.shape) == 7.0).all()
     assert raster.fill_nearest(grid(spark, np.full((2, 2), np.nan))).where("filled is not null").count() == 0
 
 
@@ -225,6 +225,73 @@ def test_path_simplification(spark):
     assert sorted(r.seq for r in got.collect()) == [0, 5, 10]
 
 
+def brute_simplified(points, tolerance, grade):
+    kept, at = [0], 0
+    while at < len(points) - 1:
+        to = at + 1
+        for j in range(len(points) - 1, at + 1, -1):
+            (x0, y0, z0), (x1, y1, z1) = points[at], points[j]
+            size = math.hypot(x1 - x0, y1 - y0)
+            if size < 1e-9 or abs(z1 - z0) / size * 100 > grade:
+                continue
+            if all(abs((x - x0) * (y1 - y0) - (y - y0) * (x1 - x0)) / size <= tolerance for x, y, _ in points[at + 1 : j]):
+                to = j
+                break
+        kept.append(to)
+        at = to
+    return kept
+
+
+def test_simplification_equals_brute_force(spark):
+    rng, rows, want = random.Random(9), [], {}
+    for path in range(40):
+        x = y = z = turn = 0.0
+        points = []
+        for _ in range(rng.randrange(2, 60)):
+            points.append((x, y, z))
+            turn += rng.gauss(0, rng.choice([0.02, 0.3]))
+            x, y, z = x + 10 * math.cos(turn), y + 10 * math.sin(turn), z + rng.uniform(-1, 1)
+        rows += [(str(path), i, *p) for i, p in enumerate(points)]
+        want[str(path)] = brute_simplified(points, 2.0, 10.0)
+    got = {}
+    for r in spatial.simplified(spark.createDataFrame(rows, "path_id string, seq int, x double, y double, z double"), 2.0, 10.0).collect():
+        got.setdefault(r.path_id, []).append(r.seq)
+    assert {k: sorted(v) for k, v in got.items()} == want
+
+
+def test_long_paths_and_chains_settle(spark):
+    """Loops run until no node improves: a path of 40 edges, in rounds of one."""
+    rows = [(0, k, k + 1, 1.0) for k in range(40)]
+    reach = graph.least_costs(spark.createDataFrame(rows, EDGES), spark.createDataFrame([(0, 0)], "site_id long, source long"), 1)
+    assert reach.agg(F.max("dist")).first()[0] == 40.0 and reach.count() == 41
+    assert graph.path_nodes(reach, spark.createDataFrame([(0, 0, 40)], "site_id long, source long, goal long")).count() == 41
+
+
+def test_nearest_fill_equals_brute_force(spark):
+    rng = np.random.default_rng(3)
+    z = rng.normal(size=(14, 11)).round(3)
+    z[rng.random(z.shape) < 0.8] = np.nan
+    z[4:9] = np.nan
+    z[:, 5] = np.nan
+    known = [(r, c) for r, c in zip(*np.nonzero(~np.isnan(z)))]
+    want = [[z[min(known, key=lambda k: ((k[0] - r) ** 2 + (k[1] - c) ** 2, k))] for c in range(11)] for r in range(14)]
+    assert np.allclose(array(raster.fill_nearest(grid(spark, z)), "filled", z.shape), want)
+
+
+def test_smoothing_of_small_and_large_grids(spark):
+    """Lags and leads inside, mirrored values at the edges, also where a row is shorter than the reach."""
+    weights = np.exp(-0.5 * np.arange(-4, 5) ** 2.0)
+    weights /= weights.sum()
+    rng = np.random.default_rng(4)
+    for shape in ((3, 2), (12, 20)):
+        z = rng.normal(size=shape)
+        want = z
+        for axis in (1, 0):
+            padded = np.pad(want, [(4, 4) if a == axis else (0, 0) for a in (0, 1)], mode="symmetric")
+            want = sum(w * np.take(padded, range(k, k + shape[axis]), axis=axis) for k, w in enumerate(weights))
+        assert np.allclose(array(stencil.gaussian(grid(spark, z)), "smooth", shape), want)
+
+
 def test_switchbacks(spark):
     zig = [(0, "p", i, float(i % 2) * 10, i * 0.5, 0.0) for i in range(6)]
     got = roads.path_measures(spark.createDataFrame(zig, "site_id long, path_id string, seq int, x double, y double, z double")).first()
