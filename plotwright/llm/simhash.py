@@ -35,6 +35,8 @@ REFERENCES = [int(x) for x in mix(np.arange(1, 13, dtype=np.uint64) * np.uint64(
 MASKS = [0xFFFF << (16 * b) for b in range(BLOCKS)]
 PAIRS = [(a, b) for a in range(BLOCKS) for b in range(a + 1, BLOCKS)]
 BUCKET_MOST = 512
+#: Links that a task holds before it passes them on.
+LINKS_HELD = 1 << 16
 
 
 def _signed(x: int) -> int:
@@ -101,8 +103,8 @@ def dealt(rows: DataFrame, width: int) -> DataFrame:
     return keyed.select("fp", F.explode(F.array(*ways)).alias("way")).select("fp", "way.*")
 
 
-def _bucket_links(members: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """Links that connect whatever pairs within most bits connect: a spanning forest."""
+def _bucket_links(members: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ends of links that connect whatever pairs within most bits connect: a spanning forest."""
     x = np.unique(members).view(np.uint64)
     reference = np.array([*REFERENCES, *(r ^ m for r in REFERENCES for m in MASKS)], np.uint64)
     table = np.bitwise_count(x[:, None] ^ reference[None, :]).astype(np.int8)
@@ -114,15 +116,16 @@ def _bucket_links(members: np.ndarray, most: int) -> list[tuple[int, int]]:
             i = root[i]
         return i
 
-    out = []
+    one, other = [], []
     for i in range(len(x) - 1):
         near = i + 1 + np.flatnonzero(np.abs(table[i + 1 :] - table[i]).max(axis=1) <= most)
         for j in near[np.bitwise_count(x[near] ^ x[i]) <= most].tolist():
             a, b = find(i), find(j)
             if a != b:
                 root[max(a, b)] = min(a, b)
-                out.append((int(x[i].view(np.int64)), int(x[j].view(np.int64))))
-    return out
+                one.append(i)
+                other.append(j)
+    return x[one].view(np.int64), x[other].view(np.int64)
 
 
 def links(fps: DataFrame, bucket_most: int = BUCKET_MOST) -> DataFrame:
@@ -132,8 +135,15 @@ def links(fps: DataFrame, bucket_most: int = BUCKET_MOST) -> DataFrame:
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [x for m in batch.column("members").to_pylist() for x in _bucket_links(np.array(m, np.int64), MOST_BITS)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            lists = batch.column("members")
+            values, cuts = lists.values.to_numpy(), lists.offsets.to_numpy()
+            held, size = [], 0
+            for k in range(len(cuts) - 1):
+                held.append(_bucket_links(values[cuts[k] : cuts[k + 1]], MOST_BITS))
+                size += len(held[-1][0])
+                if size >= LINKS_HELD or k == len(cuts) - 2:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([h[e] for h in held])) for e in (0, 1)], names=["a", "b"])
+                    held, size = [], 0
 
     for width in (16, 8, 4):
         keyed = dealt(rows, width)
