@@ -134,6 +134,34 @@ def by_suffix(path: Column, geojson_name: Column) -> Column:
     return F.when(suffix.isin("kml", "kmz"), 4326).when(suffix.isin("geojson", "json"), F.coalesce(parse_name(geojson_name), F.lit(4326)))
 
 
+def by_content(content: Column) -> Column:
+    """The EPSG number that a document names in itself, GeoJSON by its crs member and KML by an srs or crs element; 4326 if it names none, null if it is neither."""
+    named = F.nullif(F.regexp_extract(content, r"<(?:\w+:)?(?:srs|crs)>\s*([^<]+?)\s*</", 1), F.lit(""))
+    geojson = F.coalesce(parse_name(F.get_json_object(content, "$.crs.properties.name")), F.lit(4326))
+    return F.when(F.ltrim(content).startswith("{"), geojson).when(F.ltrim(content).startswith("<"), F.coalesce(parse_name(named), F.lit(4326)))
+
+
+def transformed(x: Column, y: Column, z: Column, source: Column, target: Column) -> Column:
+    """x, y, z as it is, and a description, of a point in another system: 4326, 3857 or a UTM zone; null of others."""
+    zone, north = lambda e: e % 100, lambda e: F.floor(e / 100) == 326
+    utm = lambda e: F.floor(e / 100).isin(326, 327) & zone(e).between(1, 60)
+    mx, my = from_web_mercator(x, y)
+    ux, uy = from_utm(x, y, zone(source), north(source))
+    lon = F.when(source == 4326, x).when(source == 3857, mx).when(utm(source), ux)
+    lat = F.when(source == 4326, y).when(source == 3857, my).when(utm(source), uy)
+
+    def out(p: Column) -> Column:
+        wx, wy = web_mercator(p["lon"], p["lat"])
+        tx, ty = to_utm(p["lon"], p["lat"], zone(target), north(target))
+        known = p["lon"].isNotNull() & ((target == 4326) | (target == 3857) | utm(target))
+        return F.when(known, F.struct(
+            F.when(target == 4326, p["lon"]).when(target == 3857, wx).otherwise(tx).alias("x"), F.when(target == 4326, p["lat"]).when(target == 3857, wy).otherwise(ty).alias("y"),
+            z.alias("z"), F.concat(F.lit("EPSG:"), source, F.lit(" to EPSG:"), target).alias("description"),
+        ))
+
+    return F.transform(F.array(F.struct(lon.alias("lon"), lat.alias("lat"))), out)[0]
+
+
 def haversine_feet(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
     dlat, dlon = F.radians(lat2 - lat1), F.radians(lon2 - lon1)
     a = F.pow(F.sin(dlat / 2.0), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(dlon / 2.0), 2)

@@ -157,6 +157,19 @@ def clip_area(subject: Column, window: Column) -> Column:
     return F.abs(F.aggregate(F.zip_with(ring, F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1)), lambda a, b: F.struct(a.alias("a"), b.alias("b"))), F.lit(0.0), lambda s, e: s + _cross(e))) / 2.0
 
 
+def is_convex(ring: Column) -> Column:
+    """Whether a ring turns one way only and once around: what clip_area needs of both of its rings."""
+    turns = F.zip_with(edges(ring), F.concat(F.slice(edges(ring), 2, F.size(ring)), F.slice(edges(ring), 1, 1)), lambda e, f: _side(e["a"], e["b"], f["b"]))
+    one_way = F.forall(turns, lambda t: t >= 0) | F.forall(turns, lambda t: t <= 0)
+    crossed = F.exists(edges(ring), lambda e: F.exists(edges(ring), lambda f: segments_cross(e, f)))
+    return one_way & ~crossed
+
+
+def has_corner_inside(r: Column, s: Column) -> Column:
+    """Whether a corner of either ring lies in the other: a cheap first test, which misses rings that cross without corners inside."""
+    return F.exists(r, lambda p: in_ring(p["x"], p["y"], s)) | F.exists(s, lambda p: in_ring(p["x"], p["y"], r))
+
+
 def point_at(line: Column, fraction: float) -> Column:
     """The point at a fraction of a line's length."""
     goal = length(line) * fraction

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plotwright.functions import features as P
+from plotwright.functions import geometry as G
+
+from . import spatial
 
 
 def tiles_of(boxes: DataFrame) -> DataFrame:
@@ -33,6 +36,13 @@ def way_lines(refs: DataFrame, nodes: DataFrame) -> DataFrame:
     return met.where(F.size("n") >= 2).select("way_id", F.transform("n", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("line"))
 
 
+def flood_on_sites(zones: DataFrame, sites: DataFrame, least_area: float = 1.0) -> DataFrame:
+    """High-risk flood zones (site_id, id, code, convex ring) that share more than an area with their site (site_id, ring), and how much."""
+    risky = zones.withColumn("zone", P.flood_zone(F.col("code"))).where(P.high_risk(F.col("zone"))).select("site_id", "id", "zone", "ring")
+    met = spatial.pairs(risky, sites.withColumn("id", F.col("site_id")).select("site_id", "id", "ring")).withColumn("area", G.clip_area(F.col("a_ring"), F.col("b_ring")))
+    return met.where(F.col("area") > least_area).select("site_id", F.col("a_id").alias("id"), F.col("a_zone").alias("zone"), "area")
+
+
 def flood_summary(features: DataFrame) -> DataFrame:
     """Per location: zones, the one of highest risk, whether any is a hazard area (then insurance is asked for), highest base flood elevation."""
     zoned = features.withColumn("zone", P.flood_zone(F.col("code")))

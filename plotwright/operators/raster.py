@@ -205,6 +205,20 @@ def checks(cells: DataFrame, cell: float, width: int) -> DataFrame:
     return found.select("dem_id", listed(issues).alias("issues"), listed(warnings).alias("warnings")).withColumn("is_valid", F.size("issues") == 0)
 
 
+def header_checks(meta: DataFrame) -> DataFrame:
+    """Issues and warnings of rasters' headers (dem_id, cell_x, cell_y, min_x, min_y, max_x, max_y, epsg, geographic): cells, bounds, coordinate system."""
+    degrees = F.col("min_x").between(-180, 180) & F.col("min_y").between(-90, 90)
+    most = F.greatest(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y"))
+    issues = [(F.col("min_x") >= F.col("max_x"), "west is not before east"), (F.col("min_y") >= F.col("max_y"), "south is not before north")]
+    warnings = [
+        (F.abs(F.col("cell_x") - F.col("cell_y")) > 0.01, "cells are not square"), (F.greatest("cell_x", "cell_y") > 100, "coarse cells"), (F.least("cell_x", "cell_y") < 0.1, "very fine cells"),
+        (degrees & (most > 10), "over ten degrees wide"), (~degrees & (most > 1_000_000), "over a thousand kilometres wide"),
+        (F.col("epsg").isNull(), "no coordinate system"), (F.col("epsg").isNotNull() & F.col("geographic"), "geographic coordinates"),
+    ]
+    listed = lambda rules: F.array_compact(F.array(*[F.when(c, F.lit(t)) for c, t in rules]))
+    return meta.select("dem_id", listed(issues).alias("issues"), listed(warnings).alias("warnings"))
+
+
 def compatibility(meta: DataFrame) -> DataFrame:
     """Pairs of a site's rasters (site_id, dem_id, w, h, cell, unit, min_x, min_y) and what keeps them from being joined."""
     cols = ("dem_id", "w", "h", "cell", "unit", "min_x", "min_y")

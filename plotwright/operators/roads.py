@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from plotwright.functions import geometry as G
 
+from plotwright.tables import written
+
 from . import graph, spatial
 
 #: Widths in metres.
@@ -98,6 +100,51 @@ def network_statistics(segments: DataFrame) -> DataFrame:
     return segments.groupingSets([["site_id", "class"], ["site_id"]], "site_id", "class").agg(F.count("*").alias("n"), F.sum("length").alias("length"), F.sum(F.col("length") * F.col("width")).alias("area"), F.max("grade").alias("max_grade"), F.avg("grade").alias("mean_grade"))
 
 
+def node_rows(nodes: DataFrame, cells: DataFrame, cell: float, level: float = 100.0) -> DataFrame:
+    """nodes with z and slope of the site's raster where they lie; a site or place without one is flat at a level."""
+    found = spatial.sample(cells, nodes.select(F.col("site_id").alias("dem_id"), "id", "x", "y"), cell).join(cells.select("dem_id", "row", "col", "slope_percent"), ["dem_id", "row", "col"], "left")
+    own = found.select(F.col("dem_id").alias("site_id"), "id", F.coalesce("z", F.lit(level)).alias("z"), F.coalesce("slope_percent", F.lit(0.0)).alias("slope"))
+    return nodes.join(own, ["site_id", "id"])
+
+
+def features(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """A road graph as GeoJSON features, one a row: its nodes (site_id, id, x, y, z, slope, is_entrance) as points, its edges (src, dst, weight) as lines."""
+    at = lambda p: F.array(f"{p}x", f"{p}y")
+    feature = lambda kind, coordinates, properties: F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(F.lit(kind).alias("type"), coordinates.alias("coordinates")).alias("geometry"), properties.alias("properties")))
+    points = nodes.select("site_id", feature("Point", at(""), F.struct("id", F.col("z").alias("elevation"), F.col("slope").alias("slope_percent"), "is_entrance", F.lit("node").alias("type"))).alias("feature"))
+    end = lambda p, c: nodes.select("site_id", F.col("id").alias(c), F.col("x").alias(f"{p}x"), F.col("y").alias(f"{p}y"))
+    met = edges.join(end("a", "src"), ["site_id", "src"]).join(end("b", "dst"), ["site_id", "dst"])
+    lines = met.select("site_id", feature("LineString", F.array(at("a"), at("b")), F.struct(F.col("src").alias("from"), F.col("dst").alias("to"), "weight", F.lit("edge").alias("type"))).alias("feature"))
+    return points.union(lines)
+
+
+def site_network(nodes: DataFrame, entrances: DataFrame, assets: DataFrame, spacing: float, max_grade: float) -> DataFrame:
+    """Roads of each site as segments: site_id, src, dst (node ids, or an asset's id), kind, length, max_grade, class, width.
+
+    Grid nodes (site_id, id, row, col, x, y, z, slope) are linked where the grade allows; the entrance (site_id, x, y)
+    and every asset (site_id, id, x, y) take the nearest node within two spacings. The tree of least path costs between
+    these nodes gives the roads. An asset without a node, or whose node no way reaches from the entrance, gets a straight
+    road from the entrance instead.
+    """
+    gate = F.lit(-1).cast("long")
+    points = assets.select("site_id", "id", "x", "y").union(entrances.select("site_id", gate, "x", "y"))
+    nearest = spatial.within_radius(points, nodes, 2.0 * spacing).groupBy("site_id", "point_id").agg(F.min(F.struct("distance", "node_id"))["node_id"].alias("node"))
+    nearest = written(nearest, "terminals")
+    tree, reach = terminal_network(edges(nodes, max_grade), nearest.select("site_id", "node").distinct())
+    tree, reach = written(tree, "tree"), written(reach, "reach")
+    walked = graph.path_nodes(reach, tree.select("site_id", F.col("src").alias("source"), F.col("dst").alias("goal")))
+    at = walked.join(nodes.select("site_id", F.col("id").alias("node"), "x", "y", "z"), ["site_id", "node"])
+    own = path_measures(at.withColumns({"path_id": F.struct("source", "goal"), "seq": -F.col("back")})).select("site_id", "path_id.source", "path_id.goal", "length", "max_grade")
+    start = nearest.where(F.col("point_id") == gate).select("site_id", F.col("node").alias("gate"))
+    served = nearest.where(F.col("point_id") != gate).groupBy("site_id", "node").agg(F.count("*").alias("n_assets")).withColumnRenamed("node", "goal")
+    ends = own.join(start, "site_id", "left").join(served, ["site_id", "goal"], "left")
+    paths = ends.select("site_id", F.col("source").alias("src"), F.col("goal").alias("dst"), F.lit("path").alias("kind"), "length", "max_grade", road_class(F.coalesce(F.col("source") == F.col("gate"), F.lit(False)) | F.coalesce(F.col("goal") == F.col("gate"), F.lit(False)), F.coalesce("n_assets", F.lit(0))).alias("class"))
+    reached = reach.join(start, "site_id").where("source = gate").select("site_id", "node")
+    alone = assets.select("site_id", "id", "x", "y").join(nearest.join(reached, ["site_id", "node"]).select("site_id", F.col("point_id").alias("id")), ["site_id", "id"], "left_anti")
+    straight = star(entrances, alone).select("site_id", gate.alias("src"), F.col("id").alias("dst"), F.lit("straight").alias("kind"), "length", F.lit(None).cast("double").alias("max_grade"), F.lit("access").alias("class"))
+    return with_width(paths.unionByName(straight))
+
+
 def terminal_network(links: DataFrame, terminals: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The tree of least path costs between each site's terminals (site_id, node), and the reach table that its paths follow."""
     reach = graph.least_costs(links, terminals.select("site_id", F.col("node").alias("source")))

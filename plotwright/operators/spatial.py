@@ -35,6 +35,11 @@ def overlaps(assets: DataFrame) -> DataFrame:
     return met.where("area > 1e-9").select("site_id", "a_id", "b_id", "area")
 
 
+def corner_overlaps(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs of rings of a site of which a corner of either lies in the other."""
+    return pairs(left, right).where(G.has_corner_inside(F.col("a_ring"), F.col("b_ring"))).select("site_id", "a_id", "b_id")
+
+
 def crowded(assets: DataFrame, spacing: str = "spacing") -> DataFrame:
     """Pairs a < b closer than a's spacing."""
     most = assets.agg(F.max(spacing)).first()[0] or 0.0

@@ -62,6 +62,17 @@ def measures(zoned: DataFrame, cell: float, least_area: float = 1000.0) -> DataF
     return scored.withColumn("quality", T.zone_quality(F.col("area"), F.col("mean_slope"), F.col("compactness"), F.col("class")))
 
 
+def outlines(zoned: DataFrame, cell: float) -> DataFrame:
+    """Per zone its largest part whose cells are joined by their sides (of equal ones the first): cells, area, perimeter, compactness; and how many parts it has."""
+    parts = components(zoned.withColumnRenamed("zone_id", "zone").withColumn("__in", F.col("zone").isNotNull()), "__in", diagonal=False).drop("__in").withColumnRenamed("zone_id", "part")
+    sizes = parts.where("zone is not null").groupBy("dem_id", "zone", "part").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("dem_id", "zone").agg(F.max_by("part", F.struct("n", -F.col("part"))).alias("most"), F.count("*").alias("n_parts"))
+    edged = parts.withColumn("edges", exposed_edges(F.col("part"))).where("zone is not null").join(largest, ["dem_id", "zone"]).where("part = most")
+    found = edged.groupBy("dem_id", F.col("zone").alias("zone_id")).agg(F.count("*").alias("n_cells"), (F.sum("edges") * cell).alias("perimeter"), F.first("n_parts").alias("n_parts"))
+    area = F.col("n_cells") * cell * cell
+    return found.withColumns({"area": area, "compactness": F.least(4.0 * math.pi * area / (F.col("perimeter") * F.col("perimeter")), F.lit(1.0))})
+
+
 def site_scores(zoned: DataFrame, zones: DataFrame, cell: float) -> DataFrame:
     """Per raster: buildable cells, area (small zones too), share, zones, the largest, and the site's quality."""
     whole = zoned.groupBy("dem_id").agg(F.count("*").alias("n_cells"), F.count_if("buildable").alias("n_buildable"), F.avg(F.when(F.col("buildable"), F.col("slope_percent"))).alias("buildable_slope"))

@@ -110,11 +110,11 @@ def _(spark, sf_dir):
     return found.groupBy((F.col("id") % 7).alias("site_id"), "class").agg(F.count("*").alias("n"), F.max("setback_m").alias("widest"))
 
 
-@query("k20_display_rings", f"{POINTS}, z AS (SELECT *, CAST(trunc((lon + 180e0) / 6e0) AS INT) + 1 AS zone FROM p WHERE lat BETWEEN -55 AND 55) SELECT id, CAST(4 AS INT) AS points, {r('lon', 'lat')} FROM z")
+@query("k20_display_rings", f"{POINTS}, z AS (SELECT *, CAST(trunc((lon + 180e0) / 6e0) AS INT) + 1 AS zone FROM p) SELECT id, CAST(4 AS INT) AS points, {r('lon', 'lat')} FROM z")
 def _(spark, sf_dir):
     """Rings in UTM given back as corners in degrees, without the closing point; the first corner is told."""
     zone, north = F.col("zone"), F.col("lat") >= 0
-    p = points(spark, sf_dir).where("lat between -55 and 55").withColumn("zone", ((F.col("lon") + 180.0) / 6.0).cast("int") + 1)
+    p = points(spark, sf_dir).withColumn("zone", ((F.col("lon") + 180.0) / 6.0).cast("int") + 1)
     e, n = crs.to_utm(F.col("lon"), F.col("lat"), zone, north)
     rows = p.withColumns({"e": e, "n": n}).withColumn("ring", G.box(F.col("e"), F.col("n"), F.col("e") + 50.0, F.col("n") + 50.0))
     corner = F.col("ring")[0]

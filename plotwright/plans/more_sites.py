@@ -103,11 +103,11 @@ def _(spark, sf_dir):
 
 
 @query("k15_placement_check", f"""WITH {OVERLAPS}, {ZONES}, {ON}, {OUT}, b AS (SELECT a_id AS id FROM ov UNION ALL SELECT b_id FROM ov UNION ALL SELECT id FROM ou UNION ALL SELECT asset_id FROM oz WHERE area > 0.1 AND severity = 'high'), n AS (SELECT id, count(*) AS n FROM b GROUP BY id)
-SELECT a.id, coalesce(n.n, 0) AS n_errors, n.n IS NULL AS is_valid FROM a LEFT JOIN n ON a.id = n.id WHERE a.id % 3 = 0""")
+SELECT a.id, coalesce(n.n, 0) AS n_errors, n.n IS NULL AS is_valid FROM a LEFT JOIN n ON a.id = n.id""")
 def _(spark, sf_dir):
     """Moves of single assets, each checked against all others of its site and its zones."""
     own = assets(spark, sf_dir)
-    return rules.checked_moves(own.where("id % 3 = 0"), own, sites(spark, sf_dir), exclusion_zones(spark, sf_dir)).select("id", "n_errors", "is_valid")
+    return rules.checked_moves(own, own, sites(spark, sf_dir), exclusion_zones(spark, sf_dir)).select("id", "n_errors", "is_valid")
 
 
 @query("k16_display_areas", f"""WITH {dem_sql()}, c AS (SELECT dem_id, (col + 0.5e0) * 10 AS cx, ("row" + 0.5e0) * 10 AS cy FROM dem), f AS (SELECT dem_id, cx < 92 AND cy < 151 AS i, least(cx + 1, 92 - cx, cy + 1, 151 - cy) >= 12 AND cx < 92 AND cy < 151 AS o FROM c)

@@ -81,6 +81,48 @@ def placemarks(files: DataFrame) -> DataFrame:
     return files.select("path", F.col("content").cast("binary").alias("content")).mapInPandas(step, PLACEMARKS)
 
 
+STYLES = "path string, style string, line_color string, line_width double, fill_color string, filled boolean"
+HEADS = "path string, name string, description string"
+
+
+def _roots(pdf: pd.DataFrame) -> Iterator[tuple[str, ET.Element]]:
+    """The roots of the documents that can be read."""
+    for path, content in zip(pdf["path"], pdf["content"]):
+        try:
+            yield path, ET.fromstring(bytes(content))
+        except ET.ParseError:
+            pass
+
+
+def styles(files: DataFrame) -> DataFrame:
+    """Styles with an id of documents (path, content): line colour and width (1 if not given), fill colour and whether filled (yes if not given); nulls without such a part."""
+
+    def step(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            rows = []
+            for path, root in _roots(pdf):
+                for node in (n for n in root.iter() if _tag(n) == "Style" and n.get("id")):
+                    line, poly = _child(node, "LineStyle"), _child(node, "PolyStyle")
+                    rows.append((
+                        path, node.get("id"), _text(line, "color") if line is not None else None, float(_text(line, "width") or 1.0) if line is not None else None,
+                        _text(poly, "color") if poly is not None else None, (_text(poly, "fill") or "1") == "1" if poly is not None else None,
+                    ))
+            yield pd.DataFrame(rows, columns=[x.split()[0] for x in STYLES.split(", ")]).astype({"line_width": "float64", "filled": "object"})
+
+    return files.select("path", F.col("content").cast("binary").alias("content")).mapInPandas(step, STYLES)
+
+
+def heads(files: DataFrame) -> DataFrame:
+    """Name and description of each document (path, content)."""
+
+    def step(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            found = [(path, next((n for n in root.iter() if _tag(n) == "Document"), None)) for path, root in _roots(pdf)]
+            yield pd.DataFrame([(path, _text(n, "name"), _text(n, "description")) for path, n in found if n is not None], columns=["path", "name", "description"])
+
+    return files.select("path", F.col("content").cast("binary").alias("content")).mapInPandas(step, HEADS)
+
+
 def _opened(content: bytes) -> zipfile.ZipFile | None:
     try:
         return zipfile.ZipFile(io.BytesIO(content))

@@ -296,3 +296,44 @@ def test_switchbacks(spark):
     zig = [(0, "p", i, float(i % 2) * 10, i * 0.5, 0.0) for i in range(6)]
     got = roads.path_measures(spark.createDataFrame(zig, "site_id long, path_id string, seq int, x double, y double, z double")).first()
     assert got.switchbacks == 4 and got.n_points == 6
+
+
+def test_site_network_against_kruskal(spark):
+    """Roads of a steep and a flat site: the tree of least path costs by Dijkstra and Kruskal, and straight roads where no way leads."""
+    rng, nodes = random.Random(6), []
+    for site in (0, 1):
+        for r in range(4):
+            for c in range(5):
+                nodes.append((site, r * 100 + c, r, c, c * 25.0, r * 25.0, rng.choice([0.0, 1.0]) if site == 0 else (0.0 if c < 3 else 50.0), rng.choice([2.0, 10.0, 20.0])))
+    node_df = spark.createDataFrame(nodes, "site_id long, id long, row int, col int, x double, y double, z double, slope double")
+    assets = [(0, 1, 100.0, 75.0), (0, 2, 51.0, 1.0), (0, 3, 900.0, 900.0), (1, 4, 49.0, 74.0), (1, 5, 100.0, 0.0)]
+    asset_df = spark.createDataFrame(assets, "site_id long, id long, x double, y double")
+    gates = spark.createDataFrame([(0, 0.0, 0.0), (1, 0.0, 0.0)], "site_id long, x double, y double")
+    got = roads.site_network(node_df, gates, asset_df, 25.0, 12.0).collect()
+    straight = sorted((r.site_id, r.dst) for r in got if r.kind == "straight")
+    assert straight == [(0, 3), (1, 5)]
+    links = {}
+    for r in roads.edges(node_df, 12.0).collect():
+        for a, b in ((r.src, r.dst), (r.dst, r.src)):
+            links.setdefault((r.site_id, a), []).append((b, r.weight))
+
+    def costs(site, source):
+        heap, seen = [(0.0, source)], {}
+        while heap:
+            d, u = heapq.heappop(heap)
+            if u not in seen:
+                seen[u] = d
+                for v, w in links.get((site, u), ()):
+                    heapq.heappush(heap, (d + w, v))
+        return seen
+
+    for site, ends in ((0, [0, 2, 304]), (1, [0, 302, 4])):
+        between = {(a, b): costs(site, a).get(b) for a in ends for b in ends if a < b}
+        root, want = {e: e for e in ends}, []
+        for w, (a, b) in sorted((w, p) for p, w in between.items() if w is not None):
+            if root[a] != root[b]:
+                root = {e: root[a] if root[e] == root[b] else root[e] for e in ends}
+                want.append((a, b))
+        assert sorted((r.src, r.dst) for r in got if r.site_id == site and r.kind == "path") == sorted(want)
+    assert {r["class"] for r in got if r.kind == "path" and 0 in (r.src, r.dst)} == {"primary"}
+    assert all(r.length > 0 and (r.max_grade is None or r.max_grade <= 12.0) for r in got)
