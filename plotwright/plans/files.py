@@ -54,7 +54,7 @@ def kml_files(spark, sf_dir):
     k = F.col("s_suppkey")
     ring = lambda a, b: F.concat(*[x for p in ((a, a), (b, a), (b, b), (a, b), (a, a)) for x in (k % 90 + p[0], F.lit(","), k % 45 + p[1], F.lit(",0 "))])
     part = lambda side, body: F.concat(F.lit(f"<{side}><LinearRing><coordinates>"), body, F.lit(f"</coordinates></LinearRing></{side}>"))
-    parcel = F.concat(F.lit('<Folder><name>Site parcels</name><Placemark id="p"><name>Property Boundary</name><ExtendedData><Data name="APN"><value>'), k, F.lit("</value></Data></ExtendedData><Polygon>"), part("outerBoundaryIs", ring(0.0, 4.0)), part("innerBoundaryIs", ring(1.0, 2.0)), F.lit("</Polygon></Placemark></Folder>"))
+    parcel = F.concat(F.lit('<Folder><name>Site parcels</name><Placemark id="p"><name>Property Boundary</name><ExtendedData><Data name="APN"><value>'), k, F.lit("</value></Data></ExtendedData><Polygon>"), part("outerBoundaryIs", ring(F.lit(0.0), 3.0 + k % 5)), part("innerBoundaryIs", ring(1.0, 2.0)), F.lit("</Polygon></Placemark></Folder>"))
     spot = F.concat(F.lit("<Placemark><name>"), "s_name", F.lit("</name><Point><coordinates>"), k % 90, F.lit(","), k % 45, F.lit("</coordinates></Point></Placemark>"))
     end = F.when(k % 10 == 9, "<oops>").otherwise("")
     body = F.concat(F.lit('<kml xmlns="http://www.opengis.net/kml/2.2"><Document>'), parcel, spot, end, F.lit("</Document></kml>"))
@@ -68,7 +68,7 @@ def _(spark, sf_dir):
     return kml.placemarks(kml_files(spark, sf_dir)).select("path", blank("kind").alias("kind"), blank("name").alias("name"), F.coalesce(F.size("coordinates"), F.lit(0)).alias("n_rings"), blank(F.try_element_at("properties", F.lit("APN"))).alias("apn"), blank(F.array_join("folders", "/")).alias("folder"), (F.col("seq") < 0).alias("failed"))
 
 
-@query("h02_kml_polygons", "SELECT 'site' || s_suppkey || '.kml' AS path, 15e0 AS area FROM supplier WHERE s_suppkey % 10 <> 9")
+@query("h02_kml_polygons", "SELECT 'site' || s_suppkey || '.kml' AS path, pow(3 + s_suppkey % 5, 2) - 1e0 AS area FROM supplier WHERE s_suppkey % 10 <> 9")
 def _(spark, sf_dir):
     found = kml.placemarks(kml_files(spark, sf_dir)).where("kind = 'Polygon'")
     return found.select("path", G.area(F.transform("coordinates", lambda c: F.array_compact(G.kml_coordinates(c)))).alias("area"))
@@ -76,14 +76,33 @@ def _(spark, sf_dir):
 
 @query("t02_boundary_strategies", "SELECT 'site' || s_suppkey || '.kml' AS path, 'name' AS strategy, 'Property Boundary' AS name FROM supplier WHERE s_suppkey % 10 <> 9")
 def _(spark, sf_dir):
+    return boundaries(kml_files(spark, sf_dir))
+
+
+def cascade_files(spark, sf_dir):
+    """Files whose boundary only the name, a key, the folder or the size tells; the others hold a smaller polygon that no rule names."""
+    k = F.col("s_suppkey")
+    polygon = lambda name, side, data="": F.concat(F.lit("<Placemark><name>"), name, F.lit("</name>"), F.lit(data), F.lit("<Polygon><outerBoundaryIs><LinearRing><coordinates>0,0 "), side, F.lit(",0 "), side, F.lit(","), side, F.lit(" 0,"), side, F.lit(" 0,0</coordinates></LinearRing></outerBoundaryIs></Polygon></Placemark>"))
+    key = f'<ExtendedData><Data name="{sorted(P.BOUNDARY_KEYS)[0].upper()}"><value>7</value></Data></ExtendedData>'
+    folder = F.concat(F.lit("<Folder><name>The parcels</name>"), polygon(F.lit("lot"), k % 9 + 1), F.lit("</Folder>"))
+    told = F.when(k % 4 == 0, polygon(F.lit("Property Boundary"), k % 9 + 1)).when(k % 4 == 1, polygon(F.lit("lot"), k % 9 + 1, key)).when(k % 4 == 2, folder).otherwise(polygon(F.lit("wide"), k % 9 + 20))
+    return table(spark, sf_dir, "supplier").select(F.concat(F.lit("site"), k, F.lit(".kml")).alias("path"), F.concat(F.lit("<kml><Document>"), polygon(F.lit("shed"), F.lit(12)), told, F.lit("</Document></kml>")).cast("binary").alias("content"))
+
+
+@query("t02_boundary_cascade", """SELECT 'site' || s_suppkey || '.kml' AS path, list_element(['name', 'key', 'folder', 'largest'], s_suppkey % 4 + 1) AS strategy, list_element(['Property Boundary', 'lot', 'lot', 'wide'], s_suppkey % 4 + 1) AS name, pow(CASE WHEN s_suppkey % 4 = 3 THEN s_suppkey % 9 + 20 ELSE s_suppkey % 9 + 1 END, 2) AS area FROM supplier""")
+def _(spark, sf_dir):
+    return boundaries(cascade_files(spark, sf_dir), "area")
+
+
+def boundaries(files, *more):
     """Of each file the placemarks that the first strategy with any match finds: name, key, folder, else the largest polygon."""
-    found = kml.placemarks(kml_files(spark, sf_dir)).where("kind = 'Polygon'")
+    found = kml.placemarks(files).where("kind = 'Polygon'")
     keyed = F.exists(F.map_keys("properties"), lambda k: F.lower(k).isin(*P.BOUNDARY_KEYS))
     rank = F.when(P.any_of(F.col("name"), P.BOUNDARY_NAMES), 0).when(keyed, 1).when(P.any_of(F.array_join("folders", " "), P.BOUNDARY_FOLDERS), 2).otherwise(3)
     ranked = found.withColumns({"rank": rank, "area": G.area(F.transform("coordinates", lambda c: F.array_compact(G.kml_coordinates(c))))})
     best = ranked.groupBy("path").agg(F.min("rank").alias("first"), F.max("area").alias("largest"))
     kept = ranked.join(best, "path").where("rank = first and (rank < 3 or area = largest)")
-    return kept.select("path", F.element_at(F.array(F.lit("name"), F.lit("key"), F.lit("folder"), F.lit("largest")), F.col("rank") + 1).alias("strategy"), "name")
+    return kept.select("path", F.element_at(F.array(F.lit("name"), F.lit("key"), F.lit("folder"), F.lit("largest")), F.col("rank") + 1).alias("strategy"), "name", *more)
 
 
 def kmz_files(spark, sf_dir):

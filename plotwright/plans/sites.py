@@ -94,13 +94,16 @@ def _(spark, sf_dir):
     return table(spark, sf_dir, "nation").select(k.alias("id"), F.array_join(G.issues(ring), ";").alias("issues"))
 
 
-@query("h07_ring_repair", "SELECT n_nationkey AS id, 4e0 AS area, CAST(5 AS INT) AS points FROM nation")
+@query("h07_ring_repair", "SELECT c_custkey AS id, (2e0 + c_custkey % 7) * (1e0 + c_custkey % 5) AS area, CAST(5 AS INT) AS points FROM customer")
 def _(spark, sf_dir):
-    k = F.col("n_nationkey")
+    """Rings with a repeated corner and no closing point, or of the wrong turn."""
+    k = F.col("c_custkey")
+    w, h = 2.0 + k % 7, 1.0 + k % 5
     p = lambda x, y: G.point(k * 1.0 + x, k * 1.0 + y)
-    ring = F.when(k % 2 == 0, F.array(p(0, 0), p(0, 0), p(2, 0), p(2, 2), p(0, 2))).otherwise(G.closed([p(0, 0), p(0, 2), p(2, 2), p(2, 0)]))
+    zero = F.lit(0.0)
+    ring = F.when(k % 2 == 0, F.array(p(zero, zero), p(zero, zero), p(w, zero), p(w, h), p(zero, h))).otherwise(G.closed([p(zero, zero), p(zero, h), p(w, h), p(w, zero)]))
     fixed = G.repaired(ring)
-    return table(spark, sf_dir, "nation").select(k.alias("id"), G.signed_area(fixed).alias("area"), F.size(fixed).alias("points"))
+    return table(spark, sf_dir, "customer").select(k.alias("id"), G.signed_area(fixed).alias("area"), F.size(fixed).alias("points"))
 
 
 @query("h09_point_in_polygon", """WITH p AS (SELECT c_custkey AS id, c_custkey * 7 % 211 / 10e0 AS x, c_custkey * 13 % 211 / 10e0 + 0.05e0 AS y FROM customer)
