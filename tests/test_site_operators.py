@@ -337,3 +337,27 @@ def test_site_network_against_kruskal(spark):
         assert sorted((r.src, r.dst) for r in got if r.site_id == site and r.kind == "path") == sorted(want)
     assert {r["class"] for r in got if r.kind == "path" and 0 in (r.src, r.dst)} == {"primary"}
     assert all(r.length > 0 and (r.max_grade is None or r.max_grade <= 12.0) for r in got)
+
+
+def test_grid_files_in_many_stretches(spark, tmp_path):
+    """A file that several tasks read keeps its rows in order; keys in any case, blank lines, a centre, gaps and a wrong header."""
+    from plotwright.sources import grids
+
+    rows = [" ".join(str(r * 100 + c) if (r + c) % 7 else "-1" for c in range(40)) for r in range(60)]
+    for dem_id, head in ((1, "NCOLS 40\nnrows 60\nxllcenter 5\nyllcorner 7\ncellsize 10\nNODATA_value -1\n"), (2, "ncols 41\nnrows 60\ncellsize 10\n")):
+        (tmp_path / f"dem_id={dem_id}").mkdir()
+        (tmp_path / f"dem_id={dem_id}" / "a.asc").write_text(head + "\n" + "\n".join(rows[:30]) + "\n\n" + "\r\n".join(rows[30:]) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+        cells, meta = grids.scan(spark, str(tmp_path))
+        got = {(r.dem_id, r.row, r.col): r.z for r in cells.collect()}
+        heads = {r.dem_id: r for r in meta.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert len(got) == 2 * 60 * 40
+    for r in range(60):
+        for c in range(40):
+            gap = (r + c) % 7 == 0
+            assert got[1, r, c] == (None if gap else r * 100 + c) and got[2, r, c] == (-1 if gap else r * 100 + c)
+    assert (heads[1].min_x, heads[1].min_y, heads[1].issues) == (0.0, 7.0, []) and heads[2].issues == ["shape differs from header"]
