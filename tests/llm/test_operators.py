@@ -555,8 +555,8 @@ def test_toxicity_of_held_out_documents(spark, data):
 def test_fitted_rows_are_bounded(spark):
     """A doc_id gives one row of the sample, however many rows bear it; a long document gives its first lines."""
     texts = [f"line {i} of this text.\nMore of it, {i}." for i in range(200)] + ["bad bad bad\n" * 400]
-    frame = docs(spark, texts, [1] * 200 + [6])
-    labels = spark.createDataFrame([(1, 1), (6, 0)], "doc_id long, quality int")
+    frame = docs(spark, texts, [1] * 200 + [2])
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")  # neither is held out
     seen = []
     fit = quality.fit
     try:
@@ -625,7 +625,7 @@ def test_features_equal_matches_beside_other_punctuation():
     texts = ["¡Idiota!", "“trottel”", "«crétin» vous", "du—trottel—", "tu\xa0idiota", "„Trottel“ sagte er", "la ünder 你好 \U0001f600idiota\U0001f600", "idiota²", "١idiota", "¿crétinistes?", None, "", "idiotaé", "kill…them", "plain words"]
     found = g.features(pa.array(texts, pa.string()))
     own = [g.matches((t or "").lower()) for t in texts]
-    assert sum(bool(m) for m in own) == 11
+    assert sum(bool(m) for m in own) == 10  # not of the superscript, the longer word, the plain words and the empty rows
     assert np.allclose(found[:, :-1], [[np.log1p(m[k]) for k in toxicity.KINDS] for m in own])
 
 
