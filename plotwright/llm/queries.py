@@ -1,6 +1,6 @@
 """The corpus queries by name, and their SQL where SQL can express them."""
 
-from . import chat, decontaminate, media, packing, quality, secrets, simhash, substring_dedup, token_columns, toxicity
+from . import chat, decontaminate, lexical, media, packing, quality, secrets, simhash, spelling, substring_dedup, token_columns, toxicity, window_packing
 
 QUERIES = {
     "op1_quality_crf": quality.op1_quality_crf,
@@ -13,5 +13,8 @@ QUERIES = {
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_media_ts": media.op9_media_ts,
     "op10_simhash_pivots": simhash.op10_simhash_pivots,
+    "op11_lemp_search": lexical.op11_lemp_search,
+    "op12_spelling_variants": spelling.op12_spelling_variants,
+    "op13_best_fit_decreasing": window_packing.op13_best_fit_decreasing,
 }
-SQL = {"op2_substring_cms": substring_dedup.OP2_SQL, "op8_decontaminate": decontaminate.OP8_SQL}
+SQL = {"op2_substring_cms": substring_dedup.OP2_SQL, "op8_decontaminate": decontaminate.OP8_SQL, "op11_lemp_search": lexical.OP11_SQL}
