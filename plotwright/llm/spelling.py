@@ -35,6 +35,8 @@ LEAST_LENGTH, LEAST_COUNT = 7, 2
 FORM_RATIO = 10
 #: Words of a group that are compared without dealing it again, and bytes of code points compared at once.
 MOST, TILE_BYTES = 2048, 1 << 24
+#: Lengths up to which words share matrices; the widest have matrices of as many rows as TILE_BYTES holds.
+WIDTHS = (12, 24, 64, 512)
 #: Bytes of text whose runs are counted together before they go to Spark.
 COUNT_BYTES = 1 << 22
 
@@ -163,42 +165,59 @@ def _agreeing(same: np.ndarray) -> np.ndarray:
     return np.where(np.take_along_axis(same, ahead[..., None], -1)[..., 0], same.shape[-1], ahead)
 
 
-def near_pairs(block: Block, pairs_a: np.ndarray, pairs_b: np.ndarray, longer: int, zone: tuple[int, int]) -> np.ndarray:
-    """Which pairs of rows, one of them at least of the longer length, are a single edit apart within the zone."""
-    prefix = _agreeing(block.left[pairs_a] == block.left[pairs_b])
-    suffix = _agreeing((block.right[pairs_a] == block.right[pairs_b])[:, ::-1])
-    short = np.minimum(block.size[pairs_a], block.size[pairs_b])
+def near_pairs(block: Block, a: np.ndarray, b: np.ndarray, longer: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Which pairs of rows are a single edit apart in the zone lo to hi; the longer word of each has that length."""
+    prefix = _agreeing(block.left[a] == block.left[b])
+    suffix = _agreeing((block.right[a] == block.right[b])[:, ::-1])
+    short = np.minimum(block.size[a], block.size[b])
     prefix, suffix = np.minimum(prefix, short), np.minimum(suffix, short)
-    return (prefix + suffix >= longer - 1) & (prefix >= zone[0]) & (prefix < zone[1])
+    return (np.maximum(block.size[a], block.size[b]) == longer) & (prefix + suffix >= longer - 1) & (prefix >= lo) & (prefix < hi)
 
 
-def tiles(block: Block, longer: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of a group (both words of the longer length, or the second one letter shorter), a tile at a time."""
-    own, other = np.flatnonzero(block.size == longer), np.flatnonzero(block.size == longer - 1)
-    side = max(1, int((TILE_BYTES // (4 * block.left.shape[1])) ** 0.5))
-    for i in range(0, len(own), side):
-        rows = own[i : i + side]
-        for j in range(i, len(own), side):
-            a, b = (x.ravel() for x in np.meshgrid(rows, own[j : j + side], indexing="ij"))
-            yield (a[a < b], b[a < b]) if i == j else (a, b)
-        for j in range(0, len(other), side):
-            yield tuple(x.ravel() for x in np.meshgrid(rows, other[j : j + side], indexing="ij"))
+def tiles(ends: np.ndarray, wide: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows of the same group, a tile at a time; ends has of each row the end of its group.
 
+    A run of rows is the one block, all that follow in their groups are the other; a tile has about TILE_BYTES.
+    """
+    after = ends - np.arange(len(ends)) - 1
+    total, first = np.cumsum(after), 0
+    while first < len(ends):
+        done = total[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(total, done + TILE_BYTES // (4 * wide), side="right")))
+        size = after[first:last]
+        a = np.repeat(np.arange(first, last), size)
+        yield a, a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(size) - size, size)
+        first = last
 
-def partners(texts: list[str], n: np.ndarray, longer: int, zone: tuple[int, int]) -> list[tuple[str, int, int, str]]:
-    """word, number of near words, and the most frequent of these (n, word; ties to the least word), of a group's words that have any."""
+
+def partners(texts: list[str], n: np.ndarray, longer: np.ndarray, lo: np.ndarray, hi: np.ndarray, ends: np.ndarray) -> list[tuple[str, int, int, str]]:
+    """word, number of near words, and the most frequent of these (n, word; ties to the least), of the words of some groups that have any.
+
+    Rows of a group stand together in order of their words.
+    """
     block = Block(texts)
-    count = np.zeros(len(texts), np.int64)
-    best: dict[int, tuple[int, str]] = {}
-    for a, b in tiles(block, longer):
-        near = near_pairs(block, a, b, longer, zone)
-        for x, y in zip(a[near].tolist(), b[near].tolist()):
-            for one, two in ((x, y), (y, x)):
-                count[one] += 1
-                found = (-int(n[two]), texts[two])
-                if one not in best or found < best[one]:
-                    best[one] = found
-    return [(texts[i], int(count[i]), -m, w) for i, (m, w) in best.items()]
+    ones, others = [], []
+    for a, b in tiles(ends, block.left.shape[1]):
+        near = near_pairs(block, a, b, longer[a], lo[a], hi[a])
+        ones += [a[near], b[near]]
+        others += [b[near], a[near]]
+    one, other = np.concatenate(ones), np.concatenate(others)
+    order = np.lexsort((other, -n[other], one))
+    row, first, count = np.unique(one[order], return_index=True, return_counts=True)
+    best = other[order][first]
+    return [(texts[r], c, int(n[w]), texts[w]) for r, c, w in zip(row.tolist(), count.tolist(), best.tolist())]
+
+
+def whole_groups(ends: np.ndarray, wide: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows that hold whole groups, whose matrices have about TILE_BYTES, one group at least."""
+    first, most = 0, max(1, TILE_BYTES // (4 * wide))
+    while first < len(ends):
+        last = min(first + most, len(ends))
+        if last < len(ends):
+            begin = int(np.searchsorted(ends, ends[last]))
+            last = begin if begin > first else int(np.searchsorted(ends, ends[last], side="right"))
+        yield first, last
+        first = last
 
 
 def dealt(found: DataFrame) -> DataFrame:
@@ -220,35 +239,35 @@ def compared(zones: DataFrame) -> DataFrame:
     """word, n_near, best_n, best: per group, of words that have a near one in it."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(group: pd.DataFrame) -> list[tuple]:  # noqa: F821
-            if len(group) < 2 or (group["longer"].iloc[0] != group["size"].max()):
-                return []
-            return partners(group["word"].tolist(), group["n"].to_numpy(), int(group["longer"].iloc[0]), (int(group["lo"].iloc[0]), int(group["hi"].iloc[0])))
-
-        def out(rows: list[tuple]) -> pa.RecordBatch:
+        def found(table: pa.Table, key: np.ndarray) -> pa.RecordBatch:
+            cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+            size = np.diff(cuts)
+            ends = np.repeat(cuts[1:], size)
+            longer, rows = table.column("longer").to_numpy(), []
+            several = np.repeat(size, size) > 1
+            for least, most in zip((0, *WIDTHS), (*WIDTHS, 1 << 31)):  # words of similar length share matrices
+                own = np.flatnonzero(several & (longer > least) & (longer <= most))
+                for first, last in whole_groups(ends[own], most if most < 1 << 31 else int(longer[own].max(initial=1))):
+                    part = table.take(own[first:last])
+                    group = ends[own[first:last]]
+                    rows += partners(part.column("word").to_pylist(), *(part.column(c).to_numpy() for c in ("n", "longer", "lo", "hi")), np.searchsorted(group, group, side="right"))
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * 4, (pa.string(), pa.int64(), pa.int64(), pa.string()))], names=["word", "n_near", "best_n", "best"])
 
-        import pandas as pd
-
-        held = None  # the last group of the batches so far, which the next one may carry on
+        held: list[pa.RecordBatch] = []  # the last group so far, which the next batch may carry on
         for batch in batches:
-            frame = batch.to_pandas()
-            frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
-            if not len(frame):
+            if not len(batch):
                 continue
-            key = frame["key"].to_numpy()
-            cuts = np.flatnonzero(key[1:] != key[:-1]) + 1
-            last = int(cuts[-1]) if len(cuts) else 0
-            rows = []
-            for first, end in zip([0, *cuts[:-1].tolist()], cuts.tolist()):
-                if end - first > 1:
-                    rows += found(frame.iloc[first:end])
-            held = frame.iloc[last:]
-            yield out(rows)
-        if held is not None:
-            yield out(found(held))
-
-    near = zones.withColumn("size", F.char_length("word")).repartition("key").sortWithinPartitions("key", "word")
+            table = pa.Table.from_batches([*held, batch]).combine_chunks()
+            key = table.column("key").to_numpy()
+            last = int(np.searchsorted(key, key[-1]))
+            held = table.slice(last).to_batches()
+            if last:
+                yield found(table.slice(0, last), key[:last])
+        if held:
+            table = pa.Table.from_batches(held).combine_chunks()
+            yield found(table, table.column("key").to_numpy())
+
+    near = zones.repartition("key").sortWithinPartitions("key", "word")
     return near.mapInArrow(step, "word string, n_near long, best_n long, best string")
 
 
