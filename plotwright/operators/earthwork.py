@@ -8,7 +8,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import spatial
+
 FEET = 3.28084
+#: Fixed value: cubic yards of a cubic metre.
+CUBIC_YARDS = 1.30795
+
 #: Shrink and swell factors by soil, unit costs in dollars.
 SOILS = {"clay": (1.25, 1.30), "sand": (1.10, 1.15), "rock": (1.50, 1.60), "loam": (1.15, 1.20), "mixed": (1.20, 1.25)}
 COSTS = {"excavation": 5.0, "fill": 8.0, "haul": 2.5, "import": 25.0, "export": 15.0, "rock": 35.0, "compaction": 3.5}
@@ -120,3 +125,12 @@ def heat(depth: Column, most: float) -> Column:
     """Red for cut, blue for fill, green for little change, of depths clipped to the range."""
     level = ((F.least(F.greatest(depth, F.lit(-most)), F.lit(most)) + most) / (2.0 * most) * 255.0).cast("int")
     return F.when(depth > 0.5, F.struct(level.alias("r"), F.lit(0).alias("g"), F.lit(0).alias("b"))).when(depth < -0.5, F.struct(F.lit(0).alias("r"), F.lit(0).alias("g"), (255 - level).alias("b"))).otherwise(F.struct(F.lit(0).alias("r"), F.lit(128).alias("g"), F.lit(0).alias("b")))
+
+
+def pad_volumes(cells: DataFrame, shapes: DataFrame, cell: float) -> DataFrame:
+    """Per shape on its raster the cut and fill, in cubic yards, that level its cells at their median height."""
+    under = spatial.zonal(cells, shapes, cell)
+    level = under.groupBy("dem_id", "shape_id").agg(F.median("z").alias("level"))
+    d = F.col("z") - F.col("level")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0.0)) * cell * cell * CUBIC_YARDS
+    return under.join(level, ["dem_id", "shape_id"]).groupBy("dem_id", "shape_id").agg(total(F.when(d > 0, d)).alias("cut"), total(F.when(d < 0, -d)).alias("fill"))

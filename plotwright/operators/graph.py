@@ -5,10 +5,14 @@ Loops keep their state in written tables and fetch one row of counts a round, ne
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plotwright.tables import new_path, written
+from plotwright.tables import written
+
+from . import block_search as blocks
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -46,42 +50,26 @@ def labelled(nodes: DataFrame, links: DataFrame, left: str, right: str) -> DataF
     return nodes.join(stars(links, left, right), "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
-def least_costs(edges: DataFrame, sources: DataFrame, every: int = 4) -> DataFrame:
-    """site_id, source, node, dist and prev of every node that a source reaches.
+def least_costs(edges: DataFrame, sources: DataFrame, width: float | None = None, block: Callable[[Column], Column] = blocks.id_block) -> DataFrame:
+    """site_id, source, node, dist, prev, arcs of every node that a source reaches.
 
-    edges: site_id, src, dst, weight, walked in both directions; sources: site_id, source. Bellman-Ford in
-    rounds over all sites and sources at once: only nodes that have just improved look further, and the state is
-    written every few rounds, until none has improved. Weights are not negative. Ties go to the least predecessor.
-    """
-    both = written(edges.select("site_id", "src", "dst", "weight").union(edges.select("site_id", "dst", "src", "weight")), "arcs")
-    state = written(sources.select("site_id", "source", F.col("source").alias("node"), F.lit(0.0).alias("dist"), F.lit(None).cast("long").alias("prev"), F.lit(True).alias("fresh")), "reach")
-    while state.where("fresh").limit(1).count():
-        for _ in range(every):
-            step = state.where("fresh").join(both.withColumnRenamed("src", "node"), ["site_id", "node"]).select("site_id", "source", F.col("dst").alias("node"), (F.col("dist") + F.col("weight")).alias("dist"), F.col("node").alias("prev"), F.lit(True).alias("fresh"))
-            known = state.withColumn("fresh", F.lit(False))
-            best = F.min(F.struct("dist", "fresh", "prev"))  # an old way wins over a new one of equal cost
-            state = known.unionByName(step).groupBy("site_id", "source", "node").agg(best.alias("of")).select("site_id", "source", "node", "of.dist", "of.prev", "of.fresh")
-        state = written(state, "reach")
-    return state.drop("fresh")
-
-
-def path_nodes(reach: DataFrame, goals: DataFrame) -> DataFrame:
-    """site_id, source, goal, node, back (steps from the goal): paths of goals (site_id, source, goal), walked back all at once.
-
-    Each step is appended to one table, until every path has come to its source.
+    edges: site_id, src, dst, weight (not negative), walked in both directions; sources: site_id, source. Whole blocks
+    of nodes are settled at once (block_search), all sites and sources together. Of ways of equal cost the one of
+    fewest arcs is taken, then the least predecessor.
     """
-    prev = written(reach.select("site_id", "source", "node", "prev"), "prev")
-    at = goals.select("site_id", "source", "goal", F.col("goal").alias("node"), F.lit(0).alias("back")).join(prev, ["site_id", "source", "node"])
-    path, step = new_path(reach.sparkSession, "walk"), 0
-    while True:
-        stepped = at.withColumn("step", F.lit(step))
-        stepped.write.mode("append").parquet(path)
-        whole = reach.sparkSession.read.schema(stepped.schema).parquet(path)
-        last = whole.where((F.col("step") == step) & F.col("prev").isNotNull())
-        if not last.limit(1).count():
-            return whole.drop("prev", "step")
-        at = last.select("site_id", "source", "goal", F.col("prev").alias("node"), (F.col("back") + 1).alias("back")).join(prev, ["site_id", "source", "node"])
-        step += 1
+    found = blocks.searched(edges.drop("length"), sources.select("site_id", F.col("source").alias("search"), F.col("source").alias("node")), block, width)
+    return blocks.reach(found).select("site_id", F.col("search").alias("source"), "node", F.col("cost").alias("dist"), "prev", "arcs")
+
+
+def path_nodes(reach: DataFrame, goals: DataFrame, block: Callable[[Column], Column] = blocks.id_block) -> DataFrame:
+    """site_id, source, goal, node, back (steps from the goal): paths of goals (site_id, source, goal), all walked back at once, a block a round."""
+    none = F.lit(-1).cast("long")
+    way = F.struct("node", F.coalesce("prev", none).alias("prev"), F.coalesce(block(F.col("prev")), none).alias("prev_block"), "arcs")
+    packed = reach.select("site_id", F.col("source").alias("search"), block(F.col("node")).alias("block"), way.alias("way"))
+    packed = written(packed.groupBy("site_id", "search", "block").agg(F.sort_array(F.collect_list("way")).alias("ways")), "reach")
+    walked = blocks.paths(packed, goals.select("site_id", F.col("source").alias("search"), "goal"), block)
+    end = walked.groupBy("site_id", "search", "goal").agg(F.max("arcs").alias("far"))
+    return walked.join(end, ["site_id", "search", "goal"]).select("site_id", F.col("search").alias("source"), "goal", "node", (F.col("far") - F.col("arcs")).alias("back"))
 
 
 def spanning_forest(edges: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from plotwright.functions import geometry as G
 
 from . import spatial
+from .earthwork import CUBIC_YARDS
 
 #: Fixed values.
 WEIGHTS = {"cut_fill": 0.3, "accessibility": 0.25, "road_length": 0.2, "compactness": 0.15, "slope_variance": 0.1}
@@ -119,10 +120,48 @@ def zipped(assets: DataFrame, order: str, places: DataFrame, by: str) -> DataFra
     return assets.withColumn("__k", turn(order)).join(places.withColumn("__k", turn(by)), ["site_id", "__k"], "left").drop("__k", by)
 
 
-def results(scored: DataFrame, asset_rate: float = 500.0, road_rate: float = 5000.0, reserve: float = 0.1) -> DataFrame:
-    """Per solution its costs: assets by area, roads by segment, a contingency, and the total."""
-    rows = scored.select("site_id", "solution_id", "fitness", (F.col("area") * asset_rate).alias("asset_cost"), (F.col("n_assets") * road_rate).alias("road_cost"))
-    return rows.withColumn("contingency", (F.col("asset_cost") + F.col("road_cost")) * reserve).withColumn("total", F.col("asset_cost") + F.col("road_cost") + F.col("contingency"))
+#: Cut and fill in cubic metres a square metre of an asset without terrain; costs a cubic yard cut and
+#: filled, a square metre of an asset, a metre of road, and a road segment as if it were fifty metres long.
+FLAT_CUT, FLAT_FILL = 0.5, 0.3
+CUT_RATE, FILL_RATE, ASSET_RATE, ROAD_RATE, SEGMENT_METRES = 15.0, 12.0, 500.0, 100.0, 50.0
+CONTINGENCY = 0.1
+SQUARE_FEET = 0.092903
+
+
+def project_costs(layouts: DataFrame, earth: DataFrame, segments: DataFrame, sites: DataFrame, area_in_feet: bool = False) -> DataFrame:
+    """Per solution: cut, fill (cubic yards), earthwork, road_length, roads, assets, total, area_used (percent of the site).
+
+    layouts: site_id, solution_id, id, width, length; earth: site_id, solution_id, id, cut, fill of assets on terrain,
+    the others count by their area; segments: site_id, solution_id, length, a row a road segment; sites: site_id, area.
+    With area_in_feet the site's area is taken for square feet, as the surveyed system does.
+    """
+    key = ["site_id", "solution_id"]
+    area = F.col("width") * F.col("length")
+    each = layouts.select(*key, "id", area.alias("area")).join(earth.select(*key, "id", "cut", "fill"), [*key, "id"], "left")
+    moved = lambda c, share: F.sum(F.coalesce(c, F.col("area") * share * CUBIC_YARDS))
+    own = each.groupBy(key).agg(moved("cut", FLAT_CUT).alias("cut"), moved("fill", FLAT_FILL).alias("fill"), F.sum("area").alias("area"))
+    roads = segments.groupBy(key).agg(F.count("*").alias("n_segments"), F.sum("length").alias("road_length"))
+    site = sites.select("site_id", (F.col("area") * (SQUARE_FEET if area_in_feet else 1.0)).alias("site_area"))
+    met = own.join(roads, key, "left").join(site, "site_id", "left")
+    met = met.withColumns({
+        "earthwork": F.col("cut") * CUT_RATE + F.col("fill") * FILL_RATE, "road_length": F.coalesce("road_length", F.lit(0.0)),
+        "roads": F.coalesce("n_segments", F.lit(0)) * (ROAD_RATE * SEGMENT_METRES), "assets": F.col("area") * ASSET_RATE,
+        "area_used": F.try_divide(F.col("area"), F.col("site_area")) * 100.0,
+    })
+    return met.withColumn("total", F.col("earthwork") + F.col("roads") + F.col("assets")).select(*key, "cut", "fill", "earthwork", "road_length", "roads", "assets", "total", "area_used")
+
+
+def results(costs: DataFrame, scored: DataFrame) -> DataFrame:
+    """Per solution its metrics: total of costs, of it roads by length, assets as what is left, contingency, balance of cut and fill, score.
+
+    costs as project_costs() gives them; scored: site_id, solution_id, fitness in percent.
+    """
+    met = costs.join(scored.select("site_id", "solution_id", "fitness"), ["site_id", "solution_id"])
+    roads = F.col("road_length") * ROAD_RATE
+    return met.select(
+        "site_id", "solution_id", "earthwork", roads.alias("road_cost"), F.greatest(F.lit(0.0), F.col("total") / (1.0 + CONTINGENCY) - F.col("earthwork") - roads).alias("asset_cost"),
+        (F.col("total") * CONTINGENCY).alias("contingency"), "total", F.when(F.col("fill") > 0, F.col("cut") / F.col("fill")).otherwise(0.0).alias("balance_ratio"), (F.col("fitness") / 100.0 * 100.0).alias("score"),
+    )
 
 
 #: Names of the weights at the user's side, and the objectives that they stand for.

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plotwright.functions import geometry as G
-
 from plotwright.tables import written
 
+from . import block_search as blocks
 from . import graph, spatial
 
 #: Widths in metres.
@@ -118,35 +121,78 @@ def features(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return points.union(lines)
 
 
+FEET = 3.28084
+
+
 def site_network(nodes: DataFrame, entrances: DataFrame, assets: DataFrame, spacing: float, max_grade: float) -> DataFrame:
-    """Roads of each site as segments: site_id, src, dst (node ids, or an asset's id), kind, length, max_grade, class, width.
+    """Roads of each site as segments: site_id, src, dst (node ids, or an asset's id), kind, length, length_ft, max_grade, class, width.
 
     Grid nodes (site_id, id, row, col, x, y, z, slope) are linked where the grade allows; the entrance (site_id, x, y)
-    and every asset (site_id, id, x, y) take the nearest node within two spacings. The tree of least path costs between
-    these nodes gives the roads. An asset without a node, or whose node no way reaches from the entrance, gets a straight
-    road from the entrance instead.
+    and every asset (site_id, id, x, y) take the nearest node within two spacings. Roads follow the ways of least cost
+    between these nodes, and the tree of least length among them is built. A road at the entrance is primary, others
+    are secondary on a site of more than five assets. An asset without a node, or whose node no way reaches from the
+    entrance, gets a straight road from the entrance instead.
     """
     gate = F.lit(-1).cast("long")
     points = assets.select("site_id", "id", "x", "y").union(entrances.select("site_id", gate, "x", "y"))
     nearest = spatial.within_radius(points, nodes, 2.0 * spacing).groupBy("site_id", "point_id").agg(F.min(F.struct("distance", "node_id"))["node_id"].alias("node"))
     nearest = written(nearest, "terminals")
-    tree, reach = terminal_network(edges(nodes, max_grade), nearest.select("site_id", "node").distinct())
-    tree, reach = written(tree, "tree"), written(reach, "reach")
-    walked = graph.path_nodes(reach, tree.select("site_id", F.col("src").alias("source"), F.col("dst").alias("goal")))
-    at = walked.join(nodes.select("site_id", F.col("id").alias("node"), "x", "y", "z"), ["site_id", "node"])
-    own = path_measures(at.withColumns({"path_id": F.struct("source", "goal"), "seq": -F.col("back")})).select("site_id", "path_id.source", "path_id.goal", "length", "max_grade")
+    network = terminal_network(edges(nodes, max_grade), nearest.select("site_id", "node").distinct(), routed_by="weight", block=blocks.grid_block)
+    at = network.paths().join(nodes.select("site_id", F.col("id").alias("node"), "x", "y", "z"), ["site_id", "node"])
+    own = path_measures(at.withColumn("path_id", F.struct("src", "dst"))).select("site_id", "path_id.src", "path_id.dst", "length", "max_grade")
     start = nearest.where(F.col("point_id") == gate).select("site_id", F.col("node").alias("gate"))
-    served = nearest.where(F.col("point_id") != gate).groupBy("site_id", "node").agg(F.count("*").alias("n_assets")).withColumnRenamed("node", "goal")
-    ends = own.join(start, "site_id", "left").join(served, ["site_id", "goal"], "left")
-    paths = ends.select("site_id", F.col("source").alias("src"), F.col("goal").alias("dst"), F.lit("path").alias("kind"), "length", "max_grade", road_class(F.coalesce(F.col("source") == F.col("gate"), F.lit(False)) | F.coalesce(F.col("goal") == F.col("gate"), F.lit(False)), F.coalesce("n_assets", F.lit(0))).alias("class"))
-    reached = reach.join(start, "site_id").where("source = gate").select("site_id", "node")
+    n_assets = assets.groupBy("site_id").agg(F.count("*").alias("n_assets"))
+    ends = own.join(start, "site_id", "left").join(n_assets, "site_id", "left")
+    at_gate = F.coalesce((F.col("src") == F.col("gate")) | (F.col("dst") == F.col("gate")), F.lit(False))
+    found = ends.select("site_id", "src", "dst", F.lit("path").alias("kind"), "length", "max_grade", road_class(at_gate, F.coalesce("n_assets", F.lit(0))).alias("class"))
+    reached = network.reached(start.select("site_id", F.col("gate").alias("node")))
     alone = assets.select("site_id", "id", "x", "y").join(nearest.join(reached, ["site_id", "node"]).select("site_id", F.col("point_id").alias("id")), ["site_id", "id"], "left_anti")
     straight = star(entrances, alone).select("site_id", gate.alias("src"), F.col("id").alias("dst"), F.lit("straight").alias("kind"), "length", F.lit(None).cast("double").alias("max_grade"), F.lit("access").alias("class"))
-    return with_width(paths.unionByName(straight))
-
-
-def terminal_network(links: DataFrame, terminals: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The tree of least path costs between each site's terminals (site_id, node), and the reach table that its paths follow."""
-    reach = graph.least_costs(links, terminals.select("site_id", F.col("node").alias("source")))
-    between = reach.join(terminals.select("site_id", "node"), ["site_id", "node"]).where("source < node").select("site_id", F.col("source").alias("src"), F.col("node").alias("dst"), F.col("dist").alias("weight"))
-    return graph.spanning_forest(between), reach
+    return with_width(found.unionByName(straight).withColumn("length_ft", F.col("length") * FEET))
+
+
+@dataclass
+class Network:
+    """The tree between each site's terminals: tree (site_id, src, dst, length, cost, and the edge a, b where their regions meet) and the ways that it follows."""
+
+    tree: DataFrame
+    ways: DataFrame
+    terminals: DataFrame
+    block: Callable[[Column], Column]
+
+    def paths(self) -> DataFrame:
+        """site_id, src, dst, seq, node: the nodes of each road, from src through a and b to dst."""
+        ends = self.tree.select("site_id", "src", "dst", "a", "b")
+        goals = ends.select("site_id", F.explode(F.array("a", "b")).alias("goal")).withColumn("search", F.lit(0))
+        walked = blocks.paths(self.ways, goals, self.block).select("site_id", "goal", "node", "arcs")
+        half = lambda c, seq: ends.withColumn("goal", F.col(c)).join(walked, ["site_id", "goal"]).select("site_id", "src", "dst", seq.cast("long").alias("seq"), "node")
+        return half("a", F.col("arcs")).unionByName(half("b", F.lit(1 << 40) - F.col("arcs")))
+
+    def status(self) -> DataFrame:
+        """site_id, n_terminals, n_links, connected: a row for every site, also for one that no road joins."""
+        n = self.terminals.groupBy("site_id").agg(F.count("*").alias("n_terminals"))
+        links = self.tree.groupBy("site_id").agg(F.count("*").alias("n_links"))
+        found = n.join(links, "site_id", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long")))
+        return found.withColumn("connected", F.col("n_links") == F.col("n_terminals") - 1)
+
+    def reached(self, starts: DataFrame) -> DataFrame:
+        """site_id, node: the terminals that roads join with the starts (site_id, node), and these."""
+        key = lambda c: F.struct("site_id", F.col(c).alias("node"))
+        parts = graph.labelled(self.terminals.select(key("node").alias("node")), self.tree.select(key("src").alias("s"), key("dst").alias("d")), "s", "d")
+        roots = parts.join(starts.select(key("node").alias("node")), "node", "left_semi").select("root").distinct()
+        return parts.join(roots, "root").select("node.*")
+
+
+def terminal_network(links: DataFrame, terminals: DataFrame, routed_by: str = "length", block: Callable[[Column], Column] = blocks.id_block) -> Network:
+    """The tree of least length that joins each site's terminals (site_id, node) over links (site_id, src, dst, weight, length).
+
+    One search a site starts from all its terminals at once; ways are routed by weight or by length. Routed by length,
+    the tree is as short as one of the shortest ways between all pairs; routed by weight, as short as one of the
+    cheapest ways through the edges where the terminals' regions meet.
+    """
+    terminals = written(terminals.select("site_id", "node").distinct(), "terminals")
+    own = links.select("site_id", "src", "dst", F.col(routed_by).alias("weight"), "length")
+    ways = blocks.searched(own, terminals.withColumn("search", F.lit(0)), block)
+    met = written(blocks.nearest_links(own, ways), "links")
+    tree = graph.spanning_forest(met.select("site_id", "src", "dst", F.col("length").alias("weight"))).select("site_id", "src", "dst")
+    return Network(written(met.join(tree, ["site_id", "src", "dst"]), "tree"), ways, terminals, block)

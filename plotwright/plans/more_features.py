@@ -129,12 +129,6 @@ def _(spark, sf_dir):
     return spatial.sample(dem(spark, sf_dir), at, CELL).select("id", "dem_id", "z")
 
 
-@query("n16_project_costs", f"WITH {ASSETS}, x AS (SELECT site_id, sum(width * length) * 500e0 AS assets, count(*) * 5000e0 AS roads FROM a GROUP BY site_id) SELECT site_id, {r('assets', 'roads')}, round(assets + roads, 6) + 0.0 AS total FROM x")
-def _(spark, sf_dir):
-    found = assets(spark, sf_dir).groupBy("site_id").agg((F.sum(F.col("width") * F.col("length")) * 500.0).alias("assets"), (F.count("*") * 5000.0).alias("roads"))
-    return found.withColumn("total", F.col("assets") + F.col("roads"))
-
-
 @query("p07_flood_rows", f"WITH {FLOOD} SELECT location, count(*) AS n, count(*) FILTER (code LIKE '%FLOODWAY%') AS n_floodway, count(*) FILTER (zone IN ('V', 'VE')) AS n_coastal FROM fz GROUP BY location")
 def _(spark, sf_dir):
     zone = P.flood_zone(F.col("code"))

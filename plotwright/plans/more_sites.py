@@ -11,7 +11,7 @@ from plotwright.operators import earthwork, layout, raster, roads, rules, spatia
 from plotwright.operators.stencil import terrain as derive
 
 from .fixtures import CELL, dem, dem_sql, gaps_sql, r, rounded, table, terrain_sql, with_gaps
-from .sites import ASSETS, FITNESS, LAYOUTS, NODES, OBJECTIVES, ON, OUT, OVERLAPS, SEGMENTS, SURVEYED, ZONAL, ZONES, assets, layouts, nodes, nudged, scored, segments, sites, surveyed
+from .sites import ASSETS, FITNESS, LAYOUTS, NODES, OBJECTIVES, ON, OUT, OVERLAPS, SEGMENTS, SPAN, SURVEYED, ZONAL, ZONES, assets, layouts, nodes, nudged, scored, segments, sites, surveyed
 from .sites import zones as exclusion_zones
 from .zones import MEASURES, zoned
 from .zones import ZONES as ZONED
@@ -215,9 +215,33 @@ def _(spark, sf_dir):
     return met.select("site_id", F.col("point_id").alias("terminal"), F.col("node_id").alias("node"), F.col("distance").alias("length"), roads.edge_weight(F.col("distance"), F.lit(0.0), F.lit(0.0)).alias("weight"))
 
 
-@query("n15_results", f"""WITH {FITNESS}, sc AS (SELECT site_id, solution_id, fitness, area * 500 AS asset_cost, n_assets * 5000e0 AS road_cost FROM fi), x AS (SELECT *, (asset_cost + road_cost) * 0.1e0 AS contingency FROM sc) SELECT site_id, solution_id, {r('fitness', 'asset_cost', 'road_cost', 'contingency')}, round(asset_cost + road_cost + contingency, 6) + 0.0 AS total FROM x""")
+#: Costs of the layouts: pads on the sites' rasters, a straight road to every asset, all by the rates of the survey.
+COSTS = """pz AS (SELECT sb.site_id, solution_id, id, t.z - median(t.z) OVER (PARTITION BY sb.site_id, solution_id, id) AS d FROM t JOIN sb ON sb.site_id % 4 = t.dem_id AND (t.col + 0.5e0) * 10 > x0 + 0.3e0 AND (t.col + 0.5e0) * 10 < x1 + 0.3e0 AND (t."row" + 0.5e0) * 10 > y0 + 0.3e0 AND (t."row" + 0.5e0) * 10 < y1 + 0.3e0),
+pv AS (SELECT site_id, solution_id, id, coalesce(sum(d) FILTER (d > 0), 0) * 100 * 1.30795e0 AS cut, coalesce(-sum(d) FILTER (d < 0), 0) * 100 * 1.30795e0 AS fill FROM pz GROUP BY ALL),
+pa AS (SELECT sb.site_id, sb.solution_id, sum(coalesce(cut, width * length * 0.5e0 * 1.30795e0)) AS cut, sum(coalesce(fill, width * length * 0.3e0 * 1.30795e0)) AS fill, sum(width * length) AS area, count(*) AS n, sum(sqrt(x * x + y * y)) AS road_length FROM sb LEFT JOIN pv ON pv.site_id = sb.site_id AND pv.solution_id = sb.solution_id AND pv.id = sb.id GROUP BY ALL),
+co AS (SELECT *, cut * 15 + fill * 12 AS earthwork, n * 100 * 50e0 AS roads, area * 500 AS assets, cut * 15 + fill * 12 + n * 100 * 50e0 + area * 500 AS total, area / 40000 * 100 AS area_used FROM pa)"""
+
+
+def costs(spark, sf_dir):
+    own = layouts(spark, sf_dir)
+    moved = layout.placed(own.drop("ring").withColumns({"x": F.col("x") + 0.3, "y": F.col("y") + 0.3}))
+    shapes = moved.select((F.col("site_id") % 4).alias("site_id"), F.struct("site_id", "solution_id", "id").alias("id"), "ring")
+    earth = earthwork.pad_volumes(dem(spark, sf_dir), shapes, CELL).select("shape_id.*", "cut", "fill")
+    each = own.select(F.struct("site_id", "solution_id").alias("site_id"), "id", "x", "y")
+    gates = each.select("site_id").distinct().withColumns({"x": F.lit(0.0), "y": F.lit(0.0)})
+    segments = roads.star(gates, each).select("site_id.*", "length")
+    return layout.project_costs(own, earth, segments, own.select("site_id").distinct().withColumn("area", F.lit(SPAN * SPAN)))
+
+
+@query("n16_project_costs", f"{terrain_sql()}, {LAYOUTS}, {COSTS} SELECT site_id, solution_id, {r('cut', 'fill', 'earthwork', 'road_length', 'roads', 'assets', 'total', 'area_used')} FROM co")
+def _(spark, sf_dir):
+    return costs(spark, sf_dir)
+
+
+@query("n15_results", f"""WITH {FITNESS}, {COSTS} SELECT co.site_id, co.solution_id, round(earthwork, 6) + 0.0 AS earthwork, round(co.road_length * 100, 6) + 0.0 AS road_cost, round(greatest(0e0, total / 1.1e0 - earthwork - co.road_length * 100), 6) + 0.0 AS asset_cost, round(total * 0.1e0, 6) + 0.0 AS contingency, round(total, 6) + 0.0 AS total,
+ round(CASE WHEN fill > 0 THEN cut / fill ELSE 0e0 END, 6) + 0.0 AS balance_ratio, round(fitness, 6) + 0.0 AS score FROM co JOIN fi ON fi.site_id = co.site_id AND fi.solution_id = co.solution_id""")
 def _(spark, sf_dir):
-    return layout.results(scored(spark, sf_dir))
+    return layout.results(costs(spark, sf_dir), scored(spark, sf_dir))
 
 
 @query("n14_weight_checks", "SELECT n_nationkey AS id, abs(n_nationkey % 3 + 99 - 100) <= 0.01 AS is_valid, round((n_nationkey % 3 + 24) / 100e0, 6) + 0.0 AS cut_fill FROM nation")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plotwright.functions import geometry as G
-from plotwright.operators import graph, layout, roads, rules, spatial
+from plotwright.operators import block_search, earthwork, graph, layout, roads, rules, spatial
 from plotwright.operators.stencil import terrain as derive
 from plotwright.tables import written
 
@@ -219,11 +219,9 @@ def _(spark, sf_dir):
 @query("l14_pad_earthwork", f"""WITH {ZONAL}, m AS (SELECT *, z - median(z) OVER (PARTITION BY dem_id, shape_id) AS d FROM zo), x AS (SELECT dem_id, shape_id, coalesce(sum(d) FILTER (d > 0), 0) * 100e0 * 1.30795e0 AS cut, coalesce(-sum(d) FILTER (d < 0), 0) * 100e0 * 1.30795e0 AS fill FROM m GROUP BY ALL), y AS (SELECT *, 15e0 * cut + 12e0 * fill AS cost FROM x)
 SELECT dem_id, shape_id, {r('cut', 'fill', 'cost')} FROM y""")
 def _(spark, sf_dir):
-    under = spatial.zonal(dem(spark, sf_dir), nudged(spark, sf_dir), CELL)
-    level = under.groupBy("dem_id", "shape_id").agg(F.median("z").alias("m"))
-    d = F.col("z") - F.col("m")
-    total = lambda c: F.coalesce(F.sum(c), F.lit(0.0)) * CELL * CELL * 1.30795
-    return under.join(level, ["dem_id", "shape_id"]).groupBy("dem_id", "shape_id").agg(total(F.when(d > 0, d)).alias("cut"), total(F.when(d < 0, -d)).alias("fill")).withColumn("cost", 15.0 * F.col("cut") + 12.0 * F.col("fill"))
+    pads = earthwork.pad_volumes(dem(spark, sf_dir), nudged(spark, sf_dir), CELL)
+    return pads.withColumn("cost", 15.0 * F.col("cut") + 12.0 * F.col("fill"))
+
 
 
 @query("j17_sample_raster", f'WITH {dem_sql()}, {ASSETS} SELECT a.id, a.site_id AS dem_id, d.z FROM a LEFT JOIN dem d ON d.dem_id = a.site_id AND d."row" = CAST(trunc(a.y / 10) AS INT) AND d.col = CAST(trunc(a.x / 10) AS INT)')
@@ -243,11 +241,13 @@ def _(spark, sf_dir):
     return spatial.nearest_road(at, ro).withColumn("road", F.coalesce("road", F.lit(-1)))
 
 
-NODES = """nd AS (SELECT site_id, CAST(r * 100000 + c AS BIGINT) AS id, CAST(r AS INT) AS "row", CAST(c AS INT) AS col, c * 25e0 AS x, r * 25e0 AS y FROM (SELECT DISTINCT s_suppkey % 5 AS site_id FROM supplier), range(8) a(r), range(8) b(c))"""
+#: Sites of sixty-four nodes; a node's height and slope are those of its part, flat where there is none.
+NODES = """nd AS (SELECT site_id, CAST(r * 100000 + c AS BIGINT) AS id, CAST(r AS INT) AS "row", CAST(c AS INT) AS col, c * 25e0 AS x, r * 25e0 AS y FROM (SELECT DISTINCT p_partkey // 64 AS site_id FROM part), range(8) a(r), range(8) b(c))"""
 
 
 def site_boxes(spark, sf_dir):
-    return assets(spark, sf_dir).select("site_id").distinct().withColumns({"min_x": F.lit(0.0), "min_y": F.lit(0.0), "max_x": F.lit(SPAN), "max_y": F.lit(SPAN)})
+    own = table(spark, sf_dir, "part").select(F.expr("p_partkey div 64").alias("site_id")).distinct()
+    return own.withColumns({"min_x": F.lit(0.0), "min_y": F.lit(0.0), "max_x": F.lit(SPAN), "max_y": F.lit(SPAN)})
 
 
 def nodes(spark, sf_dir):
@@ -279,11 +279,12 @@ def _(spark, sf_dir):
 
 
 def surveyed(spark, sf_dir):
-    k = F.col("row") * 7 + F.col("col") * 3 + F.col("site_id")
-    return nodes(spark, sf_dir).withColumns({"z": k % 11 * 0.5, "slope": k % 30 * 1.0})
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), (F.col("p_size") * 0.1).alias("z"), (F.col("p_size") * 7 % 30 * 1.0).alias("slope"))
+    met = nodes(spark, sf_dir).withColumn("k", F.col("site_id") * 64 + F.col("row") * 8 + F.col("col")).join(part, "k", "left").drop("k")
+    return met.withColumns({"z": F.coalesce("z", F.lit(0.0)), "slope": F.coalesce("slope", F.lit(0.0))})
 
 
-SURVEYED = f"""{ADJ}, sv AS (SELECT *, ("row" * 7 + col * 3 + site_id) % 11 * 0.5e0 AS z, ("row" * 7 + col * 3 + site_id) % 30 * 1e0 AS slope FROM nd),
+SURVEYED = f"""{ADJ}, sv AS (SELECT nd.*, coalesce(p_size * 0.1e0, 0e0) AS z, coalesce(p_size * 7 % 30 * 1e0, 0e0) AS slope FROM nd LEFT JOIN part ON p_partkey = site_id * 64 + "row" * 8 + col),
 eg AS (SELECT aj.site_id, src, dst, sqrt(pow(p.x - q.x, 2) + pow(p.y - q.y, 2)) AS length, q.z - p.z AS rise, (p.slope + q.slope) / 2 AS sl FROM aj JOIN sv p ON p.site_id = aj.site_id AND p.id = src JOIN sv q ON q.site_id = aj.site_id AND q.id = dst),
 ew AS (SELECT *, abs(rise) / length * 100 AS grade, 0.3e0 * length + 0.4e0 * length * CASE WHEN sl < 8 THEN 0.5e0 WHEN sl < 15 THEN 1.5e0 WHEN sl < 25 THEN 3e0 ELSE 10e0 END + 0.3e0 * (abs(rise) * 6e0 * length * 0.01e0) AS weight FROM eg)"""
 
@@ -314,28 +315,49 @@ def entrances(spark, sf_dir):
 
 
 @query("r04_least_cost_paths", f"""WITH RECURSIVE {SURVEYED}, ar AS (SELECT site_id, src AS u, dst AS v, weight FROM ew UNION ALL SELECT site_id, dst, src, weight FROM ew),
-bf(site_id, node, dist, k) AS (SELECT site_id, CAST(0 AS BIGINT), 0e0, 0 FROM (SELECT DISTINCT site_id FROM nd) UNION ALL (SELECT site_id, node, min(dist) AS dist, max(k) + 1 AS k FROM (SELECT ar.site_id, ar.v AS node, bf.dist + ar.weight AS dist, bf.k FROM bf JOIN ar ON bf.site_id = ar.site_id AND bf.node = ar.u WHERE bf.k < 24 UNION ALL SELECT site_id, node, dist, k FROM bf WHERE k < 24) GROUP BY site_id, node))
+bf(site_id, node, dist, k) AS (SELECT site_id, CAST(0 AS BIGINT), 0e0, 0 FROM (SELECT DISTINCT site_id FROM nd) UNION ALL (SELECT site_id, node, min(dist) AS dist, max(k) + 1 AS k FROM (SELECT ar.site_id, ar.v AS node, bf.dist + ar.weight AS dist, bf.k FROM bf JOIN ar ON bf.site_id = ar.site_id AND bf.node = ar.u WHERE bf.k < 40 UNION ALL SELECT site_id, node, dist, k FROM bf WHERE k < 40) GROUP BY site_id, node))
 SELECT site_id, node, round(min(dist), 6) + 0.0 AS dist FROM bf GROUP BY ALL""")
 def _(spark, sf_dir):
-    return graph.least_costs(roads.edges(surveyed(spark, sf_dir)), entrances(spark, sf_dir)).select("site_id", "node", "dist")
+    return graph.least_costs(roads.edges(surveyed(spark, sf_dir)), entrances(spark, sf_dir), block=block_search.grid_block).select("site_id", "node", "dist")
 
 
 def terminals(spark, sf_dir):
     return nodes(spark, sf_dir).where("(row * 3 + col * 5 + site_id) % 13 = 0 or id = 0").select("site_id", F.col("id").alias("node"))
 
 
+def network(spark, sf_dir):
+    return roads.terminal_network(roads.edges(surveyed(spark, sf_dir), 12.0), terminals(spark, sf_dir), block=block_search.grid_block)
+
+
 @query("r07_terminal_tree")
 def _(spark, sf_dir):
-    tree, _ = roads.terminal_network(roads.edges(surveyed(spark, sf_dir)), terminals(spark, sf_dir))
-    return tree
+    """The tree of least path length between the terminals, over edges that the grade allows."""
+    return network(spark, sf_dir).tree.select("site_id", "src", "dst", F.col("length").alias("weight"))
+
+
+#: Least lengths between terminals, and the sum of those edges whose ends no chain of shorter ones joins.
+TREES = f"""{SURVEYED}, ar AS (SELECT site_id, src AS u, dst AS v, length FROM ew WHERE grade <= 12 UNION ALL SELECT site_id, dst, src, length FROM ew WHERE grade <= 12),
+tm AS (SELECT site_id, id AS node FROM nd WHERE ("row" * 3 + col * 5 + site_id) % 13 = 0 OR id = 0),
+bf(site_id, source, node, dist, k) AS (SELECT site_id, node, node, 0e0, 0 FROM tm UNION ALL (SELECT site_id, source, node, min(dist) AS dist, max(k) + 1 AS k FROM (SELECT bf.site_id, source, ar.v AS node, bf.dist + ar.length AS dist, bf.k FROM bf JOIN ar ON bf.site_id = ar.site_id AND bf.node = ar.u WHERE bf.k < 40 UNION ALL SELECT site_id, source, node, dist, k FROM bf WHERE k < 40) GROUP BY site_id, source, node)),
+pr AS (SELECT bf.site_id, source AS a, bf.node AS b, round(min(dist), 6) AS l FROM bf JOIN tm ON tm.site_id = bf.site_id AND tm.node = bf.node WHERE source < bf.node GROUP BY ALL),
+pe AS (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY l, a, b) AS o FROM pr),
+jn(site_id, o, a, b, cur) AS (SELECT site_id, o, a, b, a FROM pe UNION SELECT jn.site_id, jn.o, jn.a, jn.b, CASE WHEN pe.a = jn.cur THEN pe.b ELSE pe.a END FROM jn JOIN pe ON pe.site_id = jn.site_id AND pe.o < jn.o AND (pe.a = jn.cur OR pe.b = jn.cur)),
+tr AS (SELECT site_id, count(*) AS n_links, sum(l) AS length FROM pe WHERE NOT EXISTS (SELECT 1 FROM jn WHERE jn.site_id = pe.site_id AND jn.o = pe.o AND jn.cur = pe.b) GROUP BY site_id)"""
+
+
+@query("r07_tree_status", f"WITH RECURSIVE {TREES} SELECT site_id, n_terminals, coalesce(n_links, 0) AS n_links, coalesce(n_links, 0) = n_terminals - 1 AS connected, round(coalesce(length, 0), 3) + 0.0 AS length FROM (SELECT site_id, count(*) AS n_terminals FROM tm GROUP BY site_id) LEFT JOIN tr USING (site_id)")
+def _(spark, sf_dir):
+    """Whether roads join all terminals of each site, and how long its tree is."""
+    found = network(spark, sf_dir)
+    whole = found.tree.groupBy("site_id").agg(F.sum("length").alias("length"))
+    return found.status().join(whole, "site_id", "left").withColumn("length", F.round(F.coalesce("length", F.lit(0.0)), 3) + 0.0)
 
 
 @query("r06_terminal_paths")
 def _(spark, sf_dir):
-    tree, reach = roads.terminal_network(roads.edges(surveyed(spark, sf_dir)), terminals(spark, sf_dir))
-    walked = graph.path_nodes(reach, tree.select("site_id", F.col("src").alias("source"), F.col("dst").alias("goal")))
-    points = walked.join(surveyed(spark, sf_dir).select("site_id", F.col("id").alias("node"), "x", "y", "z"), ["site_id", "node"]).withColumns({"path_id": F.concat_ws("-", "source", "goal"), "seq": -F.col("back")})
-    return roads.path_measures(points)
+    """Measures of the ways that the tree follows."""
+    points = network(spark, sf_dir).paths().join(surveyed(spark, sf_dir).select("site_id", F.col("id").alias("node"), "x", "y", "z"), ["site_id", "node"])
+    return roads.path_measures(points.withColumn("path_id", F.concat_ws("-", "src", "dst")))
 
 
 @query("r08_star_roads", f"WITH {ASSETS} SELECT site_id, id, round(sqrt(x * x + y * y), 6) + 0.0 AS length FROM a")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from plotwright.functions import crs
 from plotwright.functions import features as P
 from plotwright.functions import geometry as G
-from plotwright.operators import earthwork, graph, raster, roads, spatial, stencil, zones
+from plotwright.operators import block_search, earthwork, graph, layout, raster, roads, spatial, stencil, zones
 
 CELLS = "dem_id long, row int, col int, z double"
 
@@ -298,47 +298,184 @@ def test_switchbacks(spark):
     assert got.switchbacks == 4 and got.n_points == 6
 
 
+def adjacency(rows):
+    """site and node: the other ends, weights and lengths of its edges."""
+    out = {}
+    for r in rows:
+        for a, b in ((r[1], r[2]), (r[2], r[1])):
+            out.setdefault((r[0], a), []).append((b, r[3], r[4]))
+    return out
+
+
+def dijkstra(links, site, sources, by=0):
+    """Per node the least sum of weights (by 0) or lengths (by 1) from the nearest source."""
+    heap, seen = [(0.0, u) for u in sources], {}
+    while heap:
+        d, u = heapq.heappop(heap)
+        if u not in seen:
+            seen[u] = d
+            for v, *w in links.get((site, u), ()):
+                heapq.heappush(heap, (d + w[by], v))
+    return seen
+
+
+def kruskal(pairs):
+    """The chosen pairs of (weight, a, b)."""
+    root, chosen = {}, []
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for w, a, b in sorted(pairs):
+        if find(a) != find(b):
+            root[find(a)] = find(b)
+            chosen.append((w, a, b))
+    return chosen
+
+
+def grid_graph(size, seed, least=0):
+    """site, src, dst, weight, length: a grid of nodes (row * 100000 + column), with weights and lengths that disagree."""
+    rng, rows = random.Random(seed), []
+    for r in range(size):
+        for c in range(size):
+            for dr, dc in ((0, 1), (1, 0), (1, 1), (1, -1)):
+                if r + dr < size and 0 <= c + dc < size:
+                    rows.append((0, r * 100_000 + c, (r + dr) * 100_000 + c + dc, float(rng.randrange(least, 6)), float(rng.randrange(1, 9))))
+    return rows
+
+
+MEASURED = "site_id long, src long, dst long, weight double, length double"
+
+
+@pytest.mark.parametrize(("block", "width"), [(4, None), (4, 5.0), (64, None)])
+def test_least_costs_over_many_blocks(spark, block, width):
+    """Equal to Dijkstra whatever the blocks and buckets, edges of no weight included; paths lead back along least ways."""
+    rows, cut = grid_graph(11, 7), lambda node: block_search.grid_block(node, block)
+    edges = spark.createDataFrame(rows, MEASURED)
+    reach = graph.least_costs(edges, spark.createDataFrame([(0, 0), (0, 500_003)], "site_id long, source long"), width, cut)
+    links, got = adjacency(rows), reach.collect()
+    for source in (0, 500_003):
+        assert {r.node: r.dist for r in got if r.source == source} == dijkstra(links, 0, [source])
+    goals = [(0, 0, 1_000_010), (0, 0, 10), (0, 500_003, 1_000_000), (0, 500_003, 500_003)]
+    walked = {}
+    for r in graph.path_nodes(reach, spark.createDataFrame(goals, "site_id long, source long, goal long"), cut).collect():
+        walked.setdefault((r.source, r.goal), []).append((r.back, r.node))
+    dist = {(r.source, r.node): r.dist for r in got}
+    for _, source, goal in goals:
+        nodes = [n for _, n in sorted(walked[source, goal])]
+        assert nodes[0] == goal and nodes[-1] == source
+        assert sum(min(w for v, w, _ in links[0, a] if v == b) for a, b in zip(nodes, nodes[1:])) == dist[source, goal]
+
+
+def test_least_costs_of_lone_and_missing_sources(spark):
+    edges = spark.createDataFrame([(0, 1, 2, 3.0), (1, 1, 2, 4.0)], EDGES)
+    got = graph.least_costs(edges, spark.createDataFrame([(0, 99), (0, 1), (7, 1)], "site_id long, source long")).collect()
+    assert sorted((r.site_id, r.source, r.node, r.dist, r.prev) for r in got if r.source == 99 or r.site_id == 7) == [(0, 99, 99, 0.0, None), (7, 1, 1, 0.0, None)]
+    assert len(got) == 4
+    assert graph.least_costs(edges, spark.createDataFrame([], "site_id long, source long")).collect() == []
+    assert graph.least_costs(edges.limit(0), spark.createDataFrame([(0, 5)], "site_id long, source long")).count() == 1
+
+
+def test_entries_grow_with_the_frontier(spark):
+    """What a round passes on are nodes at the borders of blocks, 60 of 256 in each, and a block is settled a few times."""
+    from plotwright.operators import block_search as b
+
+    rows, sizes = grid_graph(64, 8, 1), []
+    kept, b.written = b.written, lambda df, name, **k: (lambda out: (sizes.append((name, out.count())), out)[1])(kept(df, name, **k))
+    try:
+        found = b.searched(spark.createDataFrame(rows, MEASURED), spark.createDataFrame([(0, 0, 0)], "site_id long, search long, node long"), lambda n: b.grid_block(n, 16))
+    finally:
+        b.written = kept
+    assert found.agg(F.sum(F.size("ways"))).first()[0] == 64 * 64
+    assert max(n for name, n in sizes if name == "entries") <= 16 * 60 // 2 and sum(n for name, n in sizes if name == "settled") <= 8 * 16
+
+
+def test_tree_of_two_hundred_terminals(spark):
+    """As short as Kruskal's tree over the shortest ways between all pairs, without a table of these."""
+    rows, rng = grid_graph(30, 9), random.Random(10)
+    nodes = sorted({r[1] for r in rows} | {r[2] for r in rows})
+    ends, links = rng.sample(nodes, 200), adjacency(rows)
+    net = roads.terminal_network(spark.createDataFrame(rows, MEASURED), spark.createDataFrame([(0, e) for e in ends], "site_id long, node long"), block=lambda n: block_search.grid_block(n, 8))
+    tree = net.tree.collect()
+    far = {e: dijkstra(links, 0, [e], 1) for e in ends}
+    assert len(tree) == 199 and sum(r.length for r in tree) == sum(w for w, _, _ in kruskal([(far[a][b], a, b) for a in ends for b in ends if a < b]))
+    paths = {}
+    for r in net.paths().collect():
+        paths.setdefault((r.src, r.dst), []).append((r.seq, r.node))
+    for r in tree:
+        way = [n for _, n in sorted(paths[r.src, r.dst])]
+        assert way[0] == r.src and way[-1] == r.dst and sum(min(x for v, _, x in links[0, a] if v == b) for a, b in zip(way, way[1:])) == r.length
+
+
+def test_tree_follows_length_where_cost_disagrees(spark):
+    """The cheap way from 1 to 3 is long: the tree takes the short edges. A second site falls apart, a third has one terminal."""
+    rows = [(0, 1, 2, 9.0, 1.0), (0, 2, 3, 9.0, 1.0), (0, 1, 3, 1.0, 5.0), (1, 1, 2, 1.0, 1.0), (1, 8, 9, 1.0, 1.0)]
+    ends = [(0, 1), (0, 2), (0, 3), (1, 1), (1, 2), (1, 9), (2, 4)]
+    net = roads.terminal_network(spark.createDataFrame(rows, MEASURED), spark.createDataFrame(ends, "site_id long, node long"))
+    assert sorted((r.site_id, r.src, r.dst, r.length) for r in net.tree.collect()) == [(0, 1, 2, 1.0), (0, 2, 3, 1.0), (1, 1, 2, 1.0)]
+    assert sorted((r.site_id, r.n_terminals, r.n_links, r.connected) for r in net.status().collect()) == [(0, 3, 2, True), (1, 3, 1, False), (2, 1, 0, True)]
+    start = spark.createDataFrame([(0, 3), (1, 2)], "site_id long, node long")
+    assert sorted(tuple(r) for r in net.reached(start).collect()) == [(0, 1), (0, 2), (0, 3), (1, 1), (1, 2)]
+
+
 def test_site_network_against_kruskal(spark):
-    """Roads of a steep and a flat site: the tree of least path costs by Dijkstra and Kruskal, and straight roads where no way leads."""
+    """Roads of a steep and a flat site: cheapest ways, of them the tree of least length; straight roads where no way leads."""
     rng, nodes = random.Random(6), []
     for site in (0, 1):
         for r in range(4):
             for c in range(5):
-                nodes.append((site, r * 100 + c, r, c, c * 25.0, r * 25.0, rng.choice([0.0, 1.0]) if site == 0 else (0.0 if c < 3 else 50.0), rng.choice([2.0, 10.0, 20.0])))
+                nodes.append((site, r * 100_000 + c, r, c, c * 25.0, r * 25.0, rng.choice([0.0, 1.0]) if site == 0 else (0.0 if c < 3 else 50.0), rng.choice([2.0, 10.0, 20.0])))
     node_df = spark.createDataFrame(nodes, "site_id long, id long, row int, col int, x double, y double, z double, slope double")
     assets = [(0, 1, 100.0, 75.0), (0, 2, 51.0, 1.0), (0, 3, 900.0, 900.0), (1, 4, 49.0, 74.0), (1, 5, 100.0, 0.0)]
     asset_df = spark.createDataFrame(assets, "site_id long, id long, x double, y double")
     gates = spark.createDataFrame([(0, 0.0, 0.0), (1, 0.0, 0.0)], "site_id long, x double, y double")
     got = roads.site_network(node_df, gates, asset_df, 25.0, 12.0).collect()
-    straight = sorted((r.site_id, r.dst) for r in got if r.kind == "straight")
-    assert straight == [(0, 3), (1, 5)]
-    links = {}
-    for r in roads.edges(node_df, 12.0).collect():
-        for a, b in ((r.src, r.dst), (r.dst, r.src)):
-            links.setdefault((r.site_id, a), []).append((b, r.weight))
-
-    def costs(site, source):
-        heap, seen = [(0.0, source)], {}
-        while heap:
-            d, u = heapq.heappop(heap)
-            if u not in seen:
-                seen[u] = d
-                for v, w in links.get((site, u), ()):
-                    heapq.heappush(heap, (d + w, v))
-        return seen
-
-    for site, ends in ((0, [0, 2, 304]), (1, [0, 302, 4])):
-        between = {(a, b): costs(site, a).get(b) for a in ends for b in ends if a < b}
-        root, want = {e: e for e in ends}, []
-        for w, (a, b) in sorted((w, p) for p, w in between.items() if w is not None):
-            if root[a] != root[b]:
-                root = {e: root[a] if root[e] == root[b] else root[e] for e in ends}
-                want.append((a, b))
-        assert sorted((r.src, r.dst) for r in got if r.site_id == site and r.kind == "path") == sorted(want)
+    assert sorted((r.site_id, r.dst) for r in got if r.kind == "straight") == [(0, 3), (1, 5)]
+    rows = [(r.site_id, r.src, r.dst, r.weight, r.length) for r in roads.edges(node_df, 12.0).collect()]
+    links = adjacency(rows)
+    for site, ends in ((0, [0, 2, 300_004]), (1, [0, 300_002])):
+        near = {}
+        for n in {r[1] for r in rows if r[0] == site} | {r[2] for r in rows if r[0] == site}:
+            near[n] = min((dijkstra(links, site, [e]).get(n, math.inf), e) for e in ends)[1]
+        far = {(e, by): dijkstra(links, site, [e], by) for e in ends for by in (0, 1)}
+        built = [r for r in got if r.site_id == site and r.kind == "path"]
+        assert len(built) == len(ends) - 1
+        for r in built:  # no road is shorter than the shortest way, and each joins two regions that touch
+            assert r.length >= far[r.src, 1][r.dst] - 1e-9 and math.isclose(r.length_ft, r.length * 3.28084)
+            assert any({near[a], near[b]} == {r.src, r.dst} for s, a, b, _, _ in rows if s == site)
     assert {r["class"] for r in got if r.kind == "path" and 0 in (r.src, r.dst)} == {"primary"}
     assert all(r.length > 0 and (r.max_grade is None or r.max_grade <= 12.0) for r in got)
 
 
+@pytest.mark.parametrize(("n", "other"), [(5, "access"), (6, "secondary"), (8, "secondary")])
+def test_road_classes_go_by_the_assets_of_the_site(spark, n, other):
+    nodes = [(0, c, 0, c, c * 25.0, 0.0, 0.0, 2.0) for c in range(12)]
+    node_df = spark.createDataFrame(nodes, "site_id long, id long, row int, col int, x double, y double, z double, slope double")
+    asset_df = spark.createDataFrame([(0, k, 25.0 * (k + 1), 0.0) for k in range(n)], "site_id long, id long, x double, y double")
+    got = roads.site_network(node_df, spark.createDataFrame([(0, 0.0, 0.0)], "site_id long, x double, y double"), asset_df, 25.0, 12.0).collect()
+    assert sorted(r["class"] for r in got) == sorted(["primary", *[other] * (n - 1)])
+
+
+def test_costs_and_results_by_the_surveyed_rates(spark):
+    """Two assets, one on terrain; three road segments; the share of area in metres, and in the surveyed system's feet."""
+    own = spark.createDataFrame([(0, 0, 1, 20.0, 10.0), (0, 0, 2, 10.0, 10.0), (0, 1, 1, 20.0, 10.0)], "site_id long, solution_id int, id long, width double, length double")
+    earth = spark.createDataFrame([(0, 0, 1, 40.0, 10.0)], "site_id long, solution_id int, id long, cut double, fill double")
+    segments = spark.createDataFrame([(0, 0, 30.0), (0, 0, 20.0), (0, 0, 10.0)], "site_id long, solution_id int, length double")
+    sites = spark.createDataFrame([(0, 40_000.0)], "site_id long, area double")
+    one = {r.solution_id: r for r in layout.project_costs(own, earth, segments, sites).collect()}
+    cut, fill = 40.0 + 50.0 * 1.30795, 10.0 + 30.0 * 1.30795
+    assert math.isclose(one[0].cut, cut) and math.isclose(one[0].fill, fill) and math.isclose(one[0].earthwork, 15 * cut + 12 * fill)
+    assert (one[0].roads, one[0].assets, one[0].road_length) == (15_000.0, 150_000.0, 60.0) and math.isclose(one[0].area_used, 0.75)
+    assert math.isclose(one[0].total, one[0].earthwork + 165_000.0) and (one[1].roads, one[1].road_length) == (0.0, 0.0)
+    assert math.isclose(layout.project_costs(own, earth, segments, sites, area_in_feet=True).where("solution_id = 0").first().area_used, 0.75 / 0.092903)
+    scored = spark.createDataFrame([(0, 0, 72.5), (0, 1, -10_000.0)], "site_id long, solution_id int, fitness double")
+    got = {r.solution_id: r for r in layout.results(layout.project_costs(own, earth, segments, sites), scored).collect()}
+    assert got[0].road_cost == 6000.0 and math.isclose(got[0].contingency, got[0].total * 0.1) and math.isclose(got[0].balance_ratio, cut / fill) and math.isclose(got[0].score, 72.5)
+    assert math.isclose(got[0].asset_cost, got[0].total / 1.1 - got[0].earthwork - 6000.0)
+
+
 def test_grid_files_in_many_stretches(spark, tmp_path):
     """A file that several tasks read keeps its rows in order; keys in any case, blank lines, a centre, gaps and a wrong header."""
     from plotwright.sources import grids
