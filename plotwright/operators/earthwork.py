@@ -105,6 +105,19 @@ def graded(cells: DataFrame, covers: DataFrame) -> DataFrame:
     return cells.join(best, ["dem_id", "row", "col"], "left").select(*[c for c in cells.columns if c != "z"], F.when(F.col("of").isNull(), F.col("z")).otherwise(z).alias("z"), F.col("of").isNotNull().alias("graded"))
 
 
+def covers(cells: DataFrame, zones: DataFrame, cell: float) -> DataFrame:
+    """What graded() asks of grading zones with a geometry: a row for each zone over each cell.
+
+    zones: dem_id, seq, priority, kind, target, slope, and ring or parts; a swale falls along its way from its shape's
+    left side, feet being the distance of the cell's middle from there.
+    """
+    shape = "parts" if "parts" in zones.columns else "ring"
+    own = zones.withColumn("id", F.struct("seq", "priority", "kind", "target", "slope", F.array_min(F.transform(F.flatten(F.col("parts")) if shape == "parts" else F.col("ring"), lambda p: p["x"])).alias("from")))
+    met = spatial.zonal(cells.select("dem_id", "row", "col"), own.select(F.col("dem_id").alias("site_id"), "id", shape), cell)
+    feet = ((F.col("col") + 0.5) * cell - F.col("shape_id.from")) * FEET
+    return met.select("dem_id", "row", "col", *[f"shape_id.{c}" for c in ("seq", "priority", "kind", "target", "slope")], feet.alias("feet"))
+
+
 def road_crown(cells: DataFrame, width_ft: float, crown_percent: float, cross_percent: float, cell: float) -> DataFrame:
     """cells of a corridor with z from their mean, a parabolic crown and a cross slope over the distance from the raster's middle."""
     whole = Window.partitionBy("dem_id")

@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,6 +52,43 @@ def labelled(nodes: DataFrame, links: DataFrame, left: str, right: str) -> DataF
     return nodes.join(stars(links, left, right), "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
+def local_roots(links: DataFrame) -> DataFrame:
+    """graph, node, root of the ends of links (graph, block, a, b; long ids): the least node that links of its own block join it with.
+
+    A block's links are settled in one task, without rounds.
+    """
+
+    def step(frame: pd.DataFrame) -> pd.DataFrame:
+        ids, at = np.unique(frame[["a", "b"]].to_numpy().ravel(), return_inverse=True)
+        a, b = at.reshape(-1, 2).T
+        root = np.arange(len(ids))
+        while True:
+            low = np.minimum(root[a], root[b])
+            after = root.copy()
+            np.minimum.at(after, root[a], low)
+            np.minimum.at(after, root[b], low)
+            after = after[after]
+            if (after == root).all():
+                return pd.DataFrame({"graph": frame["graph"].iloc[0], "node": ids, "root": ids[root]})
+            root = after
+
+    kind = links.schema["graph"].dataType.simpleString()
+    return links.groupBy("graph", "block").applyInPandas(step, f"graph {kind}, node long, root long")
+
+
+def labelled_by_blocks(nodes: DataFrame, links: DataFrame, block: Callable[[Column], Column]) -> DataFrame:
+    """nodes (graph, node; long ids) with root, the least node of their component: blocks are settled first, and only what joins them goes round."""
+    own = written(links.select("graph", "a", "b", block(F.col("a")).alias("block"), block(F.col("b")).alias("other")), "block-links")
+    local = written(local_roots(own.where("block = other").select("graph", "block", "a", "b")), "local-roots")
+    inner = nodes.join(local, ["graph", "node"], "left").select("graph", "node", F.coalesce("root", "node").alias("inner"))
+    look = lambda c: local.select("graph", F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    across = own.where("block <> other").join(look("a"), ["graph", "a"], "left").join(look("b"), ["graph", "b"], "left")
+    key = lambda c: F.struct("graph", c.alias("node"))
+    outer = stars(across.select(key(F.coalesce("a_root", "a")).alias("x"), key(F.coalesce("b_root", "b")).alias("y")), "x", "y")
+    outer = outer.select(F.col("node.graph").alias("graph"), F.col("node.node").alias("inner"), F.col("root.node").alias("outer"))
+    return inner.join(outer, ["graph", "inner"], "left").select("graph", "node", F.coalesce("outer", "inner").alias("root"))
+
+
 def least_costs(edges: DataFrame, sources: DataFrame, width: float | None = None, block: Callable[[Column], Column] = blocks.id_block) -> DataFrame:
     """site_id, source, node, dist, prev, arcs of every node that a source reaches.
 

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from plotwright.functions import geometry as G
 
+from . import scanlines
+
 
 def tiled(df: DataFrame, ring: str, tile: float, prefix: str, grow: float = 0.0) -> DataFrame:
     """df with its columns prefixed, one row for each tile that the box of its ring (grown) meets."""
@@ -61,11 +63,8 @@ def outside(assets: DataFrame, sites: DataFrame) -> DataFrame:
 
 
 def zonal(cells: DataFrame, shapes: DataFrame, cell: float) -> DataFrame:
-    """Cells of a raster whose middle lies in a shape of its site: shape columns id and ring; the box narrows the rows first."""
-    b = G.bounds(F.col("ring"))
-    at = shapes.select(F.col("site_id").alias("dem_id"), F.col("id").alias("shape_id"), "ring", F.explode(F.sequence(F.floor(b["min_y"] / cell).cast("int"), F.floor(b["max_y"] / cell).cast("int"))).alias("row"), F.floor(b["min_x"] / cell).alias("c0"), F.floor(b["max_x"] / cell).alias("c1"))
-    x, y = (F.col("col") + 0.5) * cell, (F.col("row") + 0.5) * cell
-    return cells.join(at, ["dem_id", "row"]).where(F.col("col").between(F.col("c0"), F.col("c1")) & G.in_ring(x, y, F.col("ring"))).drop("ring", "c0", "c1")
+    """Cells of a raster whose middle lies in a shape of its site (id, and ring or parts), with shape_id."""
+    return scanlines.covered(cells, scanlines.spans(shapes, cell))
 
 
 def zonal_statistics(cells: DataFrame, shapes: DataFrame, cell: float) -> DataFrame:

@@ -10,35 +10,53 @@ from pyspark.sql import functions as F
 from plotwright.functions import terrain as T
 from plotwright.tables import written
 
-from .graph import labelled
+from . import graph
 from .raster import ACRE
 from .stencil import along
 
 
 #: Columns in a stretch by which runs of adjoining rows meet.
 STRETCH = 64
+#: A run's number is its row times this and its first column; runs of so many rows and columns are joined in one task.
+ROW = 1 << 31
+BLOCK_ROWS, BLOCK_COLUMNS = 128, 4096
 
 
-def components(cells: DataFrame, mask: str = "buildable", diagonal: bool = True) -> DataFrame:
+def components(cells: DataFrame, mask: str = "buildable", diagonal: bool = True, parts: bool = False) -> DataFrame:
     """cells with zone_id, 1, 2, ... in raster order of the zones' first cells, null outside the mask.
 
-    Cells in a row are joined to runs first, runs that touch the next row's are linked, and the components of
-    that much smaller graph give the zones.
+    Cells in a row are joined to runs first, runs that touch the next row's are linked, blocks of runs are joined in
+    one task each, and the components of what is left between blocks give the zones. With parts (and diagonal), part
+    numbers the pieces of a zone whose cells are joined by their sides, by their first runs.
     """
     row = Window.partitionBy("dem_id", "row").orderBy("col")
     inside = cells.where(mask).select("dem_id", "row", "col", (F.col("col") - F.row_number().over(row)).alias("run"))
-    runs = written(inside.groupBy("dem_id", "row", "run").agg(F.min("col").alias("c0"), F.max("col").alias("c1")).withColumn("node", F.struct("dem_id", "row", "c0")), "runs")
+    node = F.col("row").cast("long") * ROW + F.min("col")
+    runs = written(inside.groupBy("dem_id", "row", "run").agg(F.min("col").alias("c0"), F.max("col").alias("c1"), node.alias("node")), "runs")
     slack = 1 if diagonal else 0
     # runs meet by stretches of columns; a pair that shares several is kept in the first one
     stretch = lambda lo, hi: F.explode(F.sequence(F.floor(F.greatest(lo, F.lit(0)) / STRETCH), F.floor(hi / STRETCH)))
-    high = runs.select("dem_id", "row", "node", F.col("c0").alias("h0"), F.col("c1").alias("h1"), stretch(F.col("c0") - slack, F.col("c1") + slack).alias("at"))
-    low = runs.select("dem_id", (F.col("row") - 1).alias("row"), F.col("c0").alias("d0"), F.col("c1").alias("d1"), F.col("node").alias("below"), stretch(F.col("c0"), F.col("c1")).alias("at"))
+    high = runs.select("dem_id", "row", F.col("node").alias("a"), F.col("c0").alias("h0"), F.col("c1").alias("h1"), stretch(F.col("c0") - slack, F.col("c1") + slack).alias("at"))
+    low = runs.select("dem_id", (F.col("row") - 1).alias("row"), F.col("c0").alias("d0"), F.col("c1").alias("d1"), F.col("node").alias("b"), stretch(F.col("c0"), F.col("c1")).alias("at"))
     first = F.col("at") == F.floor(F.greatest(F.col("h0") - slack, F.col("d0"), F.lit(0)) / STRETCH)
-    links = high.join(low, ["dem_id", "row", "at"]).where((F.col("h0") <= F.col("d1") + slack) & (F.col("h1") >= F.col("d0") - slack) & first)
-    roots = labelled(runs.select("node"), links.select("node", "below"), "node", "below")
-    ranked = roots.select("root").distinct().withColumn("zone_id", F.dense_rank().over(Window.partitionBy("root.dem_id").orderBy("root")))
-    zones = runs.join(roots, "node").join(ranked, "root").select("dem_id", "row", "run", "zone_id")
-    numbered = inside.join(zones, ["dem_id", "row", "run"]).select("dem_id", "row", "col", "zone_id")
+    met = high.join(low, ["dem_id", "row", "at"]).where((F.col("h0") <= F.col("d1") + slack) & (F.col("h1") >= F.col("d0") - slack) & first)
+    links = met.select(F.col("dem_id").alias("graph"), "a", "b", ((F.col("h0") <= F.col("d1")) & (F.col("h1") >= F.col("d0"))).alias("side"))
+    block = lambda n: F.floor(n / (ROW * BLOCK_ROWS)).cast("long") * ROW + F.floor(n % ROW / BLOCK_COLUMNS).cast("long")
+    nodes = runs.select(F.col("dem_id").alias("graph"), "node")
+    if parts and diagonal:
+        links = written(links, "run-links")
+        own = written(graph.labelled_by_blocks(nodes, links.where("side"), block).withColumnRenamed("root", "part"), "parts")
+        look = lambda c: own.select("graph", F.col("node").alias(c), F.col("part").alias(f"{c}_part"))
+        across = links.where("not side").join(look("a"), ["graph", "a"]).join(look("b"), ["graph", "b"]).select("graph", F.col("a_part").alias("a"), F.col("b_part").alias("b")).where("a <> b").distinct()
+        whole = graph.labelled_by_blocks(own.select("graph", F.col("part").alias("node")).distinct(), across, block)
+        roots = own.join(whole.withColumnRenamed("node", "part"), ["graph", "part"])
+    else:
+        roots = graph.labelled_by_blocks(nodes, links, block)
+    roots = roots.withColumnRenamed("graph", "dem_id")
+    ranked = roots.select("dem_id", "root").distinct().withColumn("zone_id", F.dense_rank().over(Window.partitionBy("dem_id").orderBy("root")))
+    more = ["part"] if parts and diagonal else []
+    zones = runs.join(roots, ["dem_id", "node"]).join(ranked, ["dem_id", "root"]).select("dem_id", "row", "run", "zone_id", *more)
+    numbered = inside.join(zones, ["dem_id", "row", "run"]).select("dem_id", "row", "col", "zone_id", *more)
     return cells.join(numbered, ["dem_id", "row", "col"], "left")
 
 
@@ -48,29 +66,103 @@ def exposed_edges(zone: Column) -> Column:
     return sum((F.when(s.eqNullSafe(zone), 0).otherwise(1) for s in sides), F.lit(0))
 
 
+def with_parts(zoned: DataFrame) -> DataFrame:
+    """zoned with part, the pieces of a zone whose cells are joined by their sides; as it is if components() has given them."""
+    if "part" in zoned.columns:
+        return zoned
+    split = components(zoned.withColumnRenamed("zone_id", "__zone").withColumn("__in", F.col("__zone").isNotNull()), "__in", diagonal=False)
+    return split.drop("__in").withColumnsRenamed({"zone_id": "part", "__zone": "zone_id"})
+
+
+def largest_parts(zoned: DataFrame) -> DataFrame:
+    """Per zone its outline's part: dem_id, zone_id, part (of equal ones the first), n_parts, part_cells, perimeter (in cells), and the middle x and y of its cells."""
+    edged = with_parts(zoned).withColumn("__edges", exposed_edges(F.col("part"))).where("zone_id is not null")
+    each = edged.groupBy("dem_id", "zone_id", "part").agg(F.count("*").alias("n"), F.sum("__edges").alias("p"), F.avg(F.col("col") + 0.5).alias("x"), F.avg(F.col("row") + 0.5).alias("y"))
+    best = F.max_by(F.struct("part", "n", "p", "x", "y"), F.struct("n", -F.col("part")))
+    found = each.groupBy("dem_id", "zone_id").agg(best.alias("o"), F.count("*").alias("n_parts"))
+    return found.select("dem_id", "zone_id", "o.part", "n_parts", F.col("o.n").alias("part_cells"), F.col("o.p").alias("perimeter"), "o.x", "o.y")
+
+
+def compactness(area: Column, perimeter: Column) -> Column:
+    return F.when(perimeter == 0, 0.0).otherwise(F.least(4.0 * math.pi * area / (perimeter * perimeter), F.lit(1.0)))
+
+
 def measures(zoned: DataFrame, cell: float, least_area: float = 1000.0) -> DataFrame:
-    """Per zone of at least that area: cells, area, perimeter, compactness, centroid, slopes, elevations, class, quality."""
-    edged = zoned.withColumn("__edges", exposed_edges(F.col("zone_id"))).where("zone_id is not null")
-    area, perimeter = F.col("n_cells") * cell * cell, F.col("__p") * cell
-    found = edged.groupBy("dem_id", "zone_id").agg(
-        F.count("*").alias("n_cells"), F.sum("__edges").alias("__p"), F.avg("slope_percent").alias("mean_slope"), F.min("z").alias("min_z"), F.max("z").alias("max_z"), F.avg("z").alias("mean_z"),
-        F.avg((F.col("col") + 0.5) * cell).alias("x"), F.avg((F.col("row") + 0.5) * cell).alias("y"),
-    )
-    measured = found.withColumns({"area": area, "perimeter": perimeter}).drop("__p").where(F.col("area") >= least_area)
-    compact = F.when(F.col("perimeter") == 0, 0.0).otherwise(F.least(4.0 * math.pi * F.col("area") / (F.col("perimeter") * F.col("perimeter")), F.lit(1.0)))
-    scored = measured.withColumns({"compactness": compact, "class": T.buildability_class(F.col("mean_slope"))})
+    """Per zone of at least that area: cells, area, slopes and elevations of all its cells; perimeter, compactness and centroid of its outline, the largest part joined by sides; class, quality."""
+    found = zoned.where("zone_id is not null").groupBy("dem_id", "zone_id").agg(F.count("*").alias("n_cells"), F.avg("slope_percent").alias("mean_slope"), F.min("z").alias("min_z"), F.max("z").alias("max_z"), F.avg("z").alias("mean_z"))
+    found = found.withColumn("area", F.col("n_cells") * cell * cell).where(F.col("area") >= least_area)
+    met = found.join(largest_parts(zoned).drop("part", "n_parts"), ["dem_id", "zone_id"]).withColumns({c: F.col(c) * cell for c in ("perimeter", "x", "y")})
+    scored = met.withColumns({"compactness": compactness(F.col("part_cells") * cell * cell, F.col("perimeter")), "class": T.buildability_class(F.col("mean_slope"))}).drop("part_cells")
     return scored.withColumn("quality", T.zone_quality(F.col("area"), F.col("mean_slope"), F.col("compactness"), F.col("class")))
 
 
 def outlines(zoned: DataFrame, cell: float) -> DataFrame:
     """Per zone its largest part whose cells are joined by their sides (of equal ones the first): cells, area, perimeter, compactness; and how many parts it has."""
-    parts = components(zoned.withColumnRenamed("zone_id", "zone").withColumn("__in", F.col("zone").isNotNull()), "__in", diagonal=False).drop("__in").withColumnRenamed("zone_id", "part")
-    sizes = parts.where("zone is not null").groupBy("dem_id", "zone", "part").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("dem_id", "zone").agg(F.max_by("part", F.struct("n", -F.col("part"))).alias("most"), F.count("*").alias("n_parts"))
-    edged = parts.withColumn("edges", exposed_edges(F.col("part"))).where("zone is not null").join(largest, ["dem_id", "zone"]).where("part = most")
-    found = edged.groupBy("dem_id", F.col("zone").alias("zone_id")).agg(F.count("*").alias("n_cells"), (F.sum("edges") * cell).alias("perimeter"), F.first("n_parts").alias("n_parts"))
-    area = F.col("n_cells") * cell * cell
-    return found.withColumns({"area": area, "compactness": F.least(4.0 * math.pi * area / (F.col("perimeter") * F.col("perimeter")), F.lit(1.0))})
+    found = largest_parts(zoned).withColumns({"perimeter": F.col("perimeter") * cell, "area": F.col("part_cells") * cell * cell})
+    return found.select("dem_id", "zone_id", F.col("part_cells").alias("n_cells"), "perimeter", "n_parts", "area", compactness(F.col("area"), F.col("perimeter")).alias("compactness"))
+
+
+def outline_edges(zoned: DataFrame) -> DataFrame:
+    """The straight stretches of the outlines of the zones' largest parts: dem_id, zone_id, side, x0, y0, x1, y1 in cells, the part to the left of each.
+
+    A stretch ends where the outline turns, so it is followed by one stretch only, but where two cells touch by a
+    corner: there the outline stays with its cell (ends and starts at that corner name the cell), and rings touch.
+    """
+    parts = with_parts(zoned)
+    most = largest_parts(parts).select("dem_id", "zone_id", "part")
+    along_row, along_col = along("col"), along("row")
+    part = F.col("part")
+    beside = lambda f, at, by, w: F.when(f(at).over(w) == F.col(at) + by, f(part).over(w))
+    near = {"left": beside(F.lag, "col", -1, along_row), "right": beside(F.lead, "col", 1, along_row), "below": beside(F.lag, "row", -1, along_col), "above": beside(F.lead, "row", 1, along_col)}
+    open_ = parts.withColumns({c: ~w.eqNullSafe(part) for c, w in near.items()}).where("part is not null").join(most, ["dem_id", "zone_id", "part"], "left_semi")
+    r, c = F.col("row").cast("long"), F.col("col").cast("long")
+    one = lambda side, line, at: F.struct(F.lit(side).alias("side"), line.alias("line"), at.alias("at"))
+    sides = F.array(*[F.when(F.col(name), one(k, line, at)) for k, (name, line, at) in enumerate((("below", r, c), ("right", c + 1, r), ("above", r + 1, c), ("left", c, r)))])
+    each = open_.select("dem_id", "zone_id", F.explode(F.filter(sides, lambda s: s.isNotNull())).alias("s")).select("dem_id", "zone_id", "s.*")
+    line = Window.partitionBy("dem_id", "zone_id", "side", "line").orderBy("at")
+    runs = each.withColumn("run", F.col("at") - F.row_number().over(line)).groupBy("dem_id", "zone_id", "side", "line", "run").agg(F.min("at").alias("a"), (F.max("at") + 1).alias("b"))
+    ahead, level = F.col("side") < 2, F.col("side") % 2 == 0
+    first, last = F.when(ahead, F.col("a")).otherwise(F.col("b")), F.when(ahead, F.col("b")).otherwise(F.col("a"))
+    placed = runs.select("dem_id", "zone_id", "side", F.when(level, first).otherwise(F.col("line")).alias("x0"), F.when(level, F.col("line")).otherwise(first).alias("y0"), F.when(level, last).otherwise(F.col("line")).alias("x1"), F.when(level, F.col("line")).otherwise(last).alias("y1"))
+    return placed.withColumn("id", F.xxhash64("side", "x0", "y0"))
+
+
+def rings(zoned: DataFrame, cell: float) -> DataFrame:
+    """dem_id, zone_id, ring, seq, x, y, area, is_hole: the corners of each zone's outline in order, around the outside counterclockwise, around holes clockwise.
+
+    Each stretch points at the next one. By pointer doubling it learns the least stretch of its ring and how many steps
+    ahead that lies; these steps are the order. A ring is named by its least stretch and starts there; area is signed.
+    """
+    edges = written(outline_edges(zoned), "outline")
+    key = ["dem_id", "zone_id"]
+    start = edges.select(*key, F.col("id").alias("next"), F.col("x0").alias("x1"), F.col("y0").alias("y1"), F.col("side").alias("next_side"))
+    turn = F.pmod(F.col("next_side") - F.col("side"), F.lit(4))  # 1 is a turn to the left, which stays with the cell
+    follow = edges.join(start, [*key, "x1", "y1"]).groupBy(*key, "id").agg(F.min(F.struct(turn.alias("turn"), "next"))["next"].alias("next"))
+    state = written(follow.select(*key, "id", "next", F.col("id").alias("least"), F.lit(0).cast("long").alias("ahead")), "ring")
+    width = 1
+    while True:
+        there = state.select(*key, F.col("id").alias("next"), F.col("next").alias("far"), F.col("least").alias("their_least"), F.col("ahead").alias("their_ahead"))
+        better = F.col("their_least") < F.col("least")
+        both = state.join(there, [*key, "next"]).select(
+            *key, "id", F.col("far").alias("next"), F.when(better, F.col("their_least")).otherwise(F.col("least")).alias("least"),
+            F.when(better, F.col("their_ahead") + width).otherwise(F.col("ahead")).alias("ahead"), better.alias("moved"),
+        )
+        state, width = written(both, "ring"), 2 * width
+        if not state.where("moved").limit(1).count():
+            break
+    met = edges.join(state.select(*key, "id", F.col("least").alias("ring"), "ahead"), [*key, "id"])
+    twice = F.col("x0") * F.col("y1") - F.col("x1") * F.col("y0")
+    size = met.groupBy(*key, "ring").agg(F.count("*").alias("n"), (F.sum(twice) * (cell * cell / 2.0)).alias("area"))
+    seq = F.pmod(F.col("n") - F.col("ahead"), F.col("n")).cast("int")
+    return met.join(size, [*key, "ring"]).select(*key, "ring", seq.alias("seq"), (F.col("x0") * cell).alias("x"), (F.col("y0") * cell).alias("y"), "area", (F.col("area") < 0).alias("is_hole"))
+
+
+def polygons(rings: DataFrame) -> DataFrame:
+    """dem_id, zone_id, parts: each zone's outline closed, the outer ring first, for the sinks of features."""
+    closed = F.array_sort(F.collect_list(F.struct("seq", F.struct("x", "y").alias("p"))))
+    each = rings.groupBy("dem_id", "zone_id", "ring").agg(closed.alias("r"), F.first("area").alias("area"))
+    each = each.select("dem_id", "zone_id", F.transform(F.concat("r", F.slice("r", 1, 1)), lambda v: v["p"]).alias("r"), "area", "ring")
+    return each.groupBy("dem_id", "zone_id").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("area")).alias("o"), "ring", "r"))), lambda v: v["r"]).alias("parts"))
 
 
 def site_scores(zoned: DataFrame, zones: DataFrame, cell: float) -> DataFrame:

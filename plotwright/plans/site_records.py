@@ -12,7 +12,7 @@ from plotwright.sources import kml
 
 from .fixtures import CELL, dem, r, rounded, table, terrain_sql
 from .sites import ASSETS, NODES, SURVEYED, assets, entrances, nodes, nudged, surveyed
-from .zones import ZONES, zoned
+from .zones import PARTS, ZONES, zoned
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -123,16 +123,7 @@ def _(spark, sf_dir):
     return back.select("id", F.round("q.x", 5).alias("lon"), F.round("q.y", 5).alias("lat"))
 
 
-SIDES = ZONES + """,
-ad4 AS MATERIALIZED (SELECT x.dem_id, x.k, y.k AS j FROM m x JOIN m y ON x.dem_id = y.dem_id AND abs(x."row" - y."row") + abs(x.col - y.col) <= 1),
-re4(dem_id, k, j) AS (SELECT dem_id, k, j FROM ad4 UNION SELECT r.dem_id, r.k, a.j FROM re4 r JOIN ad4 a ON r.dem_id = a.dem_id AND r.j = a.k),
-pa AS MATERIALIZED (SELECT z.dem_id, z."row", z.col, z.zone_id, min(re4.j) AS part FROM z JOIN re4 ON z.dem_id = re4.dem_id AND z.k = re4.k GROUP BY ALL),
-pe AS (SELECT pa.*, 4 - (SELECT count(*) FROM pa b WHERE b.dem_id = pa.dem_id AND b.part = pa.part AND abs(b."row" - pa."row") + abs(b.col - pa.col) = 1) AS edges FROM pa),
-ps AS (SELECT dem_id, zone_id, part, count(*) AS n_cells, sum(edges) * 10e0 AS perimeter FROM pe GROUP BY ALL),
-pm AS (SELECT dem_id, zone_id, arg_max(part, (n_cells, -part)) AS part, count(*) AS n_parts FROM ps GROUP BY ALL)"""
-
-
-@query("g02_outlines", f"{SIDES}, x AS (SELECT ps.dem_id, ps.zone_id, n_cells, perimeter, n_parts, n_cells * 100e0 AS area, least(4e0 * pi() * n_cells * 100e0 / (perimeter * perimeter), 1e0) AS compactness FROM ps JOIN pm ON ps.dem_id = pm.dem_id AND ps.zone_id = pm.zone_id AND ps.part = pm.part) SELECT dem_id, zone_id, n_cells, n_parts, {r('perimeter', 'area', 'compactness')} FROM x")
+@query("g02_outlines", f"{ZONES}{PARTS} SELECT dem_id, zone_id, n_cells, n_parts, {r('perimeter')}, n_cells * 100e0 AS area, round(least(4e0 * pi() * n_cells * 100e0 / (perimeter * perimeter), 1e0), 6) + 0.0 AS compactness FROM pl")
 def _(spark, sf_dir):
     return zones.outlines(zoned(spark, sf_dir), CELL).withColumn("zone_id", F.col("zone_id").cast("long"))
 

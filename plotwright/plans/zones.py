@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from plotwright.operators import earthwork, raster, zones
+from plotwright.functions import geometry as G
+from plotwright.operators import earthwork, raster, spatial, zones
 from plotwright.operators.stencil import terrain as derive
 
-from .fixtures import CELL, dem, dem_sql, post, r, rounded, terrain_sql, with_gaps
+from .fixtures import CELL, big, dem, dem_sql, post, r, rounded, table, terrain_sql, with_gaps
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -28,7 +30,7 @@ def masked(spark, sf_dir):
 
 
 def zoned(spark, sf_dir, diagonal=True):
-    return zones.components(masked(spark, sf_dir), "buildable", diagonal)
+    return zones.components(masked(spark, sf_dir), "buildable", diagonal, parts=True)
 
 
 def _zones_sql(mask: str, diagonal: bool) -> str:
@@ -42,10 +44,19 @@ z AS MATERIALIZED (SELECT m.*, dense_rank() OVER (PARTITION BY m.dem_id ORDER BY
 
 
 ZONES = _zones_sql("slope_percent <= 25", True)
-MEASURES = """,
-ed AS (SELECT z.*, 4 - (SELECT count(*) FROM z b WHERE b.dem_id = z.dem_id AND b.zone_id = z.zone_id AND abs(b."row" - z."row") + abs(b.col - z.col) = 1) AS edges FROM z),
-zm AS (SELECT dem_id, zone_id, count(*) AS n_cells, avg(slope_percent) AS mean_slope, min(z) AS min_z, max(z) AS max_z, avg(z) AS mean_z, avg((col + 0.5e0) * 10e0) AS x, avg(("row" + 0.5e0) * 10e0) AS y, count(*) * 100e0 AS area, sum(edges) * 10e0 AS perimeter FROM ed GROUP BY ALL HAVING count(*) * 100e0 >= 1000),
-zc AS (SELECT *, least(4e0 * pi() * area / (perimeter * perimeter), 1e0) AS compactness, CASE WHEN mean_slope <= 5 THEN 'excellent' WHEN mean_slope <= 15 THEN 'good' WHEN mean_slope <= 25 THEN 'difficult' ELSE 'unsuitable' END AS class FROM zm),
+#: The pieces of a zone whose cells are joined by their sides; the largest is its outline.
+PARTS = """,
+ad4 AS MATERIALIZED (SELECT x.dem_id, x.k, y.k AS j FROM m x JOIN m y ON x.dem_id = y.dem_id AND abs(x."row" - y."row") + abs(x.col - y.col) <= 1),
+re4(dem_id, k, j) AS (SELECT dem_id, k, j FROM ad4 UNION SELECT r.dem_id, r.k, a.j FROM re4 r JOIN ad4 a ON r.dem_id = a.dem_id AND r.j = a.k),
+pa AS MATERIALIZED (SELECT z.dem_id, z."row", z.col, z.zone_id, min(re4.j) AS part FROM z JOIN re4 ON z.dem_id = re4.dem_id AND z.k = re4.k GROUP BY ALL),
+pe AS (SELECT pa.*, 4 - (SELECT count(*) FROM pa b WHERE b.dem_id = pa.dem_id AND b.part = pa.part AND abs(b."row" - pa."row") + abs(b.col - pa.col) = 1) AS edges FROM pa),
+ps AS (SELECT dem_id, zone_id, part, count(*) AS n_cells, sum(edges) * 10e0 AS perimeter, avg((col + 0.5e0) * 10e0) AS x, avg(("row" + 0.5e0) * 10e0) AS y FROM pe GROUP BY ALL),
+pm AS (SELECT dem_id, zone_id, arg_max(part, (n_cells, -part)) AS part, count(*) AS n_parts FROM ps GROUP BY ALL),
+pl AS (SELECT ps.*, n_parts FROM ps JOIN pm ON ps.dem_id = pm.dem_id AND ps.zone_id = pm.zone_id AND ps.part = pm.part)"""
+MEASURES = PARTS + """,
+zs AS (SELECT dem_id, zone_id, count(*) AS n_cells, avg(slope_percent) AS mean_slope, min(z) AS min_z, max(z) AS max_z, avg(z) AS mean_z, count(*) * 100e0 AS area FROM z GROUP BY ALL HAVING count(*) * 100e0 >= 1000),
+zm AS (SELECT zs.*, pl.x, pl.y, pl.perimeter, pl.n_cells * 100e0 AS part_area FROM zs JOIN pl ON pl.dem_id = zs.dem_id AND pl.zone_id = zs.zone_id),
+zc AS (SELECT *, least(4e0 * pi() * part_area / (perimeter * perimeter), 1e0) AS compactness, CASE WHEN mean_slope <= 5 THEN 'excellent' WHEN mean_slope <= 15 THEN 'good' WHEN mean_slope <= 25 THEN 'difficult' ELSE 'unsuitable' END AS class FROM zm),
 zq AS MATERIALIZED (SELECT *, least(least(area / 5000e0, 1e0) * 30e0 + greatest(0e0, 1e0 - mean_slope / 25e0) * 40e0 + compactness * 20e0 + CASE class WHEN 'excellent' THEN 10e0 WHEN 'good' THEN 7e0 WHEN 'difficult' THEN 3e0 ELSE 0e0 END, 100e0) AS quality FROM zc)"""
 _ZONE = ("mean_slope", "min_z", "max_z", "mean_z", "x", "y", "area", "perimeter", "compactness", "quality")
 
@@ -65,6 +76,26 @@ def _(spark, sf_dir):
     return zones.measures(zoned(spark, sf_dir), CELL).withColumn("zone_id", F.col("zone_id").cast("long"))
 
 
+#: Corners of a part turn out (both sides at them open) or in (both closed, the cell between them missing); the difference is four for the outside and minus four for each hole.
+RINGS = PARTS + """,
+lp AS MATERIALIZED (SELECT pa.* FROM pa JOIN pm ON pa.dem_id = pm.dem_id AND pa.zone_id = pm.zone_id AND pa.part = pm.part),
+cn AS (SELECT lp.dem_id, lp.zone_id, EXISTS (SELECT 1 FROM lp b WHERE b.dem_id = lp.dem_id AND b.part = lp.part AND b.col = lp.col AND b."row" = lp."row" + dr) AS a, EXISTS (SELECT 1 FROM lp b WHERE b.dem_id = lp.dem_id AND b.part = lp.part AND b."row" = lp."row" AND b.col = lp.col + dc) AS s,
+ EXISTS (SELECT 1 FROM lp b WHERE b.dem_id = lp.dem_id AND b.part = lp.part AND b."row" = lp."row" + dr AND b.col = lp.col + dc) AS d FROM lp, (VALUES (-1, -1), (-1, 1), (1, -1), (1, 1)) v(dr, dc)),
+cc AS (SELECT dem_id, zone_id, count(*) FILTER (NOT a AND NOT s) AS turns_out, count(*) FILTER (a AND s AND NOT d) AS turns_in FROM cn GROUP BY ALL)"""
+
+
+@query("g02_rings", f"{ZONES}{RINGS} SELECT cc.dem_id, cc.zone_id, turns_out + turns_in AS n_corners, CAST(2 - (turns_out - turns_in) // 4 AS BIGINT) AS n_rings, round(n_cells * 100e0, 6) + 0.0 AS area, round(perimeter, 6) + 0.0 AS perimeter FROM cc JOIN pl ON pl.dem_id = cc.dem_id AND pl.zone_id = cc.zone_id")
+def _(spark, sf_dir):
+    """Each zone's traced rings: their corners and number, the area they enclose, and their length in the order of their corners."""
+    found = zones.rings(zoned(spark, sf_dir), CELL)
+    ring = Window.partitionBy("dem_id", "zone_id", "ring").orderBy("seq")
+    whole = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ahead = lambda c: F.coalesce(F.lead(c).over(ring), F.first(c).over(whole)) - F.col(c)
+    each = found.withColumns({"step": F.abs(ahead("x")) + F.abs(ahead("y")), "part": F.when(F.col("seq") == 0, F.col("area"))})
+    out = each.groupBy("dem_id", "zone_id").agg(F.count("*").alias("n_corners"), F.count_if(F.col("seq") == 0).alias("n_rings"), F.sum("part").alias("area"), F.sum("step").alias("perimeter"))
+    return out.withColumn("zone_id", F.col("zone_id").cast("long"))
+
+
 _SITE = ("largest_area", "mean_quality", "median_quality", "mean_compactness", "least_area", "mean_area", "area", "percent", "quality", "acres", "buildable_slope")
 
 
@@ -184,6 +215,37 @@ def covers(spark, sf_dir):
     return dem(spark, sf_dir).join(areas, "dem_id").where("row between r0 and r0 + 4 and col between c0 and c0 + 3").withColumn("feet", F.col("col") * CELL * earthwork.FEET)
 
 
+#: Diamonds with a square hole, on the large raster; no middle of a cell lies on an edge.
+DIAMONDS = """sh AS (SELECT s_suppkey AS id, s_suppkey * 131 % 2900 + 20.3e0 AS cx, s_suppkey * 57 % 1900 + 20.9e0 AS cy, 60 + s_suppkey % 9 * 20e0 AS reach FROM supplier),
+bg AS (SELECT CAST(o_orderkey // 300 AS INT) AS "row", CAST(o_orderkey % 300 AS INT) AS col, o_totalprice / 1000e0 AS z FROM orders),
+ms AS (SELECT id, reach, "row", col, z FROM (SELECT *, (col + 0.5e0) * 10 - cx AS dx, ("row" + 0.5e0) * 10 - cy AS dy FROM bg JOIN sh ON abs((col + 0.5e0) * 10 - cx) < reach AND abs(("row" + 0.5e0) * 10 - cy) < reach) WHERE abs(dx) + abs(dy) < reach AND NOT (abs(dx) < reach / 4 AND abs(dy) < reach / 4))"""
+
+
+def diamonds(spark, sf_dir):
+    k = F.col("s_suppkey")
+    at = table(spark, sf_dir, "supplier").select(k.alias("id"), (k * 131 % 2900 + 20.3).alias("cx"), (k * 57 % 1900 + 20.9).alias("cy"), (60 + k % 9 * 20.0).alias("reach"))
+    x, y, w, q = F.col("cx"), F.col("cy"), F.col("reach"), F.col("reach") / 4.0
+    shell = F.array(G.point(x - w, y), G.point(x, y - w), G.point(x + w, y), G.point(x, y + w), G.point(x - w, y))
+    return at.select(F.lit(0).cast("long").alias("site_id"), "id", "reach", F.array(shell, G.box(x - q, y - q, x + q, y + q)).alias("parts"))
+
+
+@query("f10_ring_masks", f"WITH {DIAMONDS}, x AS (SELECT id, count(*) AS n_cells, avg(z) AS mean_z, min(z) AS min_z, max(z) AS max_z FROM ms GROUP BY id) SELECT id, n_cells, {r('mean_z', 'min_z', 'max_z')} FROM x")
+def _(spark, sf_dir):
+    """Cells under shapes with holes on the large raster, by spans of its rows."""
+    under = spatial.zonal(big(spark, sf_dir), diamonds(spark, sf_dir), CELL)
+    return under.groupBy(F.col("shape_id").alias("id")).agg(F.count("*").alias("n_cells"), F.avg("z").alias("mean_z"), F.min("z").alias("min_z"), F.max("z").alias("max_z"))
+
+
+@query("l16_grading_zones", f"""WITH {DIAMONDS}, b AS (SELECT "row", col, arg_max({{'target': CASE WHEN id % 7 <> 6 THEN id * 1e0 END, 'kind': CASE WHEN id % 5 = 4 THEN 'swale' ELSE 'pad' END, 'feet': ((col + 0.5e0) * 10 - (cx - sh.reach)) * 3.28084e0}}, id % 3 * 1000000 + id) AS o FROM ms JOIN sh USING (id) GROUP BY ALL),
+x AS (SELECT bg."row", bg.col, CASE WHEN o IS NULL THEN z WHEN o.kind = 'swale' THEN 100e0 - o.feet * 2e0 / 100e0 ELSE coalesce(o.target, z) END AS z, o IS NOT NULL AS graded FROM bg LEFT JOIN b ON bg."row" = b."row" AND bg.col = b.col) SELECT "row", col, graded, {r("z")} FROM x""")
+def _(spark, sf_dir):
+    """The large raster graded by zones that are given as shapes."""
+    k = F.col("id")
+    zones_ = diamonds(spark, sf_dir).select(F.col("site_id").alias("dem_id"), k.alias("seq"), (k % 3).alias("priority"), F.when(k % 5 == 4, "swale").otherwise("pad").alias("kind"), F.when(k % 7 != 6, k * 1.0).alias("target"), F.lit(2.0).alias("slope"), "parts")
+    cells = big(spark, sf_dir)
+    return earthwork.graded(cells, earthwork.covers(cells, zones_, CELL)).drop("dem_id")
+
+
 @query("b06_heat_colours", f"""{CUT}, h AS (SELECT *, CAST(trunc((least(greatest(depth, -1e0), 1e0) + 1e0) / 2e0 * 255e0) AS INT) AS level FROM cf)
 SELECT dem_id, "row", col, CASE WHEN depth > 0.5 THEN level ELSE 0 END AS r, CASE WHEN depth > 0.5 OR depth < -0.5 THEN 0 ELSE 128 END AS g, CASE WHEN depth < -0.5 THEN 255 - level ELSE 0 END AS b FROM h""")
 def _(spark, sf_dir):

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from plotwright.functions import crs
 from plotwright.functions import features as P
 from plotwright.functions import geometry as G
-from plotwright.operators import block_search, earthwork, graph, layout, raster, roads, spatial, stencil, zones
+from plotwright.operators import block_search, earthwork, graph, layout, raster, roads, scanlines, spatial, stencil, zones
 
 CELLS = "dem_id long, row int, col int, z double"
 
@@ -498,3 +498,125 @@ def test_grid_files_in_many_stretches(spark, tmp_path):
             gap = (r + c) % 7 == 0
             assert got[1, r, c] == (None if gap else r * 100 + c) and got[2, r, c] == (-1 if gap else r * 100 + c)
     assert (heads[1].min_x, heads[1].min_y, heads[1].issues) == (0.0, 7.0, []) and heads[2].issues == ["shape differs from header"]
+
+
+def traced(cells):
+    """The rings of a set of cells by walking along their sides, the cells to the left; at a corner where two cells touch the walk stays with its cell."""
+    sides = {}
+    for r, c in cells:
+        for (dr, dc), a, b in (((-1, 0), (c, r), (c + 1, r)), ((0, 1), (c + 1, r), (c + 1, r + 1)), ((1, 0), (c + 1, r + 1), (c, r + 1)), ((0, -1), (c, r + 1), (c, r))):
+            if (r + dr, c + dc) not in cells:
+                sides.setdefault(a, []).append((b, (r, c)))
+    out = []
+    while sides:
+        at = start = min(sides)
+        ring, cell = [], None
+        while True:
+            options = sides[at]
+            pick = next((o for o in options if o[1] == cell), options[0])
+            options.remove(pick)
+            if not options:
+                del sides[at]
+            ring.append(at)
+            at, cell = pick
+            if at == start and not any(o[1] == cell for o in sides.get(at, [])):
+                break
+        corners = [p for k, p in enumerate(ring) if (ring[k - 1][0] - p[0]) * (ring[(k + 1) % len(ring)][1] - p[1]) != (ring[k - 1][1] - p[1]) * (ring[(k + 1) % len(ring)][0] - p[0])]
+        least = corners.index(min(corners))
+        out.append(tuple(corners[least:] + corners[:least]))
+    return sorted(out)
+
+
+def largest_piece(cells):
+    """The largest piece joined by sides, of equal ones the first in raster order."""
+    left, best = set(cells), []
+    while left:
+        todo = [min(left)]
+        left.discard(todo[0])
+        piece = []
+        while todo:
+            r, c = todo.pop()
+            piece.append((r, c))
+            for n in ((r + 1, c), (r - 1, c), (r, c + 1), (r, c - 1)):
+                if n in left:
+                    left.discard(n)
+                    todo.append(n)
+        if len(piece) > len(best):
+            best = piece
+    return set(best)
+
+
+@pytest.mark.parametrize("given", [True, False])
+def test_rings_against_a_tracer(spark, given):
+    """Random masks (holes, cells that touch by corners, pieces joined by corners only), a frame, one cell, gaps in the raster."""
+    rng, rows = random.Random(11), []
+    for dem_id, share in enumerate((0.35, 0.5, 0.7, 0.85)):
+        rows += [(dem_id, r, c, 1.0, rng.random() < share) for r in range(12) for c in range(13) if rng.random() < 0.97]
+    rows += [(8, r, c, 1.0, r in (0, 4) or c in (0, 4)) for r in range(5) for c in range(5)] + [(9, 3, 3, 1.0, True)]
+    zoned = zones.components(spark.createDataFrame(rows, CELLS + ", buildable boolean"), parts=given)
+    by_zone = {}
+    for r in zoned.where("zone_id is not null").collect():
+        by_zone.setdefault((r.dem_id, r.zone_id), set()).add((r.row, r.col))
+    got, areas = {}, {}
+    for r in zones.rings(zoned, 1.0).collect():
+        got.setdefault((r.dem_id, r.zone_id), {}).setdefault(r.ring, []).append((r.seq, (int(r.x), int(r.y))))
+        areas.setdefault((r.dem_id, r.zone_id), {})[r.ring] = r.area
+    assert set(got) == set(by_zone)
+    for key, cells in by_zone.items():
+        part = largest_piece(cells)
+        found = []
+        for ring in got[key].values():
+            corners = [p for _, p in sorted(ring)]
+            assert [k for k, _ in sorted(ring)] == list(range(len(ring)))
+            least = corners.index(min(corners))
+            found.append(tuple(corners[least:] + corners[:least]))
+        assert sorted(found) == traced(part)
+        assert math.isclose(sum(areas[key].values()), len(part)) and sum(a > 0 for a in areas[key].values()) == 1
+    shapes = {(r.dem_id, r.zone_id): r.parts for r in zones.polygons(zones.rings(zoned, 1.0)).collect()}
+    frame = shapes[8, 1]
+    assert len(frame) == 2 and len(frame[0]) == 5 and frame[0][0] == frame[0][-1] and {(p.x, p.y) for p in frame[1]} == {(1, 1), (1, 4), (4, 1), (4, 4)}
+
+
+def test_measures_follow_the_largest_part(spark):
+    """A zone of a block and a cell that touches it by a corner: all cells count, but the outline is the block's."""
+    cells = [(0, r, c, 10.0, 3.0, (r < 3 and c < 4) or (r, c) == (3, 4)) for r in range(5) for c in range(6)]
+    zoned = zones.components(spark.createDataFrame(cells, CELLS + ", slope_percent double, buildable boolean"), parts=True)
+    found = zones.measures(zoned, 10.0).collect()
+    assert [(r.n_cells, r.area, r.perimeter, r.x, r.y) for r in found] == [(13, 1300.0, 140.0, 20.0, 15.0)]
+    assert math.isclose(found[0].compactness, 4 * math.pi * 1200 / 140**2)
+
+
+def test_zones_over_many_blocks(spark, monkeypatch):
+    """Blocks of a few rows and columns give the zones that one block gives."""
+    rng = random.Random(12)
+    cells = spark.createDataFrame([(d, r, c, 1.0, rng.random() < 0.55) for d in (0, 1) for r in range(20) for c in range(17)], CELLS + ", buildable boolean")
+    key = lambda frame: sorted((r.dem_id, r.row, r.col, r.zone_id, r.part) for r in frame.where("buildable").collect())
+    whole = key(zones.components(cells, parts=True))
+    monkeypatch.setattr(zones, "BLOCK_ROWS", 3)
+    monkeypatch.setattr(zones, "BLOCK_COLUMNS", 5)
+    assert key(zones.components(cells, parts=True)) == whole
+
+
+def in_rings(x, y, rings):
+    odd = False
+    for ring in rings:
+        for (ax, ay), (bx, by) in zip(ring, ring[1:]):
+            if (ay > y) != (by > y) and x < (bx - ax) * ((y - ay) / (by - ay)) + ax:
+                odd = not odd
+    return odd
+
+
+def test_scan_lines_against_point_in_ring(spark):
+    """Stars, shapes with holes, rings that cross themselves, corners and sides on the middles of cells, shapes beyond the raster, equal shapes."""
+    rng = random.Random(13)
+    star = lambda cx, cy, n: [(cx + rng.uniform(1, 30) * math.cos(k * 2 * math.pi / n), cy + rng.uniform(1, 30) * math.sin(k * 2 * math.pi / n)) for k in range(n)]
+    shapes = [[star(rng.uniform(-10, 60), rng.uniform(-10, 60), rng.randrange(3, 14))] for _ in range(12)]
+    shapes += [[[(0.5, 0.5), (20.5, 0.5), (20.5, 20.5), (0.5, 20.5)], [(5.5, 5.5), (5.5, 9.5), (9.5, 9.5), (9.5, 5.5)]], [[(0, 0), (40, 40), (40, 0), (0, 40)]], [[(3, 3), (9, 3), (6, 3)]], [[(-500, -500), (900, -500), (900, 900), (-500, 900)]]]
+    shapes = [[ring + ring[:1] for ring in s] for s in shapes]
+    rows = [(0, k, s) for k, s in enumerate(shapes)] + [(0, 3, shapes[3]), (1, 0, shapes[0])]
+    frame = spark.createDataFrame([(d, k, [[{"x": float(x), "y": float(y)} for x, y in ring] for ring in s]) for d, k, s in rows], "site_id long, id long, parts array<array<struct<x: double, y: double>>>")
+    cells = spark.createDataFrame([(d, r, c, 0.0) for d in (0, 1) for r in range(50) for c in range(55)], CELLS)
+    got = sorted((r.dem_id, r.shape_id, r.row, r.col) for r in spatial.zonal(cells, frame, 1.0).collect())
+    assert got == sorted((d, k, r, c) for d, k, s in rows for r in range(50) for c in range(55) if in_rings(c + 0.5, r + 0.5, s))
+    flagged = {(r.dem_id, r.row, r.col) for r in scanlines.mask(cells, frame, 1.0).where("inside").collect()}
+    assert flagged == {(d, r, c) for d, _, r, c in got}
