@@ -6,38 +6,48 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plotwright.functions import terrain as T
+from plotwright.tables import written
 
 from . import stencil
+from .selection import with_percentiles
 
 ACRE = 4046.86
 
 
 def metrics(cells: DataFrame) -> DataFrame:
     """Per raster: least, greatest, mean, median, deviation, range, and counts of cells with and without a value."""
+    own = written(cells.select("dem_id", "z"), "heights")
     n, valid = F.count("*"), F.count("z")
-    return cells.groupBy("dem_id").agg(
-        F.min("z").alias("min_z"), F.max("z").alias("max_z"), F.avg("z").alias("mean_z"), F.median("z").alias("median_z"), F.stddev_pop("z").alias("std_z"),
+    found = own.groupBy("dem_id").agg(
+        F.min("z").alias("min_z"), F.max("z").alias("max_z"), F.avg("z").alias("mean_z"), F.stddev_pop("z").alias("std_z"),
         (F.max("z") - F.min("z")).alias("range_z"), valid.alias("n_valid"), (n - valid).alias("n_missing"), ((n - valid) * 100.0 / n).alias("missing_percent"),
     )
+    return with_percentiles(own, ["dem_id"], "z", {"median_z": 0.5}, found)
 
 
 def slope_statistics(cells: DataFrame, exact: bool = True) -> DataFrame:
-    """Per raster: slope statistics, percentiles, and counts and shares by class. Not exact: mergeable sketches, for very large rasters."""
+    """Per raster: slope statistics, percentiles, and counts and shares by class. Exact percentiles by selection; not exact: mergeable sketches, one pass."""
     s = F.col("slope_percent")
-    points = (0.25, 0.5, 0.75, 0.9, 0.95)
-    of = (lambda p: F.percentile(s, F.lit(p))) if exact else (lambda p: F.percentile_approx(s, p, 10_000))
+    points = {f"p{int(p * 100)}": p for p in (0.25, 0.5, 0.75, 0.9, 0.95)}
     k = T.slope_class(s)
     counts = {name: F.count_if(k == i) for i, name in enumerate(T.SLOPE_NAMES)}
-    return cells.where(s.isNotNull()).groupBy("dem_id").agg(
+    own = cells.where(s.isNotNull()).select("dem_id", "slope_percent")
+    if exact:
+        own = written(own, "slopes")
+    sketches = [] if exact else [F.percentile_approx(s, p, 10_000).alias(c) for c, p in points.items()]
+    found = own.groupBy("dem_id").agg(
         F.min(s).alias("min_slope"), F.max(s).alias("max_slope"), F.avg(s).alias("mean_slope"), F.stddev_pop(s).alias("std_slope"),
-        *[of(p).alias(f"p{int(p * 100)}") for p in points], *[c.alias(f"n_{n}") for n, c in counts.items()], *[(c * 100.0 / F.count("*")).alias(f"{n}_percent") for n, c in counts.items()],
+        *sketches, *[c.alias(f"n_{n}") for n, c in counts.items()], *[(c * 100.0 / F.count("*")).alias(f"{n}_percent") for n, c in counts.items()],
     )
+    return with_percentiles(own, ["dem_id"], "slope_percent", points, found) if exact else found
 
 
 def aspect_statistics(cells: DataFrame) -> DataFrame:
     """Per raster: cells with and without a direction; arithmetic mean, median and deviation of the directions."""
     a = F.when(F.col("aspect") >= 0, F.col("aspect"))
-    return cells.groupBy("dem_id").agg(F.count(a).alias("n_defined"), F.count_if(F.col("aspect") < 0).alias("n_flat"), F.avg(a).alias("mean_aspect"), F.median(a).alias("median_aspect"), F.stddev_pop(a).alias("std_aspect"))
+    own = written(cells.select("dem_id", "aspect", a.alias("a")), "aspects")
+    found = own.groupBy("dem_id").agg(F.count("a").alias("n_defined"), F.count_if(F.col("aspect") < 0).alias("n_flat"), F.avg("a").alias("mean_aspect"), F.stddev_pop("a").alias("std_aspect"))
+    return with_percentiles(own, ["dem_id"], "a", {"median_aspect": 0.5}, found)
 
 
 def aspect_distribution(cells: DataFrame) -> DataFrame:

@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plotwright.functions import geometry as G
+from plotwright.tables import written
 
 from . import scanlines
+from .selection import with_percentiles
 
 
 def tiled(df: DataFrame, ring: str, tile: float, prefix: str, grow: float = 0.0) -> DataFrame:
@@ -68,7 +70,10 @@ def zonal(cells: DataFrame, shapes: DataFrame, cell: float) -> DataFrame:
 
 
 def zonal_statistics(cells: DataFrame, shapes: DataFrame, cell: float) -> DataFrame:
-    return zonal(cells, shapes, cell).where("z is not null").groupBy("dem_id", "shape_id").agg(F.count("*").alias("n_cells"), F.avg("z").alias("mean_z"), F.var_pop("z").alias("var_z"), F.median("z").alias("median_z"))
+    """Per shape on its raster: cells with a value, their mean, variance and median."""
+    under = written(zonal(cells, shapes, cell).where("z is not null").select("dem_id", "shape_id", "z"), "under")
+    found = under.groupBy("dem_id", "shape_id").agg(F.count("*").alias("n_cells"), F.avg("z").alias("mean_z"), F.var_pop("z").alias("var_z"))
+    return with_percentiles(under, ["dem_id", "shape_id"], "z", {"median_z": 0.5}, found)
 
 
 def sample(cells: DataFrame, points: DataFrame, cell: float) -> DataFrame:

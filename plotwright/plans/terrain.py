@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from plotwright.functions import terrain as T
 from plotwright.operators import raster, stencil
 
-from .fixtures import CELL, WIDTH, dem, dem_sql, gaps_sql, r, rounded, terrain_sql, with_gaps
+from .fixtures import CELL, HORN_SQL, WIDTH, big, dem, dem_sql, gaps_sql, r, rounded, terrain_sql, with_gaps
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -201,6 +201,22 @@ def _(spark, sf_dir):
     return raster.aspect_statistics(terrain(spark, sf_dir))
 
 
+#: The large raster of fixtures.big(), for plans whose cost is a raster's size.
+LARGE = 'bg AS (SELECT CAST(0 AS BIGINT) AS dem_id, CAST(o_orderkey // 300 AS INT) AS "row", CAST(o_orderkey % 300 AS INT) AS col, o_totalprice / 1000e0 AS z FROM orders)'
+LARGE_TERRAIN = f'WITH {LARGE},\n{HORN_SQL.format(source="bg")}'
+
+
+@query("f01_large_raster", f"WITH {LARGE} SELECT dem_id, count(*) AS n_valid, round(min(z), 6) + 0.0 AS min_z, round(max(z), 6) + 0.0 AS max_z, round(avg(z), 6) + 0.0 AS mean_z, round(median(z), 6) + 0.0 AS median_z FROM bg GROUP BY dem_id")
+def _(spark, sf_dir):
+    return raster.metrics(big(spark, sf_dir)).select("dem_id", "n_valid", "min_z", "max_z", "mean_z", "median_z")
+
+
+@query("f03_large_raster", f"{LARGE_TERRAIN}, x AS (SELECT dem_id, avg(slope_percent) AS mean_slope, {', '.join(f'quantile_cont(slope_percent, {p / 100}) AS p{p}' for p in (25, 50, 75, 90, 95))}, count(*) FILTER ({CLASS} = 3) AS n_very_steep FROM t GROUP BY dem_id) SELECT dem_id, n_very_steep, {r('mean_slope', 'p25', 'p50', 'p75', 'p90', 'p95')} FROM x")
+def _(spark, sf_dir):
+    found = raster.slope_statistics(stencil.terrain(big(spark, sf_dir), CELL))
+    return found.select("dem_id", "mean_slope", "p25", "p50", "p75", "p90", "p95", "n_very_steep")
+
+
 @query("f05_aspect_distribution", f"""{BASE}, c AS (SELECT dem_id, {SECTOR} AS code, count(*) AS n FROM t GROUP BY ALL), e AS (SELECT DISTINCT dem_id, CAST(i AS INT) AS code FROM t, range(9) x(i)),
 x AS (SELECT e.dem_id, e.code, {SECTORS}[e.code + 1] AS sector, coalesce(c.n, 0) AS n, coalesce(c.n, 0) * 100e0 / sum(coalesce(c.n, 0)) OVER (PARTITION BY e.dem_id) AS percent FROM e LEFT JOIN c ON e.dem_id = c.dem_id AND e.code = c.code)
 SELECT dem_id, code, sector, n, {r("percent")} FROM x""")

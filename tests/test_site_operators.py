@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from plotwright.functions import crs
 from plotwright.functions import features as P
 from plotwright.functions import geometry as G
-from plotwright.operators import block_search, earthwork, graph, layout, raster, roads, scanlines, spatial, stencil, zones
+from plotwright.operators import block_search, earthwork, graph, layout, raster, roads, scanlines, selection, spatial, stencil, zones
 
 CELLS = "dem_id long, row int, col int, z double"
 
@@ -620,3 +620,21 @@ def test_scan_lines_against_point_in_ring(spark):
     assert got == sorted((d, k, r, c) for d, k, s in rows for r in range(50) for c in range(55) if in_rings(c + 0.5, r + 0.5, s))
     flagged = {(r.dem_id, r.row, r.col) for r in scanlines.mask(cells, frame, 1.0).where("inside").collect()}
     assert flagged == {(d, r, c) for d, _, r, c in got}
+
+
+@pytest.mark.parametrize(("bins", "few"), [(2, 1), (3, 4), (64, 20), (4096, 10_000)])
+def test_percentiles_by_selection(spark, bins, few):
+    """Exact whatever the bins: ties, one value, two values, a group without values, values far apart, shares at both ends."""
+    rng = random.Random(bins)
+    groups = {"a": [rng.gauss(0, 1) for _ in range(157)], "b": [float(rng.randrange(4)) for _ in range(200)], "c": [7.0], "d": [1.0, 2.0], "e": [10.0**k for k in range(-12, 13)], "f": [5.0] * 90, "g": [None] * 3, "h": [1e-300, 0.0, -1e300, 3.0, None]}
+    rows = [(g, k % 2, v) for g, vs in groups.items() for k, v in enumerate(vs)]
+    frame = spark.createDataFrame(rows, "g string, h int, v double").repartition(3)
+    shares = [0.0, 0.25, 0.5, 0.9, 1.0]
+    got = {r.g: r[1:] for r in selection.percentiles(frame, ["g"], "v", shares, [f"p{k}" for k in range(5)], bins, few).collect()}
+    want = {g: np.percentile([v for v in vs if v is not None], [100 * s for s in shares]) for g, vs in groups.items() if any(v is not None for v in vs)}
+    assert set(got) == set(want)
+    for g in want:
+        assert np.allclose(got[g], want[g], rtol=1e-12, atol=0)
+    assert selection.percentiles(frame.limit(0), ["g"], "v", [0.5], ["m"], bins, few).collect() == []
+    two = {(r.g, r.h): r.m for r in selection.percentiles(frame, ["g", "h"], "v", [0.5], ["m"], bins, few).collect()}
+    assert math.isclose(two["a", 1], np.median(groups["a"][1::2]))
