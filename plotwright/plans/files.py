@@ -217,6 +217,32 @@ def _(spark, sf_dir):
     return streaming.run(streaming.fresh(events(spark, sf_dir), "30 days"), "fresh").select("key")
 
 
+def in_batches(spark, sf_dir):
+    own = streaming.in_batches(spark, table(spark, sf_dir, "events"), "ts", 3)
+    return own.select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), "ts", F.col("event_type").alias("status"), "value")
+
+
+@query("s01_fresh_again", """WITH RECURSIVE e AS (SELECT user_id AS key, event_id AS id, ts FROM events), f(key, ts) AS (SELECT key, min(ts) FROM e GROUP BY key UNION ALL (SELECT f.key, min(e.ts) AS ts FROM f JOIN e ON e.key = f.key AND e.ts >= f.ts + INTERVAL 2 DAY GROUP BY f.key, f.ts)),
+g AS (SELECT f.key, f.ts, min(e.id) AS id FROM f JOIN e ON e.key = f.key AND e.ts = f.ts GROUP BY ALL) SELECT key, id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at FROM g""")
+def _(spark, sf_dir):
+    """Observations of three batches that find none of their key younger than two days."""
+    with streaming.keyed_state(spark):
+        found = streaming.run(streaming.fresh_again(in_batches(spark, sf_dir), "2 days"), "again")
+    return found.select("key", "id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"))
+
+
+@query("s04_live_state", """WITH e AS (SELECT user_id AS key, event_id AS id, ts, event_type AS status, value, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events),
+c AS (SELECT *, sum(CASE WHEN ts > p + INTERVAL 2 DAY THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY ts, id) AS visit FROM e),
+l AS (SELECT key, max(visit) AS visit FROM c GROUP BY key)
+SELECT c.key, arg_max(status, (ts, id)) AS status, round(max(value), 6) + 0.0 AS most, count(*) AS n FROM c JOIN l ON l.key = c.key AND l.visit = c.visit GROUP BY c.key""")
+def _(spark, sf_dir):
+    """The latest state of each key since it was last idle for two days, over three batches."""
+    with streaming.keyed_state(spark):
+        found = streaming.run(streaming.live_state(in_batches(spark, sf_dir), "2 days"), "live", "update")
+    last = F.max_by(F.struct("status", "most", "n"), "batch").alias("o")
+    return found.groupBy("key").agg(last).select("key", "o.*")
+
+
 ZONE_BOXES = "z AS (SELECT n_nationkey % 5 AS site_id, n_nationkey AS id, n_nationkey * 31 % 160 * 1e0 AS x0, n_nationkey * 17 % 160 * 1e0 AS y0 FROM nation)"
 
 
