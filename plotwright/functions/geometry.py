@@ -165,6 +165,50 @@ def is_convex(ring: Column) -> Column:
     return one_way & ~crossed
 
 
+def _crossing_heights(a: Column, b: Column) -> Column:
+    """The ordinates at which edges of two rings cross."""
+
+    def height(e: Column, f: Column) -> Column:
+        ux, uy = e["b"]["x"] - e["a"]["x"], e["b"]["y"] - e["a"]["y"]
+        vx, vy = f["b"]["x"] - f["a"]["x"], f["b"]["y"] - f["a"]["y"]
+        wx, wy = f["a"]["x"] - e["a"]["x"], f["a"]["y"] - e["a"]["y"]
+        turn = ux * vy - uy * vx
+        s, t = F.try_divide(wx * vy - wy * vx, turn), F.try_divide(wx * uy - wy * ux, turn)
+        return F.when(s.between(0.0, 1.0) & t.between(0.0, 1.0), e["a"]["y"] + s * uy)
+
+    return F.filter(F.flatten(F.transform(edges(a), lambda e: F.transform(edges(b), lambda f: height(e, f)))), lambda y: y.isNotNull())
+
+
+def _spans_at(ring: Column, y: Column) -> Column:
+    """The stretches of a horizontal line that lie in a ring."""
+    crossed = F.filter(edges(ring), lambda e: (e["a"]["y"] > y) != (e["b"]["y"] > y))
+    xs = F.array_sort(F.transform(crossed, lambda e: e["a"]["x"] + (e["b"]["x"] - e["a"]["x"]) * ((y - e["a"]["y"]) / (e["b"]["y"] - e["a"]["y"]))))
+    at = F.filter(xs, lambda _, k: k % 2 == 0)
+    return F.zip_with(at, F.filter(xs, lambda _, k: k % 2 == 1), lambda u, v: F.struct(u.alias("u"), v.alias("v")))
+
+
+def slab_area(a: Column, b: Column) -> Column:
+    """The common area of two rings of any shape and direction, by trapezoids.
+
+    Corners and crossings cut the plane into slabs. In a slab no edge begins, ends or crosses, so its common part is
+    trapezoids, whose area is the length of what is common half-way up times the slab's height.
+    """
+    heights = F.array_sort(F.array_distinct(F.concat(F.transform(a, lambda p: p["y"]), F.transform(b, lambda p: p["y"]), _crossing_heights(a, b))))
+    slabs = F.zip_with(F.slice(heights, 1, F.greatest(F.size(heights) - 1, F.lit(0))), F.slice(heights, 2, F.greatest(F.size(heights) - 1, F.lit(0))), lambda lo, hi: F.struct(((lo + hi) / 2.0).alias("y"), (hi - lo).alias("h")))
+
+    def common(y: Column) -> Column:
+        of_b = _spans_at(b, y)
+        one = lambda p: F.aggregate(of_b, F.lit(0.0), lambda s, q: s + F.greatest(F.lit(0.0), F.least(p["v"], q["v"]) - F.greatest(p["u"], q["u"])))
+        return F.aggregate(_spans_at(a, y), F.lit(0.0), lambda s, p: s + one(p))
+
+    return F.aggregate(slabs, F.lit(0.0), lambda s, k: s + common(k["y"]) * k["h"])
+
+
+def overlap_area(a: Column, b: Column) -> Column:
+    """The common area of two simple rings: of convex ones by clipping, of others by trapezoids."""
+    return F.when(is_convex(a) & is_convex(b) & (signed_area(b) > 0), clip_area(a, b)).otherwise(slab_area(a, b))
+
+
 def has_corner_inside(r: Column, s: Column) -> Column:
     """Whether a corner of either ring lies in the other: a cheap first test, which misses rings that cross without corners inside."""
     return F.exists(r, lambda p: in_ring(p["x"], p["y"], s)) | F.exists(s, lambda p: in_ring(p["x"], p["y"], r))

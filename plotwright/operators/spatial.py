@@ -25,17 +25,48 @@ def tiled(df: DataFrame, ring: str, tile: float, prefix: str, grow: float = 0.0)
     return named.withColumn("tx", F.explode(F.sequence(prefix + "tx0", "__x1"))).withColumn("ty", F.explode(F.sequence(prefix + "ty0", "__y1"))).drop("__x1", "__y1")
 
 
-def pairs(left: DataFrame, right: DataFrame, within: float = 0.0, tile: float = 50.0, ring: str = "ring") -> DataFrame:
-    """Candidate pairs of a site whose boxes come within a distance: columns a_* and b_*."""
-    met = tiled(left, ring, tile, "a_", within).join(tiled(right, ring, tile, "b_"), ["site_id", "tx", "ty"])
+def _boxed(df: DataFrame, prefix: str, tile: float, ring: str, grow: Column) -> DataFrame:
+    """df with its columns prefixed, its grown box and the level of its size: tiles double in width from level to level, and a box meets four of its level at most."""
+    b = G.bounds(F.col(ring))
+    grown = F.struct((b["min_x"] - grow).alias("min_x"), (b["min_y"] - grow).alias("min_y"), (b["max_x"] + grow).alias("max_x"), (b["max_y"] + grow).alias("max_y"))
+    named = df.select("site_id", *[F.col(c).alias(prefix + c) for c in df.columns if c != "site_id"], grown.alias(prefix + "box"))
+    box = F.col(prefix + "box")
+    size = F.greatest(box["max_x"] - box["min_x"], box["max_y"] - box["min_y"], F.lit(tile))
+    return named.withColumn(prefix + "level", F.ceil(F.log2(size / tile)).cast("int"))
+
+
+def _tiles(boxed: DataFrame, prefix: str, tile: float, levels: Column) -> DataFrame:
+    """A row for each tile of the given levels that a box meets: level, tx, ty, and the first of these tiles."""
+    box = F.col(prefix + "box")
+    each = boxed.withColumn("level", F.explode(levels)).withColumn("__w", tile * F.pow(F.lit(2.0), F.col("level")))
+    low, high = (lambda c: F.floor(box[c] / F.col("__w"))), (lambda c: F.floor(box[c] / F.col("__w")))
+    first = each.withColumns({prefix + "tx0": low("min_x"), prefix + "ty0": low("min_y")})
+    return first.withColumn("tx", F.explode(F.sequence(prefix + "tx0", high("max_x")))).withColumn("ty", F.explode(F.sequence(prefix + "ty0", high("max_y")))).drop("__w")
+
+
+def pairs(left: DataFrame, right: DataFrame, within: float | str = 0.0, tile: float = 50.0, ring: str = "ring") -> DataFrame:
+    """Candidate pairs of a site whose boxes come within a distance, one for all or a column of left: columns a_* and b_*.
+
+    Boxes are dealt by tiles of their own size, and the smaller one of a pair looks for the larger one at its level; so
+    a large box costs no more rows than a small one, and a wide distance widens the search of its own row only.
+    """
+    grow = F.col(within) if isinstance(within, str) else F.lit(float(within))
+    a, b = _boxed(left, "a_", tile, ring, grow), _boxed(right, "b_", tile, ring, F.lit(0.0))
+    seen = lambda df, c: df.groupBy("site_id").agg(F.collect_set(c).alias("levels"))  # noqa: E731  # some dozen at most
+    own = lambda df, p: _tiles(df, p, tile, F.array(p + "level"))
+    above = lambda df, other, p, q, same: _tiles(df.join(seen(other, q + "level"), "site_id"), p, tile, F.filter("levels", lambda v: v >= F.col(p + "level") if same else v > F.col(p + "level"))).drop("levels")
+    key = ["site_id", "level", "tx", "ty"]
+    up = above(a, b, "a_", "b_", True).join(own(b, "b_"), key)
+    down = own(a, "a_").join(above(b, a, "b_", "a_", False), key)
+    met = up.unionByName(down)
     first = (F.col("tx") == F.greatest("a_tx0", "b_tx0")) & (F.col("ty") == F.greatest("a_ty0", "b_ty0"))
-    near = [F.col(f"{p}_box.min_{c}") - within <= F.col(f"{q}_box.max_{c}") for c in "xy" for p, q in ("ab", "ba")]
-    return met.where(first & near[0] & near[1] & near[2] & near[3]).drop("tx", "ty", "a_tx0", "a_ty0", "b_tx0", "b_ty0", "a_box", "b_box")
+    near = [F.col(f"{p}_box.min_{c}") <= F.col(f"{q}_box.max_{c}") for c in "xy" for p, q in ("ab", "ba")]
+    return met.where(first & near[0] & near[1] & near[2] & near[3]).drop("level", "tx", "ty", *[p + c for p in ("a_", "b_") for c in ("tx0", "ty0", "box", "level")])
 
 
 def overlaps(assets: DataFrame) -> DataFrame:
     """Pairs of assets (id, ring) of a site whose areas meet, and by how much."""
-    met = pairs(assets, assets).where("a_id < b_id").withColumn("area", G.clip_area(F.col("a_ring"), F.col("b_ring")))
+    met = pairs(assets, assets).where("a_id < b_id").withColumn("area", G.overlap_area(F.col("a_ring"), F.col("b_ring")))
     return met.where("area > 1e-9").select("site_id", "a_id", "b_id", "area")
 
 
@@ -46,14 +77,13 @@ def corner_overlaps(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def crowded(assets: DataFrame, spacing: str = "spacing") -> DataFrame:
     """Pairs a < b closer than a's spacing."""
-    most = assets.agg(F.max(spacing)).first()[0] or 0.0
-    met = pairs(assets, assets, most).where("a_id < b_id").withColumn("distance", G.ring_distance(F.col("a_ring"), F.col("b_ring")))
+    met = pairs(assets, assets, spacing).where("a_id < b_id").withColumn("distance", G.ring_distance(F.col("a_ring"), F.col("b_ring")))
     return met.where(F.col("distance") <= F.col(f"a_{spacing}")).select("site_id", "a_id", "b_id", "distance")
 
 
 def on_zones(assets: DataFrame, zones: DataFrame, least_area: float = 0.1) -> DataFrame:
-    """Assets and zones (convex) of a site that share more than an area."""
-    met = pairs(assets, zones).withColumn("area", G.clip_area(F.col("a_ring"), F.col("b_ring")))
+    """Assets and zones of a site that share more than an area."""
+    met = pairs(assets, zones).withColumn("area", G.overlap_area(F.col("a_ring"), F.col("b_ring")))
     return met.where(F.col("area") > least_area).select("site_id", F.col("a_id").alias("asset_id"), F.col("b_id").alias("zone_id"), "area")
 
 
@@ -82,12 +112,44 @@ def sample(cells: DataFrame, points: DataFrame, cell: float) -> DataFrame:
     return at.join(cells.select("dem_id", "row", "col", "z"), ["dem_id", "row", "col"], "left")
 
 
-def nearest_road(sites: DataFrame, roads: DataFrame) -> DataFrame:
-    """Per site (x, y) the nearest point of its roads (seq, line), the earliest of equals; the site's own point without a road."""
-    x, y = F.col("x"), F.col("y")
-    met = sites.join(roads, "site_id").withColumn("n", G.nearest_on(x, y, F.col("line")))
-    best = met.groupBy("site_id").agg(F.min(F.struct(F.col("n.d").alias("d"), "seq", F.col("n.x").alias("x"), F.col("n.y").alias("y"))).alias("of"))
-    return sites.join(best, "site_id", "left").select("site_id", F.coalesce("of.x", "x").alias("entry_x"), F.coalesce("of.y", "y").alias("entry_y"), F.col("of.d").alias("distance"), F.col("of.seq").alias("road"))
+def nearest(points: DataFrame, items: DataFrame, boxes: tuple[str, str, str, str], best: Column, reach: float) -> DataFrame:
+    """Per point (site_id, point, x, y) the least struct best, of its distance and more, over the items of its site that may be nearest.
+
+    items: columns of their own and those of their boxes (min x, min y, max x, max y). A round looks into the nine tiles
+    around a point; what lies within a tile's width is settled, the others look again in tiles four times as wide. A
+    point of a site without items has no row. Each round is written, so that the next one does not run it again.
+    """
+    low_x, low_y, high_x, high_y = boxes
+    left, found, width = written(points.join(items.select("site_id").distinct(), "site_id", "left_semi"), "left"), None, reach
+    while True:
+        tile = lambda c: F.floor(F.col(c) / width)  # noqa: E731, B023
+        steps = lambda lo, hi: F.explode(F.sequence(tile(lo), tile(hi)))  # noqa: E731, B023
+        dealt = items.withColumn("tx", steps(low_x, high_x)).withColumn("ty", steps(low_y, high_y))
+        around = F.explode(F.array(*[F.struct((tile("x") + a).alias("tx"), (tile("y") + b).alias("ty")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
+        met = left.withColumn("__t", around).select("site_id", "point", "x", "y", "__t.*").join(dealt, ["site_id", "tx", "ty"])
+        near = met.groupBy("site_id", "point").agg(F.min(best).alias("of")).where(F.col("of.distance") <= width)
+        near = written(near, "near")
+        found = near if found is None else found.unionByName(near)
+        left = written(left.join(near.select("site_id", "point"), ["site_id", "point"], "left_anti"), "left")
+        if not left.limit(1).count():
+            return found
+        width *= 4
+
+
+def nearest_road(sites: DataFrame, roads: DataFrame, reach: float = 100.0) -> DataFrame:
+    """Per site (x, y) the nearest point of its roads (seq, line), the earliest of equals; the site's own point without a road.
+
+    Roads are taken apart into segments, and a gate meets those of the tiles around it, not its site's whole lines.
+    """
+    line = F.when(F.size("line") > 1, F.col("line")).otherwise(F.concat("line", "line"))
+    cut = roads.where(F.size("line") > 0).select("site_id", "seq", F.explode(G.edges(line)).alias("e"))
+    ends = lambda f, c: f(F.col(f"e.a.{c}"), F.col(f"e.b.{c}"))
+    segments = cut.select("site_id", "seq", "e", ends(F.least, "x").alias("x0"), ends(F.least, "y").alias("y0"), ends(F.greatest, "x").alias("x1"), ends(F.greatest, "y").alias("y1"))
+    at = G.segment_nearest(F.col("x"), F.col("y"), F.col("e"))
+    best = F.struct(at["d"].alias("distance"), "seq", at["x"].alias("x"), at["y"].alias("y"))
+    found = nearest(sites.select("site_id", F.lit(0).alias("point"), "x", "y"), segments, ("x0", "y0", "x1", "y1"), best, reach)
+    met = sites.join(found.select("site_id", "of"), "site_id", "left")
+    return met.select("site_id", F.coalesce("of.x", "x").alias("entry_x"), F.coalesce("of.y", "y").alias("entry_y"), F.col("of.distance").alias("distance"), F.col("of.seq").alias("road"))
 
 
 def within_radius(points: DataFrame, nodes: DataFrame, radius: float) -> DataFrame:
@@ -102,15 +164,10 @@ def within_radius(points: DataFrame, nodes: DataFrame, radius: float) -> DataFra
 
 def nearest_node(points: DataFrame, nodes: DataFrame, reach: float) -> DataFrame:
     """Per point its nearest node, the least id of equals: by tiles of the reach, then for what is left by four times as wide ones."""
-    found, left = None, points
-    span = nodes.agg((F.max("x") - F.min("x") + F.max("y") - F.min("y"))).first()[0] or 0.0
-    while True:
-        near = within_radius(left, nodes, reach).groupBy("site_id", "point_id").agg(F.min(F.struct("distance", "node_id")).alias("of")).select("site_id", "point_id", "of.*")
-        found = near if found is None else found.unionByName(near)
-        if reach > 2 * span:
-            return found
-        left = left.join(near.select("site_id", F.col("point_id").alias("id")), ["site_id", "id"], "left_anti")
-        reach *= 4
+    items = nodes.select("site_id", F.col("id").alias("node_id"), F.col("x").alias("nx"), F.col("y").alias("ny"))
+    away = F.sqrt(F.pow(F.col("x") - F.col("nx"), 2) + F.pow(F.col("y") - F.col("ny"), 2))
+    found = nearest(points.select("site_id", F.col("id").alias("point"), "x", "y"), items, ("nx", "ny", "nx", "ny"), F.struct(away.alias("distance"), "node_id"), reach)
+    return found.select("site_id", F.col("point").alias("point_id"), "of.*")
 
 
 def grid_adjacency(nodes: DataFrame) -> DataFrame:
@@ -129,14 +186,14 @@ def type_spacing(rules: DataFrame) -> DataFrame:
 def rule_spacing(assets: DataFrame, rules: DataFrame, tile: float = 50.0) -> DataFrame:
     """Pairs a < b of assets (id, type, ring) of a site that are closer than the rule for their types asks for.
 
-    Candidates are pairs whose boxes come within the greatest spacing of any rule, and rules are few by their
-    nature, one a pair of types; they are joined, not looked up on the driver.
+    Rules are few by their nature, one a pair of types; an asset looks as far as the widest rule of its own type.
     """
-    most = rules.agg(F.max("metres")).first()[0] or 0.0
+    ruled = type_spacing(rules)
+    widest = ruled.groupBy(F.col("from_type").alias("type")).agg(F.max("metres").alias("reach"))
     own = assets.select("site_id", "id", "type", "ring")
-    met = pairs(own, own, most, tile).where("a_id < b_id")
-    ruled = met.join(type_spacing(rules), (F.col("a_type") == F.col("from_type")) & (F.col("b_type") == F.col("to_type")))
-    return ruled.withColumn("distance", G.ring_distance(F.col("a_ring"), F.col("b_ring"))).where("distance < metres").select("site_id", "a_id", "b_id", "metres", "distance")
+    met = pairs(own.join(widest, "type"), own, "reach", tile).where("a_id < b_id")
+    both = met.join(ruled, (F.col("a_type") == F.col("from_type")) & (F.col("b_type") == F.col("to_type")))
+    return both.withColumn("distance", G.ring_distance(F.col("a_ring"), F.col("b_ring"))).where("distance < metres").select("site_id", "a_id", "b_id", "metres", "distance")
 
 
 def shared_points(lines: DataFrame, digits: int = 8) -> DataFrame:

@@ -140,6 +140,21 @@ def _(spark, sf_dir):
 CORNER = "(({a}.x0 > {b}.x0 AND {a}.x0 < {b}.x1) OR ({a}.x1 > {b}.x0 AND {a}.x1 < {b}.x1)) AND (({a}.y0 > {b}.y0 AND {a}.y0 < {b}.y1) OR ({a}.y1 > {b}.y0 AND {a}.y1 < {b}.y1))"
 
 
+#: L-shaped footprints, every other one clockwise: two boxes each, for the SQL.
+ELLS = """el AS (SELECT c_custkey // 12 AS site_id, c_custkey AS id, c_custkey * 37 % 90 + 0.25e0 AS x, c_custkey * 53 % 90 + 0.5e0 AS y, 20 + c_custkey % 7 * 3e0 AS w, 6 + c_custkey % 3 * 1e0 AS t FROM customer),
+eb AS (SELECT site_id, id, x AS x0, y AS y0, x + w AS x1, y + t AS y1 FROM el UNION ALL SELECT site_id, id, x, y + t, x + t, y + w FROM el)"""
+
+
+@query("h10_overlap_areas", f"""WITH {ELLS}, x AS (SELECT p.site_id, p.id AS a_id, q.id AS b_id, sum(greatest(0e0, least(p.x1, q.x1) - greatest(p.x0, q.x0)) * greatest(0e0, least(p.y1, q.y1) - greatest(p.y0, q.y0))) AS area FROM eb p JOIN eb q ON p.site_id = q.site_id AND p.id < q.id GROUP BY ALL) SELECT site_id, a_id, b_id, {r('area')} FROM x WHERE area > 1e-9""")
+def _(spark, sf_dir):
+    """Overlaps of footprints that are not convex."""
+    k = F.col("c_custkey")
+    at = table(spark, sf_dir, "customer").select(F.expr("c_custkey div 12").alias("site_id"), k.alias("id"), (k * 37 % 90 + 0.25).alias("x"), (k * 53 % 90 + 0.5).alias("y"), (20 + k % 7 * 3.0).alias("w"), (6 + k % 3 * 1.0).alias("t"))
+    x, y, w, t = (F.col(c) for c in "xywt")
+    ring = G.closed([G.point(x, y), G.point(x + w, y), G.point(x + w, y + t), G.point(x + t, y + t), G.point(x + t, y + w), G.point(x, y + w)])
+    return spatial.overlaps(at.select("site_id", "id", F.when(F.col("id") % 2 == 0, ring).otherwise(F.reverse(ring)).alias("ring")))
+
+
 @query("h11_corner_overlaps", f"WITH {ASSETS}, b AS (SELECT site_id, id, x0 + 0.3e0 AS x0, x1 + 0.3e0 AS x1, y0 + 0.3e0 AS y0, y1 + 0.3e0 AS y1 FROM a) SELECT a.site_id, a.id AS a_id, b.id AS b_id FROM a JOIN b ON a.site_id = b.site_id WHERE ({CORNER.format(a='a', b='b')}) OR ({CORNER.format(a='b', b='a')})")
 def _(spark, sf_dir):
     return spatial.corner_overlaps(assets(spark, sf_dir), nudged(spark, sf_dir))

@@ -25,6 +25,13 @@ def fresh(observed: DataFrame, ttl: str) -> DataFrame:
     return observed.withWatermark("ts", ttl).dropDuplicatesWithinWatermark(["key"])
 
 
+def _in_time(rows: Iterator[pd.DataFrame], timerValues) -> pd.DataFrame:
+    """A key's rows of a batch in order, but for those older than the watermark (Spark itself drops them a batch later)."""
+    whole = pd.concat(list(rows)).sort_values(["ts", "id"], kind="stable")
+    whole["us"] = whole["ts"].astype("datetime64[us]").astype("int64")
+    return whole[whole["us"] >= 1000 * timerValues.getCurrentWatermarkInMs()]
+
+
 class _Fresh(StatefulProcessor):
     """Passes an observation if its key has none that is younger than the time to live; what has run out is forgotten by a timer."""
 
@@ -39,11 +46,10 @@ class _Fresh(StatefulProcessor):
         held = self.until.get()
         until = before = held[0] if held else None
         kept = []
-        whole = pd.concat(list(rows)).sort_values(["ts", "id"], kind="stable")
-        for row, us in zip(whole.itertuples(index=False), whole["ts"].astype("datetime64[us]").astype("int64")):
-            if until is None or us >= until:
+        for row in _in_time(rows, timerValues).itertuples(index=False):
+            if until is None or row.us >= until:
                 kept.append((row.key, row.id, row.ts))
-                until = int(us + self.ttl // pd.Timedelta(microseconds=1))
+                until = int(row.us + self.ttl // pd.Timedelta(microseconds=1))
         if until != before:
             if before is not None:
                 self.handle.deleteTimer(-(-before // 1000))
@@ -70,8 +76,11 @@ class _Live(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         us, last, status, most, n = self.state.get() or (None, None, None, None, 0)
         before, idle = us, self.idle // pd.Timedelta(microseconds=1)
-        whole = pd.concat(list(rows)).sort_values(["ts", "id"], kind="stable")
-        for row, at in zip(whole.itertuples(index=False), whole["ts"].astype("datetime64[us]").astype("int64")):
+        whole = _in_time(rows, timerValues)
+        if not len(whole):
+            return
+        for row in whole.itertuples(index=False):
+            at = row.us
             if us is not None and at - us > idle:
                 us, last, status, most, n = None, None, None, None, 0
             if us is None or (at, row.id) >= (us, last):

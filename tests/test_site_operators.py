@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from plotwright import streaming
 from plotwright.functions import crs
 from plotwright.functions import features as P
 from plotwright.functions import geometry as G
@@ -638,3 +639,116 @@ def test_percentiles_by_selection(spark, bins, few):
     assert selection.percentiles(frame.limit(0), ["g"], "v", [0.5], ["m"], bins, few).collect() == []
     two = {(r.g, r.h): r.m for r in selection.percentiles(frame, ["g", "h"], "v", [0.5], ["m"], bins, few).collect()}
     assert math.isclose(two["a", 1], np.median(groups["a"][1::2]))
+
+
+def test_overlap_of_any_rings(spark):
+    """L shapes either way round and turned, stars, a ring inside another, rings that touch: against the share of fine cells in both."""
+    rng = random.Random(14)
+    ell = [(0, 0), (6, 0), (6, 2), (2, 2), (2, 6), (0, 6)]
+
+    def turned(ring, angle, dx, dy):
+        c, s = math.cos(angle), math.sin(angle)
+        return [(x * c - y * s + dx, x * s + y * c + dy) for x, y in ring]
+
+    star = lambda n: [((1 if k % 2 else 4) * math.cos(k * math.pi / n) + 4, (1 if k % 2 else 4) * math.sin(k * math.pi / n) + 4) for k in range(2 * n)]
+    cases = [(ell, ell), (ell, ell[::-1]), (ell, [(2, 2), (6, 2), (6, 6), (2, 6)]), (ell, [(1, 1), (3, 1), (3, 3), (1, 3)]), (star(5), ell), (star(4)[::-1], star(7)), ([(0, 0), (9, 0), (9, 9), (0, 9)], star(5))]
+    cases += [(turned(ell, rng.uniform(0, 6), 3, 3), turned(star(rng.randrange(3, 6)), rng.uniform(0, 6), rng.uniform(-2, 4), rng.uniform(-2, 4))) for _ in range(6)]
+    as_ring = lambda ring: [{"x": float(x), "y": float(y)} for x, y in ring + ring[:1]]
+    kind = "array<struct<x: double, y: double>>"
+    frame = spark.createDataFrame([(k, as_ring(a), as_ring(b)) for k, (a, b) in enumerate(cases)], f"k int, a {kind}, b {kind}")
+    got = {r.k: (r.either, r.other, r.slabs) for r in frame.select("k", G.overlap_area(F.col("a"), F.col("b")).alias("either"), G.overlap_area(F.col("b"), F.col("a")).alias("other"), G.slab_area(F.col("a"), F.col("b")).alias("slabs")).collect()}
+    assert math.isclose(got[0][0], 20) and math.isclose(got[1][0], 20) and abs(got[2][0]) < 1e-9 and math.isclose(got[3][0], 3)
+    step = 0.02
+    for k, (a, b) in enumerate(cases):
+        both = [[*r, r[0]] for r in (a, b)]
+        xs, ys = ([p[i] for r in both for p in r] for i in (0, 1))
+        n = sum(in_rings(min(xs) + (i + 0.5) * step * 5, min(ys) + (j + 0.5) * step * 5, both[:1]) and in_rings(min(xs) + (i + 0.5) * step * 5, min(ys) + (j + 0.5) * step * 5, both[1:]) for i in range(int((max(xs) - min(xs)) / step / 5) + 1) for j in range(int((max(ys) - min(ys)) / step / 5) + 1))
+        assert math.isclose(got[k][0], got[k][1], abs_tol=1e-9) and math.isclose(got[k][0], got[k][2], abs_tol=1e-9) and abs(got[k][0] - n * (5 * step) ** 2) < 0.5
+
+
+def test_pairs_of_boxes_of_all_sizes(spark):
+    """Against all pairs; a zone of ten kilometres takes four tiles, and one wide spacing widens its own search only."""
+    rng = random.Random(15)
+    rows = [(0, k, *(rng.uniform(-500, 500) for _ in "xy"), rng.choice([0.5, 3.0, 40.0, 300.0]), rng.choice([0.0, 1.0, 20.0])) for k in range(150)] + [(0, 150, -5000.0, -5000.0, 10_000.0, 0.0), (0, 151, 3.0, 3.0, 1.0, 1000.0), (1, 0, 0.0, 0.0, 5.0, 9.0)]
+    frame = spark.createDataFrame(rows, "site_id long, id long, x double, y double, w double, reach double").select("site_id", "id", "reach", "w", "x", "y", G.box(F.col("x"), F.col("y"), F.col("x") + F.col("w"), F.col("y") + F.col("w")).alias("ring"))
+    for within in ("reach", 0.0, 7.5):
+        far = lambda p: p[5] if within == "reach" else within
+        want = sorted((p[0], p[1], q[1]) for p in rows for q in rows if p[0] == q[0] and p[2] - far(p) <= q[2] + q[4] and q[2] <= p[2] + p[4] + far(p) and p[3] - far(p) <= q[3] + q[4] and q[3] <= p[3] + p[4] + far(p))
+        assert sorted((r.site_id, r.a_id, r.b_id) for r in spatial.pairs(frame, frame, within).collect()) == want
+    boxed = spatial._boxed(frame, "a_", 50.0, "ring", F.col("reach"))
+    tiles = spatial._tiles(boxed, "a_", 50.0, F.array("a_level")).groupBy("site_id", "a_id").count()
+    assert tiles.agg(F.max("count")).first()[0] <= 4
+    small = spark.createDataFrame([(0, k, float(k % 60) * 50, float(k // 60) * 50, 1.0, 1000.0 if k == 0 else 1.0) for k in range(3000)], "site_id long, id long, x double, y double, w double, spacing double")
+    small = small.select("site_id", "id", "spacing", G.box(F.col("x"), F.col("y"), F.col("x") + F.col("w"), F.col("y") + F.col("w")).alias("ring"))
+    assert spatial.pairs(small, small, "spacing").count() < 2 * 3000 + 21 * 21 and spatial.crowded(small).count() > 250
+
+
+def moment(text):
+    import datetime
+
+    return datetime.datetime.fromisoformat(text).replace(tzinfo=datetime.timezone.utc)
+
+
+def stream_of(spark, folder, batches, kind):
+    import time
+
+    for batch in batches:
+        spark.createDataFrame(batch, kind).coalesce(1).write.mode("append").parquet(str(folder))
+        time.sleep(1.1)
+    return streaming.source(spark, str(folder), 1)
+
+
+def test_observations_are_fresh_again_after_their_time(spark, tmp_path):
+    """Repeats inside the time, in the same batch and the next one, are dropped; one beyond it passes; what comes too late is dropped, its key new or not."""
+    one = [("a", 1, moment("2024-01-01 00:00")), ("a", 2, moment("2024-01-01 00:30")), ("b", 3, moment("2024-01-01 02:00")), ("a", 4, moment("2024-01-01 01:00"))]
+    two = [("a", 5, moment("2024-01-01 02:30")), ("b", 6, moment("2024-01-01 02:59")), ("a", 7, moment("2024-01-01 03:20")), ("c", 8, moment("2024-01-01 00:10"))]
+    three = [("b", 9, moment("2024-01-01 03:30")), ("d", 10, moment("2024-01-01 01:00")), (None, 11, moment("2024-01-01 04:00")), (None, 12, moment("2024-01-01 04:30"))]
+    stream = stream_of(spark, tmp_path / "in", [one, two, three], "key string, id long, ts timestamp")
+    with streaming.keyed_state(spark):
+        got = streaming.run(streaming.fresh_again(stream, "1 hour"), "fresh")
+    assert sorted(r.id for r in got.collect()) == [1, 3, 4, 5, 9, 11]
+
+
+def test_state_since_a_key_was_idle(spark, tmp_path):
+    at = lambda t: moment(f"2024-01-01 {t}")
+    one = [("a", 1, at("00:00"), "new", 5.0), ("a", 2, at("00:40"), "run", 9.0), ("b", 3, at("00:10"), "new", None)]
+    two = [("a", 4, at("01:30"), "done", 1.0), ("b", 5, at("03:00"), "run", 2.0)]
+    three = [("a", 6, at("04:00"), "new", 3.0), ("a", 7, at("04:00"), "run", None), ("c", 8, at("00:05"), "late", 7.0)]
+    stream = stream_of(spark, tmp_path / "in", [one, two, three], "key string, id long, ts timestamp, status string, value double")
+    with streaming.keyed_state(spark):
+        found = streaming.run(streaming.live_state(stream, "1 hour"), "live", "update").collect()
+    last = {}
+    for r in sorted(found, key=lambda r: r.batch):
+        last[r.key] = (r.status, r.most, r.n)
+    assert last == {"a": ("run", 3.0, 2), "b": ("run", 2.0, 1)}
+    assert ("done", 9.0, 3) in {(r.status, r.most, r.n) for r in found if r.key == "a"}
+
+
+def test_nearest_road_among_many_segments(spark):
+    """Against every segment: long and short ones, far gates, equal distances, a site without roads, lines of one point."""
+    rng, rows = random.Random(16), []
+    for site in (0, 1):
+        for k in range(400):
+            x, y = rng.uniform(-3000, 3000), rng.uniform(-3000, 3000)
+            line = [(x, y)]
+            for _ in range(rng.randrange(0, 6)):
+                line.append((line[-1][0] + rng.uniform(-60, 60), line[-1][1] + rng.choice([1, 1, 40]) * rng.uniform(-60, 60)))
+            rows.append((site, k, line))
+    rows += [(3, 5, [(10.0, 0.0), (10.0, 9.0)]), (3, 2, [(-10.0, 0.0), (-10.0, 9.0)]), (4, 1, [(90_000.0, 0.0), (90_000.0, 5.0)])]
+    gates = [(0, 100.0, 50.0), (1, -9000.0, 4000.0), (2, 1.0, 2.0), (3, 0.0, 3.0), (4, 0.0, 0.0)]
+
+    def nearest(x, y, a, b):
+        dx, dy = b[0] - a[0], b[1] - a[1]
+        size = dx * dx + dy * dy
+        t = min(1.0, max(0.0, ((x - a[0]) * dx + (y - a[1]) * dy) / size)) if size else 0.0
+        return math.hypot(x - a[0] - t * dx, y - a[1] - t * dy)
+
+    frame = spark.createDataFrame([(s, k, [{"x": x, "y": y} for x, y in line]) for s, k, line in rows], "site_id long, seq long, line array<struct<x: double, y: double>>")
+    got = {r.site_id: r for r in spatial.nearest_road(spark.createDataFrame(gates, "site_id long, x double, y double"), frame).collect()}
+    for site, x, y in gates:
+        want = min(((nearest(x, y, a, b), k) for s, k, line in rows if s == site for a, b in zip(line, line[1:] or line)), default=None)
+        if want is None:
+            assert (got[site].entry_x, got[site].entry_y, got[site].road) == (x, y, None)
+        else:
+            assert math.isclose(got[site].distance, want[0], rel_tol=1e-9) and got[site].road == want[1]
+            assert math.isclose(math.hypot(got[site].entry_x - x, got[site].entry_y - y), want[0], rel_tol=1e-9)
