@@ -109,12 +109,12 @@ def _(spark, sf_dir):
     return zoned(spark, sf_dir).withColumns({"e": e, "n": n}).select("id", (error <= 0.001).alias("accurate"))
 
 
-@query("c12_crs_names", """SELECT n_nationkey AS id, CASE n_nationkey % 5 WHEN 4 THEN 0 ELSE 32600 + n_nationkey END AS epsg FROM nation""")
+@query("c12_crs_names", """SELECT CAST(c_custkey AS INT) AS id, CASE CAST(c_custkey AS INT) % 5 WHEN 4 THEN 0 ELSE 32600 + CAST(c_custkey AS INT) END AS epsg FROM customer""")
 def _(spark, sf_dir):
-    k = F.col("n_nationkey")
+    k = F.col("c_custkey").cast("int")
     n = 32600 + k
     name = F.when(k % 5 == 0, F.concat(F.lit("EPSG:"), n)).when(k % 5 == 1, F.concat(F.lit("urn:ogc:def:crs:EPSG::"), n)).when(k % 5 == 2, F.concat(F.lit("http://www.opengis.net/def/crs/EPSG/0/"), n)).when(k % 5 == 3, n.cast("string")).otherwise("local grid")
-    return table(spark, sf_dir, "nation").select(k.alias("id"), F.coalesce(crs.parse_name(name), F.lit(0)).alias("epsg"))
+    return table(spark, sf_dir, "customer").select(k.alias("id"), F.coalesce(crs.parse_name(name), F.lit(0)).alias("epsg"))
 
 
 @query("c20_haversine", f"{POINTS}, q AS (SELECT *, lag(lon) OVER (ORDER BY id) AS lon0, lag(lat) OVER (ORDER BY id) AS lat0 FROM p), h AS (SELECT id, pow(sin(radians(lat - lat0) / 2e0), 2) + cos(radians(lat0)) * cos(radians(lat)) * pow(sin(radians(lon - lon0) / 2e0), 2) AS a FROM q WHERE lon0 IS NOT NULL) SELECT id, round(20902231e0 * 2e0 * atan2(sqrt(a), sqrt(1e0 - a)), 2) + 0.0 AS feet FROM h")

@@ -56,11 +56,11 @@ def _(spark, sf_dir):
     return box.selectExpr("site_id", "e - w AS width", "n - s AS height", "(w + e) / 2 AS cx", "(s + n) / 2 AS cy", "(e - w) * (n - s) AS area")
 
 
-@query("c27_crs_of_files", "SELECT n_nationkey AS id, CASE n_nationkey % 4 WHEN 0 THEN 4326 WHEN 1 THEN 32633 WHEN 2 THEN 4326 ELSE -1 END AS epsg FROM nation")
+@query("c27_crs_of_files", "SELECT CAST(c_custkey AS INT) AS id, CASE CAST(c_custkey AS INT) % 4 WHEN 0 THEN 4326 WHEN 1 THEN 32633 WHEN 2 THEN 4326 ELSE -1 END AS epsg FROM customer")
 def _(spark, sf_dir):
-    k = F.col("n_nationkey") % 4
+    k = F.col("c_custkey").cast("int") % 4
     name = F.when(k == 0, "a.KMZ").when(k == 3, "a.txt").otherwise("a.geojson")
-    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.coalesce(crs.by_suffix(name, F.when(k == 1, "urn:ogc:def:crs:EPSG::32633")), F.lit(-1)).alias("epsg"))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("int").alias("id"), F.coalesce(crs.by_suffix(name, F.when(k == 1, "urn:ogc:def:crs:EPSG::32633")), F.lit(-1)).alias("epsg"))
 
 
 @query("d06_placemark_filters", "SELECT 'site' || s_suppkey || '.kml' AS path, CAST(1 AS BIGINT) AS n_polygons, CAST(1 AS BIGINT) AS n_points, CAST(1 AS BIGINT) AS n_boundaries FROM supplier WHERE s_suppkey % 10 <> 9")
@@ -94,13 +94,13 @@ def _(spark, sf_dir):
     return found.agg(F.count("*").alias("total"), F.count("kind").alias("with_geometry"), F.count_if(P.any_of(F.concat_ws(" ", "name", "description"), P.CONTOUR_WORDS)).alias("contours"))
 
 
-@query("h18_ring_of_way", "SELECT n_nationkey AS id, CAST(CASE WHEN n_nationkey % 3 = 0 THEN 0 ELSE 4 END AS INT) AS points, CASE WHEN n_nationkey % 3 = 0 THEN 0e0 ELSE 2e0 END AS area FROM nation")
+@query("h18_ring_of_way", "SELECT CAST(c_custkey AS INT) AS id, CAST(CASE WHEN CAST(c_custkey AS INT) % 3 = 0 THEN 0 ELSE 4 END AS INT) AS points, CASE WHEN CAST(c_custkey AS INT) % 3 = 0 THEN 0e0 ELSE 2e0 END AS area FROM customer")
 def _(spark, sf_dir):
-    k = F.col("n_nationkey")
+    k = F.col("c_custkey").cast("int")
     p = lambda x, y: G.point(k * 1.0 + x, F.lit(y))
     line = F.when(k % 3 == 0, F.array(p(0.0, 0.0), p(2.0, 0.0))).when(k % 3 == 1, F.array(p(0.0, 0.0), p(2.0, 0.0), p(2.0, 2.0))).otherwise(F.array(p(0.0, 0.0), p(2.0, 0.0), p(2.0, 2.0), p(0.0, 0.0)))
     ring = F.when(F.size(line) < 3, None).when(line[0] == F.element_at(line, -1), line).otherwise(F.concat(line, F.slice(line, 1, 1)))
-    return table(spark, sf_dir, "nation").select(k.alias("id"), F.coalesce(F.size(F.when(F.size(line) >= 3, ring)), F.lit(0)).alias("points"), F.coalesce(G.area(F.array(ring)), F.lit(0.0)).alias("area")).withColumn("points", F.greatest("points", F.lit(0)))
+    return table(spark, sf_dir, "customer").select(k.alias("id"), F.coalesce(F.size(F.when(F.size(line) >= 3, ring)), F.lit(0)).alias("points"), F.coalesce(G.area(F.array(ring)), F.lit(0.0)).alias("area")).withColumn("points", F.greatest("points", F.lit(0)))
 
 
 @query("k10_existing_conditions", f"WITH {TAGS} SELECT id % 7 AS site_id, {CLASSES} AS class, count(*) AS n, max(CASE m WHEN 0 THEN 3.0e0 WHEN 1 THEN 30.48e0 WHEN 2 THEN 15.24e0 WHEN 3 THEN 15.24e0 WHEN 4 THEN 30.48e0 WHEN 5 THEN 15.24e0 WHEN 6 THEN 9.14e0 WHEN 7 THEN 45.72e0 WHEN 8 THEN 30.48e0 END) AS widest FROM ways WHERE m < 9 GROUP BY ALL")
@@ -135,11 +135,11 @@ def _(spark, sf_dir):
     return floods(spark, sf_dir).groupBy("location").agg(F.count("*").alias("n"), F.count_if(F.upper("code").contains("FLOODWAY")).alias("n_floodway"), F.count_if(zone.isin("V", "VE")).alias("n_coastal"))
 
 
-@query("p08_rings_to_polygons", "SELECT n_nationkey AS id, (n_nationkey + 4) * 4e0 - 1e0 AS area, CAST(1 AS INT) AS holes FROM nation")
+@query("p08_rings_to_polygons", "SELECT CAST(c_custkey AS INT) AS id, (CAST(c_custkey AS INT) + 4) * 4e0 - 1e0 AS area, CAST(1 AS INT) AS holes FROM customer")
 def _(spark, sf_dir):
-    k = F.col("n_nationkey")
+    k = F.col("c_custkey").cast("int")
     text = F.concat(F.lit('{"features":[{"geometry":{"rings":[[[0,0],['), k + 4, F.lit(",0],["), k + 4, F.lit(",4],[0,4],[0,0]],[[1,1],[2,1],[2,2],[1,2],[1,1]]]}}]}"))
-    found = S.flood_features(table(spark, sf_dir, "nation").select(k.alias("path"), text.alias("value")))
+    found = S.flood_features(table(spark, sf_dir, "customer").select(k.alias("path"), text.alias("value")))
     parts = F.transform("rings", lambda ring: F.transform(ring, lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))))
     return found.select(F.col("path").alias("id"), G.area(parts).alias("area"), (F.size(parts) - 1).alias("holes"))
 

@@ -137,11 +137,11 @@ def _(spark, sf_dir):
     return spatial.crowded(assets(spark, sf_dir).drop("spacing").withColumn("spacing", F.lit(9.144)))
 
 
-@query("h08_sub_parcels", "SELECT n_nationkey AS id, 'parcel_' || i AS parcel, i * 2e0 AS area FROM nation, range(1, 4) t(i)")
+@query("h08_sub_parcels", "SELECT CAST(c_custkey AS INT) AS id, 'parcel_' || i AS parcel, i * 2e0 AS area FROM customer, range(1, 4) t(i)")
 def _(spark, sf_dir):
-    k = F.col("n_nationkey") * 1.0
+    k = F.col("c_custkey").cast("int") * 1.0
     parts = F.array(*[G.box(k, k, k + i, k + 2.0) for i in (1, 2, 3)])
-    rows = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.posexplode(parts).alias("i", "ring"))
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("int").alias("id"), F.posexplode(parts).alias("i", "ring"))
     return rows.select("id", F.concat(F.lit("parcel_"), F.col("i") + 1).alias("parcel"), G.area(F.array("ring")).alias("area"))
 
 
@@ -244,10 +244,10 @@ def _(spark, sf_dir):
     return layout.results(costs(spark, sf_dir), scored(spark, sf_dir))
 
 
-@query("n14_weight_checks", "SELECT n_nationkey AS id, abs(n_nationkey % 3 + 99 - 100) <= 0.01 AS is_valid, round((n_nationkey % 3 + 24) / 100e0, 6) + 0.0 AS cut_fill FROM nation")
+@query("n14_weight_checks", "SELECT CAST(c_custkey AS INT) AS id, abs(CAST(c_custkey AS INT) % 3 + 99 - 100) <= 0.01 AS is_valid, round((CAST(c_custkey AS INT) % 3 + 24) / 100e0, 6) + 0.0 AS cut_fill FROM customer")
 def _(spark, sf_dir):
-    k = F.col("n_nationkey")
-    rows = table(spark, sf_dir, "nation").select(k.alias("id"), (24 + k % 3).alias("cost"), F.lit(25).alias("buildable_area"), F.lit(25).alias("accessibility"), F.lit(15).alias("environmental"), F.lit(10).alias("aesthetics"))
+    k = F.col("c_custkey").cast("int")
+    rows = table(spark, sf_dir, "customer").select(k.alias("id"), (24 + k % 3).alias("cost"), F.lit(25).alias("buildable_area"), F.lit(25).alias("accessibility"), F.lit(15).alias("environmental"), F.lit(10).alias("aesthetics"))
     return layout.checked_weights(rows).select("id", "is_valid", "cut_fill")
 
 

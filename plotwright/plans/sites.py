@@ -82,16 +82,17 @@ def _(spark, sf_dir):
     return rows.groupBy("owner").agg(F.count("*").alias("n_parts"), F.round(F.sum("a"), 0).alias("area_sqm"), F.min("b.min_x").alias("min_x"), F.max("b.max_x").alias("max_x"), F.round(F.sum(F.col("cx") * F.col("a")) / F.sum("a"), 4).alias("cx"))
 
 
-@query("h06_ring_checks", "SELECT n_nationkey AS id, CASE n_nationkey % 5 WHEN 1 THEN 'unclosed ring' WHEN 2 THEN 'fewer than three corners' WHEN 3 THEN 'edges cross' WHEN 4 THEN 'coordinates out of range' ELSE '' END AS issues FROM nation")
+@query("h06_ring_checks", """WITH k AS (SELECT CAST(c_custkey AS INT) AS id, c_custkey % 5 AS kind, c_custkey % 200 + CASE c_custkey % 5 WHEN 2 THEN 1 ELSE 2 END AS far_x, c_custkey % 97 + CASE c_custkey % 5 WHEN 2 THEN 1 ELSE 2 END AS far_y FROM customer)
+SELECT id, concat_ws(';', CASE kind WHEN 1 THEN 'unclosed ring' WHEN 2 THEN 'fewer than three corners' WHEN 3 THEN 'edges cross' END, CASE WHEN kind = 4 OR far_x > 180 OR far_y > 90 THEN 'coordinates out of range' END) AS issues FROM k""")
 def _(spark, sf_dir):
-    k = F.col("n_nationkey")
-    p = lambda x, y: G.point(k * 1.0 + x, k * 1.0 + y)
+    k = F.col("c_custkey").cast("int")
+    p = lambda x, y: G.point(k % 200 * 1.0 + x, k % 97 * 1.0 + y)
     good = G.closed([p(0, 0), p(2, 0), p(2, 2), p(0, 2)])
     ring = (
         F.when(k % 5 == 0, good).when(k % 5 == 1, F.slice(good, 1, 4)).when(k % 5 == 2, F.array(p(0, 0), p(1, 1), p(0, 0))).when(k % 5 == 3, G.closed([p(0, 0), p(2, 2), p(2, 0), p(0, 2)]))
-        .otherwise(G.closed([p(0, 0), G.point(F.lit(200.0), k * 1.0), p(2, 2)]))
+        .otherwise(G.closed([p(0, 0), G.point(F.lit(200.0), k % 97 * 1.0), p(2, 2)]))
     )
-    return table(spark, sf_dir, "nation").select(k.alias("id"), F.array_join(G.issues(ring), ";").alias("issues"))
+    return table(spark, sf_dir, "customer").select(k.alias("id"), F.array_join(G.issues(ring), ";").alias("issues"))
 
 
 @query("h07_ring_repair", "SELECT c_custkey AS id, (2e0 + c_custkey % 7) * (1e0 + c_custkey % 5) AS area, CAST(5 AS INT) AS points FROM customer")
@@ -122,12 +123,12 @@ def _(spark, sf_dir):
     return assets(spark, sf_dir).select("site_id", "id", G.line_distance(F.lit(100.0), F.lit(90.0), F.col("ring")).alias("distance"))
 
 
-@query("h13_line_measures", "SELECT n_nationkey AS id, n_nationkey + 5e0 AS length, least(n_nationkey / 2e0 + 2.5e0, 3e0) AS mx, greatest(n_nationkey / 2e0 - 0.5e0, 0e0) AS my FROM nation")
+@query("h13_line_measures", "SELECT CAST(c_custkey AS INT) AS id, CAST(c_custkey AS INT) + 5e0 AS length, least(CAST(c_custkey AS INT) / 2e0 + 2.5e0, 3e0) AS mx, greatest(CAST(c_custkey AS INT) / 2e0 - 0.5e0, 0e0) AS my FROM customer")
 def _(spark, sf_dir):
-    k = F.col("n_nationkey") * 1.0
+    k = F.col("c_custkey").cast("int") * 1.0
     line = F.array(G.point(F.lit(0.0), F.lit(0.0)), G.point(F.lit(3.0), F.lit(0.0)), G.point(F.lit(3.0), k + 2.0))
     m = G.point_at(line, 0.5)
-    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), G.length(line).alias("length"), m["x"].alias("mx"), m["y"].alias("my"))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("int").alias("id"), G.length(line).alias("length"), m["x"].alias("mx"), m["y"].alias("my"))
 
 
 @query("h15_wkt_round_trip", f"WITH {ASSETS} SELECT site_id, id, 'POLYGON' AS kind, CAST(5 AS INT) AS points, round(width * length, 6) + 0.0 AS area FROM a")
@@ -136,11 +137,12 @@ def _(spark, sf_dir):
     return assets(spark, sf_dir).withColumn("g", g).select("site_id", "id", "g.kind", F.size(F.col("g.parts")[0]).alias("points"), G.area(F.col("g.parts")).alias("area"))
 
 
-@query("h01_kml_coordinates", "SELECT n_nationkey AS id, CAST(CASE WHEN n_nationkey % 4 = 3 THEN 2 ELSE 3 END AS INT) AS n_points FROM nation")
+@query("h01_kml_coordinates", "SELECT CAST(c_custkey AS INT) AS id, CAST((c_custkey % 190 <= 180)::INT + (c_custkey % 190 + 1 <= 180)::INT + (c_custkey % 4 <> 3 AND c_custkey % 190 <= 180)::INT AS INT) AS n_points FROM customer")
 def _(spark, sf_dir):
-    k = F.col("n_nationkey")
-    text = F.concat(k, F.lit(",1,0\n "), k + 1, F.lit(",2 "), F.when(k % 4 == 3, "200,5").otherwise(F.concat(k, F.lit(",3.5,9"))))
-    return table(spark, sf_dir, "nation").select(k.alias("id"), F.size(F.array_compact(G.kml_coordinates(text))).alias("n_points"))
+    k = F.col("c_custkey").cast("int")
+    x = k % 190
+    text = F.concat(x, F.lit(",1,0\n "), x + 1, F.lit(",2 "), F.when(k % 4 == 3, "200,5").otherwise(F.concat(x, F.lit(",3.5,9"))))
+    return table(spark, sf_dir, "customer").select(k.alias("id"), F.size(F.array_compact(G.kml_coordinates(text))).alias("n_points"))
 
 
 @query("k03_buffered_area", f"WITH {ASSETS} SELECT site_id, id, round(width * length + 2 * (width + length) * 5e0 + pi() * 25e0, 6) + 0.0 AS area FROM a")
@@ -425,7 +427,7 @@ def _(spark, sf_dir):
 
 VIOLATIONS = f"""{OBJECTIVES}, {ZONES}, vp AS (SELECT p.site_id, p.solution_id, least(p.x1, q.x1) - greatest(p.x0, q.x0) > 1e-9 AND least(p.y1, q.y1) - greatest(p.y0, q.y0) > 1e-9 AS met, sqrt(pow(greatest(p.x0 - q.x1, q.x0 - p.x1, 0e0), 2) + pow(greatest(p.y0 - q.y1, q.y0 - p.y1, 0e0), 2)) <= p.spacing AS close FROM sb p JOIN sb q ON p.site_id = q.site_id AND p.solution_id = q.solution_id AND p.id < q.id),
  vi AS (SELECT site_id, solution_id FROM vp WHERE met UNION ALL SELECT site_id, solution_id FROM vp WHERE close
- UNION ALL SELECT site_id, solution_id FROM sb WHERE x0 < 4.999e0 OR y0 < 4.999e0 OR x1 > 195.001e0 OR y1 > 195.001e0 UNION ALL SELECT sb.site_id, solution_id FROM sb JOIN z ON sb.site_id % 5 = z.site_id AND sb.site_id % 4 = 0 WHERE (least(sb.x1, z.x1) - greatest(sb.x0, z.x0)) * (least(sb.y1, z.y1) - greatest(sb.y0, z.y0)) > 0.1 AND sb.x1 > z.x0 AND z.x1 > sb.x0 AND sb.y1 > z.y0 AND z.y1 > sb.y0
+ UNION ALL SELECT site_id, solution_id FROM sb WHERE x0 < 4.999e0 OR y0 < 4.999e0 OR x1 > 195.001e0 OR y1 > 195.001e0 UNION ALL SELECT sb.site_id, solution_id FROM sb JOIN z ON sb.site_id % 5 = z.site_id WHERE (least(sb.x1, z.x1) - greatest(sb.x0, z.x0)) * (least(sb.y1, z.y1) - greatest(sb.y0, z.y0)) > 0.1 AND sb.x1 > z.x0 AND z.x1 > sb.x0 AND sb.y1 > z.y0 AND z.y1 > sb.y0
  UNION ALL SELECT site_id, solution_id FROM ob WHERE area * 100 / 12000 > 40), vc AS (SELECT site_id, solution_id, count(*) AS n_violations FROM vi GROUP BY ALL)"""
 
 
@@ -435,7 +437,7 @@ def n03(spark, sf_dir):
     every = own.select("site_id").distinct()
     buildable = every.withColumn("parts", F.array(G.box(*[F.lit(v) for v in (5.0 - 1e-6, 5.0 - 1e-6, SPAN - 5.0 + 1e-6, SPAN - 5.0 + 1e-6)])))
     gone = zones(spark, sf_dir).withColumnRenamed("site_id", "k")
-    return layout.violations(own, buildable, every.where("site_id % 4 = 0").withColumn("k", F.col("site_id") % 5).join(gone, "k").drop("k"), 12_000.0)
+    return layout.violations(own, buildable, every.withColumn("k", F.col("site_id") % 5).join(gone, "k").drop("k"), 12_000.0)
 
 
 TERRAIN = """zt AS (SELECT sb.site_id, sb.solution_id, sb.id, var_pop(t.z) AS v, avg(t.slope_percent) AS s FROM t JOIN sb ON sb.site_id % 4 = t.dem_id AND (t.col + 0.5e0) * 10 > x0 + 0.3e0 AND (t.col + 0.5e0) * 10 < x1 + 0.3e0 AND (t."row" + 0.5e0) * 10 > y0 + 0.3e0 AND (t."row" + 0.5e0) * 10 < y1 + 0.3e0 GROUP BY ALL),
@@ -494,20 +496,20 @@ def _(spark, sf_dir):
     return layout.tournament(scored(spark, sf_dir), 4)
 
 
-@query("n01_asset_rows", """WITH c AS (SELECT CAST(n_nationkey % 5 AS INT) AS site_id, n_name || CASE WHEN n_nationkey % 2 = 0 THEN '' ELSE 'x' END AS n, CASE WHEN n_nationkey % 2 = 0 THEN 'parking' ELSE 'building' END AS type, n_nationkey % 4 AS q, 50e0 + n_nationkey AS w, 40e0 AS l, n_nationkey AS k FROM nation)
+@query("n01_asset_rows", """WITH c AS (SELECT CAST(CAST(c_custkey AS INT) % 5 AS INT) AS site_id, c_name || CASE WHEN CAST(c_custkey AS INT) % 2 = 0 THEN '' ELSE 'x' END AS n, CASE WHEN CAST(c_custkey AS INT) % 2 = 0 THEN 'parking' ELSE 'building' END AS type, CAST(c_custkey AS INT) % 4 AS q, 50e0 + CAST(c_custkey AS INT) AS w, 40e0 AS l, CAST(c_custkey AS INT) AS k FROM customer)
 SELECT site_id, type || '_' || i AS asset_id, type, round(w * 0.3048e0, 6) + 0.0 AS width, round(l * 0.3048e0, 6) + 0.0 AS length, CASE WHEN type = 'parking' THEN greatest(1, CAST(floor(w * 0.3048e0 * l * 0.3048e0 / 25) AS INT)) ELSE 0 END AS spaces FROM c, range(3) t(i) WHERE i < q""")
 def _(spark, sf_dir):
-    k = F.col("n_nationkey")
-    configs = table(spark, sf_dir, "nation").select((k % 5).alias("site_id"), F.when(k % 2 == 0, "parking").otherwise("building").alias("type"), (k % 4).alias("quantity"), (50.0 + k).alias("width_ft"), F.lit(40.0).alias("length_ft"))
+    k = F.col("c_custkey").cast("int")
+    configs = table(spark, sf_dir, "customer").select((k % 5).alias("site_id"), F.when(k % 2 == 0, "parking").otherwise("building").alias("type"), (k % 4).alias("quantity"), (50.0 + k).alias("width_ft"), F.lit(40.0).alias("length_ft"))
     return layout.expanded(configs.where("quantity > 0")).withColumn("spaces", F.coalesce("spaces", F.lit(0)))
 
 
-@query("k04_setback_rows", """WITH f AS (SELECT n_nationkey AS id, list_element(['property', 'road', 'water', 'utility', 'building'], n_nationkey % 5 + 1) AS kind, list_element(['front', 'major', 'river', 'gas_line', 'x', 'side', 'local', 'lake', 'y', 'z'], n_nationkey % 10 + 1) AS subkind FROM nation)
+@query("k04_setback_rows", """WITH f AS (SELECT CAST(c_custkey AS INT) AS id, list_element(['property', 'road', 'water', 'utility', 'building'], CAST(c_custkey AS INT) % 5 + 1) AS kind, list_element(['front', 'major', 'river', 'gas_line', 'x', 'side', 'local', 'lake', 'y', 'z'], CAST(c_custkey AS INT) % 10 + 1) AS subkind FROM customer)
 SELECT id, kind, subkind, CASE kind WHEN 'property' THEN CASE subkind WHEN 'front' THEN 7.62e0 ELSE 4.57e0 END WHEN 'road' THEN CASE subkind WHEN 'major' THEN 30.48e0 ELSE 15.24e0 END WHEN 'water' THEN CASE subkind WHEN 'river' THEN 45.72e0 ELSE 30.48e0 END WHEN 'utility' THEN 9.14e0 ELSE 3e0 END AS distance_m, 'blocking' AS severity, CASE WHEN kind = 'water' THEN 'critical' ELSE 'high' END AS priority FROM f""")
 def _(spark, sf_dir):
-    k = F.col("n_nationkey")
+    k = F.col("c_custkey").cast("int")
     pick = lambda names, n: F.element_at(F.array(*[F.lit(x) for x in names]), k % n + 1)
-    return rules.setback_rows(table(spark, sf_dir, "nation").select(k.alias("id"), pick(("property", "road", "water", "utility", "building"), 5).alias("kind"), pick(("front", "major", "river", "gas_line", "x", "side", "local", "lake", "y", "z"), 10).alias("subkind")))
+    return rules.setback_rows(table(spark, sf_dir, "customer").select(k.alias("id"), pick(("property", "road", "water", "utility", "building"), 5).alias("kind"), pick(("front", "major", "river", "gas_line", "x", "side", "local", "lake", "y", "z"), 10).alias("subkind")))
 
 
 STAGES = f"""{dem_sql()}, ce AS (SELECT *, (col + 0.5e0) * 10 AS cx, ("row" + 0.5e0) * 10 AS cy FROM dem),
