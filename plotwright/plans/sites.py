@@ -512,6 +512,14 @@ def _(spark, sf_dir):
     return rules.setback_rows(table(spark, sf_dir, "customer").select(k.alias("id"), pick(("property", "road", "water", "utility", "building"), 5).alias("kind"), pick(("front", "major", "river", "gas_line", "x", "side", "local", "lake", "y", "z"), 10).alias("subkind")))
 
 
+@query("k08_standard_setbacks", "SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 1 THEN 3e0 ELSE 10e0 END AS distance_m, 'blocking' AS severity, 'high' AS priority FROM customer")
+def _(spark, sf_dir):
+    """Features of kinds that have no table of their own, or of none, keep the standard distance."""
+    k = F.col("c_custkey")
+    rows = table(spark, sf_dir, "customer").select(k.alias("id"), F.when(k % 3 == 0, "fence").when(k % 3 == 1, "building").alias("kind"), F.lit("major").alias("subkind"))
+    return rules.setback_rows(rows).select("id", "distance_m", "severity", "priority")
+
+
 STAGES = f"""{dem_sql()}, ce AS (SELECT *, (col + 0.5e0) * 10 AS cx, ("row" + 0.5e0) * 10 AS cy FROM dem),
 st AS (SELECT *, cx < 92 AND cy < 151 AS in_site, least(cx + 1, 92 - cx, cy + 1, 151 - cy) >= 12 AND cx < 92 AND cy < 151 AS off_setback, cx > 11 AND cx < 81 AND cy > 21 AND cy < 141 AS in_zone, NOT (cx > 31 AND cx < 52 AND cy > 31 AND cy < 73) AS not_excluded FROM ce)"""
 
