@@ -2,9 +2,11 @@
 
 A benchmark is a stated query set of bounded size. It is broadcast in blocks of at most ``block_bytes`` of text (one
 item at least): the normalised words once, and 20 bytes a window beside them (its hash, its place there, its item),
-sorted by hash. A word takes two bytes or more, so a block of 4 MB has at most 2 million windows and 44 MB; a larger
-benchmark makes more blocks, and each block is one more map step over the same rows. Nothing is shuffled, and tasks
-build nothing but a bitmap of the hashes. A window of a document whose hash is found is compared word by word.
+sorted by hash, equal windows together. A word takes two bytes or more, so a block of 4 MB has at most 2 million windows
+and 44 MB; a larger benchmark makes more blocks. A map step looks into up to ``STAGE_BLOCKS`` of them (352 MB), and a
+benchmark of more takes one more step over the same rows for each so many. Nothing is shuffled, and tasks build nothing
+but a bitmap of the hashes. A window of a document whose hash is found is compared word by word, with one of the equal
+windows of the items, whose ids are put together once a task.
 
 Defined results: null and empty texts have no words and no hits; an item shorter than the window is a window
 itself, an item without words is none; rows that share a doc_id are judged one by one; items that share an
@@ -31,6 +33,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
 BLOCK_BYTES = 4 << 20
+#: Blocks that one map step holds.
+STAGE_BLOCKS = 8
 _MADE = {"__n_words": "long", "__hit_spans": "array<array<int>>", "__item_ids": "array<string>"}
 
 
@@ -66,31 +70,43 @@ def windows_of(items: list[tuple[object, str | None]], size: int) -> Windows:
         if len(at):
             h = gram_hashes(hashes, n)[at]
             order = np.argsort(h, kind="stable")
+            edge = np.flatnonzero(np.diff(h[order], prepend=h[order[:1]] + np.uint64(1), append=h[order[-1:]] + np.uint64(1)))
+            for lo, hi in zip(edge[:-1][np.diff(edge) > 1].tolist(), edge[1:][np.diff(edge) > 1].tolist()):  # by text, where windows are equal
+                order[lo:hi] = sorted(order[lo:hi].tolist(), key=lambda k: (text[first[at[k]] : last[at[k] + n - 1]], k))
             by_size[n] = h[order], first[at[order]], last[at[order] + n - 1], w.row[at[order]].astype(np.int32)
     return Windows(text, [None if i is None else str(i) for i, _ in items], by_size)
 
 
-def scan_rows(text: pa.Array, windows: Windows, bitmaps: dict[int, np.ndarray]) -> list[tuple[int, list[tuple[int, int]], set[str]]]:
-    """Per row: words, merged spans of hit words (first, end), and ids of the items found."""
+def scan_rows(text: pa.Array, windows: Windows, bitmaps: dict[int, np.ndarray], found: dict[tuple[int, int], frozenset] | None = None) -> list[tuple[int, list[tuple[int, int]], set[str]]]:
+    """Per row: words, merged spans of hit words (first, end), and ids of the items found; found keeps the ids of windows that have been hit."""
     data, offsets = byte_view(text)
-    out = []
+    out, found = [], {} if found is None else found
     for a, b in chunks(offsets):
         w = Words(LOWER[data[offsets[a] : offsets[b]]], offsets[a : b + 1] - offsets[a], SEPARATOR)
         words = w.hashes()
         spans: dict[int, list[tuple[int, int]]] = {}
         items: dict[int, set[str]] = {}
+        seen: set[tuple[int, int, int]] = set()
         for size, (hashes, first, last, item) in windows.by_size.items():
             grams, bits = gram_hashes(words, size), bitmaps[size]
             near = np.flatnonzero(bits[(grams >> np.uint64(65 - len(bits).bit_length())).astype(np.int64)] & w.whole(size))
             low, high = (np.searchsorted(hashes, grams[near], side=side) for side in ("left", "right"))
             for i, lo, hi in zip(near[high > low].tolist(), low[high > low].tolist(), high[high > low].tolist()):
                 own = b" ".join(w.data[s:e].tobytes() for s, e in zip(w.starts[i : i + size].tolist(), w.ends[i : i + size].tolist()))
-                same = [k for k in range(lo, hi) if windows.text[first[k] : last[k]] == own]
-                if same:
-                    row = int(w.row[i])
-                    at = i - int(w.first[row])
-                    spans.setdefault(row, []).append((at, at + size))
-                    items.setdefault(row, set()).update(name for k in same if (name := windows.items[item[k]]) is not None)
+                ends = windows.text[first[lo] : last[lo]] == own, windows.text[first[hi - 1] : last[hi - 1]] == own
+                if not all(ends):  # other windows of the same hash: a search among the sorted ones
+                    same = [k for k in range(lo, hi) if windows.text[first[k] : last[k]] == own]
+                    if not same:
+                        continue
+                    lo, hi = same[0], same[-1] + 1
+                row = int(w.row[i])
+                at = i - int(w.first[row])
+                spans.setdefault(row, []).append((at, at + size))
+                if (row, size, lo) not in seen:
+                    seen.add((row, size, lo))
+                    if (size, lo) not in found:
+                        found[size, lo] = frozenset(name for k in item[lo:hi].tolist() if (name := windows.items[k]) is not None)
+                    items.setdefault(row, set()).update(found[size, lo])
         out += [(int(w.counts[r]), merged(spans.get(r, ())), items.get(r, set())) for r in range(b - a)]
     return out
 
@@ -117,18 +133,24 @@ def _found(docs: DataFrame, benchmark: DataFrame, size: int, block_bytes: int =
     blocks = blocks_of(benchmark, block_bytes)
     out = docs.withColumns({name: F.lit(0).cast(kind) if kind == "long" else F.expr(f"cast(array() as {kind})") for name, kind in _MADE.items()})
     schema = out.schema
-    for block in range(blocks):
-        part = benchmark.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block) if blocks > 1 else benchmark
-        shared = spark.sparkContext.broadcast(windows_of([(r[0], r[1]) for r in part.select("item_id", "text").toLocalIterator()], size))
+    own = benchmark.select("item_id", "text", F.pmod(F.xxhash64("text"), F.lit(blocks)).alias("block"))
+    for start in range(0, blocks, STAGE_BLOCKS):
+        held = range(start, min(start + STAGE_BLOCKS, blocks))
+        rows: dict[int, list[tuple]] = {block: [] for block in held}
+        for r in own.where(F.col("block").between(held[0], held[-1])).toLocalIterator():
+            rows[r[2]].append((r[0], r[1]))
+        shared = [spark.sparkContext.broadcast(windows_of(part, size)) for part in rows.values()]
 
         def step(batches, shared=shared):
-            windows = shared.value
-            bitmaps = windows.bitmaps()
+            looked = [(s.value, s.value.bitmaps(), {}) for s in shared]
             for batch in batches:
-                rows = scan_rows(batch.column("text"), windows, bitmaps)
-                spans = [merged([*map(tuple, old), *new]) for old, (_, new, _) in zip(batch.column("__hit_spans").to_pylist(), rows)]
-                items = [sorted({*old, *new}) for old, (_, _, new) in zip(batch.column("__item_ids").to_pylist(), rows)]
-                made = {"__n_words": pa.array([r[0] for r in rows], pa.int64()), "__hit_spans": pa.array([[list(s) for s in x] for x in spans], pa.list_(pa.list_(pa.int32()))), "__item_ids": pa.array(items, pa.list_(pa.string()))}
+                words, spans, items = [0] * len(batch), batch.column("__hit_spans").to_pylist(), batch.column("__item_ids").to_pylist()
+                for windows, bitmaps, found in looked:
+                    for r, (n, new, names) in enumerate(scan_rows(batch.column("text"), windows, bitmaps, found)):
+                        words[r] = n
+                        if new:
+                            spans[r], items[r] = merged([*map(tuple, spans[r]), *new]), sorted({*items[r], *names})
+                made = {"__n_words": pa.array(words, pa.int64()), "__hit_spans": pa.array([[list(s) for s in x] for x in spans], pa.list_(pa.list_(pa.int32()))), "__item_ids": pa.array(items, pa.list_(pa.string()))}
                 yield pa.RecordBatch.from_arrays([made.get(n, batch.column(i)) for i, n in enumerate(batch.schema.names)], names=batch.schema.names)
 
         out = out.mapInArrow(step, schema)

@@ -303,6 +303,57 @@ def test_windows_of_a_benchmark_are_compact():
     assert spans and spans[0][0] == 0 and found == {"7"} and none == [] and spans[0][1] in (words, words - 1)
 
 
+def test_windows_that_many_items_share():
+    """Four thousand items with one window and eight hundred hits of it: one comparison and one set a hit, in a moment."""
+    import time
+
+    same = "one two three four five six seven eight nine ten"
+    items = [(i, f"{same} own{i}" if i % 2 else same) for i in range(4000)] + [(5000, "a b c"), (None, same)]
+    windows = decontaminate.windows_of(items, 10)
+    text = pa.array([" x ".join([same] * 800), f"{same} own7", "a b c", "nothing here", None])
+    begun = time.monotonic()
+    got = decontaminate.scan_rows(text, windows, windows.bitmaps())
+    assert time.monotonic() - begun < 1
+    assert len(got[0][2]) == 4000 and len(got[0][1]) == 800 and got[0][0] == 800 * 11 - 1
+    assert len(got[1][2]) == 4000 and got[2][2] == {"5000"} and got[3][2] == set() and got[4] == (0, [], set())
+
+
+def test_windows_of_equal_hash_are_told_apart(monkeypatch):
+    """With hashes that collide, windows are still compared by their words."""
+    real = decontaminate.gram_hashes
+    monkeypatch.setattr(decontaminate, "gram_hashes", lambda words, size: real(words, size) % np.uint64(3) << np.uint64(61))
+    rng = random.Random(5)
+    items = [(i, " ".join(rng.choices("abcd", k=rng.randrange(1, 7)))) for i in range(60)]
+    texts = [" ".join(rng.choices("abcd", k=rng.randrange(0, 30))) for _ in range(40)]
+    windows = decontaminate.windows_of(items, 3)
+    got = decontaminate.scan_rows(pa.array(texts), windows, windows.bitmaps())
+    for text, (n, spans, names) in zip(texts, got):
+        words = text.split()
+        hit, own = set(), set()
+        for i, item in items:
+            w = item.split()
+            for size in [min(3, len(w))] if w else []:
+                for k in range(len(w) - size + 1):
+                    for j in range(len(words) - size + 1):
+                        if words[j : j + size] == w[k : k + size]:
+                            hit.update(range(j, j + size))
+                            own.add(str(i))
+        assert (n, {k for s, e in spans for k in range(s, e)}, names) == (len(words), hit, own)
+
+
+def test_blocks_of_a_benchmark_share_a_map_step(spark, monkeypatch):
+    """Twenty blocks give what one gives, in three steps of eight at most."""
+    rng = random.Random(6)
+    items = spark.createDataFrame([(i, " ".join(rng.choices([f"w{k}" for k in range(40)], k=12))) for i in range(60)], "item_id long, text string")
+    texts = [" ".join(rng.choices([f"w{k}" for k in range(40)], k=60)) for _ in range(30)] + [r.text for r in items.collect()[:9]]
+    key = lambda frame: [(r.doc_id, r.n_words, r.hit_spans, r.item_ids) for r in frame.orderBy("doc_id").collect()]
+    whole = decontaminate.scan(docs(spark, texts), items, 2)
+    size = -(-sum(len(r.text) for r in items.collect()) // 20)
+    many = decontaminate.scan(docs(spark, texts), items, 2, size)
+    assert decontaminate.blocks_of(items, size) == 20 and many._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 3
+    assert key(many) == key(whole)
+
+
 # --- SimHash
 
 
