@@ -53,13 +53,22 @@ def components(cells: DataFrame, mask: str = "buildable", diagonal: bool = True,
     else:
         roots = graph.labelled_by_blocks(nodes, links, block)
     roots = roots.withColumnRenamed("graph", "dem_id")
-    ranked = roots.select("dem_id", "root").distinct().withColumn("zone_id", F.dense_rank().over(Window.partitionBy("dem_id").orderBy("root")))
+    ranked = numbered_roots(roots.select("dem_id", "root").distinct())
     more = ["part"] if parts and diagonal else []
     zones = runs.join(roots, ["dem_id", "node"]).join(ranked, ["dem_id", "root"]).select("dem_id", "row", "run", "zone_id", *more)
     numbered = inside.join(zones, ["dem_id", "row", "run"]).select("dem_id", "row", "col", "zone_id", *more)
     return cells.join(numbered, ["dem_id", "row", "col"], "left")
 
 
+def numbered_roots(roots: DataFrame) -> DataFrame:
+    """roots (dem_id, root) with zone_id, their rank in their raster: ranks within blocks of rows, and the sums of the blocks before."""
+    block = roots.withColumn("__b", F.floor(F.col("root") / (ROW * BLOCK_ROWS)))
+    inner = block.withColumn("__k", F.row_number().over(Window.partitionBy("dem_id", "__b").orderBy("root")))
+    sums = block.groupBy("dem_id", "__b").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy("dem_id").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
+    return inner.join(sums.withColumn("__o", F.coalesce(before, F.lit(0))), ["dem_id", "__b"]).select("dem_id", "root", (F.col("__k") + F.col("__o")).alias("zone_id"))
+
+
 def exposed_edges(zone: Column) -> Column:
     """How many of a cell's four sides its zone does not go on beyond."""
     sides = [f.over(along(a)) for a in ("col", "row") for f in (F.lag(zone), F.lead(zone))]
