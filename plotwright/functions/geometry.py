@@ -204,9 +204,14 @@ def slab_area(a: Column, b: Column) -> Column:
     return F.aggregate(slabs, F.lit(0.0), lambda s, k: s + common(k["y"]) * k["h"])
 
 
-def overlap_area(a: Column, b: Column) -> Column:
-    """The common area of two simple rings: of convex ones by clipping, of others by trapezoids."""
-    return F.when(is_convex(a) & is_convex(b) & (signed_area(b) > 0), clip_area(a, b)).otherwise(slab_area(a, b))
+def is_plain(ring: Column) -> Column:
+    """Whether a ring is convex and counter-clockwise: such pairs can be clipped."""
+    return is_convex(ring) & (signed_area(ring) > 0)
+
+
+def overlap_area(a: Column, b: Column, plain: Column | None = None) -> Column:
+    """The common area of two simple rings: of convex ones by clipping, of others by trapezoids; plain says whether both are, where that is known."""
+    return F.when(is_plain(a) & is_plain(b) if plain is None else plain, clip_area(a, b)).otherwise(slab_area(a, b))
 
 
 def has_corner_inside(r: Column, s: Column) -> Column:

@@ -64,10 +64,16 @@ def pairs(left: DataFrame, right: DataFrame, within: float | str = 0.0, tile: fl
     return met.where(first & near[0] & near[1] & near[2] & near[3]).drop("level", "tx", "ty", *[p + c for p in ("a_", "b_") for c in ("tx0", "ty0", "box", "level")])
 
 
+def _common(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Candidate pairs with their common area; whether a ring is convex is found once a ring, not once a pair."""
+    known = lambda df: df.select("site_id", "id", "ring", G.is_plain(F.col("ring")).alias("plain"))
+    met = pairs(known(left), known(right))
+    return met.withColumn("area", G.overlap_area(F.col("a_ring"), F.col("b_ring"), F.col("a_plain") & F.col("b_plain")))
+
+
 def overlaps(assets: DataFrame) -> DataFrame:
     """Pairs of assets (id, ring) of a site whose areas meet, and by how much."""
-    met = pairs(assets, assets).where("a_id < b_id").withColumn("area", G.overlap_area(F.col("a_ring"), F.col("b_ring")))
-    return met.where("area > 1e-9").select("site_id", "a_id", "b_id", "area")
+    return _common(assets, assets).where("a_id < b_id").where("area > 1e-9").select("site_id", "a_id", "b_id", "area")
 
 
 def corner_overlaps(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -83,8 +89,7 @@ def crowded(assets: DataFrame, spacing: str = "spacing") -> DataFrame:
 
 def on_zones(assets: DataFrame, zones: DataFrame, least_area: float = 0.1) -> DataFrame:
     """Assets and zones of a site that share more than an area."""
-    met = pairs(assets, zones).withColumn("area", G.overlap_area(F.col("a_ring"), F.col("b_ring")))
-    return met.where(F.col("area") > least_area).select("site_id", F.col("a_id").alias("asset_id"), F.col("b_id").alias("zone_id"), "area")
+    return _common(assets, zones).where(F.col("area") > least_area).select("site_id", F.col("a_id").alias("asset_id"), F.col("b_id").alias("zone_id"), "area")
 
 
 def outside(assets: DataFrame, sites: DataFrame) -> DataFrame:
