@@ -205,40 +205,3 @@ def shared_points(lines: DataFrame, digits: int = 8) -> DataFrame:
     """Points (x, y, rounded) that lines (site_id, line) use twice or more."""
     p = lines.select("site_id", F.explode("line").alias("p")).select("site_id", F.round("p.x", digits).alias("x"), F.round("p.y", digits).alias("y"))
     return p.groupBy("site_id", "x", "y").agg(F.count("*").alias("n")).where("n >= 2")
-
-
-def simplified(path: DataFrame, tolerance: float, max_grade: float) -> DataFrame:
-    """Points of paths (path_id, seq, x, y, z) that remain: from each kept one the furthest ahead that a straight way
-    reaches within the tolerance of all between and no steeper than the grade, else the next. A path is walked in order.
-
-    Which points a straight way to each later one keeps within the tolerance is one running interval of directions,
-    so that a step costs no more than the points ahead of it.
-    """
-    import numpy as np
-    import pandas as pd
-
-    def furthest(xy: np.ndarray, z: np.ndarray, at: int) -> int:
-        d = xy[at + 1 :] - xy[at]
-        size = np.hypot(d[:, 0], d[:, 1])
-        far = size > 2 * tolerance
-        # a point bounds the direction of a way's line to an interval about its own; those near by are compared one by one
-        angle = np.unwrap(np.arctan2(d[:, 1], d[:, 0]), period=np.pi)
-        half = np.arcsin(np.where(far, tolerance / np.maximum(size, 1e-300), 0.0))
-        low = np.maximum.accumulate(np.where(far, angle - half, -np.inf))
-        high = np.minimum.accumulate(np.where(far, angle + half, np.inf))
-        ok = size >= 1e-9
-        ok[1:] &= (angle[1:] >= low[:-1] - 1e-12) & (angle[1:] <= high[:-1] + 1e-12)
-        for k in np.flatnonzero((size > tolerance) & ~far).tolist():
-            ok[k + 1 :] &= np.abs(d[k, 0] * d[k + 1 :, 1] - d[k, 1] * d[k + 1 :, 0]) <= tolerance * size[k + 1 :]
-        ok &= np.abs(z[at + 1 :] - z[at]) <= max_grade / 100 * size
-        found = np.flatnonzero(ok)
-        return at + 1 + int(found[-1]) if len(found) else at + 1
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf.sort_values("seq").reset_index(drop=True)
-        xy, z, kept = own[["x", "y"]].to_numpy(), own["z"].to_numpy(), [0]
-        while kept[-1] < len(own) - 1:
-            kept.append(furthest(xy, z, kept[-1]))
-        return own.iloc[kept]
-
-    return path.groupBy("path_id").applyInPandas(walk, path.schema)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from plotwright.functions import crs
 from plotwright.functions import geometry as G
-from plotwright.operators import observations, raster, roads, spatial, zones
+from plotwright.operators import observations, paths, raster, roads, spatial, zones
 from plotwright.operators.stencil import terrain as derive
 from plotwright.sources import kml
 
@@ -167,7 +167,7 @@ def _(spark, sf_dir):
     k = F.col("c_custkey")
     rows = table(spark, sf_dir, "customer").select(k.alias("path_id"), (k % 6 + 3).alias("bend"), (k % 2).alias("steep"), F.explode(F.sequence(F.lit(0), F.lit(11))).alias("seq"))
     path = rows.select("path_id", "seq", (10.0 * F.least("seq", "bend")).alias("x"), (10.0 * F.greatest(F.col("seq") - F.col("bend"), F.lit(0))).alias("y"), (F.col("steep") * F.col("seq") * 5.0).alias("z"))
-    return spatial.simplified(path, 2.0, 15.0).select("path_id", "seq")
+    return paths.simplified(path, 2.0, 15.0).select("path_id", "seq")
 
 
 FLOODED = """fl AS (SELECT o_orderkey % 200 AS site_id, o_orderkey AS id, list_element(['AE', 'X', 'VE', 'floodway', 'D', 'AO'], o_orderkey % 6 + 1) AS code, o_orderkey * 37 % 180 - 20 + 0e0 AS x0, o_orderkey * 53 % 180 - 20 + 0e0 AS y0, 5 + o_orderkey % 40 + 0e0 AS s FROM orders)"""

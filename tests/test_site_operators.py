@@ -12,7 +12,7 @@ from plotwright import streaming
 from plotwright.functions import crs
 from plotwright.functions import features as P
 from plotwright.functions import geometry as G
-from plotwright.operators import block_search, earthwork, graph, layout, raster, roads, scanlines, selection, spatial, stencil, zones
+from plotwright.operators import block_search, earthwork, graph, layout, paths, raster, roads, scanlines, selection, spatial, stencil, zones
 
 CELLS = "dem_id long, row int, col int, z double"
 
@@ -222,7 +222,7 @@ def test_chain_components(spark):
 
 def test_path_simplification(spark):
     line = [("p", i, float(i), 0.0 if i < 5 else float(i - 5), 0.0) for i in range(11)]
-    got = spatial.simplified(spark.createDataFrame(line, "path_id string, seq int, x double, y double, z double"), 0.1, 15.0)
+    got = paths.simplified(spark.createDataFrame(line, "path_id string, seq int, x double, y double, z double"), 0.1, 15.0)
     assert sorted(r.seq for r in got.collect()) == [0, 5, 10]
 
 
@@ -255,11 +255,34 @@ def test_simplification_equals_brute_force(spark):
         rows += [(str(path), i, *p) for i, p in enumerate(points)]
         want[str(path)] = brute_simplified(points, 2.0, 10.0)
     got = {}
-    for r in spatial.simplified(spark.createDataFrame(rows, "path_id string, seq int, x double, y double, z double"), 2.0, 10.0).collect():
+    for r in paths.simplified(spark.createDataFrame(rows, "path_id string, seq int, x double, y double, z double"), 2.0, 10.0).collect():
         got.setdefault(r.path_id, []).append(r.seq)
     assert {k: sorted(v) for k, v in got.items()} == want
 
 
+def test_long_paths_are_simplified_by_blocks(spark):
+    """Paths of up to 400 points in blocks of 8: turns, straight ways over many blocks, and steps of less than a tolerance."""
+    rng, rows, want = random.Random(21), [], {}
+    for path in range(12):
+        x = y = z = turn = 0.0
+        points = []
+        for _ in range(rng.choice([7, 8, 9, 60, 400])):
+            points.append((x, y, z))
+            turn += rng.gauss(0, (0.0, 0.03, 0.4, 1.5)[path % 4])
+            step = rng.choice([10.0, 1.5, 0.3])
+            x, y, z = x + step * math.cos(turn), y + step * math.sin(turn), z + rng.uniform(-0.05, 0.05)
+        rows += [(path or None, i, *p, f"n{i}") for i, p in enumerate(points)]
+        want[path or None] = brute_simplified(points, 2.0, 10.0)
+    df = spark.createDataFrame(rows, "path_id long, seq int, x double, y double, z double, block string")
+    for block in (8, 1024):
+        got = {}
+        for r in paths.simplified(df, 2.0, 10.0, block).collect():
+            assert r.block == f"n{r.seq}"
+            got.setdefault(r.path_id, []).append(r.seq)
+        assert {k: sorted(v) for k, v in got.items()} == want
+    assert paths.simplified(df.limit(0), 2.0, 10.0).count() == 0
+
+
 def test_long_paths_and_chains_settle(spark):
     """Loops run until no node improves: a path of 40 edges, in rounds of one."""
     rows = [(0, k, k + 1, 1.0) for k in range(40)]
