@@ -8,9 +8,10 @@ outcome thus depends on the conversation alone. The repaired sequence is then re
 
 A conversation may hold any share of all rows. Those over ``block`` turns are sorted by ranges, numbered by what
 each range holds, and cut into blocks of as many turns. A block comes down to a 4 x 4 table of least costs between
-states (min-plus matrices compose) and the order among equal ones; one small table a block decides the states at
-the block edges, and each block then repairs and renders its own turns. What is rendered stays one row a block,
-so no row grows with a conversation; conversations of up to ``block`` turns are one row.
+states (min-plus matrices compose) and the order among equal ones. Tables are composed in a tree, ``FAN`` neighbours
+to one, until a conversation has no more than that; those decide the states at their edges, then, back down the tree,
+those below them. Each block then repairs and renders its own turns. So no task holds more of a conversation than
+``FAN`` tables or one block, and no row grows with it; conversations of up to ``block`` turns are one row.
 
 Defined results: turns are ordered by turn, then role, then text, null turn numbers last; a role is read
 without case or outer white space and by its common aliases, null or unknown roles take any legal one at a low cost;
@@ -37,6 +38,8 @@ KEEP, MERGE, RELABEL_UNKNOWN, INSERT, RELABEL, MERGE_OTHER = 0, 1, 1, 2, 3, 4
 ACTIONS = ("keep", "merge", "insert", "relabel")
 ALIASES = {"system": 1, "developer": 1, "user": 2, "human": 2, "prompter": 2, "assistant": 3, "gpt": 3, "bot": 3, "model": 3, "ai": 3}
 BLOCK = 256
+#: Tables that are composed to one in the tree of a long conversation.
+FAN = 256
 FAR = 1 << 40
 
 Move = tuple[int, int, tuple[int, ...], str]  # cost, new state, roles opened, action
@@ -97,14 +100,26 @@ def closing(state: int) -> tuple[int, tuple[int, ...]]:
     return INSERT * len(opened), opened
 
 
-def edges(tables: list[list[int]]) -> tuple[int, list[int]]:
-    """The least cost of all, and the states before, between and after the blocks on the way."""
-    costs, back = [0, FAR, FAR, FAR], []
+def composed(tables: list[list[int]]) -> list[int]:
+    """The table of all turns of these tables, one after the other."""
+    whole = tables[0]
+    for t in tables[1:]:
+        # the state between for each start and end: by cost, then by the states of the later part read backwards, then itself
+        ways = [min((min(whole[4 * s + m] + t[4 * m + e], FAR), t[16 + 4 * m + e], m) for m in range(4)) for s in range(4) for e in range(4)]
+        keys = [(rank, m, whole[16 + 4 * (k // 4) + m]) for k, (_, rank, m) in enumerate(ways)]
+        ranks = [sorted({keys[4 * s + k % 4] for s in range(4)}).index(keys[k]) for k in range(16)]
+        whole = [cost for cost, _, _ in ways] + ranks
+    return whole
+
+
+def edges(tables: list[list[int]], first: int = 0, last: int | None = None) -> tuple[int, list[int]]:
+    """The least cost from a state to another (to the end of the conversation if none is said), and the states before, between and after these tables on the way."""
+    costs, back = [0 if s == first else FAR for s in range(4)], []
     for t in tables:
-        best = [min((costs[s] + t[4 * s + e], t[16 + 4 * s + e], s) for s in range(4)) for e in range(4)]
+        best = [min((min(costs[s] + t[4 * s + e], FAR), t[16 + 4 * s + e], s) for s in range(4)) for e in range(4)]
         back.append([s for _, _, s in best])
-        costs = [min(c, FAR) for c, _, _ in best]
-    total, state = min((costs[s] + closing(s)[0], s) for s in range(4) if costs[s] < FAR)
+        costs = [c for c, _, _ in best]
+    total, state = min((costs[s] + closing(s)[0], s) for s in range(4) if costs[s] < FAR) if last is None else (costs[last], last)
     path = [state]
     for b in reversed(back):
         path.append(b[path[-1]])
@@ -206,7 +221,7 @@ def numbered(turns: DataFrame) -> DataFrame:
     return met.select(*kept, (F.col("before") + F.col("within")).alias("place"))
 
 
-def repaired(turns: DataFrame, block: int = BLOCK) -> DataFrame:
+def repaired(turns: DataFrame, block: int = BLOCK, fan: int = FAN) -> DataFrame:
     """Per conversation and block of turns: n_turns, cost (of the conversation), merges, relabels, insertions, roles (initials) and rendered."""
     aliases = F.create_map(*[F.lit(x) for pair in ALIASES.items() for x in pair])
     own = turns.select(
@@ -214,20 +229,38 @@ def repaired(turns: DataFrame, block: int = BLOCK) -> DataFrame:
         F.coalesce(aliases[F.lower(F.trim("role"))], F.lit(0)).alias("role"), F.coalesce("role", F.lit("")).alias("said"), F.coalesce("text", F.lit("")).alias("text"),
     )
     sizes = own.groupBy(F.col("conv_id").alias("c_id")).agg(F.count("*").alias("n"))
-    long = written(sizes.where(F.col("n") > block).select("c_id"), "long")
+    long = written(sizes.where(F.col("n") > block).select("c_id", "n"), "long")
     same = own["conv_id"].eqNullSafe(long["c_id"])
     short = own.join(long, same, "left_anti").select(*own.columns, F.lit(0).cast("long").alias("place"))
-    if long.limit(1).count():
+    most = long.agg(F.max("n")).first()[0]
+    if most:
         short = short.union(numbered(own.join(long, same, "left_semi")))
     own = written(short.withColumn("block", F.floor(F.col("place") / block).cast("long")), "blocks")
     order = ("place", "turn", "said", "text")
     tables = _runs(own, ("conv_id", "block"), order, ("role",), lambda k, rows: [(*k, table([r for (r,) in rows]))], "conv_id long, block long, costs array<long>")
 
+    levels, blocks = [tables], -(-(most or 1) // block)
+    while blocks > fan:
+        below = written(levels[-1].withColumn("up", F.floor(F.col("block") / fan).cast("long")), "tables")
+        levels[-1] = below
+        levels.append(_runs(below, ("conv_id", "up"), ("block",), ("costs",), lambda k, rows: [(*k, composed([t for (t,) in rows]))], "conv_id long, block long, costs array<long>"))
+        blocks = -(-blocks // fan)
+
     def decide(key: tuple, rows: list[tuple]) -> list[tuple]:
         total, path = edges([t for _, t in rows])
-        return [(*key, b, path[i], path[i + 1], i == len(rows) - 1, total) for i, (b, _) in enumerate(rows)]
-
-    plan = _runs(tables, ("conv_id",), ("block",), ("block", "costs"), decide, "conv_id long, block long, first int, last int, ends boolean, cost long")
+        return [(key[0], b, path[i], path[i + 1], i == len(rows) - 1, total) for i, (b, _) in enumerate(rows)]
+
+    def within(key: tuple, rows: list[tuple]) -> list[tuple]:
+        _, _, first, last, ends, total = rows[0]
+        _, path = edges([r[1] for r in rows], first, last)
+        return [(key[0], r[0], path[i], path[i + 1], ends and i == len(rows) - 1, total) for i, r in enumerate(rows)]
+
+    decided = "conv_id long, block long, first int, last int, ends boolean, cost long"
+    plan = _runs(levels[-1], ("conv_id",), ("block",), ("block", "costs"), decide, decided)
+    for below in reversed(levels[:-1]):
+        p = plan.withColumnsRenamed({"conv_id": "p_id", "block": "p_block"})
+        under = below.join(p, below["conv_id"].eqNullSafe(p["p_id"]) & (below["up"] == p["p_block"]))
+        plan = _runs(under, ("conv_id", "up"), ("block",), ("block", "costs", "first", "last", "ends", "cost"), within, decided)
     p = plan.withColumnsRenamed({"conv_id": "p_id", "block": "p_block"})
     met = own.join(p, own["conv_id"].eqNullSafe(p["p_id"]) & (own["block"] == p["p_block"]))
 

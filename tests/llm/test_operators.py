@@ -990,7 +990,8 @@ def test_chat_repair(spark):
         assert r["cost"] == brute_cost(roles) and r["n_turns"] == len(roles) and legal(r["roles"])
         assert re.findall(r"t\d+", r["rendered"]) == [f"t{t}" for t in range(len(roles))]
         assert re.findall(r"<\|(\w+)\|>", r["rendered"]) == [x for i in r["roles"] for x in ({"s": "system", "u": "user", "a": "assistant"}[i], "end")]
-    assert len(one) == 40 and one == few == single
+    tree = whole_chats(chat.repaired(df, 1, 2))  # tables of single turns, two to one, over five levels
+    assert len(one) == 40 and one == few == single == tree
 
 
 def whole_chats(frame):
@@ -1020,6 +1021,23 @@ def test_long_and_hot_conversations(spark):
     assert got[None]["cost"] == 0 and got[None]["n_turns"] == 600 and len(got[3]["rendered"]) > 1_000_000
 
 
+def test_tables_compose_to_those_of_all_turns():
+    rng = random.Random(6)
+    for _ in range(300):
+        roles = [rng.randrange(4) for _ in range(rng.randrange(2, 30))]
+        cuts = sorted({0, len(roles), *(rng.randrange(len(roles)) for _ in range(4))})
+        parts = [chat.table(roles[a:b]) for a, b in zip(cuts, cuts[1:])]
+        whole, made = chat.table(roles), chat.composed(parts)
+        assert made[:16] == whole[:16]
+        for e in range(4):
+            there = [s for s in range(4) if whole[4 * s + e] < chat.FAR]
+            order = lambda t: [[(t[16 + 4 * a + e] > t[16 + 4 * b + e]) - (t[16 + 4 * a + e] < t[16 + 4 * b + e]) for b in there] for a in there]  # noqa: B023, E731
+            assert order(made) == order(whole)
+        assert chat.edges([made]) == chat.edges([whole])
+        total, path = chat.edges(parts)
+        assert total == chat.edges([whole])[0] and [path[0], path[-1]] == chat.edges([whole])[1]
+
+
 def test_chat_on_hard_rows(spark):
     kind = "conv_id long, turn int, role string, text string, cost string"
     rows = [(1, 0, None, None, "x"), (1, None, "USER ", "late", "x"), (1, 1, "bot", "", "x"), (None, 0, "user", "q", "x"), (None, 0, "user", "q", "x"), (2, 0, "Human", "hi", "x"), (2, 1, "gpt", "ho", "x")]
