@@ -487,9 +487,9 @@ def test_near_dedup_against_brute_similarity(spark, large):
     assert kept == sorted(set(group.values()))
 
 
-@pytest.mark.parametrize("large", [10_000, 4])
-def test_links_of_a_bucket_lose_none(spark, large):
-    """A large bucket is connected as brute force connects it, with leaders and without."""
+@pytest.mark.parametrize("large, side", [(10_000, 4096), (4, 4096), (10_000, 16), (4, 5)])
+def test_links_of_a_bucket_lose_none(spark, large, side):
+    """A large bucket is connected as brute force connects it, with leaders and without, in one piece and over a grid."""
     rng, radius = random.Random(3), 10
     made = []
     for _ in range(6):
@@ -500,7 +500,7 @@ def test_links_of_a_bucket_lose_none(spark, large):
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     rows = [(i, *[signed(f >> 64 * k & (1 << 64) - 1) for k in range(4)], [7] * 2) for i, f in enumerate(made)]
     sets = spark.createDataFrame(rows, "node long, f0 long, f1 long, f2 long, f3 long, bands array<long>")
-    found = [(r.a, r.b) for r in wide_simhash.links(sets, radius, large).collect()]
+    found = [(r.a, r.b) for r in wide_simhash.links(sets, radius, large, side).collect()]
     near = [(i, k) for i, k in itertools.combinations(range(len(made)), 2) if (made[i] ^ made[k]).bit_count() <= radius]
 
     def groups(pairs):
@@ -513,6 +513,16 @@ def test_links_of_a_bucket_lose_none(spark, large):
     assert groups(found) == groups(near)
 
 
+def test_pages_of_common_boilerplate_are_dealt_over_a_grid(spark):
+    """20,000 pages in one bucket, few of them alike: all are compared, in pieces of 2,048 rows and columns."""
+    noise = [F.xxhash64("id", F.lit(k)) for k in range(4)]
+    pages = spark.range(20_000).select((F.col("id") * 2).alias("node"), *[n.alias(f"f{k}") for k, n in enumerate(noise)])
+    twins = spark.range(0, 20_000, 1000).select((F.col("id") * 2 + 1).alias("node"), *[(n.bitwiseXOR(F.lit(5))).alias(f"f{k}") for k, n in enumerate(noise)])
+    sets = pages.union(twins).withColumn("bands", F.array(F.lit(7).cast("long")))
+    found = wide_simhash.links(sets, side=2048)
+    assert {tuple(sorted((r.a, r.b))) for r in found.collect()} == {(k, k + 1) for k in range(0, 40_000, 2000)}
+
+
 def test_near_dedup_of_null_ids(spark):
     """Near copies without any id are one group, of which one row stays."""
     rng = random.Random(8)
