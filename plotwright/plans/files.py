@@ -13,7 +13,7 @@ from plotwright import streaming
 from plotwright.functions import features as P
 from plotwright.functions import geometry as G
 from plotwright.operators import earthwork, raster
-from plotwright.sources import features as S
+from plotwright.sources import asciigrid, features as S
 from plotwright.sources import grids, kml
 from plotwright.tables import shared_dir
 
@@ -49,6 +49,15 @@ def _(spark, sf_dir):
     return grids.scan(spark, path)[1].withColumns({"dem_id": F.col("dem_id").cast("long"), "issues": F.array_join("issues", ";")})
 
 
+@query("a03_indexed_window", f'WITH {dem_sql()}, {gaps_sql()} SELECT dem_id, "row", col, {r("z")} FROM gaps WHERE "row" BETWEEN 2 AND 6 AND col BETWEEN 3 AND 7')
+def _(spark, sf_dir):
+    """Grid files read through their line index; the window's filters reach the reader."""
+    path = f"{shared_dir(spark)}/grids-{uuid.uuid4().hex}"
+    grids.write(with_gaps(dem(spark, sf_dir)), path, CELL)
+    cells = asciigrid.load(spark, path, asciigrid.line_index(spark, path, f"{path}-lines", 4096))
+    return cells.where(F.col("row").between(2, 6) & F.col("col").between(3, 7)).withColumn("dem_id", F.col("dem_id").cast("long"))
+
+
 def kml_files(spark, sf_dir):
     """A KML document a supplier: a parcel with a hole in a folder, a point, and for some a fault."""
     k = F.col("s_suppkey")

@@ -13,6 +13,7 @@ from plotwright.functions import crs
 from plotwright.functions import features as P
 from plotwright.functions import geometry as G
 from plotwright.operators import block_search, earthwork, graph, layout, paths, raster, roads, scanlines, selection, spatial, stencil, zones
+from plotwright.sources import asciigrid
 
 CELLS = "dem_id long, row int, col int, z double"
 
@@ -260,6 +261,29 @@ def test_simplification_equals_brute_force(spark):
     assert {k: sorted(v) for k, v in got.items()} == want
 
 
+def test_grid_source_opens_only_the_stretches_of_a_window(spark, tmp_path):
+    """Two grids with lines of any length, blank lines, words that are no numbers and no end of line at the end; with an index and without."""
+    rng, want = random.Random(2), {}
+    for name, height in (("a", 50), ("b", 3)):
+        text = f"ncols 4\nNROWS {height}\n\nxllcorner 0\ncellsize 10\nNODATA_value -1\n"
+        for row in range(height):
+            cells = [rng.choice(["-1", "x", "7", f"{rng.random() * 10 ** rng.randrange(6):.3f}"]) for _ in range(4)]
+            want |= {(name, row, col): None if c in ("-1", "x") else float(c) for col, c in enumerate(cells)}
+            text += " ".join(cells) + rng.choice(["\n", " \n", "\n\n", "\r\n"])
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / f"{name}.asc").write_bytes(text.rstrip().encode())
+    path = f"file://{tmp_path}/in"
+    for stretch in (None, 1, 7, 100, 1 << 20):
+        index = stretch and asciigrid.line_index(spark, path, f"file://{tmp_path}/lines{stretch}", stretch)
+        cells = asciigrid.load(spark, path, index)
+        assert {(r.dem_id, r.row, r.col): r.z for r in cells.collect()} == want
+        window = cells.where("row >= 10 and row < 13 and col > 1 and z is not null")
+        assert {(r.dem_id, r.row, r.col): r.z for r in window.collect()} == {k: z for k, z in want.items() if 10 <= k[1] < 13 and k[2] > 1 and z is not None}
+    reader = asciigrid.GridReader({"path": path, "index": f"file://{tmp_path}/lines7", "row0": "10", "rows": "3"})
+    opened, every = reader.partitions(), asciigrid.GridReader({"path": path, "index": f"file://{tmp_path}/lines7"}).partitions()
+    assert 3 >= len(opened) and len(every) > 40 and all(10 <= p.row <= 12 for p in opened)
+
+
 def test_long_paths_are_simplified_by_blocks(spark):
     """Paths of up to 400 points in blocks of 8: turns, straight ways over many blocks, and steps of less than a tolerance."""
     rng, rows, want = random.Random(21), [], {}
