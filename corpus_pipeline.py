@@ -17,7 +17,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, similarity 0.8), the one with the least id."""
+    """One document of each group of near-duplicates (five-word shingles, similarity 0.8) that pivot tables find, the one with the least id."""
     return simhash.keep_one(docs)
 
 
