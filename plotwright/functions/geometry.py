@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 POINT = "struct<x:double,y:double>"
 
 
+def _let(value: Column, of) -> Column:
+    """of(value), with value worked out once; what is used twice would stand twice in the plan, and more so inside others."""
+    return F.transform(F.array(value), of)[0]
+
+
 def point(x, y) -> Column:
     return F.struct((F.col(x) if isinstance(x, str) else x).cast("double").alias("x"), (F.col(y) if isinstance(y, str) else y).cast("double").alias("y"))
 
@@ -23,15 +28,23 @@ def box(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
 
 
 def footprint(x: Column, y: Column, width: Column, length: Column, rotation: Column) -> Column:
-    """The closed ring of a rectangle about its middle, turned by degrees."""
-    c, s = F.cos(F.radians(rotation)), F.sin(F.radians(rotation))
-    at = lambda a, b: point(x + width * a * c - length * b * s, y + width * a * s + length * b * c)
-    return closed([at(-0.5, -0.5), at(0.5, -0.5), at(0.5, 0.5), at(-0.5, 0.5)])
+    """The closed ring of a rectangle about its middle, turned by degrees; quarter turns are exact."""
+    quarter = F.pmod(rotation, F.lit(360.0)) / 90.0
+    exact = F.when(quarter.isin(0.0, 1.0, 2.0, 3.0), quarter.cast("int"))
+    both = lambda c, s: F.struct(c.alias("c"), s.alias("s"))
+    known = F.array(*[both(F.lit(c), F.lit(s)) for c, s in ((1.0, 0.0), (0.0, 1.0), (-1.0, 0.0), (0.0, -1.0))])
+    turn = F.coalesce(F.get(known, exact), both(F.cos(F.radians(rotation)), F.sin(F.radians(rotation))))
+
+    def corners(t: Column) -> Column:
+        at = lambda a, b: point(x + width * a * t["c"] - length * b * t["s"], y + width * a * t["s"] + length * b * t["c"])
+        return closed([at(-0.5, -0.5), at(0.5, -0.5), at(0.5, 0.5), at(-0.5, 0.5)])
+
+    return _let(turn, corners)
 
 
 def edges(ring: Column) -> Column:
     """Consecutive pairs of points."""
-    return F.zip_with(F.slice(ring, 1, F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    return F.transform(F.slice(ring, 2, F.size(ring)), lambda b, i: F.struct(F.get(ring, i).alias("a"), b.alias("b")))
 
 
 def _cross(e: Column, o: Column | None = None) -> Column:
@@ -71,14 +84,19 @@ def bounds(points: Column) -> Column:
     return F.struct(pick(F.array_min, "x").alias("min_x"), pick(F.array_min, "y").alias("min_y"), pick(F.array_max, "x").alias("max_x"), pick(F.array_max, "y").alias("max_y"))
 
 
-def in_ring(x: Column, y: Column, ring: Column) -> Column:
-    """Ray casting: whether an odd number of edges lie to the right."""
+def _right_of(x: Column, y: Column, sides: Column) -> Column:
+    """Whether an odd number of edges lie to the right of a point."""
 
     def crossed(e: Column) -> Column:
         a, b = e["a"], e["b"]
         return ((a["y"] > y) != (b["y"] > y)) & (x < (b["x"] - a["x"]) * F.coalesce(F.try_divide(y - a["y"], b["y"] - a["y"]), F.lit(0.0)) + a["x"])
 
-    return F.size(F.filter(edges(ring), crossed)) % 2 == 1
+    return F.size(F.filter(sides, crossed)) % 2 == 1
+
+
+def in_ring(x: Column, y: Column, ring: Column) -> Column:
+    """Ray casting: whether an odd number of edges lie to the right."""
+    return _right_of(x, y, edges(ring))
 
 
 def contains(parts: Column, x: Column, y: Column) -> Column:
@@ -128,63 +146,69 @@ def rings_cross(r: Column, s: Column) -> Column:
 
 def ring_distance(r: Column, s: Column) -> Column:
     """Zero if the areas meet, else the least distance of a corner of one from an edge of the other."""
-    corner = lambda a, b: F.array_min(F.transform(a, lambda p: line_distance(p["x"], p["y"], b)))
-    inside = F.exists(r, lambda p: in_ring(p["x"], p["y"], s)) | F.exists(s, lambda p: in_ring(p["x"], p["y"], r))
-    return F.when(rings_cross(r, s) | inside, 0.0).otherwise(F.least(corner(r, s), corner(s, r)))
+
+    def of(k: Column) -> Column:
+        e, f = k["e"], k["f"]
+        corner = lambda a, b: F.array_min(F.transform(a, lambda p: F.array_min(F.transform(b, lambda u: segment_distance(p["x"], p["y"], u)))))
+        inside = F.exists(r, lambda p: _right_of(p["x"], p["y"], f)) | F.exists(s, lambda p: _right_of(p["x"], p["y"], e))
+        crossed = F.exists(e, lambda u: F.exists(f, lambda v: segments_cross(u, v)))
+        return F.when(crossed | inside, 0.0).otherwise(F.least(corner(r, f), corner(s, e)))
+
+    return _let(F.struct(edges(r).alias("e"), edges(s).alias("f")), of)
 
 
 def clip(subject: Column, window: Column) -> Column:
     """A convex ring clipped by a convex counter-clockwise ring: open, by half planes in turn."""
+    none = F.expr(f"cast(array() as array<{POINT}>)")
 
     def cut(ring: Column, e: Column) -> Column:
-        turned = F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1))
+        def part(u: Column, v: Column) -> Column:
+            p, q = u["p"], v["p"]
+            meet = lambda t: point(p["x"] + t * (q["x"] - p["x"]), p["y"] + t * (q["y"] - p["y"]))
+            crossing = F.when((u["s"] >= 0) != (v["s"] >= 0), F.transform(F.array(F.try_divide(u["s"], u["s"] - v["s"])), meet)).otherwise(none)
+            return F.concat(F.when(u["s"] >= 0, F.array(p)).otherwise(none), crossing)
 
-        def part(p: Column, q: Column) -> Column:
-            sp, sq = _side(e["a"], e["b"], p), _side(e["a"], e["b"], q)
-            t = F.try_divide(sp, sp - sq)
-            meet = point(p["x"] + t * (q["x"] - p["x"]), p["y"] + t * (q["y"] - p["y"]))
-            none = F.expr(f"cast(array() as array<{POINT}>)")
-            return F.concat(F.when(sp >= 0, F.array(point(p["x"], p["y"]))).otherwise(none), F.when((sp >= 0) != (sq >= 0), F.array(meet)).otherwise(none))
+        sided = F.transform(ring, lambda p: F.struct(p.alias("p"), _side(e["a"], e["b"], p).alias("s")))
+        return F.flatten(_let(sided, lambda k: F.transform(k, lambda u, i: part(u, F.get(k, (i + 1) % F.size(k))))))
 
-        return F.flatten(F.zip_with(ring, turned, part))
-
-    return F.aggregate(edges(window), F.slice(subject, 1, F.size(subject) - 1), cut)
+    return F.aggregate(edges(window), F.transform(F.slice(subject, 1, F.size(subject) - 1), lambda p: point(p["x"], p["y"])), cut)
 
 
 def clip_area(subject: Column, window: Column) -> Column:
     """The common area of two convex rings, the second counter-clockwise."""
-    ring = clip(subject, window)
-    return F.abs(F.aggregate(F.zip_with(ring, F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1)), lambda a, b: F.struct(a.alias("a"), b.alias("b"))), F.lit(0.0), lambda s, e: s + _cross(e))) / 2.0
+    sides = lambda ring: F.transform(ring, lambda a, i: F.struct(a.alias("a"), F.get(ring, (i + 1) % F.size(ring)).alias("b")))
+    return F.abs(F.aggregate(_let(clip(subject, window), sides), F.lit(0.0), lambda s, e: s + _cross(e))) / 2.0
 
 
 def is_convex(ring: Column) -> Column:
     """Whether a ring turns one way only and once around: what clip_area needs of both of its rings."""
-    turns = F.zip_with(edges(ring), F.concat(F.slice(edges(ring), 2, F.size(ring)), F.slice(edges(ring), 1, 1)), lambda e, f: _side(e["a"], e["b"], f["b"]))
-    one_way = F.forall(turns, lambda t: t >= 0) | F.forall(turns, lambda t: t <= 0)
-    crossed = F.exists(edges(ring), lambda e: F.exists(edges(ring), lambda f: segments_cross(e, f)))
-    return one_way & ~crossed
+
+    def of(e: Column) -> Column:
+        turns = F.transform(e, lambda u, i: _side(u["a"], u["b"], F.get(e, (i + 1) % F.size(e))["b"]))
+        one_way = _let(turns, lambda ts: F.forall(ts, lambda t: t >= 0) | F.forall(ts, lambda t: t <= 0))
+        return one_way & ~F.exists(e, lambda u: F.exists(e, lambda v: segments_cross(u, v)))
+
+    return _let(edges(ring), of)
 
 
 def _crossing_heights(a: Column, b: Column) -> Column:
     """The ordinates at which edges of two rings cross."""
 
     def height(e: Column, f: Column) -> Column:
-        ux, uy = e["b"]["x"] - e["a"]["x"], e["b"]["y"] - e["a"]["y"]
-        vx, vy = f["b"]["x"] - f["a"]["x"], f["b"]["y"] - f["a"]["y"]
-        wx, wy = f["a"]["x"] - e["a"]["x"], f["a"]["y"] - e["a"]["y"]
+        less = lambda p, q: (p["x"] - q["x"], p["y"] - q["y"])
+        (ux, uy), (vx, vy), (wx, wy) = less(e["b"], e["a"]), less(f["b"], f["a"]), less(f["a"], e["a"])
         turn = ux * vy - uy * vx
-        s, t = F.try_divide(wx * vy - wy * vx, turn), F.try_divide(wx * uy - wy * ux, turn)
-        return F.when(s.between(0.0, 1.0) & t.between(0.0, 1.0), e["a"]["y"] + s * uy)
+        parts = F.struct(F.try_divide(wx * vy - wy * vx, turn).alias("s"), F.try_divide(wx * uy - wy * ux, turn).alias("t"))
+        return _let(parts, lambda k: F.when(k["s"].between(0.0, 1.0) & k["t"].between(0.0, 1.0), e["a"]["y"] + k["s"] * uy))
 
-    return F.filter(F.flatten(F.transform(edges(a), lambda e: F.transform(edges(b), lambda f: height(e, f)))), lambda y: y.isNotNull())
+    return F.array_compact(F.flatten(F.transform(edges(a), lambda e: F.transform(edges(b), lambda f: height(e, f)))))
 
 
 def _spans_at(ring: Column, y: Column) -> Column:
     """The stretches of a horizontal line that lie in a ring."""
     crossed = F.filter(edges(ring), lambda e: (e["a"]["y"] > y) != (e["b"]["y"] > y))
     xs = F.array_sort(F.transform(crossed, lambda e: e["a"]["x"] + (e["b"]["x"] - e["a"]["x"]) * ((y - e["a"]["y"]) / (e["b"]["y"] - e["a"]["y"]))))
-    at = F.filter(xs, lambda _, k: k % 2 == 0)
-    return F.zip_with(at, F.filter(xs, lambda _, k: k % 2 == 1), lambda u, v: F.struct(u.alias("u"), v.alias("v")))
+    return _let(xs, lambda at: F.zip_with(F.filter(at, lambda _, k: k % 2 == 0), F.filter(at, lambda _, k: k % 2 == 1), lambda u, v: F.struct(u.alias("u"), v.alias("v"))))
 
 
 def slab_area(a: Column, b: Column) -> Column:
@@ -194,14 +218,14 @@ def slab_area(a: Column, b: Column) -> Column:
     trapezoids, whose area is the length of what is common half-way up times the slab's height.
     """
     heights = F.array_sort(F.array_distinct(F.concat(F.transform(a, lambda p: p["y"]), F.transform(b, lambda p: p["y"]), _crossing_heights(a, b))))
-    slabs = F.zip_with(F.slice(heights, 1, F.greatest(F.size(heights) - 1, F.lit(0))), F.slice(heights, 2, F.greatest(F.size(heights) - 1, F.lit(0))), lambda lo, hi: F.struct(((lo + hi) / 2.0).alias("y"), (hi - lo).alias("h")))
+    slabs = _let(heights, lambda hs: F.transform(F.slice(hs, 2, F.size(hs)), lambda hi, i: F.struct(((F.get(hs, i) + hi) / 2.0).alias("y"), (hi - F.get(hs, i)).alias("h"))))
 
-    def common(y: Column) -> Column:
-        of_b = _spans_at(b, y)
-        one = lambda p: F.aggregate(of_b, F.lit(0.0), lambda s, q: s + F.greatest(F.lit(0.0), F.least(p["v"], q["v"]) - F.greatest(p["u"], q["u"])))
-        return F.aggregate(_spans_at(a, y), F.lit(0.0), lambda s, p: s + one(p))
+    def common(spans: Column) -> Column:
+        one = lambda p: F.aggregate(spans["b"], F.lit(0.0), lambda s, q: s + F.greatest(F.lit(0.0), F.least(p["v"], q["v"]) - F.greatest(p["u"], q["u"])))
+        return F.aggregate(spans["a"], F.lit(0.0), lambda s, p: s + one(p))
 
-    return F.aggregate(slabs, F.lit(0.0), lambda s, k: s + common(k["y"]) * k["h"])
+    at = lambda y: F.struct(_spans_at(a, y).alias("a"), _spans_at(b, y).alias("b"))
+    return F.aggregate(slabs, F.lit(0.0), lambda s, k: s + _let(at(k["y"]), common) * k["h"])
 
 
 def is_plain(ring: Column) -> Column:
@@ -214,6 +238,26 @@ def overlap_area(a: Column, b: Column, plain: Column | None = None) -> Column:
     return F.when(is_plain(a) & is_plain(b) if plain is None else plain, clip_area(a, b)).otherwise(slab_area(a, b))
 
 
+def upright(ring: Column) -> Column:
+    """The bounds of a ring that is a rectangle along the axes, null for others."""
+    level = lambda i, j: ring[i]["y"] == ring[j]["y"]
+    steep = lambda i, j: ring[i]["x"] == ring[j]["x"]
+    turned = (level(0, 1) & steep(1, 2) & level(2, 3) & steep(3, 0)) | (steep(0, 1) & level(1, 2) & steep(2, 3) & level(3, 0))
+    return F.when(F.when(F.size(ring) == 5, (ring[0] == ring[4]) & turned), bounds(ring))
+
+
+def upright_area(a: Column, b: Column) -> Column:
+    """The common area of two rectangles along the axes, given by their bounds."""
+    side = lambda c: F.greatest(F.least(a[f"max_{c}"], b[f"max_{c}"]) - F.greatest(a[f"min_{c}"], b[f"min_{c}"]), F.lit(0.0))
+    return side("x") * side("y")
+
+
+def upright_distance(a: Column, b: Column) -> Column:
+    """The distance of two rectangles along the axes, given by their bounds: zero if they meet."""
+    gap = lambda c: F.greatest(a[f"min_{c}"] - b[f"max_{c}"], b[f"min_{c}"] - a[f"max_{c}"], F.lit(0.0))
+    return F.sqrt(F.pow(gap("x"), 2) + F.pow(gap("y"), 2))
+
+
 def has_corner_inside(r: Column, s: Column) -> Column:
     """Whether a corner of either ring lies in the other: a cheap first test, which misses rings that cross without corners inside."""
     return F.exists(r, lambda p: in_ring(p["x"], p["y"], s)) | F.exists(s, lambda p: in_ring(p["x"], p["y"], r))
@@ -256,11 +300,6 @@ def issues(ring: Column) -> Column:
     ))
 
 
-def _let(value: Column, of) -> Column:
-    """of(value), with value worked out once."""
-    return F.transform(F.array(value), of)[0]
-
-
 def repaired(ring: Column) -> Column:
     """The ring without repeated corners, closed, counter-clockwise."""
     kept = F.filter(ring, lambda p, i: (i == 0) | ~p.eqNullSafe(F.get(ring, i - 1)))

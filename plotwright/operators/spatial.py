@@ -1,12 +1,16 @@
 """Spatial joins by tiles, and the joins of sites, assets, zones, roads and cells.
 
 Two sides meet by equal (site_id, tile); a pair that shares several tiles is kept in the one that holds the
-lower left corner of their common box, so nothing needs to be made distinct afterwards.
+lower left corner of their common box, so nothing needs to be made distinct afterwards. Equal rings of a site meet
+others once, as one kind, and pairs of kinds become pairs of ids last.
+
+Sides with rows of their own for tiles, cells or ids are larger than Spark can know when it plans; their joins name
+the sort-merge join, so that none of them is collected by the driver to be broadcast.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plotwright.functions import geometry as G
@@ -27,10 +31,11 @@ def tiled(df: DataFrame, ring: str, tile: float, prefix: str, grow: float = 0.0)
 
 def _boxed(df: DataFrame, prefix: str, tile: float, ring: str, grow: Column) -> DataFrame:
     """df with its columns prefixed, its grown box and the level of its size: tiles double in width from level to level, and a box meets four of its level at most."""
-    b = G.bounds(F.col(ring))
-    grown = F.struct((b["min_x"] - grow).alias("min_x"), (b["min_y"] - grow).alias("min_y"), (b["max_x"] + grow).alias("max_x"), (b["max_y"] + grow).alias("max_y"))
-    named = df.select("site_id", *[F.col(c).alias(prefix + c) for c in df.columns if c != "site_id"], grown.alias(prefix + "box"))
     box = F.col(prefix + "box")
+    by = F.col("__grow")
+    grown = F.struct(*[(box[c] - by if c.startswith("min") else box[c] + by).alias(c) for c in ("min_x", "min_y", "max_x", "max_y")])
+    bounded = df.withColumns({prefix + "box": G.bounds(F.col(ring)), "__grow": grow})
+    named = bounded.withColumn(prefix + "box", grown).select("site_id", *[F.col(c).alias(prefix + c) for c in df.columns if c != "site_id"], prefix + "box")
     size = F.greatest(box["max_x"] - box["min_x"], box["max_y"] - box["min_y"], F.lit(tile))
     return named.withColumn(prefix + "level", F.ceil(F.log2(size / tile)).cast("int"))
 
@@ -50,30 +55,75 @@ def pairs(left: DataFrame, right: DataFrame, within: float | str = 0.0, tile: fl
     Boxes are dealt by tiles of their own size, and the smaller one of a pair looks for the larger one at its level; so
     a large box costs no more rows than a small one, and a wide distance widens the search of its own row only.
     """
-    grow = F.col(within) if isinstance(within, str) else F.lit(float(within))
+    grow = (F.col(within) if isinstance(within, str) else F.lit(float(within))) + 1e-6  # a sum's last digit must not lose a pair
     a, b = _boxed(left, "a_", tile, ring, grow), _boxed(right, "b_", tile, ring, F.lit(0.0))
     seen = lambda df, c: df.groupBy("site_id").agg(F.collect_set(c).alias("levels"))  # noqa: E731  # some dozen at most
     own = lambda df, p: _tiles(df, p, tile, F.array(p + "level"))
-    above = lambda df, other, p, q, same: _tiles(df.join(seen(other, q + "level"), "site_id"), p, tile, F.filter("levels", lambda v: v >= F.col(p + "level") if same else v > F.col(p + "level"))).drop("levels")
+    above = lambda df, other, p, q, same: _tiles(df.join(seen(other, q + "level").hint("merge"), "site_id"), p, tile, F.filter("levels", lambda v: v >= F.col(p + "level") if same else v > F.col(p + "level"))).drop("levels")
     key = ["site_id", "level", "tx", "ty"]
-    up = above(a, b, "a_", "b_", True).join(own(b, "b_"), key)
-    down = own(a, "a_").join(above(b, a, "b_", "a_", False), key)
+    up = above(a, b, "a_", "b_", True).join(own(b, "b_").hint("merge"), key)
+    down = own(a, "a_").join(above(b, a, "b_", "a_", False).hint("merge"), key)
     met = up.unionByName(down)
     first = (F.col("tx") == F.greatest("a_tx0", "b_tx0")) & (F.col("ty") == F.greatest("a_ty0", "b_ty0"))
     near = [F.col(f"{p}_box.min_{c}") <= F.col(f"{q}_box.max_{c}") for c in "xy" for p, q in ("ab", "ba")]
     return met.where(first & near[0] & near[1] & near[2] & near[3]).drop("level", "tx", "ty", *[p + c for p in ("a_", "b_") for c in ("tx0", "ty0", "box", "level")])
 
 
-def _common(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Candidate pairs with their common area; whether a ring is convex is found once a ring, not once a pair."""
-    known = lambda df: df.select("site_id", "id", "ring", G.is_plain(F.col("ring")).alias("plain"))
-    met = pairs(known(left), known(right))
-    return met.withColumn("area", G.overlap_area(F.col("a_ring"), F.col("b_ring"), F.col("a_plain") & F.col("b_plain")))
+#: Ids of a kind that stand in one row.
+SOME = 512
+
+
+def kinds(rows: DataFrame, *columns: str) -> DataFrame:
+    """Rows (site_id, id) of a site that are equal in columns as one: these, their id, and n, how many they are."""
+    return rows.groupBy("site_id", *columns).agg(F.struct(F.min("id").alias("least"), F.xxhash64(*columns).alias("of")).alias("id"), F.count("*").alias("n"))
+
+
+def ids_of_kinds(rows: DataFrame, found: DataFrame, *columns: str) -> DataFrame:
+    """site_id, kind, ids: the ids that kinds() has made one of, some in a row."""
+    met = rows.select("site_id", *columns, F.col("id").alias("member")).join(found.select("site_id", *columns, "id", "n").hint("merge"), ["site_id", *columns])
+    part = F.pmod(F.xxhash64("member"), F.ceil(F.col("n") / SOME))
+    return met.groupBy("site_id", F.col("id").alias("kind"), part.alias("part")).agg(F.collect_list("member").alias("ids")).drop("part")
+
+
+def pairs_of_ids(met: DataFrame, a_ids: DataFrame, b_ids: DataFrame) -> DataFrame:
+    """Pairs of kinds (a_id, b_id) as pairs of the ids that they stand for: all ids of both, dealt over all tasks by some of either."""
+    side = lambda ids, p: ids.select("site_id", F.col("kind").alias(f"{p}_id"), F.col("ids").alias(f"{p}_ids")).hint("merge")
+    both = met.join(side(a_ids, "a"), ["site_id", "a_id"]).join(side(b_ids, "b"), ["site_id", "b_id"])
+    met = written(met, "met")
+    n = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = both.repartition(n, "site_id", F.xxhash64("a_ids"), F.xxhash64("b_ids"))  # a small table of many pairs would be one task
+    return each.withColumn("a_id", F.explode("a_ids")).withColumn("b_id", F.explode("b_ids")).drop("a_ids", "b_ids")
+
+
+def known(rows: DataFrame, *columns: str) -> DataFrame:
+    """rows with what is found once a ring, not once a pair: its bounds if it is a rectangle along the axes, and whether it can be clipped."""
+    found = rows.select("site_id", "id", "ring", *columns, G.upright(F.col("ring")).alias("upright"))
+    return found.withColumn("plain", F.when(F.col("upright").isNull(), G.is_plain(F.col("ring"))).otherwise(G.signed_area(F.col("ring")) > 0))
+
+
+def known_kinds(rows: DataFrame, *columns: str) -> DataFrame:
+    """kinds() of rings with what is known() of them, as a table: its plan ends there."""
+    return written(known(kinds(rows, *columns), *columns[1:], "n"), "kinds")
+
+
+def common_area() -> Column:
+    """Of a pair of known() rings."""
+    both = F.col("a_upright").isNotNull() & F.col("b_upright").isNotNull()
+    return F.when(both, G.upright_area(F.col("a_upright"), F.col("b_upright"))).otherwise(G.overlap_area(F.col("a_ring"), F.col("b_ring"), F.col("a_plain") & F.col("b_plain")))
+
+
+def apart() -> Column:
+    """The distance of a pair of known() rings."""
+    both = F.col("a_upright").isNotNull() & F.col("b_upright").isNotNull()
+    return F.when(both, G.upright_distance(F.col("a_upright"), F.col("b_upright"))).otherwise(G.ring_distance(F.col("a_ring"), F.col("b_ring")))
 
 
 def overlaps(assets: DataFrame) -> DataFrame:
     """Pairs of assets (id, ring) of a site whose areas meet, and by how much."""
-    return _common(assets, assets).where("a_id < b_id").where("area > 1e-9").select("site_id", "a_id", "b_id", "area")
+    own = known_kinds(assets, "ring")
+    met = pairs(own, own).withColumn("area", common_area()).where("area > 1e-9").select("site_id", "a_id", "b_id", "area")
+    ids = ids_of_kinds(assets, own, "ring")
+    return pairs_of_ids(met, ids, ids).where("a_id < b_id").select("site_id", "a_id", "b_id", "area")
 
 
 def corner_overlaps(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -83,18 +133,20 @@ def corner_overlaps(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def crowded(assets: DataFrame, spacing: str = "spacing") -> DataFrame:
     """Pairs a < b closer than a's spacing."""
-    met = pairs(assets, assets, spacing).where("a_id < b_id").withColumn("distance", G.ring_distance(F.col("a_ring"), F.col("b_ring")))
-    return met.where(F.col("distance") <= F.col(f"a_{spacing}")).select("site_id", "a_id", "b_id", "distance")
+    own, others = known_kinds(assets, "ring", spacing), known_kinds(assets, "ring")
+    met = pairs(own, others, spacing).withColumn("distance", apart()).where(F.col("distance") <= F.col(f"a_{spacing}")).select("site_id", "a_id", "b_id", "distance")
+    return pairs_of_ids(met, ids_of_kinds(assets, own, "ring", spacing), ids_of_kinds(assets, others, "ring")).where("a_id < b_id").select("site_id", "a_id", "b_id", "distance")
 
 
 def on_zones(assets: DataFrame, zones: DataFrame, least_area: float = 0.1) -> DataFrame:
     """Assets and zones of a site that share more than an area."""
-    return _common(assets, zones).where(F.col("area") > least_area).select("site_id", F.col("a_id").alias("asset_id"), F.col("b_id").alias("zone_id"), "area")
+    met = pairs(known(assets), known(zones)).withColumn("area", common_area())
+    return met.where(F.col("area") > least_area).select("site_id", F.col("a_id").alias("asset_id"), F.col("b_id").alias("zone_id"), "area")
 
 
 def outside(assets: DataFrame, sites: DataFrame) -> DataFrame:
     """Assets with a corner outside their site (site_id, parts)."""
-    met = assets.join(sites, "site_id", "left")
+    met = assets.join(sites.hint("merge"), "site_id", "left")
     inside = F.forall("ring", lambda p: G.contains(F.col("parts"), p["x"], p["y"]) | (F.array_min(F.transform("parts", lambda r: G.line_distance(p["x"], p["y"], r))) < 1e-9))
     return met.where(~F.coalesce(inside, F.lit(False))).select("site_id", "id")
 
@@ -195,10 +247,12 @@ def rule_spacing(assets: DataFrame, rules: DataFrame, tile: float = 50.0) -> Dat
     """
     ruled = type_spacing(rules)
     widest = ruled.groupBy(F.col("from_type").alias("type")).agg(F.max("metres").alias("reach"))
-    own = assets.select("site_id", "id", "type", "ring")
-    met = pairs(own.join(widest, "type"), own, "reach", tile).where("a_id < b_id")
-    both = met.join(ruled, (F.col("a_type") == F.col("from_type")) & (F.col("b_type") == F.col("to_type")))
-    return both.withColumn("distance", G.ring_distance(F.col("a_ring"), F.col("b_ring"))).where("distance < metres").select("site_id", "a_id", "b_id", "metres", "distance")
+    own = known_kinds(assets, "ring", "type")
+    met = pairs(own.join(F.broadcast(widest), "type"), own, "reach", tile)
+    both = met.join(F.broadcast(ruled), (F.col("a_type") == F.col("from_type")) & (F.col("b_type") == F.col("to_type")))
+    near = both.withColumn("distance", apart()).where("distance < metres").select("site_id", "a_id", "b_id", "metres", "distance")
+    ids = ids_of_kinds(assets, own, "ring", "type")
+    return pairs_of_ids(near, ids, ids).where("a_id < b_id").select("site_id", "a_id", "b_id", "metres", "distance")
 
 
 def shared_points(lines: DataFrame, digits: int = 8) -> DataFrame:

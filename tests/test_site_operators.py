@@ -12,7 +12,7 @@ from plotwright import streaming
 from plotwright.functions import crs
 from plotwright.functions import features as P
 from plotwright.functions import geometry as G
-from plotwright.operators import block_search, earthwork, graph, layout, paths, raster, roads, scanlines, selection, spatial, stencil, zones
+from plotwright.operators import block_search, earthwork, graph, layout, paths, raster, roads, rules, scanlines, selection, spatial, stencil, zones
 from plotwright.sources import asciigrid
 
 CELLS = "dem_id long, row int, col int, z double"
@@ -799,3 +799,33 @@ def test_nearest_road_among_many_segments(spark):
         else:
             assert math.isclose(got[site].distance, want[0], rel_tol=1e-9) and got[site].road == want[1]
             assert math.isclose(math.hypot(got[site].entry_x - x, got[site].entry_y - y), want[0], rel_tol=1e-9)
+
+
+def copies(spark, n=700):
+    """n assets of three footprints (type, spacing by footprint), their boxes by id, and one zone."""
+    at = {0: (0.0, 0.0), 1: (16.0, 0.0), 2: (27.0, 0.0)}  # ten wide and twenty long, turned: twenty by ten
+    rows = [(0, i, i % 3, *at[i % 3], 10.0, 20.0, 90.0, (0.0, 1.0, 5.0)[i % 3]) for i in range(n)]
+    frame = layout.placed(spark.createDataFrame(rows, "site_id long, id long, type long, x double, y double, width double, length double, rotation double, spacing double"))
+    zone = spark.createDataFrame([(0, 1, "high", 0.0)], "site_id long, id long, severity string, x double").withColumn("ring", G.box(F.col("x"), F.col("x"), F.col("x") + 1.0, F.col("x") + 1.0))
+    return rows, frame, zone
+
+
+def counted_pairs(monkeypatch):
+    """The products of the sides that spatial.pairs() is given from now on."""
+    given, own = [], spatial.pairs
+    monkeypatch.setattr(spatial, "pairs", lambda left, right, *a, **b: given.append(left.count() * right.count()) or own(left, right, *a, **b))
+    return given
+
+
+def near_pairs(rows, most):
+    """Pairs a < b and their distances, of assets whose distance is most(a) at most."""
+    gap = lambda p, q: max(abs(p[3] - q[3]) - 20.0, 0.0)
+    return sorted((p[1], q[1], gap(p, q)) for p in rows for q in rows if p[1] < q[1] and gap(p, q) <= most(p))
+
+
+def test_equal_footprints_are_measured_once(spark, monkeypatch):
+    rows, frame, _ = copies(spark)
+    given = counted_pairs(monkeypatch)
+    found = spatial.crowded(frame.drop("spacing").withColumn("spacing", F.lit(7.0)))
+    assert sorted((r.a_id, r.b_id, r.distance) for r in found.collect()) == near_pairs(rows, lambda _: 7.0)
+    assert max(given) <= 9
