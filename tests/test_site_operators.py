@@ -829,3 +829,12 @@ def test_equal_footprints_are_measured_once(spark, monkeypatch):
     found = spatial.crowded(frame.drop("spacing").withColumn("spacing", F.lit(7.0)))
     assert sorted((r.a_id, r.b_id, r.distance) for r in found.collect()) == near_pairs(rows, lambda _: 7.0)
     assert max(given) <= 9
+
+
+def test_equal_footprints_overlap_once(spark, monkeypatch):
+    rows, frame, _ = copies(spark)
+    given = counted_pairs(monkeypatch)
+    x = {i: (0.0, 16.0, 27.0)[i % 3] for i in range(len(rows))}
+    expected = sorted((i, j, 10.0 * (20.0 - abs(x[i] - x[j]))) for i in x for j in x if i < j and abs(x[i] - x[j]) < 20.0)
+    assert sorted((r.a_id, r.b_id, r.area) for r in spatial.overlaps(frame).collect()) == expected
+    assert max(given) <= 9
