@@ -838,3 +838,13 @@ def test_equal_footprints_overlap_once(spark, monkeypatch):
     expected = sorted((i, j, 10.0 * (20.0 - abs(x[i] - x[j]))) for i in x for j in x if i < j and abs(x[i] - x[j]) < 20.0)
     assert sorted((r.a_id, r.b_id, r.area) for r in spatial.overlaps(frame).collect()) == expected
     assert max(given) <= 9
+
+
+def test_breaches_of_equal_footprints(spark, monkeypatch):
+    rows, frame, zone = copies(spark)
+    given = counted_pairs(monkeypatch)
+    site = spark.createDataFrame([(0, -10.0)], "site_id long, x double").select("site_id", F.array(G.box(F.col("x"), F.col("x"), F.lit(30.0), F.lit(10.0))).alias("parts"))
+    found = {r.kind: r.n for r in rules.breaches(frame, site, zone).groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    n = [sum(i % 3 == k for i in range(len(rows))) for k in range(3)]
+    assert found == {"overlap": sum(m * (m - 1) // 2 for m in n) + n[0] * n[1] + n[1] * n[2], "boundary": n[2], "exclusion": n[0]}
+    assert max(given) <= len(rows)  # the zone with every asset
