@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plotwright.functions import features as P
 from plotwright.functions import geometry as G
+from plotwright.tables import written
 
 from . import spatial
 
@@ -103,9 +104,20 @@ def buffer_union(cells: DataFrame, shapes: DataFrame, distance: float, cell: flo
 
 
 def checked_moves(moves: DataFrame, assets: DataFrame, sites: DataFrame, zones: DataFrame) -> DataFrame:
-    """moves (assets in their new places) with the number of errors against the other assets, their site and its zones."""
-    met = spatial.pairs(moves.select("site_id", "id", "ring"), assets.select("site_id", "id", "ring")).where((F.col("a_id") != F.col("b_id")) & (G.clip_area(F.col("a_ring"), F.col("b_ring")) > 1e-9))
+    """moves (assets in their new places) with the number of errors against the other assets, their site and its zones.
+
+    Equal rings are one kind, and the assets of a kind are counted, not listed; an asset's own old place is no error.
+    """
+    key = ["site_id", "ring"]
+    old, new = spatial.known_kinds(assets, "ring"), spatial.known_kinds(moves, "ring")
+    met = spatial.pairs(new, old).where(spatial.common_area() > 1e-9).groupBy("site_id", F.col("a_id").alias("kind")).agg(F.sum("b_n").alias("n"))
+    met = written(met, "met")
+    all_ = moves.select("id", *key).join(new.select(*key, F.col("id").alias("kind")).hint("merge"), key).join(met.hint("merge"), ["site_id", "kind"]).select("site_id", "id", "n")
+    side = lambda df, p: spatial.known(df).select("site_id", "id", *[F.col(c).alias(f"{p}_{c}") for c in ("ring", "upright", "plain")])
+    itself = side(moves, "a").join(side(assets, "b").hint("merge"), ["site_id", "id"]).where(spatial.common_area() > 1e-9).select("site_id", "id", F.lit(-1).cast("long").alias("n"))
     severe = zones.where("severity = 'high'")
-    rows = met.select("site_id", F.col("a_id").alias("id")).unionByName(spatial.outside(moves, sites)).unionByName(spatial.on_zones(moves, severe).select("site_id", F.col("asset_id").alias("id")))
-    n = rows.groupBy("site_id", "id").agg(F.count("*").alias("n_errors"))
-    return moves.join(n, ["site_id", "id"], "left").withColumn("n_errors", F.coalesce("n_errors", F.lit(0))).withColumn("is_valid", F.col("n_errors") == 0)
+    others = spatial.outside(moves, sites).unionByName(spatial.on_zones(moves, severe).select("site_id", F.col("asset_id").alias("id")))
+    others = written(others, "others")
+    rows = all_.unionByName(itself).unionByName(others.select("site_id", "id", F.lit(1).cast("long").alias("n")))
+    n = rows.groupBy("site_id", "id").agg(F.sum("n").alias("n_errors"))
+    return moves.join(n.hint("merge"), ["site_id", "id"], "left").withColumn("n_errors", F.coalesce("n_errors", F.lit(0))).withColumn("is_valid", F.col("n_errors") == 0)

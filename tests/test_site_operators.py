@@ -848,3 +848,15 @@ def test_breaches_of_equal_footprints(spark, monkeypatch):
     n = [sum(i % 3 == k for i in range(len(rows))) for k in range(3)]
     assert found == {"overlap": sum(m * (m - 1) // 2 for m in n) + n[0] * n[1] + n[1] * n[2], "boundary": n[2], "exclusion": n[0]}
     assert max(given) <= len(rows)  # the zone with every asset
+
+
+def test_moves_count_equal_footprints(spark, monkeypatch):
+    """Errors are counted by kind; an asset's own old place is no error, another's is."""
+    rows, frame, zone = copies(spark)
+    given = counted_pairs(monkeypatch)
+    site = spark.createDataFrame([(0, -100.0)], "site_id long, x double").select("site_id", F.array(G.box(F.col("x"), F.col("x"), F.lit(100.0), F.lit(100.0))).alias("parts"))
+    moved = layout.placed(frame.drop("ring").where("id < 3").withColumn("x", F.when(F.col("id") == 2, 0.0).otherwise(F.col("x"))))
+    n = [sum(i % 3 == k for i in range(len(rows))) for k in range(3)]
+    found = {r.id: (r.n_errors, r.is_valid) for r in rules.checked_moves(moved, frame, site, zone).collect()}
+    assert found == {0: (n[0] - 1 + n[1] + 1, False), 1: (n[0] + n[1] - 1 + n[2], False), 2: (n[0] + n[1] + 1, False)}
+    assert max(given) <= 9
