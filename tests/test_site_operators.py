@@ -860,3 +860,12 @@ def test_moves_count_equal_footprints(spark, monkeypatch):
     found = {r.id: (r.n_errors, r.is_valid) for r in rules.checked_moves(moved, frame, site, zone).collect()}
     assert found == {0: (n[0] - 1 + n[1] + 1, False), 1: (n[0] + n[1] - 1 + n[2], False), 2: (n[0] + n[1] + 1, False)}
     assert max(given) <= 9
+
+
+def test_rules_of_equal_footprints(spark, monkeypatch):
+    rows, frame, _ = copies(spark)
+    given = counted_pairs(monkeypatch)
+    found = spatial.rule_spacing(frame, spark.createDataFrame([(0, 2, 8.0), (1, 1, 1.0)], "from_type long, to_type long, metres double"))
+    kinds = [(p[1], q[1]) for p in rows for q in rows if p[1] < q[1] and sorted((p[2], q[2])) in ([0, 2], [1, 1])]
+    assert sorted((r.a_id, r.b_id) for r in found.collect()) == sorted(kinds)
+    assert max(given) <= 9
