@@ -869,3 +869,13 @@ def test_rules_of_equal_footprints(spark, monkeypatch):
     kinds = [(p[1], q[1]) for p in rows for q in rows if p[1] < q[1] and sorted((p[2], q[2])) in ([0, 2], [1, 1])]
     assert sorted((r.a_id, r.b_id) for r in found.collect()) == sorted(kinds)
     assert max(given) <= 9
+
+
+@pytest.mark.parametrize("spacing", [0.0, 7.0])
+def test_spacing_is_kept_to_the_last_digit(spark, spacing):
+    """Turned footprints that are apart by their spacing exactly, or touch where none is asked for, count as close."""
+    rows = [(0, i, 0, (20.0 + spacing) * (i // 4) + 0.5, 7.0 * (i % 4), 10.0, 20.0, 90.0 * (1 + 2 * (i % 2)), spacing) for i in range(12)]
+    frame = layout.placed(spark.createDataFrame(rows, "site_id long, id long, type long, x double, y double, width double, length double, rotation double, spacing double"))
+    gap = lambda p, q: math.hypot(max(abs(p[3] - q[3]) - 20.0, 0.0), max(abs(p[4] - q[4]) - 10.0, 0.0))
+    expected = sorted((p[1], q[1]) for p in rows for q in rows if p[1] < q[1] and gap(p, q) <= spacing)
+    assert sorted((r.a_id, r.b_id) for r in spatial.crowded(frame).collect()) == expected
