@@ -95,10 +95,13 @@ def keep_gentle(cells: DataFrame, sigma: float = 1.0) -> DataFrame:
 
 
 def _nearest_on(axis: str, side: int) -> Column:
-    """The nearest cell with a value on one side along an axis: its place and value."""
+    """The nearest cell with a value on one side along an axis: its place and value.
+
+    What lies ahead is what lies behind in the other order: a frame up to the end would be gone through anew for every cell.
+    """
     held = F.when(F.col("z").isNotNull(), F.struct(F.col(axis).alias("i"), F.col("z").alias("v")))
-    w = stencil.along(axis)
-    return F.last(held, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)) if side < 0 else F.first(held, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    w = stencil.along(axis) if side < 0 else stencil.along(axis).orderBy(F.desc(axis))
+    return F.last(held, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
 
 
 def fill_linear(cells: DataFrame) -> DataFrame:
@@ -138,8 +141,8 @@ def fill_nearest(cells: DataFrame) -> DataFrame:
     asked = gaps.select("dem_id", "row", "col", rows.alias("vr"))
     known = sided.where("__own is not null").select("dem_id", F.col("row").alias("vr"), "col", F.col("__own.d").alias("dc"), F.col("__own.i").alias("vc"), F.col("__own.v").alias("vz"))
     apart = F.col("row") - F.col("vr")
-    best = asked.join(known, ["dem_id", "vr", "col"]).groupBy("dem_id", "row", "col").agg(F.min(F.struct((apart * apart + F.col("dc") * F.col("dc")).alias("d"), "vr", "vc", "vz"))["vz"].alias("fill"))
-    return cells.join(best, ["dem_id", "row", "col"], "left").withColumn("filled", F.coalesce("z", "fill")).drop("fill")
+    best = asked.join(known.hint("merge"), ["dem_id", "vr", "col"]).groupBy("dem_id", "row", "col").agg(F.min(F.struct((apart * apart + F.col("dc") * F.col("dc")).alias("d"), "vr", "vc", "vz"))["vz"].alias("fill"))
+    return cells.join(best.hint("merge"), ["dem_id", "row", "col"], "left").withColumn("filled", F.coalesce("z", "fill")).drop("fill")
 
 
 def resample(cells: DataFrame, factor: int, method: str = "average") -> DataFrame:

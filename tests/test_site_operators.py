@@ -879,3 +879,14 @@ def test_spacing_is_kept_to_the_last_digit(spark, spacing):
     gap = lambda p, q: math.hypot(max(abs(p[3] - q[3]) - 20.0, 0.0), max(abs(p[4] - q[4]) - 10.0, 0.0))
     expected = sorted((p[1], q[1]) for p in rows for q in rows if p[1] < q[1] and gap(p, q) <= spacing)
     assert sorted((r.a_id, r.b_id) for r in spatial.crowded(frame).collect()) == expected
+
+
+def test_fill_looks_ahead_in_one_pass(spark):
+    """A frame up to the end of a row is gone through anew for every cell: no plan of a fill holds one."""
+    z = np.full((1, 40), np.nan)
+    z[0, [3, 30]] = 1.0, 28.0
+    cells = grid(spark, z)
+    for fill, expected in ((raster.fill_nearest, np.where(np.arange(40) < 17, 1.0, 28.0)), (raster.fill_linear, np.clip(np.arange(40) - 2.0, 1.0, 28.0))):
+        found = fill(cells)
+        assert np.allclose(array(found, "filled", z.shape)[0], expected)
+        assert "unboundedfollowing" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
