@@ -25,13 +25,13 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked to the least of the node and its neighbours."""
     both = edges.union(edges.select("b", "a"))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return both.join(least.hint("merge"), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """A node and its smaller neighbours are linked to the least of these."""
     least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    moved = edges.join(least.hint("merge"), "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
@@ -80,13 +80,13 @@ def labelled_by_blocks(nodes: DataFrame, links: DataFrame, block: Callable[[Colu
     """nodes (graph, node; long ids) with root, the least node of their component: blocks are settled first, and only what joins them goes round."""
     own = written(links.select("graph", "a", "b", block(F.col("a")).alias("block"), block(F.col("b")).alias("other")), "block-links")
     local = written(local_roots(own.where("block = other").select("graph", "block", "a", "b")), "local-roots")
-    inner = nodes.join(local, ["graph", "node"], "left").select("graph", "node", F.coalesce("root", "node").alias("inner"))
+    inner = nodes.join(local.hint("merge"), ["graph", "node"], "left").select("graph", "node", F.coalesce("root", "node").alias("inner"))
     look = lambda c: local.select("graph", F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
-    across = own.where("block <> other").join(look("a"), ["graph", "a"], "left").join(look("b"), ["graph", "b"], "left")
+    across = own.where("block <> other").join(look("a").hint("merge"), ["graph", "a"], "left").join(look("b").hint("merge"), ["graph", "b"], "left")
     key = lambda c: F.struct("graph", c.alias("node"))
     outer = stars(across.select(key(F.coalesce("a_root", "a")).alias("x"), key(F.coalesce("b_root", "b")).alias("y")), "x", "y")
     outer = outer.select(F.col("node.graph").alias("graph"), F.col("node.node").alias("inner"), F.col("root.node").alias("outer"))
-    return inner.join(outer, ["graph", "inner"], "left").select("graph", "node", F.coalesce("outer", "inner").alias("root"))
+    return inner.join(outer.hint("merge"), ["graph", "inner"], "left").select("graph", "node", F.coalesce("outer", "inner").alias("root"))
 
 
 def least_costs(edges: DataFrame, sources: DataFrame, width: float | None = None, block: Callable[[Column], Column] = blocks.id_block) -> DataFrame:

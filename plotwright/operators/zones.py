@@ -26,7 +26,8 @@ def components(cells: DataFrame, mask: str = "buildable", diagonal: bool = True,
     """cells with zone_id, 1, 2, ... in raster order of the zones' first cells, null outside the mask.
 
     Cells in a row are joined to runs first, runs that touch the next row's are linked, blocks of runs are joined in
-    one task each, and the components of what is left between blocks give the zones. With parts (and diagonal), part
+    one task each, and the components of what is left between blocks give the zones. Runs and labels pack so well that
+    their tables look small enough to broadcast; the joins name the sort-merge join. With parts (and diagonal), part
     numbers the pieces of a zone whose cells are joined by their sides, by their first runs.
     """
     row = Window.partitionBy("dem_id", "row").orderBy("col")
@@ -39,7 +40,7 @@ def components(cells: DataFrame, mask: str = "buildable", diagonal: bool = True,
     high = runs.select("dem_id", "row", F.col("node").alias("a"), F.col("c0").alias("h0"), F.col("c1").alias("h1"), stretch(F.col("c0") - slack, F.col("c1") + slack).alias("at"))
     low = runs.select("dem_id", (F.col("row") - 1).alias("row"), F.col("c0").alias("d0"), F.col("c1").alias("d1"), F.col("node").alias("b"), stretch(F.col("c0"), F.col("c1")).alias("at"))
     first = F.col("at") == F.floor(F.greatest(F.col("h0") - slack, F.col("d0"), F.lit(0)) / STRETCH)
-    met = high.join(low, ["dem_id", "row", "at"]).where((F.col("h0") <= F.col("d1") + slack) & (F.col("h1") >= F.col("d0") - slack) & first)
+    met = high.join(low.hint("merge"), ["dem_id", "row", "at"]).where((F.col("h0") <= F.col("d1") + slack) & (F.col("h1") >= F.col("d0") - slack) & first)
     links = met.select(F.col("dem_id").alias("graph"), "a", "b", ((F.col("h0") <= F.col("d1")) & (F.col("h1") >= F.col("d0"))).alias("side"))
     block = lambda n: F.floor(n / (ROW * BLOCK_ROWS)).cast("long") * ROW + F.floor(n % ROW / BLOCK_COLUMNS).cast("long")
     nodes = runs.select(F.col("dem_id").alias("graph"), "node")
@@ -47,17 +48,17 @@ def components(cells: DataFrame, mask: str = "buildable", diagonal: bool = True,
         links = written(links, "run-links")
         own = written(graph.labelled_by_blocks(nodes, links.where("side"), block).withColumnRenamed("root", "part"), "parts")
         look = lambda c: own.select("graph", F.col("node").alias(c), F.col("part").alias(f"{c}_part"))
-        across = links.where("not side").join(look("a"), ["graph", "a"]).join(look("b"), ["graph", "b"]).select("graph", F.col("a_part").alias("a"), F.col("b_part").alias("b")).where("a <> b").distinct()
+        across = links.where("not side").join(look("a").hint("merge"), ["graph", "a"]).join(look("b").hint("merge"), ["graph", "b"]).select("graph", F.col("a_part").alias("a"), F.col("b_part").alias("b")).where("a <> b").distinct()
         whole = graph.labelled_by_blocks(own.select("graph", F.col("part").alias("node")).distinct(), across, block)
-        roots = own.join(whole.withColumnRenamed("node", "part"), ["graph", "part"])
+        roots = own.join(whole.withColumnRenamed("node", "part").hint("merge"), ["graph", "part"])
     else:
         roots = graph.labelled_by_blocks(nodes, links, block)
     roots = roots.withColumnRenamed("graph", "dem_id")
     ranked = numbered_roots(roots.select("dem_id", "root").distinct())
     more = ["part"] if parts and diagonal else []
-    zones = runs.join(roots, ["dem_id", "node"]).join(ranked, ["dem_id", "root"]).select("dem_id", "row", "run", "zone_id", *more)
-    numbered = inside.join(zones, ["dem_id", "row", "run"]).select("dem_id", "row", "col", "zone_id", *more)
-    return cells.join(numbered, ["dem_id", "row", "col"], "left")
+    zones = runs.join(roots.hint("merge"), ["dem_id", "node"]).join(ranked.hint("merge"), ["dem_id", "root"]).select("dem_id", "row", "run", "zone_id", *more)
+    numbered = inside.join(zones.hint("merge"), ["dem_id", "row", "run"]).select("dem_id", "row", "col", "zone_id", *more)
+    return cells.join(numbered.hint("merge"), ["dem_id", "row", "col"], "left")
 
 
 def numbered_roots(roots: DataFrame) -> DataFrame:
@@ -201,5 +202,5 @@ def fill_gaps(cells: DataFrame, most: int, method: str = "linear") -> DataFrame:
 
     gaps = components(cells.withColumn("__gap", F.col("z").isNull()), "__gap", diagonal=False).withColumnRenamed("zone_id", "__zone").drop("__gap")
     sizes = gaps.where("__zone is not null").groupBy("dem_id", "__zone").agg(F.count("*").alias("__n"))
-    filled = (raster.fill_linear if method == "linear" else raster.fill_nearest)(gaps.join(sizes, ["dem_id", "__zone"], "left"))
+    filled = (raster.fill_linear if method == "linear" else raster.fill_nearest)(gaps.join(sizes.hint("merge"), ["dem_id", "__zone"], "left"))
     return filled.withColumn("filled", F.when(F.coalesce(F.col("__n"), F.lit(0)) <= most, F.col("filled"))).drop("__zone", "__n")
