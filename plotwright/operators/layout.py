@@ -1,4 +1,8 @@
-"""Layouts: asset rows, candidates, objectives, fitness, ranking, diversity, results."""
+"""Layouts: asset rows, candidates, objectives, fitness, ranking, diversity, results.
+
+Layouts are assets times solutions, more rows than Spark can know when it plans; their joins name the sort-merge join,
+so that the driver does not collect them to broadcast them.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plotwright.functions import geometry as G
+from plotwright.tables import written
 
 from . import spatial
 from .earthwork import CUBIC_YARDS
@@ -67,15 +72,18 @@ def violations(layouts: DataFrame, buildable: DataFrame, zones: DataFrame, site_
     """Per solution the breaches: overlapping pairs, pairs closer than the first one's spacing, assets not wholly in the
     buildable area (site_id, parts), assets on zones, coverage over the limit. An overlap counts as a lack of spacing, too."""
     key = F.struct("site_id", "solution_id")
-    own = layouts.select(key.alias("site_id"), "id", "ring", "spacing")
-    split = lambda df: df.select(F.col("site_id.site_id").alias("site_id"), F.col("site_id.solution_id").alias("solution_id"))
-    met, close = split(spatial.overlaps(own.drop("spacing"))), split(spatial.crowded(own))
-    out = layouts.join(buildable, "site_id").where(~F.forall("ring", lambda p: G.contains(F.col("parts"), p["x"], p["y"]))).select("site_id", "solution_id")
-    each = layouts.select("site_id", "solution_id").distinct().join(zones.select("site_id", F.col("id").alias("zone"), F.col("ring").alias("zr")), "site_id")
-    on = spatial.on_zones(own.drop("spacing"), each.select(key.alias("site_id"), F.col("zone").alias("id"), F.col("zr").alias("ring")))
-    area = layouts.groupBy("site_id", "solution_id").agg((F.sum(F.col("width") * F.col("length")) * 100.0 / site_area).alias("c")).where(F.col("c") > COVERAGE_LIMIT).select("site_id", "solution_id")
-    rows = met.unionByName(close).unionByName(out).unionByName(split(on)).unionByName(area)
-    return rows.groupBy("site_id", "solution_id").agg(F.count("*").alias("n_violations"))
+    split = lambda df, n: df.select(F.col("site_id.site_id").alias("site_id"), F.col("site_id.solution_id").alias("solution_id"), n.cast("long").alias("n"))
+    own = written(spatial.known(layouts.select(key.alias("site_id"), "id", "ring", "spacing"), "spacing"), "layouts")
+    reach = own.withColumn("reach", F.greatest(F.col("spacing"), F.lit(0.0)))  # an overlap is one whatever the spacing
+    near = spatial.pairs(reach, own, "reach").where("a_id < b_id").withColumns({"met": spatial.common_area() > 1e-9, "close": F.coalesce(spatial.apart() <= F.col("a_spacing"), F.lit(False))})
+    out = layouts.join(buildable.hint("merge"), "site_id").where(~F.forall("ring", lambda p: G.contains(F.col("parts"), p["x"], p["y"]))).select("site_id", "solution_id", F.lit(1).cast("long").alias("n"))
+    gone = zones.select("site_id", F.col("id").alias("zone"), F.col("ring").alias("zr"))
+    each = layouts.select("site_id", "solution_id").distinct().join(gone.hint("merge"), "site_id")
+    on = spatial.pairs(own, spatial.known(each.select(key.alias("site_id"), F.col("zone").alias("id"), F.col("zr").alias("ring")))).where(spatial.common_area() > 0.1)
+    area = layouts.groupBy("site_id", "solution_id").agg((F.sum(F.col("width") * F.col("length")) * 100.0 / site_area).alias("c")).where(F.col("c") > COVERAGE_LIMIT)
+    parts = [written(split(df, n), "breaches") for df, n in ((near, F.col("met").cast("int") + F.col("close").cast("int")), (on, F.lit(1)))]
+    rows = parts[0].unionByName(parts[1]).unionByName(out).unionByName(area.select("site_id", "solution_id", F.lit(1).cast("long").alias("n")))
+    return rows.groupBy("site_id", "solution_id").agg(F.sum("n").alias("n_violations")).where("n_violations > 0")
 
 
 def fitness(scores: dict[str, Column], breaches: Column, weights: dict[str, float] = WEIGHTS) -> Column:
@@ -88,15 +96,15 @@ def fitness(scores: dict[str, Column], breaches: Column, weights: dict[str, floa
 
 def diversity(layouts: DataFrame, best: DataFrame) -> DataFrame:
     """Per solution how far its assets lie from those of its site's best (site_id, solution_id), 0 to 1."""
-    reference = layouts.join(best.select("site_id", "solution_id"), ["site_id", "solution_id"]).select("site_id", "id", F.col("x").alias("bx"), F.col("y").alias("by"), F.col("rotation").alias("br"))
+    reference = layouts.join(best.select("site_id", "solution_id").hint("merge"), ["site_id", "solution_id"]).select("site_id", "id", F.col("x").alias("bx"), F.col("y").alias("by"), F.col("rotation").alias("br"))
     moved = F.sqrt(F.pow(F.col("x") - F.col("bx"), 2) + F.pow(F.col("y") - F.col("by"), 2)) + F.abs(F.col("rotation") - F.col("br")) / 10.0
-    return layouts.join(reference, ["site_id", "id"]).groupBy("site_id", "solution_id").agg(F.least(F.avg(moved) / 100.0, F.lit(1.0)).alias("diversity"))
+    return layouts.join(reference.hint("merge"), ["site_id", "id"]).groupBy("site_id", "solution_id").agg(F.least(F.avg(moved) / 100.0, F.lit(1.0)).alias("diversity"))
 
 
 def alternatives(scored: DataFrame, layouts: DataFrame, k: int, weight: float = 0.3) -> DataFrame:
     """Each site's best solution and the k next by fitness mixed with diversity; scored: site_id, solution_id, fitness."""
     best = scored.groupBy("site_id").agg(F.max_by("solution_id", F.struct("fitness", -F.col("solution_id"))).alias("solution_id"))
-    others = scored.join(best, ["site_id", "solution_id"], "left_anti").join(diversity(layouts, best), ["site_id", "solution_id"])
+    others = scored.join(best.hint("merge"), ["site_id", "solution_id"], "left_anti").join(diversity(layouts, best).hint("merge"), ["site_id", "solution_id"])
     mixed = others.withColumn("mixed", (1.0 - weight) * F.col("fitness") + weight * F.col("diversity") * 100.0)
     ranked = mixed.withColumn("place", F.row_number().over(Window.partitionBy("site_id").orderBy(F.desc("mixed"), "solution_id"))).where(F.col("place") <= k)
     return best.select("site_id", "solution_id", F.lit(0).alias("place")).unionByName(ranked.select("site_id", "solution_id", "place"))
@@ -137,12 +145,12 @@ def project_costs(layouts: DataFrame, earth: DataFrame, segments: DataFrame, sit
     """
     key = ["site_id", "solution_id"]
     area = F.col("width") * F.col("length")
-    each = layouts.select(*key, "id", area.alias("area")).join(earth.select(*key, "id", "cut", "fill"), [*key, "id"], "left")
+    each = layouts.select(*key, "id", area.alias("area")).join(earth.select(*key, "id", "cut", "fill").hint("merge"), [*key, "id"], "left")
     moved = lambda c, share: F.sum(F.coalesce(c, F.col("area") * share * CUBIC_YARDS))
     own = each.groupBy(key).agg(moved("cut", FLAT_CUT).alias("cut"), moved("fill", FLAT_FILL).alias("fill"), F.sum("area").alias("area"))
     roads = segments.groupBy(key).agg(F.count("*").alias("n_segments"), F.sum("length").alias("road_length"))
     site = sites.select("site_id", (F.col("area") * (SQUARE_FEET if area_in_feet else 1.0)).alias("site_area"))
-    met = own.join(roads, key, "left").join(site, "site_id", "left")
+    met = own.join(roads.hint("merge"), key, "left").join(site.hint("merge"), "site_id", "left")
     met = met.withColumns({
         "earthwork": F.col("cut") * CUT_RATE + F.col("fill") * FILL_RATE, "road_length": F.coalesce("road_length", F.lit(0.0)),
         "roads": F.coalesce("n_segments", F.lit(0)) * (ROAD_RATE * SEGMENT_METRES), "assets": F.col("area") * ASSET_RATE,
@@ -156,7 +164,7 @@ def results(costs: DataFrame, scored: DataFrame) -> DataFrame:
 
     costs as project_costs() gives them; scored: site_id, solution_id, fitness in percent.
     """
-    met = costs.join(scored.select("site_id", "solution_id", "fitness"), ["site_id", "solution_id"])
+    met = costs.join(scored.select("site_id", "solution_id", "fitness").hint("merge"), ["site_id", "solution_id"])
     roads = F.col("road_length") * ROAD_RATE
     return met.select(
         "site_id", "solution_id", "earthwork", roads.alias("road_cost"), F.greatest(F.lit(0.0), F.col("total") / (1.0 + CONTINGENCY) - F.col("earthwork") - roads).alias("asset_cost"),

@@ -90,7 +90,7 @@ def junctions(segments: DataFrame) -> DataFrame:
 
 def star(entrances: DataFrame, assets: DataFrame) -> DataFrame:
     """Straight roads from each site's entrance (x, y) to its assets."""
-    met = assets.select("site_id", "id", F.col("x").alias("ax"), F.col("y").alias("ay")).join(entrances, "site_id")
+    met = assets.select("site_id", "id", F.col("x").alias("ax"), F.col("y").alias("ay")).join(entrances.hint("merge"), "site_id")
     return met.select("site_id", "id", F.sqrt(F.pow(F.col("ax") - F.col("x"), 2) + F.pow(F.col("ay") - F.col("y"), 2)).alias("length"))
 
 

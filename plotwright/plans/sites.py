@@ -437,7 +437,7 @@ def n03(spark, sf_dir):
     every = own.select("site_id").distinct()
     buildable = every.withColumn("parts", F.array(G.box(*[F.lit(v) for v in (5.0 - 1e-6, 5.0 - 1e-6, SPAN - 5.0 + 1e-6, SPAN - 5.0 + 1e-6)])))
     gone = zones(spark, sf_dir).withColumnRenamed("site_id", "k")
-    return layout.violations(own, buildable, every.withColumn("k", F.col("site_id") % 5).join(gone, "k").drop("k"), 12_000.0)
+    return layout.violations(own, buildable, every.withColumn("k", F.col("site_id") % 5).join(F.broadcast(gone), "k").drop("k"), 12_000.0)
 
 
 TERRAIN = """zt AS (SELECT sb.site_id, sb.solution_id, sb.id, var_pop(t.z) AS v, avg(t.slope_percent) AS s FROM t JOIN sb ON sb.site_id % 4 = t.dem_id AND (t.col + 0.5e0) * 10 > x0 + 0.3e0 AND (t.col + 0.5e0) * 10 < x1 + 0.3e0 AND (t."row" + 0.5e0) * 10 > y0 + 0.3e0 AND (t."row" + 0.5e0) * 10 < y1 + 0.3e0 GROUP BY ALL),
@@ -455,7 +455,7 @@ def n04(spark, sf_dir):
 def scored(spark, sf_dir):
     """Every layout's objectives, breaches and fitness, written once for all that rank them."""
     key = ["site_id", "solution_id"]
-    found = layout.objectives(layouts(spark, sf_dir), (0.0, 0.0), 5000.0).join(n03(spark, sf_dir), key, "left").join(n04(spark, sf_dir), key, "left")
+    found = layout.objectives(layouts(spark, sf_dir), (0.0, 0.0), 5000.0).join(n03(spark, sf_dir).hint("merge"), key, "left").join(n04(spark, sf_dir).hint("merge"), key, "left")
     found = found.withColumn("n_violations", F.coalesce("n_violations", F.lit(0)))
     return written(found.withColumn("fitness", layout.fitness({k: F.col(k) for k in layout.WEIGHTS}, F.col("n_violations"))), "scored")
 

@@ -890,3 +890,26 @@ def test_fill_looks_ahead_in_one_pass(spark):
         found = fill(cells)
         assert np.allclose(array(found, "filled", z.shape)[0], expected)
         assert "unboundedfollowing" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def laid_out(spark):
+    """Two layouts of four assets on one site: of the first, two overlap; in the second all are apart."""
+    rows = [(0, s, i, 30.0 * i + (15.0 if (s, i) == (0, 0) else 0.0), 20.0, 20.0, 10.0, 0.0, 5.0) for s in range(2) for i in range(4)]
+    return layout.placed(spark.createDataFrame(rows, "site_id long, solution_id int, id long, x double, y double, width double, length double, rotation double, spacing double"))
+
+
+def planned(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_breaches_of_layouts_are_not_broadcast(spark, monkeypatch):
+    """Layouts are more rows than a plan can know of: with a small table of assets the driver would collect them."""
+    plans, own = [], layout.written
+    monkeypatch.setattr(layout, "written", lambda df, name: plans.append(planned(df)) or own(df, name))
+    box = lambda *v: G.box(*[F.lit(float(x)) for x in v])
+    site = spark.range(1).select(F.col("id").alias("site_id"), F.array(box(-20, 0, 101, 100)).alias("parts"))
+    zone = spark.range(1).select(F.col("id").alias("site_id"), F.lit(7).alias("id"), box(-10, 10, -9, 30).alias("ring"))
+    found = layout.violations(laid_out(spark), site, zone, 12_000.0)
+    # of the first: an overlap, which lacks spacing too; of the second: one on the zone
+    assert {r.solution_id: r.n_violations for r in found.collect()} == {0: 2, 1: 1}
+    assert "BroadcastHashJoin" not in "".join([*plans, planned(found)])
