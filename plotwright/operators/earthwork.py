@@ -102,7 +102,7 @@ def graded(cells: DataFrame, covers: DataFrame) -> DataFrame:
     """
     best = covers.groupBy("dem_id", "row", "col").agg(F.max_by(F.struct("kind", "target", "slope", "feet"), F.struct("priority", "seq")).alias("of"))
     z = F.when(F.col("of.kind") == "swale", F.lit(100.0) - F.col("of.feet") * F.col("of.slope") / 100.0).otherwise(F.coalesce("of.target", "z"))
-    return cells.join(best, ["dem_id", "row", "col"], "left").select(*[c for c in cells.columns if c != "z"], F.when(F.col("of").isNull(), F.col("z")).otherwise(z).alias("z"), F.col("of").isNotNull().alias("graded"))
+    return cells.join(best.hint("merge"), ["dem_id", "row", "col"], "left").select(*[c for c in cells.columns if c != "z"], F.when(F.col("of").isNull(), F.col("z")).otherwise(z).alias("z"), F.col("of").isNotNull().alias("graded"))
 
 
 def covers(cells: DataFrame, zones: DataFrame, cell: float) -> DataFrame:
@@ -146,4 +146,4 @@ def pad_volumes(cells: DataFrame, shapes: DataFrame, cell: float) -> DataFrame:
     level = under.groupBy("dem_id", "shape_id").agg(F.median("z").alias("level"))
     d = F.col("z") - F.col("level")
     total = lambda c: F.coalesce(F.sum(c), F.lit(0.0)) * cell * cell * CUBIC_YARDS
-    return under.join(level, ["dem_id", "shape_id"]).groupBy("dem_id", "shape_id").agg(total(F.when(d > 0, d)).alias("cut"), total(F.when(d < 0, -d)).alias("fill"))
+    return under.join(level.hint("merge"), ["dem_id", "shape_id"]).groupBy("dem_id", "shape_id").agg(total(F.when(d > 0, d)).alias("cut"), total(F.when(d < 0, -d)).alias("fill"))

@@ -45,9 +45,9 @@ def spans(shapes: DataFrame, cell: float) -> DataFrame:
 
 
 def covered(cells: DataFrame, spans: DataFrame) -> DataFrame:
-    """cells with shape_id, a row for every span over them."""
+    """cells with shape_id, a row for every span over them; spans are many more than Spark can know when it plans, so they are not broadcast."""
     stretch = F.explode(F.sequence(F.floor(F.col("c0") / STRETCH), F.floor(F.col("c1") / STRETCH)))
-    met = cells.withColumn("__at", F.floor(F.col("col") / STRETCH)).join(spans.withColumn("__at", stretch), ["dem_id", "row", "__at"])
+    met = cells.withColumn("__at", F.floor(F.col("col") / STRETCH)).join(spans.withColumn("__at", stretch).hint("merge"), ["dem_id", "row", "__at"])
     return met.where(F.col("col").between(F.col("c0"), F.col("c1"))).select(*cells.columns, "shape_id")
 
 

@@ -913,3 +913,10 @@ def test_breaches_of_layouts_are_not_broadcast(spark, monkeypatch):
     # of the first: an overlap, which lacks spacing too; of the second: one on the zone
     assert {r.solution_id: r.n_violations for r in found.collect()} == {0: 2, 1: 1}
     assert "BroadcastHashJoin" not in "".join([*plans, planned(found)])
+
+
+def test_terrain_of_layouts_is_not_broadcast(spark):
+    z = np.add.outer(np.arange(10.0), np.arange(20.0))
+    cells = stencil.terrain(grid(spark, z), 10.0)
+    found = layout.terrain_objectives(laid_out(spark), cells, 10.0)
+    assert found.count() == 2 and "BroadcastHashJoin" not in planned(found)
