@@ -920,3 +920,12 @@ def test_terrain_of_layouts_is_not_broadcast(spark):
     cells = stencil.terrain(grid(spark, z), 10.0)
     found = layout.terrain_objectives(laid_out(spark), cells, 10.0)
     assert found.count() == 2 and "BroadcastHashJoin" not in planned(found)
+
+
+def test_grading_zones_are_not_broadcast(spark):
+    cells = grid(spark, np.zeros((4, 6)))
+    k = F.col("id")
+    zones_ = spark.range(3).select(F.lit(0).cast("long").alias("dem_id"), k.alias("seq"), (k % 2).alias("priority"), F.lit("pad").alias("kind"), (k * 1.0).alias("target"), F.lit(2.0).alias("slope"), G.box(k * 10.0, F.lit(0.0), k * 10.0 + 20.0, F.lit(20.0)).alias("ring"))
+    found = earthwork.graded(cells, earthwork.covers(cells, zones_, 10.0))
+    assert [r.z for r in found.where("row = 0").orderBy("col").collect()] == [0.0, 1.0, 1.0, 2.0, 0.0, 0.0]
+    assert "BroadcastHashJoin" not in planned(found)
