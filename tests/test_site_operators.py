@@ -929,3 +929,12 @@ def test_grading_zones_are_not_broadcast(spark):
     found = earthwork.graded(cells, earthwork.covers(cells, zones_, 10.0))
     assert [r.z for r in found.where("row = 0").orderBy("col").collect()] == [0.0, 1.0, 1.0, 2.0, 0.0, 0.0]
     assert "BroadcastHashJoin" not in planned(found)
+
+
+def test_scores_of_layouts_are_not_broadcast(spark, data, monkeypatch):
+    from plotwright.plans import sites
+
+    plans, own = {}, sites.written
+    monkeypatch.setattr(sites, "written", lambda df, name: plans.setdefault(name, planned(df)) and own(df, name))
+    assert layout.elite(sites.scored(spark, data), 0.2).count()
+    assert "BroadcastHashJoin" not in plans["scored"]
