@@ -938,3 +938,9 @@ def test_scores_of_layouts_are_not_broadcast(spark, data, monkeypatch):
     monkeypatch.setattr(sites, "written", lambda df, name: plans.setdefault(name, planned(df)) and own(df, name))
     assert layout.elite(sites.scored(spark, data), 0.2).count()
     assert "BroadcastHashJoin" not in plans["scored"]
+
+
+def test_alternatives_do_not_broadcast_layouts(spark):
+    scored = spark.createDataFrame([(0, 0, 1.0), (0, 1, 2.0)], "site_id long, solution_id int, fitness double")
+    found = layout.alternatives(scored, laid_out(spark), 3)
+    assert sorted(map(tuple, found.collect())) == [(0, 0, 1), (0, 1, 0)] and "BroadcastHashJoin" not in planned(found)
