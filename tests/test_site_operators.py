@@ -944,3 +944,13 @@ def test_alternatives_do_not_broadcast_layouts(spark):
     scored = spark.createDataFrame([(0, 0, 1.0), (0, 1, 2.0)], "site_id long, solution_id int, fitness double")
     found = layout.alternatives(scored, laid_out(spark), 3)
     assert sorted(map(tuple, found.collect())) == [(0, 0, 1), (0, 1, 0)] and "BroadcastHashJoin" not in planned(found)
+
+
+def test_results_of_layouts_are_not_broadcast(spark):
+    own = laid_out(spark)
+    shapes = own.select("site_id", F.struct("site_id", "solution_id", "id").alias("id"), "ring")
+    earth = earthwork.pad_volumes(grid(spark, np.add.outer(np.arange(10.0), np.arange(20.0))), shapes, 10.0).select("shape_id.*", "cut", "fill")
+    segments = own.select("site_id", "solution_id", F.col("x").alias("length"))
+    costs = layout.project_costs(own, earth, segments, spark.createDataFrame([(0, 40000.0)], "site_id long, area double"))
+    found = layout.results(costs, own.select("site_id", "solution_id").distinct().withColumn("fitness", F.lit(50.0)))
+    assert found.count() == 2 and "BroadcastHashJoin" not in planned(found)
