@@ -166,7 +166,7 @@ _ORDER = ["cost", "length", "arcs", "origin", "prev"]
 
 
 def _sent(df: DataFrame, rows: int) -> DataFrame:
-    """df, marked to be sent to every task where it is small."""
+    """df, marked to be sent to every task where it is small; else blocks, which pack well in their files, are not sent either."""
     return F.broadcast(df) if rows <= FEW else df
 
 
@@ -190,7 +190,7 @@ def searched(edges: DataFrame, sources: DataFrame, block: Callable[[Column], Col
             due = fresh.join(nearest, ["site_id", "search"]).where(F.col("cost") < F.col("nearest") + width).drop("nearest")
         asked = due.select(KEY).distinct()
         entered = (known.join(_sent(asked, rows), KEY, "left_semi") if turn else known).groupBy(KEY).agg(F.collect_list(F.struct(*_NAMES)).alias("entries"))
-        met = _sent(entered, rows).join(packed, ["site_id", "block"]).select(*KEY, "entries", "arcs")
+        met = _sent(entered, rows).join(packed.hint("merge"), ["site_id", "block"]).select(*KEY, "entries", "arcs")
         found = written(met.mapInArrow(_settle, f"{key}, ways {_WAYS}, leaving {_WAYS[:-2]}, to: long>>").withColumn("turn", F.lit(turn)), "settled")
         settled = found if settled is None else settled.unionByName(found)
         n = found.agg(F.sum(F.size("leaving"))).first()[0] or 0
@@ -199,12 +199,12 @@ def searched(edges: DataFrame, sources: DataFrame, block: Callable[[Column], Col
         had = known.groupBy(*KEY, "node").agg(F.min(F.struct(*_ORDER)).alias("had"))
         if n <= FEW:  # then it is not the whole of known that is dealt
             had = known.join(F.broadcast(best.select(*KEY, "node")), [*KEY, "node"], "left_semi").groupBy(*KEY, "node").agg(F.min(F.struct(*_ORDER)).alias("had"))
-        better = best.join(had, [*KEY, "node"], "left").where(F.col("had").isNull() | (F.struct(*_ORDER) < F.col("had"))).select(*KEY, *_NAMES)
+        better = best.join(had.hint("merge"), [*KEY, "node"], "left").where(F.col("had").isNull() | (F.struct(*_ORDER) < F.col("had"))).select(*KEY, *_NAMES)
         better = written(better, "entries")
         fresh = better if width is None else written(fresh.join(asked, KEY, "left_anti").unionByName(better), "entries")
         known, turn, rows = known.unionByName(better), turn + 1, fresh.count()
     last = settled.groupBy(KEY).agg(F.max("turn").alias("turn"))
-    return written(settled.join(last, [*KEY, "turn"]).select(*KEY, "ways"), "ways") if turn > 1 else settled.select(*KEY, "ways")
+    return written(settled.join(last.hint("merge"), [*KEY, "turn"]).select(*KEY, "ways"), "ways") if turn > 1 else settled.select(*KEY, "ways")
 
 
 def reach(found: DataFrame) -> DataFrame:
@@ -244,7 +244,7 @@ def paths(found: DataFrame, goals: DataFrame, block: Callable[[Column], Column]
         if not rows and whole is not None:
             return whole
         reached = found.where(F.size("ways") > 0)
-        met = _sent(at, rows).join(reached, KEY).where(F.exists("ways", lambda w: w["node"] == F.col("at")))
+        met = _sent(at, rows).join(reached.hint("merge"), KEY).where(F.exists("ways", lambda w: w["node"] == F.col("at")))
         step = written(met.select(*KEY, F.col("goal").cast("long").alias("goal"), F.col("at").cast("long").alias("at"), "ways").mapInArrow(_walk, schema), "walk")
         part = step.select("site_id", "search", "goal", F.explode("path").alias("p")).select("site_id", "search", "goal", "p.*")
         whole = part if whole is None else whole.unionByName(part)
@@ -261,7 +261,7 @@ def nearest_links(edges: DataFrame, found: DataFrame) -> DataFrame:
     at = reach(found).select("site_id", "node", "origin", "cost", "length")
     end = lambda c: at.select("site_id", F.col("node").alias(c), F.col("origin").alias(f"{c}_origin"), F.col("cost").alias(f"{c}_cost"), F.col("length").alias(f"{c}_length"))
     own = edges.withColumn("own_length", F.col("length" if "length" in edges.columns else "weight")).select("site_id", "src", "dst", "weight", "own_length")
-    met = own.join(end("src"), ["site_id", "src"]).join(end("dst"), ["site_id", "dst"]).where("src_origin <> dst_origin")
+    met = own.join(end("src").hint("merge"), ["site_id", "src"]).join(end("dst").hint("merge"), ["site_id", "dst"]).where("src_origin <> dst_origin")
     swap = F.col("src_origin") > F.col("dst_origin")
     pick = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
     length = F.col("src_length") + F.col("own_length") + F.col("dst_length")

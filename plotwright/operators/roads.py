@@ -46,7 +46,7 @@ def edge_weight(length: Column, slope: Column, rise: Column) -> Column:
 def edges(nodes: DataFrame, max_grade: float | None = None) -> DataFrame:
     """Weighted edges between neighbours of grid nodes (with z and slope); steeper ones than the grade are left out."""
     n = lambda end: nodes.select("site_id", F.col("id").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in ("x", "y", "z", "slope")])
-    met = spatial.grid_adjacency(nodes).join(n("src"), ["site_id", "src"]).join(n("dst"), ["site_id", "dst"])
+    met = spatial.grid_adjacency(nodes).join(n("src").hint("merge"), ["site_id", "src"]).join(n("dst").hint("merge"), ["site_id", "dst"])  # nodes are exploded from sites
     length = F.sqrt(F.pow(F.col("src_x") - F.col("dst_x"), 2) + F.pow(F.col("src_y") - F.col("dst_y"), 2))
     rise = F.col("dst_z") - F.col("src_z")
     out = met.withColumns({"length": length, "rise": rise, "grade": F.when(length < 0.1, 0.0).otherwise(F.abs(rise) / length * 100.0), "weight": edge_weight(length, (F.col("src_slope") + F.col("dst_slope")) / 2.0, rise)})
@@ -105,9 +105,9 @@ def network_statistics(segments: DataFrame) -> DataFrame:
 
 def node_rows(nodes: DataFrame, cells: DataFrame, cell: float, level: float = 100.0) -> DataFrame:
     """nodes with z and slope of the site's raster where they lie; a site or place without one is flat at a level."""
-    found = spatial.sample(cells, nodes.select(F.col("site_id").alias("dem_id"), "id", "x", "y"), cell).join(cells.select("dem_id", "row", "col", "slope_percent"), ["dem_id", "row", "col"], "left")
+    found = spatial.sample(cells, nodes.select(F.col("site_id").alias("dem_id"), "id", "x", "y"), cell).join(cells.select("dem_id", "row", "col", "slope_percent").hint("merge"), ["dem_id", "row", "col"], "left")
     own = found.select(F.col("dem_id").alias("site_id"), "id", F.coalesce("z", F.lit(level)).alias("z"), F.coalesce("slope_percent", F.lit(0.0)).alias("slope"))
-    return nodes.join(own, ["site_id", "id"])
+    return nodes.join(own.hint("merge"), ["site_id", "id"])
 
 
 def features(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -138,15 +138,15 @@ def site_network(nodes: DataFrame, entrances: DataFrame, assets: DataFrame, spac
     nearest = spatial.within_radius(points, nodes, 2.0 * spacing).groupBy("site_id", "point_id").agg(F.min(F.struct("distance", "node_id"))["node_id"].alias("node"))
     nearest = written(nearest, "terminals")
     network = terminal_network(edges(nodes, max_grade), nearest.select("site_id", "node").distinct(), routed_by="weight", block=blocks.grid_block)
-    at = network.paths().join(nodes.select("site_id", F.col("id").alias("node"), "x", "y", "z"), ["site_id", "node"])
+    at = network.paths().join(nodes.select("site_id", F.col("id").alias("node"), "x", "y", "z").hint("merge"), ["site_id", "node"])
     own = path_measures(at.withColumn("path_id", F.struct("src", "dst"))).select("site_id", "path_id.src", "path_id.dst", "length", "max_grade")
     start = nearest.where(F.col("point_id") == gate).select("site_id", F.col("node").alias("gate"))
     n_assets = assets.groupBy("site_id").agg(F.count("*").alias("n_assets"))
-    ends = own.join(start, "site_id", "left").join(n_assets, "site_id", "left")
+    ends = own.join(start.hint("merge"), "site_id", "left").join(n_assets.hint("merge"), "site_id", "left")
     at_gate = F.coalesce((F.col("src") == F.col("gate")) | (F.col("dst") == F.col("gate")), F.lit(False))
     found = ends.select("site_id", "src", "dst", F.lit("path").alias("kind"), "length", "max_grade", road_class(at_gate, F.coalesce("n_assets", F.lit(0))).alias("class"))
     reached = network.reached(start.select("site_id", F.col("gate").alias("node")))
-    alone = assets.select("site_id", "id", "x", "y").join(nearest.join(reached, ["site_id", "node"]).select("site_id", F.col("point_id").alias("id")), ["site_id", "id"], "left_anti")
+    alone = assets.select("site_id", "id", "x", "y").join(nearest.join(reached.hint("merge"), ["site_id", "node"]).hint("merge").select("site_id", F.col("point_id").alias("id")), ["site_id", "id"], "left_anti")
     straight = star(entrances, alone).select("site_id", gate.alias("src"), F.col("id").alias("dst"), F.lit("straight").alias("kind"), "length", F.lit(None).cast("double").alias("max_grade"), F.lit("access").alias("class"))
     return with_width(found.unionByName(straight).withColumn("length_ft", F.col("length") * FEET))
 
@@ -165,7 +165,7 @@ class Network:
         ends = self.tree.select("site_id", "src", "dst", "a", "b")
         goals = ends.select("site_id", F.explode(F.array("a", "b")).alias("goal")).withColumn("search", F.lit(0))
         walked = blocks.paths(self.ways, goals, self.block).select("site_id", "goal", "node", "arcs")
-        half = lambda c, seq: ends.withColumn("goal", F.col(c)).join(walked, ["site_id", "goal"]).select("site_id", "src", "dst", seq.cast("long").alias("seq"), "node")
+        half = lambda c, seq: ends.withColumn("goal", F.col(c)).join(walked.hint("merge"), ["site_id", "goal"]).select("site_id", "src", "dst", seq.cast("long").alias("seq"), "node")
         return half("a", F.col("arcs")).unionByName(half("b", F.lit(1 << 40) - F.col("arcs")))
 
     def status(self) -> DataFrame:
@@ -180,7 +180,7 @@ class Network:
         key = lambda c: F.struct("site_id", F.col(c).alias("node"))
         parts = graph.labelled(self.terminals.select(key("node").alias("node")), self.tree.select(key("src").alias("s"), key("dst").alias("d")), "s", "d")
         roots = parts.join(starts.select(key("node").alias("node")), "node", "left_semi").select("root").distinct()
-        return parts.join(roots, "root").select("node.*")
+        return parts.join(roots.hint("merge"), "root").select("node.*")
 
 
 def terminal_network(links: DataFrame, terminals: DataFrame, routed_by: str = "length", block: Callable[[Column], Column] = blocks.id_block) -> Network:
@@ -195,4 +195,4 @@ def terminal_network(links: DataFrame, terminals: DataFrame, routed_by: str = "l
     ways = blocks.searched(own, terminals.withColumn("search", F.lit(0)), block)
     met = written(blocks.nearest_links(own, ways), "links")
     tree = graph.spanning_forest(met.select("site_id", "src", "dst", F.col("length").alias("weight"))).select("site_id", "src", "dst")
-    return Network(written(met.join(tree, ["site_id", "src", "dst"]), "tree"), ways, terminals, block)
+    return Network(written(met.join(tree.hint("merge"), ["site_id", "src", "dst"]), "tree"), ways, terminals, block)

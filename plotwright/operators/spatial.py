@@ -166,7 +166,7 @@ def zonal_statistics(cells: DataFrame, shapes: DataFrame, cell: float) -> DataFr
 def sample(cells: DataFrame, points: DataFrame, cell: float) -> DataFrame:
     """points (dem_id, id, x, y) with z of the cell that they lie in, null outside."""
     at = points.withColumns({"row": (F.col("y") / cell).cast("int"), "col": (F.col("x") / cell).cast("int")})
-    return at.join(cells.select("dem_id", "row", "col", "z"), ["dem_id", "row", "col"], "left")
+    return at.join(cells.select("dem_id", "row", "col", "z").hint("merge"), ["dem_id", "row", "col"], "left")
 
 
 def nearest(points: DataFrame, items: DataFrame, boxes: tuple[str, str, str, str], best: Column, reach: float) -> DataFrame:
@@ -214,7 +214,7 @@ def within_radius(points: DataFrame, nodes: DataFrame, radius: float) -> DataFra
     tx, ty = F.floor(F.col("x") / radius), F.floor(F.col("y") / radius)
     around = F.explode(F.array(*[F.struct((tx + a).alias("tx"), (ty + b).alias("ty")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
     p = points.select("site_id", F.col("id").alias("point_id"), F.col("x").alias("px"), F.col("y").alias("py"), around.alias("t")).select("*", "t.tx", "t.ty").drop("t")
-    met = p.join(nodes.select("site_id", "id", "x", "y", tx.alias("tx"), ty.alias("ty")), ["site_id", "tx", "ty"])
+    met = p.join(nodes.select("site_id", "id", "x", "y", tx.alias("tx"), ty.alias("ty")).hint("merge"), ["site_id", "tx", "ty"])
     d = F.sqrt(F.pow(F.col("px") - F.col("x"), 2) + F.pow(F.col("py") - F.col("y"), 2))
     return met.withColumn("distance", d).where(F.col("distance") <= radius).select("site_id", "point_id", F.col("id").alias("node_id"), "distance")
 
@@ -231,7 +231,7 @@ def grid_adjacency(nodes: DataFrame) -> DataFrame:
     """Links of grid nodes (site_id, id, row, col) to their neighbours at the right and below, corners too."""
     ahead = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((0, 1), (1, -1), (1, 0), (1, 1))]))
     sent = nodes.select("site_id", F.col("id").alias("src"), ahead.alias("o"), "row", "col").select("site_id", "src", (F.col("row") + F.col("o.a")).alias("row"), (F.col("col") + F.col("o.b")).alias("col"))
-    return sent.join(nodes.select("site_id", F.col("id").alias("dst"), "row", "col"), ["site_id", "row", "col"]).select("site_id", "src", "dst")
+    return sent.join(nodes.select("site_id", F.col("id").alias("dst"), "row", "col").hint("merge"), ["site_id", "row", "col"]).select("site_id", "src", "dst")
 
 
 def type_spacing(rules: DataFrame) -> DataFrame:

@@ -954,3 +954,10 @@ def test_results_of_layouts_are_not_broadcast(spark):
     costs = layout.project_costs(own, earth, segments, spark.createDataFrame([(0, 40000.0)], "site_id long, area double"))
     found = layout.results(costs, own.select("site_id", "solution_id").distinct().withColumn("fitness", F.lit(50.0)))
     assert found.count() == 2 and "BroadcastHashJoin" not in planned(found)
+
+
+def test_nodes_of_roads_are_not_broadcast(spark):
+    sites = spark.createDataFrame([(0, 0.0, 0.0, 60.0, 40.0)], "site_id long, min_x double, min_y double, max_x double, max_y double")
+    own = roads.node_rows(roads.grid_nodes(sites, 20.0), stencil.terrain(grid(spark, np.zeros((4, 6))), 10.0), 10.0)
+    found = roads.edges(own, 12.0)
+    assert found.count() == 11 and "BroadcastHashJoin" not in planned(found)
